@@ -1,0 +1,46 @@
+import random
+
+from tideline.llm.secret_scan import ACCESS, ASSIGN, KINDS, Formats, base_spans, infer, secret_scan
+
+
+def brute(text):
+    found = [("assign", m.start(), m.end()) for m in ASSIGN.finditer(text) if len(m[2]) >= 12]
+    found += [("access", m.start(), m.end()) for m in ACCESS.finditer(text) if len(m[0]) >= 18]
+    at = 0
+    while at < len(text):
+        end = at
+        while end < len(text) and text[end] in "0123456789abcdef":
+            end += 1
+        if end - at >= 16:
+            found.append(("hex", at, end))
+        at = max(end, at + 1)
+    return sorted(found, key=lambda s: (s[1], KINDS.index(s[0])))
+
+
+def test_base_spans_stay(docs, odd, none):
+    for df in (docs, odd):
+        texts = sorted((str(r.doc_id), r.text or "") for r in df.select("doc_id", "text").collect())
+        got = sorted(((str(r.doc_id), [(s.kind, s.start, s.end) for s in r.spans if s.kind != "format"]) for r in secret_scan(df).collect()))
+        assert got == sorted((d, brute(t)) for d, t in texts)
+    assert secret_scan(none).count() == 0
+
+
+def test_patterns():
+    spans = lambda t: [(k, a, b) for k, a, b, _ in base_spans(t)]
+    assert spans('é API_Key" : "abcdefghijkl" x') == [("assign", 2, 26)]
+    assert spans("token=short12345 AKIA12345 AKIAABCDEFGHIJKLMN deadbeefdeadbee") == [("access", 27, 45)]
+    assert spans("passwd: ſecret=abcdefghijklm") == []
+
+
+def test_inferred_formats_find_what_no_pattern_does():
+    rng = random.Random(1)
+    keys = {"QX" + "".join(rng.choice("ABCDEFGH23456789") for _ in range(14)): 1 for _ in range(300)}
+    plain = [("".join(rng.choice(["th", "er", "on", "an"]) for _ in range(8))) for _ in range(2000)]
+    pairs = {}
+    for w in plain:
+        for p in zip("^" + w, w + "$"):
+            pairs["".join(p)] = pairs.get("".join(p), 0) + 1
+    formats = Formats({"keys": keys}, pairs)
+    new = ["QX" + "".join(rng.choice("ABCDEFGH23456789") for _ in range(14)) for _ in range(100)]
+    assert sum(map(formats.matches, new)) > 90 and not any(map(formats.matches, plain)) and not formats.matches("mail8.example.com")
+    assert len(infer(keys).steps) < 40

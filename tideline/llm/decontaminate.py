@@ -78,7 +78,7 @@ def spans(hits: DataFrame) -> DataFrame:
         lambda acc, x: F.when((F.size(acc) > 0) & (x.pos <= F.element_at(acc, -1).end), F.concat(F.slice(acc, 1, F.size(acc) - 1), F.array(F.struct(F.element_at(acc, -1).pos.alias("pos"), F.greatest(F.element_at(acc, -1).end, x.end).alias("end"))))).otherwise(F.concat(acc, F.array(x))),
     )
     items = hits.select("rid", F.explode("items").alias("item")).distinct().groupBy("rid").agg(F.array_sort(F.collect_list("item")).alias("items"))
-    return held.select("rid", merged.alias("spans")).join(items, "rid")
+    return held.select("rid", merged.alias("spans")).join(items, "rid", "left")
 
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW) -> DataFrame:

@@ -2,11 +2,18 @@
 
 from __future__ import annotations
 
-from tideline.llm import decontaminate, exact_dedup
+from tideline.llm import decontaminate, exact_dedup, html_extract, jaccard_join, quality, secret_scan, sentence_pieces, suffix_tree_lm, token_blocks
 
 QUERIES = {
     "op1_exact_dedup": exact_dedup.op1_exact_dedup,
+    "op2_token_blocks": token_blocks.op2_token_blocks,
+    "op3_sentence_pieces": sentence_pieces.op3_sentence_pieces,
     "op4_decontaminate": decontaminate.op4_decontaminate,
+    "op5_jaccard_join": jaccard_join.op5_jaccard_join,
+    "op6_html_extract": html_extract.op6_html_extract,
+    "op8_quality": quality.op8_quality,
+    "op9_suffix_tree_lm": suffix_tree_lm.op9_suffix_tree_lm,
+    "op10_secret_scan": secret_scan.op10_secret_scan,
 }
 ORACLES = {
     "op1_exact_dedup": exact_dedup.SQL,
