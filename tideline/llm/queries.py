@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from tideline.llm import decontaminate, exact_dedup, html_extract, jaccard_join, quality, secret_scan, sentence_pieces, suffix_tree_lm, token_blocks
+import corpus_pipeline
+from tideline.llm import decontaminate, exact_dedup, html_extract, jaccard_join, line_dedup, quality, secret_scan, sentence_pieces, suffix_tree_lm, token_blocks
 
 QUERIES = {
     "op1_exact_dedup": exact_dedup.op1_exact_dedup,
@@ -11,9 +12,11 @@ QUERIES = {
     "op4_decontaminate": decontaminate.op4_decontaminate,
     "op5_jaccard_join": jaccard_join.op5_jaccard_join,
     "op6_html_extract": html_extract.op6_html_extract,
+    "op7_line_dedup": line_dedup.op7_line_dedup,
     "op8_quality": quality.op8_quality,
     "op9_suffix_tree_lm": suffix_tree_lm.op9_suffix_tree_lm,
     "op10_secret_scan": secret_scan.op10_secret_scan,
+    "pipeline": corpus_pipeline.run,
 }
 ORACLES = {
     "op1_exact_dedup": exact_dedup.SQL,
