@@ -32,16 +32,8 @@ def brute(rows):
             x = up[x]
         return x
 
-    by = {}
-    for w in distinct:
-        for key in {w[: len(w) // 2 - 1], w[-(len(w) // 2 - 1) :]}:
-            by.setdefault(key, []).append(w)
-    for group in by.values():
-        for a, b in combinations(group, 2):
-            if within_one(a, b):
-                up[root(a)] = root(b)
-    for a, b in combinations([w for w in distinct if len(w) < 9], 2):
-        if within_one(a, b):
+    for a, b in combinations(distinct, 2):
+        if abs(len(a) - len(b)) <= 1 and (a[:2] == b[:2] or a[-2:] == b[-2:]) and within_one(a, b):
             up[root(a)] = root(b)
     least = {}
     for at, w in lines:
