@@ -153,3 +153,31 @@ def test_stream_of_snapshots(spark, tmp_path):
         make(ids).write.mode("append").parquet(source)
         append_to(new_snapshots(stream_table(spark, source, make([]).schema)), sink, marks).awaitTermination()
     assert sorted(r.content_sha256 for r in spark.read.parquet(sink).collect()) == ["a", "b", "c"]
+
+
+def test_files(spark, tmp_path):
+    from tideline.sources import files
+
+    path = str(tmp_path / "t.csv")
+    (tmp_path / "t.csv").write_text("a,b\n1,\nx,2.5\n")
+    got = files.typed(files.read_strings(spark, path, ["a", "b"]), {"a": "int", "b": "double"})
+    assert sorted((r.a, r.b) for r in got.collect() if r.a) == [(1, None)] and got.count() == 2
+    assert files.read_strings(spark, str(tmp_path / "none"), ["a"]).count() == 0
+    make = lambda *rows: spark.createDataFrame(rows, "k string, v double")
+    out = str(tmp_path / "out")
+    assert files.write_once(make(("a", 1.0)), out, ["k"], "v") == 1
+    assert files.write_once(make(("a", 1.0), ("b", 2.0)), out, ["k"], "v") == 1
+    with pytest.raises(ValueError):
+        files.write_once(make(("a", 9.0)), out, ["k"], "v")
+
+
+def test_lifecycle(spark):
+    from tideline.plans import lifecycle
+
+    at = lambda k: dt.datetime(2026, 1 + k, 9)
+    rows = [("final", m, f"2025-{k + 1:02d}", e * (0.4 + 0.1 * k), at(k)) for k in range(6) for m, e in (("old", 1.0), ("new", 0.2), ("worse", 2.0))]
+    scores = spark.createDataFrame(rows, "vintage string, model_key string, target_month string, error double, actual_published_at timestamp_ntz")
+    events = {(r.event_type, r.model_key) for r in lifecycle.cycle_events(scores, "old", cut("2026-07-01")).collect()}
+    assert events == {("trigger", "old"), ("trial", "new"), ("trial", "worse"), ("promotion", "new"), ("rejection", "worse")}
+    assert lifecycle.cycle_events(scores, "old", cut("2026-02-01")).isEmpty()
+    assert [r.champion for r in lifecycle.champions(lifecycle.cycle_events(scores, "old", cut("2026-07-01")), "old").collect()] == ["new"]

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from tideline.functions import releases as rel
 from tideline.operators import asof, catalog, evaluation, features, ingest, models, registry, validation
+from tideline.plans import lifecycle
 from tideline.sources import proxy
 
 CUTOFF = "1999-03-26 12:00:00"
@@ -363,6 +364,16 @@ def promotion_decision(spark, sf_dir):
     return scored_metrics(found, *(c for c in found.columns if c.endswith(("_mae", "_rmse", "_bias")) and not c.startswith("rule_")), "win_rate")
 
 
+@query
+def lifecycle_events(spark, sf_dir):
+    return lifecycle.cycle_events(scores(spark, sf_dir), "no_change", at()).drop("event_id")
+
+
+@query
+def lifecycle_champions(spark, sf_dir):
+    return lifecycle.champions(lifecycle.cycle_events(scores(spark, sf_dir), "no_change", at()), "no_change")
+
+
 def release_pages(spark, sf_dir):
     """Release pages as they would be scraped: a price table of each stored snapshot, made from the panel."""
     cell = lambda *c: F.concat(F.lit("<td>"), F.concat(*c), F.lit("</td>"))
