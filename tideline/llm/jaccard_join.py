@@ -6,7 +6,6 @@ import math
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -127,21 +126,44 @@ def first_shared(sig: np.ndarray, band: int, rows: np.ndarray, others: np.ndarra
     return apart
 
 
-def assigned(frame: pd.DataFrame, similarity: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def assigned(sig: np.ndarray, size: np.ndarray, block: np.ndarray, band: int, i: int, j: int, similarity: float) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(left, right, which pairs) of a block pair: those to compare here, whose sizes allow the similarity."""
-    sig = np.stack(frame["bands"].to_numpy())
-    size, block = frame["n"].to_numpy(np.float64), frame["block"].to_numpy()
-    same = frame["i"].iloc[0] == frame["j"].iloc[0]
-    left = np.arange(len(frame)) if same else np.flatnonzero(block == frame["i"].iloc[0])
-    right = np.arange(len(frame)) if same else np.flatnonzero(block == frame["j"].iloc[0])
-    pairs = first_shared(sig, int(frame["band"].iloc[0]), left, right)
+    left = np.arange(len(size)) if i == j else np.flatnonzero(block == i)
+    right = left if i == j else np.flatnonzero(block == j)
+    pairs = first_shared(sig, band, left, right)
     a, b = size[left][:, None], size[right][None, :]
     pairs &= np.minimum(a, b) >= similarity * np.maximum(a, b) - 1e-9
-    if same:
+    if i == j:
         pairs &= left[:, None] < right[None, :]
     return left, right, pairs
 
 
+def whole_groups(batches: Iterator[pa.RecordBatch], keys: list[str]) -> Iterator[tuple[pa.Table, np.ndarray]]:
+    """(rows, starts of the groups in them) of batches sorted by the keys; a group is never torn."""
+    held: list[pa.RecordBatch] = []
+
+    def starts(table: pa.Table) -> np.ndarray:
+        new = np.zeros(len(table), bool)
+        new[:1] = True
+        for k in keys:
+            values = table.column(k).to_numpy()
+            new[1:] |= values[1:] != values[:-1]
+        return np.flatnonzero(new)
+
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        held.append(batch)
+        table = pa.Table.from_batches(held)
+        at = starts(table)
+        if len(at) > 1:
+            yield table.slice(0, int(at[-1])), at[:-1]
+            held = table.slice(int(at[-1])).to_batches()
+    if held:
+        table = pa.Table.from_batches(held)
+        yield table, starts(table)
+
+
 def verified(sets: list[np.ndarray], left: np.ndarray, right: np.ndarray, pairs: np.ndarray, similarity: float) -> Iterator[tuple[int, np.ndarray]]:
     """(row, rows that it is similar to) on the full gram sets, row by row of `left`."""
     codes = np.unique(np.concatenate(sets), return_inverse=True)[1].astype(np.int64)
@@ -205,12 +227,23 @@ def jaccard_join(docs: DataFrame, words: int = WORDS, similarity: float = SIMILA
     dealt = dealt.select("band", "bucket", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "d1", "d2", "n", "bands")
     at = ["band", "bucket", "i", "j"]
 
-    def needed(frame: pd.DataFrame) -> pd.DataFrame:
-        left, right, pairs = assigned(frame, similarity)
-        rows = np.union1d(left[pairs.any(axis=1)], right[pairs.any(axis=0)])
-        return frame.iloc[rows]
+    def groups(table, starts):
+        """(first row, end, signatures, what to compare) of each block pair."""
+        sig = table.column("bands").combine_chunks().flatten().to_numpy().reshape(len(table), bands)
+        size, block = table.column("n").to_numpy().astype(float), table.column("block").to_numpy()
+        band, i, j = (table.column(c).to_numpy() for c in ("band", "i", "j"))
+        for a, b in zip(starts.tolist(), [*starts[1:].tolist(), len(table)]):
+            yield a, b, assigned(sig[a:b], size[a:b], block[a:b], int(band[a]), int(i[a]), int(j[a]), similarity)
+
+    def needed(batches):
+        for table, starts in whole_groups(batches, at):
+            keep = np.zeros(len(table), bool)
+            for a, _, (left, right, pairs) in groups(table, starts):
+                keep[a + left[pairs.any(axis=1)]] = True
+                keep[a + right[pairs.any(axis=0)]] = True
+            yield from table.filter(pa.array(keep)).to_batches()
 
-    wanted = scratch.table(dealt.groupBy(*at).applyInPandas(needed, dealt.schema), "wanted")
+    wanted = scratch.table(dealt.repartition(*at).sortWithinPartitions(*at).mapInArrow(needed, dealt.schema), "wanted")
 
     # Each text that is compared somewhere is fetched once, by its first document.
     compared = wanted.select("d1", "d2").distinct().join(texts, ["d1", "d2"]).select("d1", "d2", "copies", F.col("rep.doc_id").alias("doc_id"), F.col("rep.key").alias("key"))
@@ -218,23 +251,35 @@ def jaccard_join(docs: DataFrame, words: int = WORDS, similarity: float = SIMILA
     same = F.col("held.doc_id").eqNullSafe(F.col("compared.doc_id")) & (F.col("held.key") == F.col("compared.key"))
     fetched = held.alias("held").join(compared.alias("compared"), same).select("compared.d1", "compared.d2", "compared.copies", "held.text")
 
-    def compare(frame: pd.DataFrame) -> pd.DataFrame:
-        frame = frame.drop_duplicates(["d1", "d2"]).sort_values(["d1", "d2"]).reset_index(drop=True)
-        left, right, pairs = assigned(frame, similarity)
-        copies = frame["copies"].to_numpy(np.int64)
-        links, forest, edges = np.zeros(len(frame), np.int64), Forest(len(frame)), []
-        for row, others in verified([ngram_set(t, words) for t in frame["text"]], left, right, pairs, similarity):
-            links[row] += copies[others].sum()
-            links[others] += copies[row]
-            edges += [(row, o) for o in others.tolist() if forest.join(row, o)]
-        rows = np.flatnonzero(links)
-        d1, d2 = frame["d1"].to_numpy(), frame["d2"].to_numpy()
-        a = np.array([x for x, _ in edges] + rows.tolist(), np.int64)
-        b = np.array([x for _, x in edges] + rows.tolist(), np.int64)
-        found = np.array([0] * len(edges) + links[rows].tolist(), np.int64)
-        return pd.DataFrame({"a1": d1[a], "a2": d2[a], "b1": d1[b], "b2": d2[b], "links": found})
-
-    blocks = wanted.join(fetched, ["d1", "d2"]).groupBy(*at).applyInPandas(compare, "a1 long, a2 long, b1 long, b2 long, links long")
+    def compare(batches):
+        known: dict[int, np.ndarray] = {}  # gram sets of this batch's texts; a text can be in several buckets
+        for table, starts in whole_groups(batches, at):
+            d1, d2 = table.column("d1").to_numpy(), table.column("d2").to_numpy()
+            new = np.zeros(len(table), bool)
+            new[starts] = True
+            once = new.copy()  # repeated rows of a table fetch a text again
+            once[1:] |= (d1[1:] != d1[:-1]) | (d2[1:] != d2[:-1])
+            table, d1, d2, new = table.filter(pa.array(once)), d1[once], d2[once], new[once]
+            copies, text = table.column("copies").to_numpy(), table.column("text")
+            out = []
+            for a, b, (left, right, pairs) in groups(table, np.flatnonzero(new)):
+                sets = []
+                for k in range(a, b):
+                    if (x := known.get(d1[k])) is None:
+                        x = known[d1[k]] = ngram_set(text[k].as_py(), words)
+                    sets.append(x)
+                links, forest, edges = np.zeros(b - a, np.int64), Forest(b - a), []
+                for row, others in verified(sets, left, right, pairs, similarity):
+                    links[row] += copies[a + others].sum()
+                    links[others] += copies[a + row]
+                    edges += [(a + row, a + o) for o in others.tolist() if forest.join(row, o)]
+                out += [(x, y, 0) for x, y in edges] + [(a + k, a + k, links[k]) for k in np.flatnonzero(links).tolist()]
+            known.clear()
+            x, y, n = np.array(out, np.int64).reshape(-1, 3).T
+            yield pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in (d1[x], d2[x], d1[y], d2[y], n)], ["a1", "a2", "b1", "b2", "links"])
+
+    together = wanted.join(fetched, ["d1", "d2"]).repartition(*at).sortWithinPartitions(*at, "d1", "d2")
+    blocks = together.mapInArrow(compare, "a1 long, a2 long, b1 long, b2 long, links long")
     found = scratch.table(blocks, "found")
     degree = found.where("links > 0").groupBy(F.col("a1").alias("d1"), F.col("a2").alias("d2")).agg(F.sum("links").alias("links"))
     edges = found.where("links = 0").select(F.struct(F.col("a1").alias("d1"), F.col("a2").alias("d2")).alias("a"), F.struct(F.col("b1").alias("d1"), F.col("b2").alias("d2")).alias("b"))
