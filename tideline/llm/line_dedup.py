@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from tideline.llm.common import Scratch, documents, text_rows
 from tideline.llm.components import connected_components
-from tideline.llm.jaccard_join import BASE, _powers, mixed
+from tideline.llm.jaccard_join import _powers, mixed
 
 WORDS = 5  # lines of fewer words are left alone
 LENGTH = np.uint64(0xD6E8FEB86659FD93)
