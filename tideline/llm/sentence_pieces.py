@@ -15,6 +15,7 @@ from tideline.llm.common import documents
 SPACE = "▁"
 BASE = np.uint64(0x100000001B3)
 BATCH_CELLS = 1 << 18
+BATCH_TEXTS = 1000  # the more words of a length advance together, the fewer steps
 LONG_WORD = 256
 CACHE_WORDS = 250_000
 NORMAL, UNKNOWN, BYTE = 1, 2, 6  # piece types of the model format
@@ -66,7 +67,8 @@ class Pieces:
             row, start = np.nonzero(keys[at] == rolling)
             found = at[row, start]
             same = (codes[row[:, None], start[:, None] + np.arange(n)] == spelled[found]).all(axis=1)  # a hash alone proves nothing
-            yield n, row[same], start[same], ids[found[same]], scores[found[same]]
+            if same.any():
+                yield n, row[same], start[same], ids[found[same]], scores[found[same]]
 
     def viterbi(self, codes: np.ndarray) -> list[np.ndarray]:
         """Best-scoring piece ids of words of one length, rows of code points; an unknown character is -1 - its code.
@@ -222,8 +224,8 @@ def encode(docs: DataFrame, model_path: str | None = None, id_col: str = "doc_id
     def run(batches):
         encoder = encoder_of(path)
         for batch in batches:
-            for k in range(0, batch.num_rows, 200):
-                part = batch.slice(k, 200)
+            for k in range(0, batch.num_rows, BATCH_TEXTS):
+                part = batch.slice(k, BATCH_TEXTS)
                 found = encoder.encode(part.column(2).to_pylist())
                 ids = np.frombuffer(b"".join(found), "<i4")
                 ends = np.cumsum([0, *(len(x) // 4 for x in found)])
