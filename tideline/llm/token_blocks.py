@@ -12,7 +12,6 @@ A block stores id - minimum. Its width is that of the PERCENTILE-th value; large
 
 from __future__ import annotations
 
-import re
 import struct
 import zlib
 from collections.abc import Iterator
@@ -32,7 +31,7 @@ END_ID = 2
 MAGIC = b"TLPFOR01"
 HEAD = struct.Struct("<IHBxHxx")
 TAIL = struct.Struct("<QQQQ8s")
-CACHE_WORDS = 250_000
+CACHE_WORDS = 400_000
 
 
 def pack_block(ids: np.ndarray) -> bytes:
@@ -44,18 +43,25 @@ def pack_block(ids: np.ndarray) -> bytes:
     over = np.flatnonzero(rest >> np.uint32(width)) if width < 32 else np.empty(0, np.int64)
     values = rest[over]
     rest[over] = 0
-    bits = np.unpackbits(rest.astype(">u4").view(np.uint8).reshape(-1, 4), axis=1)[:, 32 - width :]
-    return HEAD.pack(low, len(ids), width, len(over)) + np.packbits(bits).tobytes() + over.astype("<u2").tobytes() + values.astype("<u4").tobytes()
+    kind, bits = _kind(width)
+    packed = np.packbits(np.unpackbits(rest.astype(kind).view(np.uint8).reshape(len(rest), bits // 8), axis=1)[:, bits - width :])
+    return HEAD.pack(low, len(ids), width, len(over)) + packed.tobytes() + over.astype("<u2").tobytes() + values.astype("<u4").tobytes()
+
+
+def _kind(width: int) -> tuple[str, int]:
+    """The least big-endian type that holds so many bits, and its bits."""
+    return (">u1", 8) if width <= 8 else (">u2", 16) if width <= 16 else (">u4", 32)
 
 
 def unpack_block(data: memoryview | bytes) -> np.ndarray:
     low, n, width, n_over = HEAD.unpack_from(data)
     at = HEAD.size
     size = (n * width + 7) // 8
-    bits = np.zeros((n, 32), np.uint8)
+    kind, wide = _kind(width)
+    bits = np.zeros((n, wide), np.uint8)
     if width:
-        bits[:, 32 - width :] = np.unpackbits(np.frombuffer(data, np.uint8, size, at), count=n * width).reshape(n, width)
-    ids = np.packbits(bits, axis=1).view(">u4").ravel().astype(np.uint32)
+        bits[:, wide - width :] = np.unpackbits(np.frombuffer(data, np.uint8, size, at), count=n * width).reshape(n, width)
+    ids = np.packbits(bits, axis=1).view(kind).ravel().astype(np.uint32)
     at += size
     ids[np.frombuffer(data, "<u2", n_over, at)] = np.frombuffer(data, "<u4", n_over, at + 2 * n_over)
     return ids + np.uint32(low)
@@ -137,12 +143,12 @@ class BlockReader:
 class WordEncoder:
     """Byte-level BPE ids of whole texts; words that come again are looked up.
 
-    The pattern that splits a text for this tokenizer always cuts before a space that a non-space follows, so that a
-    text's ids are those of its pieces "word", " word", " word" ... put together. Texts with other spaces go to the
-    tokenizer as they are.
+    The pattern that splits a text for this tokenizer always cuts before a space that a non-space follows, around a
+    line end between two non-spaces, and between letters and a mark, so that a text's ids are those of such pieces put
+    together. Texts with other spaces go to the tokenizer as they are.
     """
 
-    ODD = re.compile(r" (?:\s|$)")
+    MARKS = ".,;:!?"
 
     def __init__(self, path: str):
         import os
@@ -152,31 +158,88 @@ class WordEncoder:
 
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True
-        self.young: dict[str, bytes] = {}
+        vocabulary = self.tokenizer.get_vocab()
+        self.led = np.zeros(max(vocabulary.values()) + 1, bool)
+        self.led[[k for token, k in vocabulary.items() if token.startswith("\u0120")]] = True  # tokens that begin with a space
+        self.marks = {c: self.whole(c) for c in "\n" + self.MARKS}
+        self.line_end = int(self.ids("\n")[0])
+        self.first: dict[str, bytes] = {}  # pieces that no space leads
+        self.young: dict[str, bytes] = {}  # words that a space leads
         self.old: dict[str, bytes] = {}
 
-    def whole(self, texts: list[str]) -> list[bytes]:
-        return [np.array(x.ids, "<u4").tobytes() for x in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
-
-    def encode(self, text: str) -> bytes:
-        if self.ODD.search(text):
-            return self.whole([text])[0]
-        first, *words = text.split(" ")
-        found = list(map(self.young.get, words))
-        if None in found:
-            young, old = self.young, self.old
-            missing = []
-            for w, ids in zip(words, found):
-                if ids is None and w not in young:
-                    if (ids := old.get(w)) is None:
-                        missing.append(w)
-                    young[w] = ids
-            for w, ids in zip(missing, self.whole([" " + w for w in missing])):
+    def ids(self, text: str) -> np.ndarray:
+        return np.array(self.tokenizer.encode_batch_fast([text], add_special_tokens=False)[0].ids, np.uint32)
+
+    def whole(self, text: str) -> bytes:
+        return self.ids(text).tobytes()
+
+    def spaced(self, words: list[str]) -> list[bytes]:
+        """Ids of each word after a space, by one call: only a word's first token begins with a space."""
+        ids = self.ids(" " + " ".join(words))
+        starts = np.flatnonzero(self.led[ids])
+        if len(starts) != len(words):
+            return [self.whole(" " + w) for w in words]
+        data, ends = ids.tobytes(), [*(4 * starts).tolist(), 4 * len(ids)]
+        return [data[a:b] for a, b in zip(ends, ends[1:])]
+
+    def unspaced(self, pieces: list[str]) -> list[bytes]:
+        """Ids of each piece with nothing before it, by one call: a line end between non-spaces is a token of its own."""
+        if any(not p or "\n" in p or p[0].isspace() or p[-1].isspace() for p in pieces):
+            return [self.whole(p) for p in pieces]
+        ids = self.ids("\n".join(pieces))
+        cuts = np.flatnonzero(ids == self.line_end)
+        if len(cuts) != len(pieces) - 1:
+            return [self.whole(p) for p in pieces]
+        data, ends = ids.tobytes(), [-4, *(4 * cuts).tolist(), 4 * len(ids)]
+        return [data[a + 4 : b] for a, b in zip(ends, ends[1:])]
+
+    def learn(self, words: set[str], heads: set[str]) -> None:
+        """Put words among the young ones, but for those that are empty or begin with white space; and heads."""
+        young, old, missing, split = self.young, self.old, [], []
+        for w in words:
+            if (ids := old.get(w)) is not None:
                 young[w] = ids
-            found = list(map(young.get, words))
-            if len(young) > CACHE_WORDS:
-                self.old, self.young = young, {}
-        return self.whole([first])[0] + b"".join(found)
+            elif not w or w[0].isspace():
+                continue
+            elif "\n" in w and all(p and not p[0].isspace() and not p[-1].isspace() for p in w.split("\n")):
+                split.append((w, *w.split("\n")))
+            elif w[-1] in self.MARKS and w[:-1].isalpha():
+                split.append((w, w[:-1]))
+            else:
+                missing.append(w)
+        heads = {h for x in split for h in x[2:] if h not in self.first} | heads
+        if heads:
+            heads = list(heads)
+            self.first.update(zip(heads, self.unspaced(heads)))
+        if split:
+            self.learn({x[1] for x in split if x[1] not in young}, set())
+        if missing:
+            young.update(zip(missing, self.spaced(missing)))
+        for w, head, *lines in split:
+            if lines:
+                young[w] = self.marks["\n"].join([young[head], *map(self.first.__getitem__, lines)])
+            else:
+                young[w] = young[head] + self.marks[w[-1]]
+
+    def encode(self, texts: list[str]) -> list[bytes]:
+        split = [t.split(" ") for t in texts]
+        get = self.young.get
+        found = [list(map(get, words)) for words in split]  # the first of each is no word after a space, and unused
+        new = {w for words, ids in zip(split, found) if None in ids for w, i in zip(words[1:], ids[1:]) if i is None}
+        heads = {words[0] for words in split if words[0] not in self.first}
+        if new or heads:
+            self.learn(new, heads)
+        out = []
+        for text, words, ids in zip(texts, split, found):
+            if None in ids:
+                ids = list(map(get, words))
+            ids[0] = self.first[words[0]]
+            out.append(self.whole(text) if None in ids else b"".join(ids))
+        if len(self.young) > CACHE_WORDS:
+            self.old, self.young = self.young, {}
+        if len(self.first) > CACHE_WORDS:
+            self.first = {}
+        return out
 
 
 def _tokenizer_path() -> str:
@@ -208,10 +271,10 @@ def write_tokens(docs: DataFrame, directory: str, tokenizer_path: str | None = N
         with fs.open_output_stream(f"{at}/{name}") as out:
             writer = BlockWriter(out)
             for batch in batches:
-                for k in range(0, batch.num_rows, 256):
-                    rows = batch.slice(k, 256)
-                    for doc_id, text in zip(rows.column(0).to_pylist(), rows.column(1).to_pylist()):
-                        writer.add(doc_id, encoder.encode(text) + end)
+                for k in range(0, batch.num_rows, 64):
+                    rows = batch.slice(k, 64)
+                    for doc_id, ids in zip(rows.column(0).to_pylist(), encoder.encode(rows.column(1).to_pylist())):
+                        writer.add(doc_id, ids + end)
             writer.close()
             size = out.tell()
         if writer.docs:
