@@ -22,20 +22,15 @@ def duck(small):
 def rows(frame):
     names = sorted(frame.columns)
     plain = lambda v: None if v is None or (isinstance(v, float) and math.isnan(v)) or str(v) == "NaT" else str(v)
-    return sorted(tuple(plain(v) for v in r) for r in frame[names].itertuples(index=False)), names
+    return names, sorted((tuple(plain(v) for v in r) for r in frame[names].itertuples(index=False)), key=str)
 
 
 @pytest.mark.parametrize("name", sorted(ORACLES))
 def test_query_matches_sql(spark, small, duck, name):
-    got, want = rows_sorted(QUERIES[name](spark, small).toPandas()), rows_sorted(duck.sql(ORACLES[name]).df())
+    got, want = rows(QUERIES[name](spark, small).toPandas()), rows(duck.sql(ORACLES[name]).df())
     assert got == want
 
 
-def rows_sorted(frame):
-    found, names = rows(frame)
-    return names, sorted(found, key=str)
-
-
 @pytest.mark.parametrize("name", sorted(set(QUERIES) - set(ORACLES) - {"gbt_predictions", "ridge_predictions"}))
 def test_other_queries_run(spark, small, name):
     assert QUERIES[name](spark, small).count() >= 0

@@ -44,9 +44,12 @@ def fold_table(matrix: DataFrame, most: int = 5) -> DataFrame:
 
 
 def baselines(matrix: DataFrame) -> DataFrame:
-    """No change, last released value, and mean of released values, from each origin's own eligible months."""
+    """No change, last released value, and mean of released values, from each origin's own eligible months.
+
+    Rates have six places; their sum is rounded to six, so that the mean does not depend on the order of addition.
+    """
     pairs = eligible_origins(matrix)
-    known = pairs.groupBy("month").agg(F.avg("y").alias("expanding_mean"), F.max_by("y", "train_month").alias("persistence"), F.count("*").alias("history"))
+    known = pairs.groupBy("month").agg((F.round(F.sum("y"), 6) / F.count("*")).alias("expanding_mean"), F.max_by("y", "train_month").alias("persistence"), F.count("*").alias("history"))
     return matrix.where("reason is null").join(known, "month").select("month", "actual_mom_pct", F.lit(0.0).alias("no_change"), "persistence", "expanding_mean", "history")
 
 

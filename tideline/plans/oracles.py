@@ -177,7 +177,7 @@ fk AS (SELECT *, least(5, greatest(2, n // 6)) AS k, n // (least(5, greatest(2,
 fe AS (SELECT *, CAST(unnest(range(1, CAST(k + 1 AS BIGINT))) AS INTEGER) AS fold FROM fk),
 fp AS (SELECT *, CASE WHEN r <= n - (k - fold) * size - size THEN 'train' WHEN r <= n - (k - fold) * size THEN 'test' END AS part FROM fe)
 SELECT fold, part, count(*) AS months, min(month) AS first, max(month) AS last FROM fp WHERE part IS NOT NULL GROUP BY 1, 2""".lstrip("\n")),
-    "baseline_forecasts": q(*MATRICES, "SELECT u.month, u.actual_mom_pct, CAST(0.0 AS DOUBLE) AS no_change, round(max_by(y, train_month), 9) + 0.0 AS persistence, round(avg(y), 9) + 0.0 AS expanding_mean, count(*) AS history FROM used u JOIN origins o USING (month) GROUP BY 1, 2"),
+    "baseline_forecasts": q(*MATRICES, "SELECT u.month, u.actual_mom_pct, CAST(0.0 AS DOUBLE) AS no_change, max_by(y, train_month) AS persistence, round(sum(y), 6) / count(*) AS expanding_mean, count(*) AS history FROM used u JOIN origins o USING (month) GROUP BY 1, 2"),
     "masked_panel": q(*TIMED, "SELECT product_name, month, masked, CASE WHEN NOT masked THEN round(value, 6) + 0.0 END AS value FROM (SELECT *, CAST('0x' || substr(sha256(product_name || '|' || month), 1, 6) AS BIGINT) % 10 = 0 AS masked FROM timing WHERE variant = 'twentieth')"),
     "error_summary": q(*SCORED, grouped_metrics("model_key, vintage")),
     "metric_bundle": q(*SCORED, grouped_metrics("model_key", ", round(median(abs(error)), 9) + 0.0 AS median_ae, round(max(abs(error)), 9) + 0.0 AS max_ae")),
