@@ -63,3 +63,53 @@ def test_keys():
     key = int.from_bytes(bytes([3]) + b" th", "big")
     assert depth_of(key) == 3 and parent_of(key) == int.from_bytes(bytes([2]) + b"th", "big") and parent_of(parent_of(parent_of(key))) == 0
     assert BOUNDARY != END
+
+
+def test_running_text_decides(spark):
+    """Contexts cross words, count occurrences and have an absolute least count: the same words in another order score less."""
+    import random
+
+    deal = random.Random(3)
+    vocabulary = [f"word{k}" for k in range(300)]
+    passage = [deal.choice(vocabulary) for _ in range(60)]
+    filler = [(k, " ".join(deal.choice(vocabulary) for _ in range(200))) for k in range(100, 200)]
+    ids = [k for k in range(100) if zlib.crc32(str(k).encode()) % 7 != 2][:2]
+    asked = [k for k in range(100) if zlib.crc32(str(k).encode()) % 7 == 2][:2]
+    rows = [(k, " ".join(passage)) for k in ids] + [(asked[0], " ".join(passage)), (asked[1], " ".join(sorted(passage)))] + filler
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {r.doc_id: r.score for r in lm_scores(df).collect()}
+    assert got[asked[0]] > got[asked[1]] + 60  # of 61 tokens, each about a tenth as likely in another order
+
+
+def test_word_contexts_match_brute_force(spark):
+    from tideline.llm.common import Scratch
+    from tideline.llm.suffix_tree_lm import CONTEXT, END_HASH, LEAST, chunks_of, word_hashes, word_tree
+
+    texts = ["a b c a b c a b d", "a b c", "c b a a", "", "a b c d e f"] * 3
+    df = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    seen = Counter()
+    for k, t in enumerate(texts):
+        if zlib.crc32(str(k).encode()) % 7 != 2:
+            s = ["<", *t.split(), ">"]
+            for at in range(1, len(s)):
+                for d in range(1, min(at, CONTEXT) + 1):
+                    seen[tuple(s[at - d : at]), s[at]] += 1
+    follow = {}
+    for (c, s), n in seen.items():
+        follow.setdefault(c, {})[s] = n
+    follow = {c: f for c, f in follow.items() if sum(f.values()) >= LEAST}
+    even, total = 0.1, 40
+    p = lambda c, s: even if not c else (follow[c].get(s, 0) + len(follow[c]) * p(c[1:], s)) / (sum(follow[c].values()) + len(follow[c]))
+    kept = set()
+    for c, f in follow.items():
+        if sum(n * math.log(n / sum(f.values()) / p(c[1:], s)) for s, n in f.items()) > 0.5 * len(f) * math.log(total):
+            kept |= {c[k:] for k in range(len(c))}
+    assert {len(c) for c in kept} == {1, 2}
+    scratch = Scratch(spark, "test-tree")
+    symbols = [*word_hashes([w.encode() for w in "abcdef"]).view(np.int64).tolist(), int(END_HASH.view(np.int64))]
+    base = spark.createDataFrame([(s, even) for s in symbols], "symbol long, p double")
+    aways, pairs = word_tree(scratch, scratch.table(chunks_of(df), "chunks"), base, total)
+    assert np.allclose(sorted(r.away for r in aways.collect()), sorted(len(follow[c]) / (sum(follow[c].values()) + len(follow[c])) for c in kept))
+    name = dict(zip(symbols, "abcdef>"))
+    have = sorted((name[r.symbol], round(r.p, 9)) for r in pairs.collect())
+    assert have == sorted((s, round(p(c, s), 9)) for c in kept for s in follow[c])

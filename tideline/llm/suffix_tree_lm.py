@@ -1,12 +1,13 @@
-"""Language-model scores from a probabilistic suffix tree over the symbols of words.
-
-Symbols are the bytes of the text's words, the boundary after a word, and the end of the text. A context is a suffix
-of what the current word has so far, the boundary before it included, of at most DEPTH symbols; contexts do not reach
-into the word before. The tree learns from distinct words and spells the words that counts say little about: a word's
-probability is its discounted share of all training tokens, plus the discounted mass times the tree's. So each
-distinct word of the corpus is spelled once. As a text goes on, its own words so far count like OWN tokens of that
-model: a word with probability p that came k times among t words has (OWN * p + k) / (OWN + t). The product over a text
-does not depend on its order, so a text's word counts are enough.
+"""Language-model scores from a probabilistic suffix tree over the running text's words, with a tree of bytes for new words.
+
+A context is what stands before a word in its text, of at most CONTEXT words or back to the text's start. Each (context,
+next word) of the training texts is counted as often as it occurs. A context that occurs LEAST times or more is kept if
+what follows it diverges from what follows its parent (the context without its oldest word), and with it its parents.
+A word's probability comes from its longest kept context: (n + d * parent's probability) / (all + d), with d distinct
+words seen there. At the root it is the word's discounted share of all training tokens, plus the discounted mass times
+what the tree of bytes gives: its symbols are the bytes of a word and the boundary after it, its contexts at most DEPTH
+symbols of the word so far, and it learns from distinct words. As a text goes on, its own words so far count like OWN
+tokens: a word with probability p that came k times among t words has (OWN * p + k) / (OWN + t).
 """
 
 from __future__ import annotations
@@ -21,21 +22,25 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tideline.llm.common import Scratch, documents, text_rows
+from tideline.llm.jaccard_join import mixed
 
 DEPTH = 6
 LEAST_SHARE = 2e-5  # a context holds at least this share of all training symbols: at most 1/LEAST_SHARE contexts a depth
 PRIOR = 4.0  # weight, in symbols, of the parent's distribution in a context's own
 CHUNK_BYTES = 8_000_000
 OWN = 1000.0
+PIECE = 300_000  # words whose contexts are found at once
+CONTEXT = 2  # words in a context
+LEAST = 2  # a context of words occurs so often at least, in a corpus of any size
 BOUNDARY, END = 32, 10  # white space never lies inside a word
 SIZE = 258.0  # symbols in all
+MULTIPLIER = np.uint64(0xD6E8FEB86659FD93)
 
 
 def chunks_of(docs: DataFrame) -> DataFrame:
     """Chunks of documents with their own word numbers, each of about CHUNK_BYTES of text or one longer document.
 
-    chunk; words and train (how often in training documents); docs, held, tokens (words) and sizes (distinct words) a
-    document; terms and times: word numbers and counts, u32 each, of one document after another.
+    chunk; words and train (how often in training documents); docs, held and tokens (words) a document; seq: word numbers, u32 each, of one document after another.
     """
 
     def pack(batches):
@@ -48,8 +53,7 @@ def chunks_of(docs: DataFrame) -> DataFrame:
                 for doc_id, out, text in zip(*(part.column(c).to_pylist() for c in range(3))):
                     data = text.encode("utf-8", "surrogatepass").lower()
                     words = data.split()
-                    terms, times = np.unique(np.fromiter(map(numbers.__getitem__, words), np.uint32, len(words)), return_counts=True)
-                    held.append((doc_id, out, len(words), terms, times.astype(np.uint32)))
+                    held.append((doc_id, out, np.fromiter(map(numbers.__getitem__, words), np.uint32, len(words))))
                     size += len(data)
                     if size >= CHUNK_BYTES:
                         yield row(at, numbers, held)
@@ -66,17 +70,129 @@ def chunks_of(docs: DataFrame) -> DataFrame:
 
     def row(at, numbers, held):
         train = np.zeros(len(numbers), np.int64)
-        for _, out, _, terms, times in held:
+        for _, out, seq in held:
             if not out:
-                train[terms] += times
-        terms, times = (np.concatenate([h[k] for h in held]).tobytes() for k in (3, 4))
-        values = [at], [list(numbers)], [train], [[h[0] for h in held]], [[h[1] for h in held]], [[h[2] for h in held]], [[len(h[3]) for h in held]], [terms], [times]
-        kinds = pa.int64(), pa.list_(pa.binary()), pa.list_(pa.int64()), pa.list_(pa.int64()), pa.list_(pa.bool_()), pa.list_(pa.int64()), pa.list_(pa.int64()), pa.binary(), pa.binary()
-        return pa.RecordBatch.from_arrays([pa.array(v, k) for v, k in zip(values, kinds)], ["chunk", "words", "train", "docs", "held", "tokens", "sizes", "terms", "times"])
+                train += np.bincount(seq, minlength=len(numbers))
+        values = [at], [list(numbers)], [train], [[h[0] for h in held]], [[h[1] for h in held]], [[len(h[2]) for h in held]], [np.concatenate([h[2] for h in held]).tobytes()]
+        kinds = pa.int64(), pa.list_(pa.binary()), pa.list_(pa.int64()), pa.list_(pa.int64()), pa.list_(pa.bool_()), pa.list_(pa.int64()), pa.binary()
+        return pa.RecordBatch.from_arrays([pa.array(v, k) for v, k in zip(values, kinds)], ["chunk", "words", "train", "docs", "held", "tokens", "seq"])
 
     held_out = F.pmod(F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary")), F.lit(7)) == 2
     rows = text_rows(docs).select("doc_id", held_out.alias("held"), "text")
-    return rows.mapInArrow(pack, "chunk long, words array<binary>, train array<long>, docs array<long>, held array<boolean>, tokens array<long>, sizes array<long>, terms binary, times binary")
+    return rows.mapInArrow(pack, "chunk long, words array<binary>, train array<long>, docs array<long>, held array<boolean>, tokens array<long>, seq binary")
+
+
+def word_hashes(words: list[bytes]) -> np.ndarray:
+    found = np.empty(len(words), object)
+    found[:] = words
+    return pd.util.hash_array(found, categorize=False) if len(found) else np.empty(0, np.uint64)
+
+
+START_HASH, END_HASH = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)  # of what stands before and after a text's words
+
+
+def runs_of(n_words: int, tokens: np.ndarray, seq: np.ndarray):
+    """(symbols, predicted, grams): the texts' words between a start and an end, the places of what is predicted, and of
+    each depth (places with so long a context, number of each one's context, number of each one's context and symbol)."""
+    lengths = tokens + 2
+    first = np.cumsum(lengths) - lengths
+    symbols = np.full(int(lengths.sum()), -1, np.int64)
+    symbols[first], symbols[first + lengths - 1] = n_words, n_words + 1
+    symbols[symbols < 0] = seq
+    inside = np.arange(len(symbols)) - np.repeat(first, lengths)
+    context, grams = symbols, []
+    for depth in range(1, CONTEXT + 1):
+        place = np.flatnonzero(inside >= depth)
+        before = context[place - 1]
+        number = np.unique(before * (n_words + 2) + symbols[place], return_inverse=True)[1]
+        grams.append((place, before, number))
+        context = np.zeros(len(symbols), np.int64)
+        context[place] = number
+    return symbols, np.flatnonzero(inside > 0), grams
+
+
+def pieces(tokens: np.ndarray):
+    """(number of the piece above bit 40, its documents, its words): runs of a chunk's documents of about PIECE words."""
+    ends = np.cumsum(tokens)
+    lo = 0
+    while lo < len(tokens):
+        done = int(ends[lo - 1]) if lo else 0
+        hi = max(lo + 1, int(np.searchsorted(ends, done + PIECE)))
+        yield lo << 40, slice(lo, hi), slice(done, int(ends[hi - 1]))
+        lo = hi
+
+
+def gram_rows(chunks: DataFrame, asked: bool) -> DataFrame:
+    """Each piece's distinct contexts with what follows: as counts (depth, context, parent, symbol, n in training documents),
+    or asked (chunk, kind, slot, context, symbol): kind -d for contexts of d words, d for contexts with their symbols."""
+
+    def take(batches):
+        for batch in batches:
+            for k in range(batch.num_rows):
+                chunk, held, tokens = (batch.column(c)[k].as_py() for c in (0, 2, 3))
+                hashes = np.concatenate([word_hashes(batch.column(1)[k].as_py()), [START_HASH, END_HASH]])
+                tokens, held = np.array(tokens, np.int64), np.array(held, bool)
+                seq = np.frombuffer(batch.column(4)[k].as_buffer(), np.uint32)
+                for number, some, part in pieces(tokens):
+                    yield from rows(chunk, number, hashes, held[some], tokens[some], seq[part])
+
+    def rows(chunk, piece, hashes, held, tokens, seq):
+        symbols, _, grams = runs_of(len(hashes) - 2, tokens, seq)
+        train = np.repeat(~held, tokens + 2)
+        context = np.zeros(len(symbols), np.uint64)
+        for depth, (place, before, number) in enumerate(grams, 1):
+            parent = context
+            context = np.zeros(len(symbols), np.uint64)
+            context[place] = mixed(parent[place] * MULTIPLIER + hashes[symbols[place - depth]] + np.uint64(depth))
+            one = np.zeros(int(number.max(initial=-1)) + 1, np.int64)
+            one[number] = place
+            next_symbol = hashes[symbols[one]].view(np.int64)
+            if asked:
+                inner = np.zeros(int(before.max(initial=-1)) + 1, np.int64)
+                inner[before] = place
+                slots = np.flatnonzero(inner)
+                yield from cut([chunk, -depth, slots + piece, context[inner[slots]].view(np.int64), np.zeros(len(slots), np.int64)], ["chunk", "kind", "slot", "context", "symbol"])
+                yield from cut([chunk, depth, np.arange(len(one)) + piece, context[one].view(np.int64), next_symbol], ["chunk", "kind", "slot", "context", "symbol"])
+            else:
+                n = np.bincount(number, train[place], len(one)).astype(np.int64)
+                one, n, next_symbol = one[n > 0], n[n > 0], next_symbol[n > 0]
+                yield from cut([depth, context[one].view(np.int64), parent[one].view(np.int64), next_symbol, n], ["depth", "context", "parent", "symbol", "n"])
+
+    def cut(columns, names):
+        most = max(len(c) for c in columns if isinstance(c, np.ndarray))
+        columns = [c if isinstance(c, np.ndarray) else np.full(most, c, np.int64) for c in columns]
+        for k in range(0, most, 50_000):
+            yield pa.RecordBatch.from_arrays([pa.array(c[k : k + 50_000]) for c in columns], names)
+
+    kind = "chunk long, kind long, slot long, context long, symbol long" if asked else "depth long, context long, parent long, symbol long, n long"
+    return chunks.select("chunk", "words", "held", "tokens", "seq").mapInArrow(take, kind)
+
+
+def word_tree(scratch: Scratch, chunks: DataFrame, base: DataFrame, total: int, least: int = LEAST) -> tuple[DataFrame, DataFrame]:
+    """(context, away) of the kept contexts of words, and (context, symbol, p) of what they have seen. base: symbol, p."""
+    counts = gram_rows(chunks, False).groupBy("depth", "context", "symbol").agg(F.sum("n").alias("n"), F.first("parent").alias("parent"))
+    counts = scratch.table(counts, "gram-counts")
+    sums = counts.groupBy("depth", "context").agg(F.sum("n").alias("whole"), F.count("*").cast("double").alias("d"), F.first("parent").alias("parent")).where(F.col("whole") >= least)
+    sums = scratch.table(sums, "contexts")
+    up, levels, chosen = base, [], []
+    for depth in range(1, CONTEXT + 1):
+        seen = counts.where(F.col("depth") == depth).select("context", "symbol", "n", "parent").join(sums.where(F.col("depth") == depth).select("context", "whole", "d"), "context")
+        seen = seen.join(up.withColumnRenamed("p", "up"), "symbol" if depth == 1 else ["parent", "symbol"])
+        seen = scratch.table(seen.withColumn("p", (F.col("n") + F.col("d") * F.col("up")) / (F.col("whole") + F.col("d"))).select("context", "symbol", "n", "whole", "d", "up", "p"), f"level-{depth}")
+        # The divergence from the parent, in nats over all that the context has seen, against the cost of its numbers.
+        gain = F.sum(F.col("n") * F.log(F.col("n") / F.col("whole") / F.col("up")))
+        chosen.append(seen.groupBy("context").agg(gain.alias("gain"), F.first("d").alias("d")).where(F.col("gain") > 0.5 * F.col("d") * math.log(max(total, 2))).select("context"))
+        levels.append(seen.select("context", "symbol", "p"))
+        up = seen.select(F.col("context").alias("parent"), "symbol", "p")
+    kept = None
+    for depth in range(CONTEXT, 0, -1):
+        here = chosen[depth - 1] if kept is None else chosen[depth - 1].union(above.select(F.col("parent").alias("context"))).distinct()
+        above = scratch.table(sums.where(F.col("depth") == depth).join(here, "context", "left_semi"), f"kept-{depth}")
+        kept = above if kept is None else kept.union(above)
+    pairs = levels[0]
+    for level in levels[1:]:
+        pairs = pairs.union(level)
+    return kept.select("context", (F.col("d") / (F.col("whole") + F.col("d"))).alias("away")), pairs.join(kept.select("context"), "context", "left_semi")
 
 
 def positions(words: list[bytes], weights: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -280,32 +396,62 @@ def lm_scores(docs: DataFrame) -> DataFrame:
 
     def score_words(batches):
         for batch in batches:
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(blended(np.asarray(batch.column(1)), tree.log10(batch.column(0).to_pylist())), pa.float64())], ["word", "n", "log10"])
-
-    scored = scratch.table(words.mapInArrow(score_words, "word binary, n long, log10 double"), "scored")
-    answers = uses.select("chunk", "slot", "word").join(scored, "word").select("chunk", "slot", "n", "log10")
+            found = batch.column(0).to_pylist()
+            logs = blended(np.asarray(batch.column(1)), tree.log10(found))
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(logs, pa.float64()), pa.array(word_hashes(found).view(np.int64))], ["word", "n", "log10", "symbol"])
+
+    scored = scratch.table(words.mapInArrow(score_words, "word binary, n long, log10 double, symbol long"), "scored")
+    end = docs.sparkSession.createDataFrame([(int(END_HASH.view(np.int64)), float(10**end_log))], "symbol long, p double")
+    base = scored.where("n > 0").select("symbol", F.pow(F.lit(10.0), "log10").alias("p")).union(end)
+    kept, pairs = word_tree(scratch, chunks, base, n)
+    kept, pairs = scratch.table(kept, "kept"), scratch.table(pairs, "pairs")
+    asked = gram_rows(chunks, True)
+    answers = uses.select("chunk", "slot", "word").join(scored, "word").select("chunk", F.lit(0).cast("long").alias("kind"), "slot", "n", F.col("log10").alias("value"))
+    aways = asked.where("kind < 0").join(kept, "context").select("chunk", "kind", "slot", F.lit(0).cast("long"), F.log10("away"))
+    hits = asked.where("kind > 0").join(pairs, ["context", "symbol"]).select("chunk", "kind", "slot", F.lit(0).cast("long"), F.log10("p"))
+    answers = answers.union(aways).union(hits)
 
     def score(chunk: pd.DataFrame, answer: pd.DataFrame) -> pd.DataFrame:
         if chunk.empty:
             return pd.DataFrame({c: [] for c in columns})
         row = chunk.iloc[0]
-        count = np.zeros(len(answer), np.int64)
-        log = np.zeros(len(answer))
-        count[answer["slot"]], log[answer["slot"]] = answer["n"], answer["log10"]
-        terms, times = (np.frombuffer(row[c], np.uint32).astype(np.int64) for c in ("terms", "times"))
-        doc = np.repeat(np.arange(len(row["docs"])), row["sizes"])
-        sums = lambda x: np.bincount(doc, x, len(row["docs"]))
-        tokens = np.asarray(row["tokens"], np.int64) + 1
-        base = sums(times * np.log10(count[terms] + 1.0)) + math.log10(ends + 1) - tokens * floor
-        return pd.DataFrame({"doc_id": pd.array(row["docs"], "Int64"), "held_out": row["held"], "n_tokens": tokens, "n_known": sums(times * (count[terms] > 0)).astype(np.int64) + (ends > 0), "train_tokens": n, "base_score": base, "score": own_score(doc, terms, times, log, tokens)})
-
-    def own_score(doc, terms, times, log, tokens):
-        first = np.cumsum(times) - times
-        again = np.arange(times.sum()) - np.repeat(first, times)  # 0, 1, .. for the 1st, 2nd, .. time of a word in its text
-        step = np.log10(OWN * 10.0 ** np.repeat(log[terms], times) + again)
-        most = int(tokens.max(initial=1))
-        falls = np.concatenate([[0.0], np.cumsum(np.log10(OWN + np.arange(most)))])
-        return np.bincount(np.repeat(doc, times), step, len(tokens)) + math.log10(OWN) + end_log - falls[tokens]
+        kind, slot, times, value = (answer[c].to_numpy() for c in ("kind", "slot", "n", "value"))
+        size = int((kind == 0).sum())
+        count, log = np.zeros(size, np.int64), np.zeros(size)
+        count[slot[kind == 0]], log[slot[kind == 0]] = times[kind == 0], value[kind == 0]
+        seq, tokens = np.frombuffer(row["seq"], np.uint32).astype(np.int64), np.asarray(row["tokens"], np.int64)
+        order = np.argsort(slot >> 40, kind="stable")
+        kind, slot, value = kind[order], slot[order], value[order]
+        own, all_symbols, all_logs = slot >> 40, [], []
+        for piece, some, part in pieces(tokens):
+            mine = slice(*np.searchsorted(own, [piece >> 40, (piece >> 40) + 1]))
+            kinds, slots, values = kind[mine], slot[mine] - piece, value[mine]
+            symbols, predicted, grams = runs_of(size, tokens[some], seq[part])
+            logs = np.concatenate([log, [0.0, end_log]])[symbols]
+            for depth, (place, before, number) in enumerate(grams, 1):
+                away, seen = np.full(int(before.max(initial=-1)) + 1, np.nan), np.full(int(number.max(initial=-1)) + 1, np.nan)
+                here = kinds == -depth
+                away[slots[here]] = values[here]
+                here = kinds == depth
+                seen[slots[here]] = values[here]
+                here, away = seen[number], away[before]
+                logs[place] = np.where(np.isnan(away), logs[place], np.where(np.isnan(here), logs[place] + away, here))
+            all_symbols.append(symbols[predicted])
+            all_logs.append(logs[predicted])
+        doc = np.repeat(np.arange(len(tokens)), tokens)
+        sums = lambda x: np.bincount(doc, x, len(tokens))
+        base = sums(np.log10(count[seq] + 1.0)) + math.log10(ends + 1) - (tokens + 1) * floor
+        return pd.DataFrame({"doc_id": pd.array(row["docs"], "Int64"), "held_out": row["held"], "n_tokens": tokens + 1, "n_known": sums(count[seq] > 0).astype(np.int64) + (ends > 0), "train_tokens": n, "base_score": base, "score": own_score(size, tokens + 1, np.concatenate(all_symbols), np.concatenate(all_logs))})
+
+    def own_score(size, tokens, symbols, logs):
+        doc = np.repeat(np.arange(len(tokens)), tokens)
+        order = np.argsort(doc * (size + 2) + symbols, kind="stable")
+        key = (doc * (size + 2) + symbols)[order]
+        start = np.flatnonzero(np.diff(key, prepend=-1))
+        again = np.empty(len(key))
+        again[order] = np.arange(len(key)) - np.repeat(start, np.diff(start, append=len(key)))  # 0, 1, .. for the 1st, 2nd, .. time in its text
+        so_far = np.arange(len(doc)) - np.repeat(np.cumsum(tokens) - tokens, tokens)
+        return np.bincount(doc, np.log10(OWN * 10.0**logs + again) - np.log10(OWN + so_far), len(tokens))
 
     columns = ["doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"]
     held = docs.sparkSession.read.parquet(scratch.path("chunks")).drop("words", "train")
