@@ -64,3 +64,27 @@ def test_edits(spark):
     assert found(df) == brute(rows)
     cleaned = {r.doc_id: r.t for r in df.join(line_dedup(df), "doc_id").select("doc_id", without_lines(F.col("text"), F.col("dropped")).alias("t")).collect()}
     assert cleaned[1] == "Intro\n" and cleaned[0] == rows[0][1] and cleaned[101] == ""
+
+
+def test_equal_lines_of_any_length(spark, small, tmp_path):
+    """The query drops every equal line that is not blank, however short; one edit counts from five words on."""
+    from tideline.llm.line_dedup import op7_line_dedup
+
+    rows = [(1, "All rights reserved.\nles.\n\n \nshort line here\none two three four five\none two three four"), (2, "all  rights RESERVED.\n\nles.\nshort line there\none two three four"), (3, "les.\nles.\none two three four six\n第一行没有空格\n第一行没有空格"), (None, "les."), (4, None)]
+    spark.createDataFrame(rows, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    got = {r.doc_id: (r.n_lines, r.n_dropped, r.dropped) for r in op7_line_dedup(spark, str(tmp_path)).collect()}
+    assert got == {1: (7, 0, ""), 2: (5, 3, "0,2,4"), 3: (5, 4, "0,1,2,4"), None: (1, 1, "0"), 4: (0, 0, "")}
+
+
+def test_query_drops_every_equal_line(spark, small):
+    from tideline.llm.line_dedup import op7_line_dedup
+
+    docs = spark.read.parquet(f"{small}/documents.parquet").select("doc_id", "text").orderBy("doc_id").collect()
+    dropped = {r.doc_id: set(filter(None, r.dropped.split(","))) for r in op7_line_dedup(spark, small).collect()}
+    seen = set()
+    for r in docs:
+        for k, line in enumerate((r.text or "").lower().translate(ASCII).split("\n")):
+            words = tuple(x for x in line.split(" ") if x)
+            assert not words or str(k) in dropped[r.doc_id] or words not in seen
+            assert 0 == len(words) or len(words) >= 5 or (str(k) in dropped[r.doc_id]) == (words in seen)
+            seen.add(words)

@@ -11,7 +11,7 @@ from tideline.llm.common import Scratch, documents, text_rows
 from tideline.llm.components import connected_components
 from tideline.llm.jaccard_join import _powers, mixed
 
-WORDS = 5  # lines of fewer words are left alone
+WORDS = 5  # lines of fewer words are alike only if equal
 LENGTH = np.uint64(0xD6E8FEB86659FD93)
 _table: list[tuple[np.ndarray, np.ndarray]] = []
 
@@ -49,11 +49,12 @@ class Lines:
         value = (self.sums[first + n] - self.sums[first]) * self.down[first]
         return mixed(value + n.astype(np.uint64) * LENGTH + np.uint64(salt))
 
-    def halves(self) -> np.ndarray:
-        """Four hashes a line: two lines with at most one edit share their prefix or suffix of one of these lengths."""
+    def halves(self, words: int) -> np.ndarray:
+        """Four hashes a line of at least `words` words: two lines with at most one edit share their prefix or suffix of one of these lengths."""
         out = []
-        for p in ((self.n - 1) // 2, (self.n - 2) // 2):
-            out += [self.run(self.first, p, 1), self.run(self.first + self.n - p, p, 2)]
+        first, n = self.first[self.n >= words], self.n[self.n >= words]
+        for p in ((n - 1) // 2, (n - 2) // 2):
+            out += [self.run(first, p, 1), self.run(first + n - p, p, 2)]
         return np.column_stack(out)
 
     def variants(self, k: int) -> np.ndarray:
@@ -65,24 +66,25 @@ class Lines:
         return mixed(before + after + np.uint64(n - 1) * LENGTH)
 
 
-def line_table(docs: DataFrame, words: int) -> DataFrame:
-    """rid, doc_id, key (of the text), n_lines, and of each line with enough words its number, digests and half hashes."""
+def line_table(docs: DataFrame, words: int, equal: int) -> DataFrame:
+    """rid, doc_id, key (of the text), n_lines, and of each line of `equal` words its number, digests and, of `words`, half hashes."""
 
     def take(batches):
         for batch in batches:
             for k in range(0, batch.num_rows, 500):
                 part = batch.slice(k, 500)
-                total, size, number, d1, d2, half = [], [], [], [], [], []
+                total, size, number, d1, d2, half, halves = [], [], [], [], [], [], []
                 for text in part.column(3).to_pylist():
-                    lines = Lines(text, words)
+                    lines = Lines(text, equal)
                     total.append(lines.total)
                     size.append(len(lines.n))
                     number.append(lines.numbers)
                     d1.append(lines.run(lines.first, lines.n))
                     d2.append(mixed(d1[-1] ^ mixed(lines.run(lines.first, lines.n - 1) + lines.hashes[lines.first + lines.n - 1])) if len(lines.n) else d1[-1])
-                    half.append(lines.halves().reshape(-1, 4))
+                    half.append(lines.halves(words).ravel())
+                    halves.append(np.where(lines.n >= words, 4, 0))
                 ends = pa.array(np.cumsum([0, *size]), pa.int32())
-                half_list = pa.FixedSizeListArray.from_arrays(pa.array(np.concatenate(half).ravel().view(np.int64)), 4).cast(pa.list_(pa.int64()))
+                half_list = pa.ListArray.from_arrays(pa.array(np.cumsum([0, *np.concatenate(halves)]), pa.int32()), pa.array(np.concatenate(half).view(np.int64)))
                 parts = [pa.array(np.concatenate(number).astype(np.int32)), pa.array(np.concatenate(d1).view(np.int64)), pa.array(np.concatenate(d2).view(np.int64)), half_list]
                 items = pa.ListArray.from_arrays(ends, pa.StructArray.from_arrays(parts, ["line", "d1", "d2", "half"]))
                 yield pa.RecordBatch.from_arrays([*(part.column(c) for c in range(3)), pa.array(total, pa.int64()), items], ["rid", "doc_id", "key", "n_lines", "items"])
@@ -123,12 +125,12 @@ def one_edit(a: np.ndarray, b: np.ndarray) -> bool:
     return bool((a[at + (len(a) == len(b)) :] == b[at + 1 :]).all())
 
 
-def line_dedup(docs: DataFrame, words: int = WORDS) -> DataFrame:
+def line_dedup(docs: DataFrame, words: int = WORDS, equal: int | None = None) -> DataFrame:
     """One row per document: doc_id, n_lines, dropped (numbers of the lines that repeat an earlier one, ascending).
 
-    Lines end at \\n; words are lower-cased and lie between ASCII white space. Two lines of at least `words` words are
-    alike if equal or if one word was deleted, inserted or replaced; alike lines form groups, and of a group the line
-    of the least (doc_id, row, line number) stays. A null doc_id comes after all others, null and empty texts have no
+    Lines end at \\n; words are lower-cased and lie between ASCII white space. Two lines of at least `equal` words
+    (`words` if not given) are alike if equal, and two of at least `words` also if one word was deleted, inserted or
+    replaced; alike lines form groups, and of a group the line of the least (doc_id, row, line number) stays. A null doc_id comes after all others, null and empty texts have no
     lines, repeated rows repeat their lines.
 
     Equal lines count as one. A line can only be alike another if half of it, from either end, stands in that line,
@@ -138,7 +140,7 @@ def line_dedup(docs: DataFrame, words: int = WORDS) -> DataFrame:
     """
     spark = docs.sparkSession
     scratch = Scratch(spark, "line-dedup")
-    rows = scratch.table(line_table(docs, words), "lines")
+    rows = scratch.table(line_table(docs, words, words if equal is None else min(equal, words)), "lines")
     lines = rows.select("rid", "doc_id", "key", F.explode("items").alias("x")).select("rid", "doc_id", "key", "x.line", "x.d1", "x.d2", "x.half")
     keys = lines.select("key", "line", "d1", F.explode(F.array_distinct("half")).alias("h"))
     shared = keys.groupBy("h").agg(F.min("d1").alias("lo"), F.max("d1").alias("hi")).where("lo < hi").select("h")
@@ -162,7 +164,9 @@ def line_dedup(docs: DataFrame, words: int = WORDS) -> DataFrame:
     checked = scratch.table(edges.join(first, "a").join(second, "b").select("a", "b", "wa", "wb").mapInArrow(verify, "a long, b long"), "edges")
     roots = connected_components(checked)
 
-    held = lines.select("rid", "doc_id", "line", "d1", "d2").join(roots.withColumnRenamed("node", "d1"), "d1", "left")
+    columns = ["rid", "doc_id", "line", "d1", "d2"]
+    held = lines.where("size(half) > 0").select(*columns).join(roots.withColumnRenamed("node", "d1"), "d1", "left").select(*columns, "root")
+    held = held.union(lines.where("size(half) = 0").select(*columns, F.lit(None).cast("long")))
     held = held.withColumn("c1", F.coalesce("root", "d1")).withColumn("c2", F.when(F.col("root").isNull(), F.col("d2")).otherwise(F.lit(0)))
     held = scratch.table(held.select("rid", "doc_id", "line", "c1", "c2"), "held")
     place = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "rid", "line")
@@ -177,5 +181,5 @@ def without_lines(text, dropped):
 
 
 def op7_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = line_dedup(documents(spark, sf_dir))
+    found = line_dedup(documents(spark, sf_dir), equal=1)
     return found.select("doc_id", "n_lines", F.size("dropped").cast("long").alias("n_dropped"), F.array_join(F.transform("dropped", lambda k: k.cast("string")), ",").alias("dropped"))
