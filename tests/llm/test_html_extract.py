@@ -41,3 +41,18 @@ def test_testdata_pages_give_their_articles(spark, small):
         inner = re.search(r"<article>(.*?)</article>", html[r.page_id], re.S)[1]
         blocks = [" ".join(unescape(re.sub(r"<[^>]+>", "", b.replace("<br>", " "))).split()) for b in re.split(r"</?(?:p|h1)>", inner)]
         assert r.text == "\n\n".join(b for b in blocks if b)
+
+
+def test_layout_names_and_forms_around_the_article_are_no_junk():
+    text = "Long text of the story. " * 20
+    for box in ("content with-sidebar", "no-sidebar", "comments-open", "article-share-wrap", "related-story", "sidebar-grid"):
+        assert extract(f'<body><div class="{box}"><div class="inner"><p>{text}</p></div></div><div class="sidebar"><p>Aside</p></div></body>')[0] == text.strip()
+    assert extract(f'<body><form action="/x"><div class="inner"><p>{text}</p></div></form></body>')[0] == text.strip()
+    assert extract(f'<body><div class="inner"><p>{text}</p></div><form><p>Sign up</p></form><div class="sidebar-left"><p>Aside</p></div></body>')[0] == text.strip()
+    assert "Reply" not in extract(f'<body><div class="inner"><p>{text}</p></div><div class="comments"><p>{"Reply " * 200}</p></div></body>')[0]
+
+
+def test_the_winner_that_scores_best_on_the_page():
+    text = "Long text of the story. " * 20
+    html = f'<body><div class="teaser"><p>Read more</p></div><div class="story"><p>{text}</p></div></body>'
+    assert extract(html, [">body>div.teaser", ">body>div.story"]) == (text.strip(), ">body>div.story")

@@ -28,6 +28,10 @@ JUNK_TAG = frozenset("nav footer aside form head button select option label inpu
 JUNK_ROLE = frozenset("navigation banner complementary contentinfo search dialog alert menu menubar toolbar".split())
 JUNK_WORD = frozenset("ad ads advert adverts advertisement advertising sponsor sponsored promo promotion banner cookie cookies consent gdpr notice notification alert sidebar aside menu nav navbar navigation breadcrumb breadcrumbs footer masthead comment comments disqus reply replies respond discussion share sharing social related recommended recommendation newsletter subscribe subscription signup login popup modal overlay pagination pager widget toolbar skip copyright".split())
 GOOD_WORD = frozenset("article content entry post story text main body page".split())
+#: Parts that make a class name one of layout: before a junk word (with-sidebar), or after it (comments-open, related-story).
+LAYOUT_FIRST = frozenset("with without no has is".split())
+LAYOUT_LAST = frozenset("open opened closed wrap wrapper enabled disabled article entry main page post story".split())
+COMMENT_WORD = frozenset("comment comments disqus reply replies respond discussion".split())
 
 
 @dataclass
@@ -39,6 +43,8 @@ class Element:
     weight: float = 1.0
     clean: int = 0  # characters of text that is neither junk nor link, below it
     all: int = 0  # characters of any text below it
+    soft: bool = False  # junk by its name or as a form, unless it holds most of the page's text
+    hard: bool = False  # junk in any case
 
 
 @dataclass
@@ -51,6 +57,32 @@ def _words(value: str) -> list[str]:
     return [w for w in re.split(r"[^a-z0-9]+", value.lower()) if w]
 
 
+def _junk_words(values: dict[str, str]) -> set[str]:
+    """The junk words in class names and the id, without names of layout."""
+    found = set()
+    for name in (*values.get("class", "").split(), *values.get("id", "").split()):
+        words = _words(name)
+        if words and words[0] not in LAYOUT_FIRST and words[-1] not in LAYOUT_LAST:
+            found |= JUNK_WORD.intersection(words)
+    return found
+
+
+def settle(page: Page) -> None:
+    """Set what is junk: what an element is by itself or by the one around it; soft junk with most of the text is none."""
+    elements = page.elements
+    for e in elements[1:]:
+        e.hard = e.hard or elements[e.parent].hard
+    plain = [0] * len(elements)
+    if any(e.soft for e in elements):
+        for k, _, data, link in page.runs:
+            if not link and not elements[k].hard:
+                plain[k] += len(data.strip())
+        for k in range(len(elements) - 1, 0, -1):
+            plain[elements[k].parent] += plain[k]
+    for k, e in enumerate(elements[1:], 1):
+        e.junk = e.hard or elements[e.parent].junk or (e.soft and 2 * plain[k] <= plain[0])
+
+
 def parse(html: str) -> Page:
     """Elements with generalised tag-class paths, and text runs with the element and block that each is in."""
     page = Page()
@@ -110,14 +142,16 @@ def parse(html: str) -> Page:
         classes = sorted({re.sub(r"\d+", "#", c) for c in values.get("class", "").lower().split()})
         words = [*_words(values.get("class", "")), *_words(values.get("id", ""))]
         inside = any(n in ("article", "main") for n in names)
-        junk = parent.junk or tag in JUNK_TAG or (tag == "header" and not inside) or values.get("role", "").lower() in JUNK_ROLE or "hidden" in values or (tag not in ("html", "body", "article", "main") and any(w in JUNK_WORD for w in words)) or (tag == "article" and any(w in ("comment", "comments", "reply") for w in words))
+        bad = _junk_words(values) if tag not in ("html", "body", "article", "main") else ()
+        hard = (tag in JUNK_TAG and tag != "form") or (tag == "header" and not inside) or values.get("role", "").lower() in JUNK_ROLE or "hidden" in values or any(w in COMMENT_WORD for w in bad) or (tag == "article" and any(w in ("comment", "comments", "reply") for w in words))
         weight = 1.0 + 0.6 * (tag in ("article", "main")) + 0.3 * any(w in GOOD_WORD for w in words)
         path = parent.path if tag == "html" else parent.path + ">" + ".".join([tag, *classes])
-        elements.append(Element(tag, path, stack[-1], junk, weight))
+        elements.append(Element(tag, path, stack[-1], False, weight, soft=tag == "form" or bool(bad), hard=hard))
         stack.append(len(elements) - 1)
         names.append(tag)
         links += tag == "a"
     text(html[at:])
+    settle(page)
     return page
 
 
@@ -134,12 +168,12 @@ def measure(page: Page) -> None:
         up.clean += elements[k].clean
 
 
-def best_path(page: Page) -> tuple[str, float]:
-    """Path and score of the container that holds most clean text, and little else; ("", 0) if there is no text."""
+def best_path(page: Page, among: list[str] | None = None) -> tuple[str, float]:
+    """Path and score of the container (at a path of `among`) that holds most clean text, and little else; ("", 0) if there is no text."""
     measure(page)
     best, path = 0.0, ""
     for e in page.elements[1:]:
-        if e.tag in CONTAINER and not e.junk and e.clean:
+        if e.tag in CONTAINER and not e.junk and e.clean and (among is None or e.path in among):
             score = e.clean * e.weight * e.clean / e.all
             if score >= best:  # of equal ones the innermost
                 best, path = score, e.path
@@ -147,12 +181,12 @@ def best_path(page: Page) -> tuple[str, float]:
 
 
 def extract(html: str, paths: list[str] | None = None) -> tuple[str, str]:
-    """(text, path): the blocks of every container at the first of `paths` that this page has, or at its own best path."""
+    """(text, path): the blocks of every container at that of `paths` which scores best here (of equal ones the first), or
+    at the page's own best path if it has none of them."""
     page = parse(html)
     have = {e.path for e in page.elements if not e.junk}
-    path = next((p for p in paths or () if p in have), None)
-    if path is None:
-        path = best_path(page)[0]
+    found = [p for p in paths or () if p in have]
+    path = found[0] if len(found) == 1 else best_path(page, found or None)[0] or (found or [""])[0]
     inside = [False] * len(page.elements)
     for k, e in enumerate(page.elements):
         inside[k] = not e.junk and ((e.path == path) or (k > 0 and inside[e.parent]))
@@ -174,7 +208,8 @@ def host_of(url):
 def host_paths(pages: DataFrame, least_share: float = 0.1) -> DataFrame:
     """(host, paths): containers that at least `least_share` of a host's pages vote for, most votes first.
 
-    A page gives one vote, to its best container. Votes are counted with map-side combining, so a host with a third of
+    A page gives one vote, to its best container. A single vote wins only where none has more, so that no page outvotes
+    its host by itself. Votes are counted with map-side combining, so a host with a third of
     all pages leaves each task as a few rows. Pages without a host have no vote.
     """
 
@@ -186,6 +221,7 @@ def host_paths(pages: DataFrame, least_share: float = 0.1) -> DataFrame:
     rows = pages.select(host_of(F.col("url")).alias("host"), F.coalesce("html", F.lit("")).alias("html")).where("host <> ''")
     votes = rows.mapInArrow(vote, "host string, path string").where("path <> ''").groupBy("host", "path").agg(F.count("*").alias("n"))
     shares = votes.withColumn("share", F.col("n") / F.sum("n").over(Window.partitionBy("host"))).where(F.col("share") >= least_share)
+    shares = shares.withColumn("most", F.max("n").over(Window.partitionBy("host"))).where("n > 1 or n = most")
     return shares.groupBy("host").agg(F.transform(F.array_sort(F.collect_list(F.struct((-F.col("n")).alias("k"), "path"))), lambda x: x.path).alias("paths"))
 
 
