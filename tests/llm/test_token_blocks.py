@@ -1,20 +1,20 @@
-import pyarrow as pa
+import zlib
+
 import numpy as np
 import public_tokenizers
+import pyarrow as pa
 from hypothesis import given, settings
 from hypothesis import strategies as st
 from tokenizers import Tokenizer
 
 from tideline.llm.common import Scratch
-from tideline.llm.token_blocks import BLOCK, BlockReader, BlockWriter, WordEncoder, pack_block, read_tokens, token_digests, unpack_block, write_tokens
+from tideline.llm.token_blocks import BLOCK, BlockReader, BlockWriter, WordEncoder, op2_token_blocks, pack_block, read_tokens, token_digests, unpack_block, write_tokens
 
 TOKENIZER = public_tokenizers.path("byte_bpe_50k.json")
 
 
 def plain():
-    t = Tokenizer.from_file(TOKENIZER)
-    t.encode_special_tokens = True
-    return t
+    return Tokenizer.from_file(TOKENIZER)
 
 
 @settings(max_examples=200, deadline=None)
@@ -34,6 +34,12 @@ def test_words_put_together_are_the_text(text):
 plain_encoder = plain()
 
 
+def test_an_added_token_in_a_text_is_that_token():
+    encoder = WordEncoder(TOKENIZER)
+    for text in ("hello <|endoftext|> x", "<|endoftext|>", "a<|endoftext|>b c", "x\n<|endoftext|>\ny", "<|endoftext|", "again <|endoftext|"):
+        assert np.frombuffer(encoder.encode([text, "hello x"])[0], "<u4").tolist() == plain_encoder.encode(text, add_special_tokens=False).ids
+
+
 def test_ranges_of_a_file():
     out = pa.BufferOutputStream()
     writer, rng = BlockWriter(out), np.random.default_rng(1)
@@ -59,4 +65,15 @@ def test_files_hold_what_the_tokenizer_gives(spark, docs, odd, none):
         assert [r.doc_id or 0 for r in got] == [r[1] for r in rows]
         starts = np.cumsum([0, *(len(r.ids) for r in got)])
         assert [r.start for r in got] == starts[:-1].tolist()
-        assert token_digests(manifest).count() == len(rows)
+        digests = {(r.doc_id or 0, r.start, r.n_tokens, r.ids_crc32) for r in token_digests(manifest).collect()}
+        assert digests == {(r.doc_id or 0, r.start, len(r.ids), zlib.crc32(np.array(r.ids, "<u4").tobytes())) for r in got}
+
+
+def test_query_columns(spark, small, texts):
+    got = op2_token_blocks(spark, small).orderBy("doc_id").collect()
+    start = 0
+    for r in got:
+        ids = [*plain_encoder.encode(texts[r.doc_id], add_special_tokens=False).ids, 2]
+        assert (r.start, r.n_tokens, r.ids_crc32) == (start, len(ids), zlib.crc32(np.array(ids, "<u4").tobytes()))
+        start += len(ids)
+    assert [r.doc_id for r in got] == sorted(texts)

@@ -31,7 +31,7 @@ END_ID = 2
 MAGIC = b"TLPFOR01"
 HEAD = struct.Struct("<IHBxHxx")
 TAIL = struct.Struct("<QQQQ8s")
-CACHE_WORDS = 400_000
+CACHE_WORDS = 600_000
 
 
 def pack_block(ids: np.ndarray) -> bytes:
@@ -145,7 +145,7 @@ class WordEncoder:
 
     The pattern that splits a text for this tokenizer always cuts before a space that a non-space follows, around a
     line end between two non-spaces, and between letters and a mark, so that a text's ids are those of such pieces put
-    together. Texts with other spaces go to the tokenizer as they are.
+    together. Texts with other spaces, or with an added token's own text in them, go to the tokenizer as they are.
     """
 
     MARKS = ".,;:!?"
@@ -157,7 +157,7 @@ class WordEncoder:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.tokenizer.encode_special_tokens = True
+        self.added = [t.content for t in self.tokenizer.get_added_tokens_decoder().values() if t.content]
         vocabulary = self.tokenizer.get_vocab()
         self.led = np.zeros(max(vocabulary.values()) + 1, bool)
         self.led[[k for token, k in vocabulary.items() if token.startswith("\u0120")]] = True  # tokens that begin with a space
@@ -184,7 +184,7 @@ class WordEncoder:
 
     def unspaced(self, pieces: list[str]) -> list[bytes]:
         """Ids of each piece with nothing before it, by one call: a line end between non-spaces is a token of its own."""
-        if any(not p or "\n" in p or p[0].isspace() or p[-1].isspace() for p in pieces):
+        if any(not p or "\n" in p or p[0].isspace() or p[-1].isspace() or any(t in p for t in self.added) for p in pieces):
             return [self.whole(p) for p in pieces]
         ids = self.ids("\n".join(pieces))
         cuts = np.flatnonzero(ids == self.line_end)
@@ -225,16 +225,18 @@ class WordEncoder:
         split = [t.split(" ") for t in texts]
         get = self.young.get
         found = [list(map(get, words)) for words in split]  # the first of each is no word after a space, and unused
-        new = {w for words, ids in zip(split, found) if None in ids for w, i in zip(words[1:], ids[1:]) if i is None}
+        holes = [absent(ids) for ids in found]
+        new = {words[k] for words, at in zip(split, holes) for k in at}
         heads = {words[0] for words in split if words[0] not in self.first}
         if new or heads:
             self.learn(new, heads)
         out = []
-        for text, words, ids in zip(texts, split, found):
-            if None in ids:
-                ids = list(map(get, words))
+        for text, words, ids, at in zip(texts, split, found, holes):
+            for k in at:
+                ids[k] = get(words[k])
             ids[0] = self.first[words[0]]
-            out.append(self.whole(text) if None in ids else b"".join(ids))
+            plain = None not in ids if at else True
+            out.append(b"".join(ids) if plain and not any(t in text for t in self.added) else self.whole(text))
         if len(self.young) > CACHE_WORDS:
             self.old, self.young = self.young, {}
         if len(self.first) > CACHE_WORDS:
@@ -242,6 +244,17 @@ class WordEncoder:
         return out
 
 
+def absent(ids: list) -> list[int]:
+    """Where None stands, but for the first place."""
+    out, k = [], 0
+    try:
+        while True:
+            k = ids.index(None, k + 1)
+            out.append(k)
+    except ValueError:
+        return out
+
+
 def _tokenizer_path() -> str:
     import public_tokenizers
 
@@ -251,6 +264,13 @@ def _tokenizer_path() -> str:
 _encoders: dict[str, WordEncoder] = {}
 
 
+def encoder_of(path: str) -> WordEncoder:
+    """One encoder a Python worker, so that its words serve all tasks of that worker."""
+    if path not in _encoders:
+        _encoders[path] = WordEncoder(path)
+    return _encoders[path]
+
+
 def write_tokens(docs: DataFrame, directory: str, tokenizer_path: str | None = None, end_id: int = END_ID) -> DataFrame:
     """Write the ids of all texts to `directory`, in ascending doc_id order over and within files.
 
@@ -261,9 +281,7 @@ def write_tokens(docs: DataFrame, directory: str, tokenizer_path: str | None = N
     path = tokenizer_path or _tokenizer_path()
 
     def write(batches):
-        if path not in _encoders:
-            _encoders[path] = WordEncoder(path)
-        encoder, end = _encoders[path], np.array([end_id], "<u4").tobytes()
+        encoder, end = encoder_of(path), np.array([end_id], "<u4").tobytes()
         task = TaskContext.get()
         fs, at = pafs.FileSystem.from_uri(directory)
         fs.create_dir(at, recursive=True)
