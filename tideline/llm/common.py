@@ -8,11 +8,15 @@ import uuid
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+HEAVY = 1000
+
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or a local one where that is unset (tests)."""
+    """The folder that driver and executors share: spark.checkpoint.dir. Unset, a local session (tests) gets its own; a cluster must name one."""
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that driver and executors share")
         found = tempfile.mkdtemp(prefix="tideline-")
         spark.conf.set("spark.checkpoint.dir", found)
     return found.rstrip("/")
@@ -33,6 +37,14 @@ class Scratch:
         df.write.option("compression", "zstd").parquet(self.path(name))
         return self.spark.read.schema(df.schema).parquet(self.path(name))
 
+    def bucketed(self, df: DataFrame, name: str, by: str, buckets: int) -> DataFrame:
+        """Write df once, dealt by a column, and return a scan that later joins and groups by that column need not shuffle."""
+        entry = f"tl_{uuid.uuid4().hex}"
+        df.write.format("parquet").option("compression", "zstd").option("path", self.path(name)).bucketBy(buckets, by).saveAsTable(entry)
+        found = self.spark.table(entry)
+        self.spark.sql(f"DROP TABLE {entry}")  # the entry only: the files lie in the shared folder
+        return found
+
     def drop(self, *names: str) -> None:
         """Delete tables that nothing reads any more."""
         jvm = self.spark._jvm
@@ -41,6 +53,22 @@ class Scratch:
             where.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(where, True)
 
 
+def heavy_join(left: DataFrame, right: DataFrame, on: list[str], scratch: Scratch, how: str = "inner") -> DataFrame:
+    """left joined with right, which has one row a key, such that no key of left is one task's alone.
+
+    A key with more than 1/HEAVY of left's rows is heavy: there are fewer than HEAVY of them whatever the input, so their
+    rows of right are broadcast, and left's stay where they are. All other keys meet in a shuffle. left is read thrice.
+    """
+    counts = left.groupBy(*on).agg(F.count("*").alias("_tl_n"))  # combined map-side
+    least = left.count() // HEAVY
+    name = f"heavy-{uuid.uuid4().hex}"
+    heavy = scratch.table(counts.where(F.col("_tl_n") > least).select(*on), name)
+    there = scratch.table(right.join(F.broadcast(heavy), on, "left_semi"), f"{name}-right")
+    here = left.join(F.broadcast(heavy), on, "left_semi").join(F.broadcast(there), on, how)
+    rest = left.join(F.broadcast(heavy), on, "left_anti").join(right, on, how)
+    return here.unionByName(rest)
+
+
 def let(value: Column, body) -> Column:
     """body(value), with value evaluated once a row however often body uses it."""
     return F.transform(F.array(value), body)[0]

@@ -1,21 +1,27 @@
-"""Language-model scores from a probabilistic suffix tree over the running text's words, with a tree of bytes for new words.
-
-A context is what stands before a word in its text, of at most CONTEXT words or back to the text's start. Each (context,
-next word) of the training texts is counted as often as it occurs. A context that occurs LEAST times or more is kept if
-what follows it diverges from what follows its parent (the context without its oldest word), and with it its parents.
-A word's probability comes from its longest kept context: (n + d * parent's probability) / (all + d), with d distinct
-words seen there. At the root it is the word's discounted share of all training tokens, plus the discounted mass times
-what the tree of bytes gives: its symbols are the bytes of a word and the boundary after it, its contexts at most DEPTH
-symbols of the word so far, and it learns from distinct words. As a text goes on, its own words so far count like OWN
-tokens: a word with probability p that came k times among t words has (OWN * p + k) / (OWN + t).
+"""Language-model scores from a probabilistic suffix tree over the words of running text.
+
+A context is what stands before a word in its text: nothing, one word, or two (or back to the text's start). The counts
+are those of training texts. Three steps go over the corpus, which is dealt in chunks of documents:
+
+1. each chunk sends its distinct runs of one, two and three words, as sorted hashes with their counts, to the part that
+   a hash belongs to; parts add up and answer with the totals;
+2. each chunk sends, for its distinct contexts, by how much its training words there are better predicted with the
+   context than with its parent (the context without its oldest word), less the cost of the context's numbers; parts add
+   up, and a context is kept if the sum over the corpus is positive: the divergence test;
+3. each chunk scores its texts: a word's probability comes from its longest kept context.
+
+A context's distribution is its counts smoothed by its parent's: (n + w * parent's p) / (all + w). The root gives a word
+the share (n + 1) / (N + V + 1), all unseen words being one symbol, as the base score does; so the model is a
+distribution over the same symbols as the base.
 """
 
 from __future__ import annotations
 
 import math
+import struct
+import zlib
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
@@ -24,348 +30,188 @@ from pyspark.sql import functions as F
 from tideline.llm.common import Scratch, documents, text_rows
 from tideline.llm.jaccard_join import mixed
 
-DEPTH = 6
-LEAST_SHARE = 2e-5  # a context holds at least this share of all training symbols: at most 1/LEAST_SHARE contexts a depth
-PRIOR = 4.0  # weight, in symbols, of the parent's distribution in a context's own
+WEIGHTS = (200.0, 2.0)  # of the parent's distribution, in words, in contexts of one and of two words
+LEAST = 2  # a context occurs so often at least
+COST = 0.5  # of one number, in log(training words)
 CHUNK_BYTES = 8_000_000
-OWN = 1000.0
-PIECE = 300_000  # words whose contexts are found at once
-CONTEXT = 2  # words in a context
-LEAST = 2  # a context of words occurs so often at least, in a corpus of any size
-BOUNDARY, END = 32, 10  # white space never lies inside a word
-SIZE = 258.0  # symbols in all
+PART_KEYS = 2_000_000  # hashes that a part adds up, about
+KEY_BITS = 56
+START, END = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)  # hashes of what stands before and after a text
 MULTIPLIER = np.uint64(0xD6E8FEB86659FD93)
 
 
+def squeeze(x: np.ndarray) -> bytes:
+    """Unsigned numbers as compressed byte planes."""
+    wide = max(1, (int(x.max(initial=0)).bit_length() + 7) // 8)
+    planes = x.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :wide].T
+    return bytes([wide]) + zlib.compress(planes.tobytes(), 1)
+
+
+def unsqueeze(data: bytes) -> np.ndarray:
+    planes = np.frombuffer(zlib.decompress(data[1:]), np.uint8).reshape(data[0], -1)
+    out = np.zeros((planes.shape[1], 8), np.uint8)
+    out[:, : data[0]] = planes.T
+    return out.view("<u8").ravel()
+
+
+def pack(keys: np.ndarray, more: bytes) -> bytes:
+    """Ascending numbers by their differences, whose low halves are random and stay as they are; and other bytes."""
+    steps = np.diff(keys, prepend=np.uint64(0))
+    high = squeeze(steps >> np.uint64(32))
+    return struct.pack("<II", len(keys), len(high)) + steps.astype("<u4").tobytes() + high + more
+
+
+def unpack(data: bytes) -> tuple[np.ndarray, bytes]:
+    n, size = struct.unpack_from("<II", data)
+    at = 8 + 4 * n
+    steps = np.frombuffer(data, "<u4", n, 8).astype(np.uint64) | unsqueeze(data[at : at + size]) << np.uint64(32)
+    return np.cumsum(steps, dtype=np.uint64), data[at + size :]
+
+
 def chunks_of(docs: DataFrame) -> DataFrame:
-    """Chunks of documents with their own word numbers, each of about CHUNK_BYTES of text or one longer document.
+    """Chunks of documents, each of about CHUNK_BYTES of text or one longer document.
 
-    chunk; words and train (how often in training documents); docs, held and tokens (words) a document; seq: word numbers, u32 each, of one document after another.
+    chunk; hashes: of its distinct words; docs, held and tokens (words) a document; seq: word numbers of one document after another.
     """
 
-    def pack(batches):
+    def split(batches):
+        import xxhash
+
         at, size = TaskContext.get().partitionId() << 32, 0
-        numbers = fresh()
+        numbers: dict[bytes, int] = {}
         held: list = []
+
+        def row():
+            hashes = np.fromiter(map(xxhash.xxh3_64_intdigest, numbers), np.uint64, len(numbers))
+            values = [at], [hashes.tobytes()], [[h[0] for h in held]], [[h[1] for h in held]], [[len(h[2]) for h in held]], [squeeze(np.concatenate([h[2] for h in held]))]
+            kinds = pa.int64(), pa.binary(), pa.list_(pa.int64()), pa.list_(pa.bool_()), pa.list_(pa.int64()), pa.binary()
+            return pa.RecordBatch.from_arrays([pa.array(v, k) for v, k in zip(values, kinds)], ["chunk", "hashes", "docs", "held", "tokens", "seq"])
+
         for batch in batches:
             for k in range(0, batch.num_rows, 500):
                 part = batch.slice(k, 500)
                 for doc_id, out, text in zip(*(part.column(c).to_pylist() for c in range(3))):
-                    data = text.encode("utf-8", "surrogatepass").lower()
-                    words = data.split()
+                    words = text.encode("utf-8", "surrogatepass").lower().split()
+                    for w in words:
+                        if w not in numbers:
+                            numbers[w] = len(numbers)
                     held.append((doc_id, out, np.fromiter(map(numbers.__getitem__, words), np.uint32, len(words))))
-                    size += len(data)
+                    size += len(text)
                     if size >= CHUNK_BYTES:
-                        yield row(at, numbers, held)
-                        at, size, numbers, held = at + 1, 0, fresh(), []
+                        yield row()
+                        at, size, numbers, held = at + 1, 0, {}, []
         if held:
-            yield row(at, numbers, held)
-
-    def fresh():
-        from collections import defaultdict
-
-        numbers: defaultdict[bytes, int] = defaultdict()
-        numbers.default_factory = numbers.__len__
-        return numbers
-
-    def row(at, numbers, held):
-        train = np.zeros(len(numbers), np.int64)
-        for _, out, seq in held:
-            if not out:
-                train += np.bincount(seq, minlength=len(numbers))
-        values = [at], [list(numbers)], [train], [[h[0] for h in held]], [[h[1] for h in held]], [[len(h[2]) for h in held]], [np.concatenate([h[2] for h in held]).tobytes()]
-        kinds = pa.int64(), pa.list_(pa.binary()), pa.list_(pa.int64()), pa.list_(pa.int64()), pa.list_(pa.bool_()), pa.list_(pa.int64()), pa.binary()
-        return pa.RecordBatch.from_arrays([pa.array(v, k) for v, k in zip(values, kinds)], ["chunk", "words", "train", "docs", "held", "tokens", "seq"])
+            yield row()
 
     held_out = F.pmod(F.crc32(F.coalesce(F.col("doc_id").cast("string"), F.lit("")).cast("binary")), F.lit(7)) == 2
     rows = text_rows(docs).select("doc_id", held_out.alias("held"), "text")
-    return rows.mapInArrow(pack, "chunk long, words array<binary>, train array<long>, docs array<long>, held array<boolean>, tokens array<long>, seq binary")
-
-
-def word_hashes(words: list[bytes]) -> np.ndarray:
-    found = np.empty(len(words), object)
-    found[:] = words
-    return pd.util.hash_array(found, categorize=False) if len(found) else np.empty(0, np.uint64)
-
-
-START_HASH, END_HASH = np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)  # of what stands before and after a text's words
-
-
-def runs_of(n_words: int, tokens: np.ndarray, seq: np.ndarray):
-    """(symbols, predicted, grams): the texts' words between a start and an end, the places of what is predicted, and of
-    each depth (places with so long a context, number of each one's context, number of each one's context and symbol)."""
-    lengths = tokens + 2
-    first = np.cumsum(lengths) - lengths
-    symbols = np.full(int(lengths.sum()), -1, np.int64)
-    symbols[first], symbols[first + lengths - 1] = n_words, n_words + 1
-    symbols[symbols < 0] = seq
-    inside = np.arange(len(symbols)) - np.repeat(first, lengths)
-    context, grams = symbols, []
-    for depth in range(1, CONTEXT + 1):
-        place = np.flatnonzero(inside >= depth)
-        before = context[place - 1]
-        number = np.unique(before * (n_words + 2) + symbols[place], return_inverse=True)[1]
-        grams.append((place, before, number))
-        context = np.zeros(len(symbols), np.int64)
-        context[place] = number
-    return symbols, np.flatnonzero(inside > 0), grams
-
-
-def pieces(tokens: np.ndarray):
-    """(number of the piece above bit 40, its documents, its words): runs of a chunk's documents of about PIECE words."""
-    ends = np.cumsum(tokens)
-    lo = 0
-    while lo < len(tokens):
-        done = int(ends[lo - 1]) if lo else 0
-        hi = max(lo + 1, int(np.searchsorted(ends, done + PIECE)))
-        yield lo << 40, slice(lo, hi), slice(done, int(ends[hi - 1]))
-        lo = hi
-
-
-def gram_rows(chunks: DataFrame, asked: bool) -> DataFrame:
-    """Each piece's distinct contexts with what follows: as counts (depth, context, parent, symbol, n in training documents),
-    or asked (chunk, kind, slot, context, symbol): kind -d for contexts of d words, d for contexts with their symbols."""
-
-    def take(batches):
-        for batch in batches:
-            for k in range(batch.num_rows):
-                chunk, held, tokens = (batch.column(c)[k].as_py() for c in (0, 2, 3))
-                hashes = np.concatenate([word_hashes(batch.column(1)[k].as_py()), [START_HASH, END_HASH]])
-                tokens, held = np.array(tokens, np.int64), np.array(held, bool)
-                seq = np.frombuffer(batch.column(4)[k].as_buffer(), np.uint32)
-                for number, some, part in pieces(tokens):
-                    yield from rows(chunk, number, hashes, held[some], tokens[some], seq[part])
-
-    def rows(chunk, piece, hashes, held, tokens, seq):
-        symbols, _, grams = runs_of(len(hashes) - 2, tokens, seq)
-        train = np.repeat(~held, tokens + 2)
-        context = np.zeros(len(symbols), np.uint64)
-        for depth, (place, before, number) in enumerate(grams, 1):
-            parent = context
-            context = np.zeros(len(symbols), np.uint64)
-            context[place] = mixed(parent[place] * MULTIPLIER + hashes[symbols[place - depth]] + np.uint64(depth))
-            one = np.zeros(int(number.max(initial=-1)) + 1, np.int64)
-            one[number] = place
-            next_symbol = hashes[symbols[one]].view(np.int64)
-            if asked:
-                inner = np.zeros(int(before.max(initial=-1)) + 1, np.int64)
-                inner[before] = place
-                slots = np.flatnonzero(inner)
-                yield from cut([chunk, -depth, slots + piece, context[inner[slots]].view(np.int64), np.zeros(len(slots), np.int64)], ["chunk", "kind", "slot", "context", "symbol"])
-                yield from cut([chunk, depth, np.arange(len(one)) + piece, context[one].view(np.int64), next_symbol], ["chunk", "kind", "slot", "context", "symbol"])
-            else:
-                n = np.bincount(number, train[place], len(one)).astype(np.int64)
-                one, n, next_symbol = one[n > 0], n[n > 0], next_symbol[n > 0]
-                yield from cut([depth, context[one].view(np.int64), parent[one].view(np.int64), next_symbol, n], ["depth", "context", "parent", "symbol", "n"])
-
-    def cut(columns, names):
-        most = max(len(c) for c in columns if isinstance(c, np.ndarray))
-        columns = [c if isinstance(c, np.ndarray) else np.full(most, c, np.int64) for c in columns]
-        for k in range(0, most, 50_000):
-            yield pa.RecordBatch.from_arrays([pa.array(c[k : k + 50_000]) for c in columns], names)
-
-    kind = "chunk long, kind long, slot long, context long, symbol long" if asked else "depth long, context long, parent long, symbol long, n long"
-    return chunks.select("chunk", "words", "held", "tokens", "seq").mapInArrow(take, kind)
-
-
-def word_tree(scratch: Scratch, chunks: DataFrame, base: DataFrame, total: int, least: int = LEAST) -> tuple[DataFrame, DataFrame]:
-    """(context, away) of the kept contexts of words, and (context, symbol, p) of what they have seen. base: symbol, p."""
-    counts = gram_rows(chunks, False).groupBy("depth", "context", "symbol").agg(F.sum("n").alias("n"), F.first("parent").alias("parent"))
-    counts = scratch.table(counts, "gram-counts")
-    sums = counts.groupBy("depth", "context").agg(F.sum("n").alias("whole"), F.count("*").cast("double").alias("d"), F.first("parent").alias("parent")).where(F.col("whole") >= least)
-    sums = scratch.table(sums, "contexts")
-    up, levels, chosen = base, [], []
-    for depth in range(1, CONTEXT + 1):
-        seen = counts.where(F.col("depth") == depth).select("context", "symbol", "n", "parent").join(sums.where(F.col("depth") == depth).select("context", "whole", "d"), "context")
-        seen = seen.join(up.withColumnRenamed("p", "up"), "symbol" if depth == 1 else ["parent", "symbol"])
-        seen = scratch.table(seen.withColumn("p", (F.col("n") + F.col("d") * F.col("up")) / (F.col("whole") + F.col("d"))).select("context", "symbol", "n", "whole", "d", "up", "p"), f"level-{depth}")
-        # The divergence from the parent, in nats over all that the context has seen, against the cost of its numbers.
-        gain = F.sum(F.col("n") * F.log(F.col("n") / F.col("whole") / F.col("up")))
-        chosen.append(seen.groupBy("context").agg(gain.alias("gain"), F.first("d").alias("d")).where(F.col("gain") > 0.5 * F.col("d") * math.log(max(total, 2))).select("context"))
-        levels.append(seen.select("context", "symbol", "p"))
-        up = seen.select(F.col("context").alias("parent"), "symbol", "p")
-    kept = None
-    for depth in range(CONTEXT, 0, -1):
-        here = chosen[depth - 1] if kept is None else chosen[depth - 1].union(above.select(F.col("parent").alias("context"))).distinct()
-        above = scratch.table(sums.where(F.col("depth") == depth).join(here, "context", "left_semi"), f"kept-{depth}")
-        kept = above if kept is None else kept.union(above)
-    pairs = levels[0]
-    for level in levels[1:]:
-        pairs = pairs.union(level)
-    return kept.select("context", (F.col("d") / (F.col("whole") + F.col("d"))).alias("away")), pairs.join(kept.select("context"), "context", "left_semi")
-
-
-def positions(words: list[bytes], weights: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """(bytes, place, start of the word's boundary, weight): one entry for each predicted symbol of each word."""
-    data = np.frombuffer(b" " + b"".join(w + b" " for w in words), np.uint8)
-    lengths = np.fromiter(map(len, words), np.int64, len(words)) + 1
-    first = np.cumsum(lengths) - lengths  # of the boundary before each word
-    place = np.arange(1, len(data))
-    return data, place, np.repeat(first, lengths), np.repeat(weights, lengths)
-
-
-def context_keys(data: np.ndarray, place: np.ndarray, start: np.ndarray, depth: int) -> np.ndarray:
-    """The last `depth` symbols before each place in bits 8 and up, with the depth above them; -1 where the word has fewer."""
-    key = np.full(len(place), depth, np.int64)
-    for k in range(depth, 0, -1):
-        key = (key << 8) | data[np.maximum(place - k, 0)]
-    return np.where(place - depth >= start, key, -1)
-
-
-def _sums(keys: np.ndarray, weights: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    found, at = np.unique(keys, return_inverse=True)
-    return found, np.bincount(at, weights, len(found)).astype(np.int64)
-
-
-def _context_counts(words: DataFrame, wanted: np.ndarray | None, share: float, depth: int) -> DataFrame:
-    """(context, symbol, n): of the wanted contexts, or of all that hold the share of a task's own symbols (symbol -1)."""
-
-    def count(batches):
-        strings = [w for batch in batches for w in batch.column(0).to_pylist()]
-        if not strings:
-            return
-        weights = np.ones(len(strings), np.int64)
-        parts = [positions(strings[k : k + 200_000], weights[k : k + 200_000]) for k in range(0, len(strings), 200_000)]
-        total = sum(int(p[3].sum()) for p in parts)
-        for d in range(depth + 1):
-            sums = []
-            for data, place, start, weight in parts:
-                keys = context_keys(data, place, start, d)
-                here = keys >= 0
-                if wanted is not None:
-                    at = np.minimum(np.searchsorted(wanted, keys), len(wanted) - 1)
-                    here &= wanted[at] == keys
-                    keys = (keys << 8) | data[place]
-                sums.append(_sums(keys[here], weight[here]))
-            keys, n = _sums(np.concatenate([s[0] for s in sums]), np.concatenate([s[1] for s in sums]))
-            if wanted is None:
-                enough = n >= share * total
-                yield batch(keys[enough], np.full(enough.sum(), -1), n[enough])
-            else:
-                yield batch(keys >> 8, keys & 255, n)
-
-    def batch(keys, symbols, n):
-        return pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), pa.array(symbols, pa.int32()), pa.array(n, pa.int64())], ["context", "symbol", "n"])
-
-    return words.select("word").mapInArrow(count, "context long, symbol int, n long")
-
-
-class SuffixTree:
-    """Retained contexts, their parents (one symbol less), and smoothed next-symbol probabilities."""
-
-    def __init__(self, counts: pd.DataFrame, total: int, share: float = LEAST_SHARE, prior: float = PRIOR):
-        """counts: context, symbol, n, for each context with all its suffixes."""
-        by = {int(c): (g["symbol"].to_numpy(np.int64), g["n"].to_numpy(np.float64)) for c, g in counts.groupby("context")}
-        probability: dict[int, dict[int, float]] = {}
-        kept: dict[int, int] = {}
-
-        def distribution(context: int) -> dict[int, float]:
-            """The context's smoothed distribution over symbols that it has seen."""
-            if context not in probability:
-                symbols, n = by.get(context, (np.empty(0, np.int64), np.empty(0)))
-                whole = n.sum()
-                up = [self.back(parent_of(context), s, probability, by, prior) if context else 1 / SIZE for s in symbols.tolist()]
-                probability[context] = dict(zip(symbols.tolist(), ((n + prior * np.array(up)) / (whole + prior)).tolist()))
-            return probability[context]
-
-        distribution(0)
-        kept[0] = 0
-        for context in sorted((c for c in by if c), key=depth_of):
-            symbols, n = by[context]
-            if n.sum() < share * total or parent_of(context) not in probability:
-                continue
-            distribution(context)
-            # The divergence from the parent, in nats over all that the context has seen, against the cost of its numbers.
-            up = np.array([self.back(parent_of(context), s, probability, by, prior) for s in symbols.tolist()])
-            gain = float((n * np.log(n / n.sum() / up)).sum())
-            if gain > 0.5 * len(symbols) * math.log(max(total, 2)):
-                at = context
-                while at not in kept:
-                    kept[at] = 0
-                    at = parent_of(at)
-        self.contexts = np.array(sorted(kept), np.int64)
-        number = {int(c): k for k, c in enumerate(self.contexts)}
-        self.parents = np.array([number[parent_of(c)] if c else 0 for c in self.contexts.tolist()], np.int64)
-        self.away = np.array([math.log10(prior / (by[c][1].sum() + prior)) if c in by else 0.0 for c in self.contexts.tolist()])
-        pairs = [(number[c] << 8 | s, math.log10(p)) for c in number for s, p in probability[c].items()]
-        pairs.sort()
-        self.pairs = np.array([k for k, _ in pairs], np.int64)
-        self.logs = np.array([v for _, v in pairs], np.float64)
-
-    @staticmethod
-    def back(context: int, symbol: int, probability, by, prior) -> float:
-        """Probability of a symbol in a context, from its suffixes where it has not seen it."""
-        factor = 1.0
-        while True:
-            if symbol in probability.get(context, ()):
-                return factor * probability[context][symbol]
-            factor *= prior / (by[context][1].sum() + prior) if context in by else 1.0
-            if not context:
-                return factor / SIZE
-            context = parent_of(context)
-
-    def log10(self, words: list[bytes]) -> np.ndarray:
-        """log10 probability of each word with the boundary after it."""
-        if not words:
-            return np.empty(0)
-        data, place, start, _ = positions(words, np.ones(len(words), np.int64))
-        return np.bincount(np.repeat(np.arange(len(words)), np.fromiter(map(len, words), np.int64, len(words)) + 1), self._logs(data, place, start), len(words))
-
-    def log10_end(self) -> float:
-        """log10 probability of the end of the text, after a boundary."""
-        return float(self._logs(np.array([BOUNDARY, END], np.uint8), np.array([1]), np.array([0]))[0])
-
-    def _logs(self, data, place, start) -> np.ndarray:
-        state = np.zeros(len(place), np.int64)
-        live = np.arange(len(place))
-        for depth in range(1, DEPTH + 1):  # the longest suffix that is a state
-            keys = context_keys(data, place[live], start[live], depth)
-            at = np.minimum(np.searchsorted(self.contexts, keys), len(self.contexts) - 1)
-            hit = self.contexts[at] == keys
-            live = live[hit]
-            state[live] = at[hit]
-        out = np.zeros(len(place))
-        live, symbols = np.arange(len(place)), data[place].astype(np.int64)
-        while len(live):
-            keys = state[live] << 8 | symbols[live]
-            at = np.minimum(np.searchsorted(self.pairs, keys), max(0, len(self.pairs) - 1))
-            hit = self.pairs[at] == keys if len(self.pairs) else np.zeros(len(live), bool)
-            out[live[hit]] += self.logs[at[hit]]
-            live = live[~hit]
-            out[live] += self.away[state[live]]
-            root = state[live] == 0
-            out[live[root]] -= math.log10(SIZE)
-            live = live[~root]
-            state[live] = self.parents[state[live]]
-        return out
-
-
-def depth_of(context: int) -> int:
-    return 0 if not context else ((context.bit_length() - 1) // 8)
-
-
-def parent_of(context: int) -> int:
-    """The context without its oldest symbol."""
-    d = depth_of(context)
-    return 0 if d <= 1 else ((d - 1) << 8 * (d - 1)) | (context & ((1 << 8 * (d - 1)) - 1))
-
-
-def train(words: DataFrame, total: int, share: float = LEAST_SHARE, depth: int = DEPTH) -> SuffixTree:
-    """The tree of the words with n > 0, and of one end of text; total: all their symbols.
-
-    A context with the share of all symbols has it among those of some task, so the contexts that any task reports
-    hold every one that counts; they are then counted exactly over all words. What reaches the driver is bounded by
-    the share and the depth, not by the corpus.
-    """
-    seen = words.where("n > 0")
-    wanted = _context_counts(seen, None, share, depth).groupBy("context").agg(F.sum("n").alias("n")).select("context")
-    wanted = np.array(sorted({0, *wanted.toPandas()["context"].tolist()}), np.int64)
-    counts = _context_counts(seen, wanted, share, depth).groupBy("context", "symbol").agg(F.sum("n").alias("n"))
-    least = counts.groupBy("context").agg(F.sum("n").alias("all")).where(F.col("all") >= max(1, math.ceil(share * total))).select("context")
-    frame = counts.join(F.broadcast(least), "context").toPandas()
-    after = (1 << 8) | BOUNDARY
-    frame = pd.concat([frame, pd.DataFrame({"context": [0, after], "symbol": [END, END], "n": [1, 1]})])
-    return SuffixTree(frame.astype("int64"), total, share)
+    return rows.mapInArrow(split, "chunk long, hashes binary, docs array<long>, held array<boolean>, tokens array<long>, seq binary")
+
+
+class Chunk:
+    """A chunk's symbols (start, words, end of each document) and its distinct runs of one, two and three of them."""
+
+    def __init__(self, row: dict):
+        self.docs, self.held = row["docs"], np.array(row["held"], bool)
+        self.tokens = np.array(row["tokens"], np.int64)
+        words = np.frombuffer(row["hashes"], np.uint64)
+        lengths = self.tokens + 2
+        first = np.cumsum(lengths) - lengths
+        inner = np.ones(int(lengths.sum()), bool)
+        inner[first] = inner[first + lengths - 1] = False
+        symbols = np.empty(len(inner), np.uint64)
+        symbols[first], symbols[first + lengths - 1] = START, END
+        symbols[inner] = words[unsqueeze(row["seq"])]
+        self.train = np.repeat(~self.held, lengths)
+        inside = np.arange(len(symbols)) - np.repeat(first, lengths)
+        self.predicted = np.flatnonzero(inside > 0)
+        runs, grams, places = symbols, [], []
+        for words_before in range(3):
+            place = np.flatnonzero(inside >= words_before)
+            if words_before:
+                longer = np.zeros(len(symbols), np.uint64)
+                longer[place] = mixed(runs[place - 1] * MULTIPLIER + symbols[place])
+                runs = longer
+            grams.append((runs[place] >> np.uint64(64 - KEY_BITS)) & ~np.uint64(3) | np.uint64(words_before))
+            places.append(place)
+        self.keys, number = np.unique(np.concatenate(grams), return_inverse=True)
+        self.number = np.full((3, len(symbols)), -1, np.int64)  # of the run of so many words that ends at a place
+        at = 0
+        for k, place in enumerate(places):
+            self.number[k, place] = number[at : at + len(place)]
+            at += len(place)
+        self.places = places
+
+    def counts(self) -> np.ndarray:
+        """How often each run occurs in the chunk's training documents."""
+        return sum(np.bincount(self.number[k, place], self.train[place], len(self.keys)) for k, place in enumerate(self.places)).astype(np.uint64)
+
+    def predict(self, totals: np.ndarray, n: int, v: int) -> None:
+        """Probabilities from the root, one word and two words before each place, and the contexts there with their totals."""
+        seen = [np.where(own >= 0, totals[own], 0).astype(float) for own in self.number]
+        self.p = [(seen[0] + 1) / (n + v + 1)]
+        self.context = [np.full(len(self.train), -1, np.int64) for _ in range(2)]
+        self.gain = []
+        for k, weight in enumerate(WEIGHTS):
+            place = self.places[k + 1]
+            whole = np.zeros(len(self.train))
+            whole[place] = seen[k][place - 1]
+            self.context[k][place] = np.where(whole[place] >= LEAST, self.number[k, place - 1], -1)
+            own, up = seen[k + 1], self.p[k]
+            self.p.append((own + weight * up) / (whole + weight))
+            use = np.flatnonzero((self.context[k] >= 0) & self.train)
+            gain = np.zeros(len(self.train))
+            gain[use] = np.log(own[use] / whole[use] / up[use]) - COST * math.log(max(n, 2)) / own[use]
+            self.gain.append(gain)
+
+    def contexts(self) -> tuple[np.ndarray, np.ndarray]:
+        """(numbers of the runs that are contexts here, what each gains on the chunk's training words)."""
+        gain = sum(np.bincount(c[c >= 0], g[c >= 0], len(self.keys)) for c, g in zip(self.context, self.gain))
+        used = np.zeros(len(self.keys), bool)
+        for c in self.context:
+            used[c[c >= 0]] = True
+        return np.flatnonzero(used), gain[used]
+
+    def scores(self, kept: np.ndarray) -> np.ndarray:
+        """log10 of each place's probability from its longest kept context."""
+        p = self.p[0]
+        for k in range(2):
+            p = np.where((self.context[k] >= 0) & kept[self.context[k]], self.p[k + 1], p)
+        return np.log10(p)
+
+    def by_document(self, values: np.ndarray) -> np.ndarray:
+        return np.bincount(np.repeat(np.arange(len(self.tokens)), self.tokens + 1), values[self.predicted], len(self.tokens))
+
+
+def sent(chunk: int, keys: np.ndarray, parts: int, more) -> pa.Table:
+    """(part, chunk, data): the ascending keys cut by part; more(slice) gives the other bytes."""
+    part = (keys >> np.uint64(KEY_BITS - 32)) * np.uint64(parts) >> np.uint64(32)
+    numbers = np.unique(part)
+    ends = np.searchsorted(part, numbers, "right").tolist()
+    slices = [slice(a, b) for a, b in zip([0, *ends], ends)]
+    return pa.table({"part": pa.array(numbers.astype(np.int64)), "chunk": pa.array(np.full(len(numbers), chunk, np.int64)), "data": pa.array([pack(keys[s], more(s)) for s in slices], pa.binary())})
+
+
+SENT = "part long, chunk long, data binary"
+ANSWER = "kind int, chunk long, part long, known long, data binary"
+
+
+def answers(table: pa.Table, kind: int, values_of, answer_of) -> pa.Table:
+    """What one part adds up over chunks, and its answer to each of them."""
+    got = [unpack(x) for x in table.column("data").to_pylist()]
+    keys, number = np.unique(np.concatenate([k for k, _ in got]), return_inverse=True)
+    sums = np.bincount(number, np.concatenate([values_of(more) for _, more in got]), len(keys))
+    known = int(((keys & np.uint64(3) == 0) & (sums > 0)).sum())
+    ends = np.cumsum([len(k) for k, _ in got])
+    data = [answer_of(sums[x]) for x in np.split(number, ends[:-1])]
+    n = len(data)
+    return pa.table({"kind": pa.array([kind] * n, pa.int32()), "chunk": table.column("chunk"), "part": table.column("part"), "known": pa.array([known] * n, pa.int64()), "data": pa.array(data, pa.binary())})
+
+
+def answered(table: pa.Table, kind: int, of) -> np.ndarray:
+    """A chunk's answers of one kind, in the order of its keys."""
+    rows = sorted((r["part"], r["data"]) for r in table.to_pylist() if r["kind"] == kind)
+    return np.concatenate([of(x) for _, x in rows])
 
 
 def lm_scores(docs: DataFrame) -> DataFrame:
@@ -373,89 +219,62 @@ def lm_scores(docs: DataFrame) -> DataFrame:
 
     Tokens are words (A-Z lower-cased, between ASCII white space), then one end. Training documents are those whose
     crc32(doc_id as text) mod 7 is not 2; a null doc_id counts as empty text there. A null text is empty and has the
-    end alone. Repeated rows count and are scored each; without training documents every symbol is equally likely.
+    end alone. Repeated rows count and are scored each. Without training documents every probability is 1, as in the
+    base. An empty table gives an empty result. A text longer than a chunk is a chunk of its own and lies in one task.
 
-    Word counts are exact and cover all training documents. Each chunk of documents asks for each of its words once,
-    so what is shuffled is distinct words a chunk, not tokens; a frequent word is no heavier than the chunks it is in.
+    Counts cover all training texts. A chunk sends each distinct run of words once, so a frequent word or passage is
+    no heavier than the chunks it is in, and parts are equally large; runs are known by 56-bit hashes. Chunks lie
+    dealt by number, so only requests and answers are shuffled, never texts. Sums of gains are of 32-bit numbers.
     """
-    scratch = Scratch(docs.sparkSession, "suffix-tree-lm")
-    chunks = scratch.table(chunks_of(docs), "chunks")
-    uses = chunks.select("chunk", F.posexplode(F.arrays_zip("words", "train")).alias("slot", "x")).select("chunk", "slot", F.col("x.words").alias("word"), F.col("x.train").alias("n"))
-    words = scratch.table(uses.groupBy("word").agg(F.sum("n").alias("n")), "words")
-    ends = chunks.select(F.explode("held").alias("h")).where("not h").count()
-    known = words.where("n > 0").agg(F.count("*").alias("v"), F.coalesce(F.sum("n"), F.lit(0)).alias("n"), F.coalesce(F.sum(F.octet_length("word") + 1), F.lit(0)).alias("symbols"), F.count_if(F.col("n") == 1).alias("once"), F.count_if(F.col("n") == 2).alias("twice")).first()
-    n, v = known["n"] + ends, known["v"] + (ends > 0)
-    tree = train(words, known["symbols"] + 1)
-    discount = known["once"] / (known["once"] + 2 * known["twice"]) if known["once"] else 0.5
-    spelled = discount * v / n if n else 1.0
-
-    def blended(count, logs):
-        return np.log10(np.maximum(count - discount, 0) / max(n, 1) + spelled * 10.0 ** np.maximum(logs, -300))
-
-    end_log, floor = float(blended(ends, tree.log10_end())), math.log10(n + v + 1)
-
-    def score_words(batches):
+    spark = docs.sparkSession
+    scratch = Scratch(spark, "suffix-tree-lm")
+    dealt = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    chunks = scratch.bucketed(chunks_of(docs), "chunks", "chunk", dealt)
+    per_doc = chunks.select(F.explode(F.arrays_zip("held", "tokens")).alias("x")).select((F.col("x.tokens") + 1).alias("t"), F.col("x.held").alias("held"))
+    sizes = per_doc.agg(F.coalesce(F.sum("t"), F.lit(0)).alias("all"), F.coalesce(F.sum(F.when(~F.col("held"), F.col("t"))), F.lit(0)).alias("train")).first()
+    n, parts = sizes["train"], max(dealt, 3 * sizes["all"] // PART_KEYS)
+
+    def ask(batches):
         for batch in batches:
-            found = batch.column(0).to_pylist()
-            logs = blended(np.asarray(batch.column(1)), tree.log10(found))
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(logs, pa.float64()), pa.array(word_hashes(found).view(np.int64))], ["word", "n", "log10", "symbol"])
-
-    scored = scratch.table(words.mapInArrow(score_words, "word binary, n long, log10 double, symbol long"), "scored")
-    end = docs.sparkSession.createDataFrame([(int(END_HASH.view(np.int64)), float(10**end_log))], "symbol long, p double")
-    base = scored.where("n > 0").select("symbol", F.pow(F.lit(10.0), "log10").alias("p")).union(end)
-    kept, pairs = word_tree(scratch, chunks, base, n)
-    kept, pairs = scratch.table(kept, "kept"), scratch.table(pairs, "pairs")
-    asked = gram_rows(chunks, True)
-    answers = uses.select("chunk", "slot", "word").join(scored, "word").select("chunk", F.lit(0).cast("long").alias("kind"), "slot", "n", F.col("log10").alias("value"))
-    aways = asked.where("kind < 0").join(kept, "context").select("chunk", "kind", "slot", F.lit(0).cast("long"), F.log10("away"))
-    hits = asked.where("kind > 0").join(pairs, ["context", "symbol"]).select("chunk", "kind", "slot", F.lit(0).cast("long"), F.log10("p"))
-    answers = answers.union(aways).union(hits)
-
-    def score(chunk: pd.DataFrame, answer: pd.DataFrame) -> pd.DataFrame:
-        if chunk.empty:
-            return pd.DataFrame({c: [] for c in columns})
-        row = chunk.iloc[0]
-        kind, slot, times, value = (answer[c].to_numpy() for c in ("kind", "slot", "n", "value"))
-        size = int((kind == 0).sum())
-        count, log = np.zeros(size, np.int64), np.zeros(size)
-        count[slot[kind == 0]], log[slot[kind == 0]] = times[kind == 0], value[kind == 0]
-        seq, tokens = np.frombuffer(row["seq"], np.uint32).astype(np.int64), np.asarray(row["tokens"], np.int64)
-        order = np.argsort(slot >> 40, kind="stable")
-        kind, slot, value = kind[order], slot[order], value[order]
-        own, all_symbols, all_logs = slot >> 40, [], []
-        for piece, some, part in pieces(tokens):
-            mine = slice(*np.searchsorted(own, [piece >> 40, (piece >> 40) + 1]))
-            kinds, slots, values = kind[mine], slot[mine] - piece, value[mine]
-            symbols, predicted, grams = runs_of(size, tokens[some], seq[part])
-            logs = np.concatenate([log, [0.0, end_log]])[symbols]
-            for depth, (place, before, number) in enumerate(grams, 1):
-                away, seen = np.full(int(before.max(initial=-1)) + 1, np.nan), np.full(int(number.max(initial=-1)) + 1, np.nan)
-                here = kinds == -depth
-                away[slots[here]] = values[here]
-                here = kinds == depth
-                seen[slots[here]] = values[here]
-                here, away = seen[number], away[before]
-                logs[place] = np.where(np.isnan(away), logs[place], np.where(np.isnan(here), logs[place] + away, here))
-            all_symbols.append(symbols[predicted])
-            all_logs.append(logs[predicted])
-        doc = np.repeat(np.arange(len(tokens)), tokens)
-        sums = lambda x: np.bincount(doc, x, len(tokens))
-        base = sums(np.log10(count[seq] + 1.0)) + math.log10(ends + 1) - (tokens + 1) * floor
-        return pd.DataFrame({"doc_id": pd.array(row["docs"], "Int64"), "held_out": row["held"], "n_tokens": tokens + 1, "n_known": sums(count[seq] > 0).astype(np.int64) + (ends > 0), "train_tokens": n, "base_score": base, "score": own_score(size, tokens + 1, np.concatenate(all_symbols), np.concatenate(all_logs))})
-
-    def own_score(size, tokens, symbols, logs):
-        doc = np.repeat(np.arange(len(tokens)), tokens)
-        order = np.argsort(doc * (size + 2) + symbols, kind="stable")
-        key = (doc * (size + 2) + symbols)[order]
-        start = np.flatnonzero(np.diff(key, prepend=-1))
-        again = np.empty(len(key))
-        again[order] = np.arange(len(key)) - np.repeat(start, np.diff(start, append=len(key)))  # 0, 1, .. for the 1st, 2nd, .. time in its text
-        so_far = np.arange(len(doc)) - np.repeat(np.cumsum(tokens) - tokens, tokens)
-        return np.bincount(doc, np.log10(OWN * 10.0**logs + again) - np.log10(OWN + so_far), len(tokens))
-
-    columns = ["doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"]
-    held = docs.sparkSession.read.parquet(scratch.path("chunks")).drop("words", "train")
-    return held.groupBy("chunk").cogroup(answers.groupBy("chunk")).applyInPandas(score, "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")
+            for row in batch.to_pylist():
+                chunk = Chunk(row)
+                counts = chunk.counts()
+                yield from sent(row["chunk"], chunk.keys, parts, lambda s: squeeze(counts[s])).to_batches()
+
+    requests = chunks.mapInArrow(ask, SENT)
+    totals = requests.groupBy("part").applyInArrow(lambda t: answers(t, 0, unsqueeze, lambda x: squeeze(x.astype(np.uint64))), ANSWER)
+    totals = scratch.table(totals, "totals")
+    v = totals.groupBy("part").agg(F.first("known").alias("known")).agg(F.sum("known")).first()[0] or 0
+    v -= n > 0  # the start of texts is counted as a context, but is no symbol
+
+    def state(left: pa.Table, right: pa.Table) -> tuple[dict, Chunk]:
+        row = left.to_pylist()[0]
+        chunk = Chunk(row)
+        chunk.predict(answered(right, 0, unsqueeze), n, v)
+        return row, chunk
+
+    def test(left: pa.Table, right: pa.Table) -> pa.Table:
+        row, chunk = state(left, right)
+        used, gain = chunk.contexts()
+        return sent(row["chunk"], chunk.keys[used], parts, lambda s: gain[s].astype("<f4").tobytes())
+
+    by_chunk = chunks.groupBy("chunk")
+    tests = by_chunk.cogroup(totals.groupBy("chunk")).applyInArrow(test, SENT)
+    kept = tests.groupBy("part").applyInArrow(lambda t: answers(t, 1, lambda x: np.frombuffer(x, "<f4").astype(float), lambda x: struct.pack("<I", len(x)) + np.packbits(x > 0).tobytes()), ANSWER)
+    kept = scratch.table(kept, "kept")
+
+    def score(left: pa.Table, right: pa.Table) -> pa.Table:
+        row, chunk = state(left, right)
+        used, _ = chunk.contexts()
+        bits = np.zeros(len(chunk.keys), bool)
+        if len(used):
+            bits[used] = answered(right, 1, lambda x: np.unpackbits(np.frombuffer(x, np.uint8, offset=4), count=struct.unpack_from("<I", x)[0])).astype(bool)
+        known = chunk.p[0] * (n + v + 1) > 1.5
+        columns = [pa.array(row["docs"], pa.int64()), pa.array(chunk.held), pa.array(chunk.tokens + 1), pa.array(chunk.by_document(known).astype(np.int64)), pa.array(np.full(len(chunk.tokens), n, np.int64)), pa.array(chunk.by_document(np.log10(chunk.p[0]))), pa.array(chunk.by_document(chunk.scores(bits)))]
+        return pa.table(columns, names=["doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"])
+
+    told = totals.unionByName(kept).groupBy("chunk")
+    return by_chunk.cogroup(told).applyInArrow(score, "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double")
 
 
 def op9_suffix_tree_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
