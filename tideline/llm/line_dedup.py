@@ -7,11 +7,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tideline.llm.common import Scratch, documents, text_rows
+from tideline.llm.common import Scratch, documents, heavy_join, text_rows
 from tideline.llm.components import connected_components
 from tideline.llm.jaccard_join import _powers, mixed
 
 WORDS = 5  # lines of fewer words are alike only if equal
+SHORT = 16  # lines of up to so many words emit all variants; longer ones only if they share a half with a line of near length
 LENGTH = np.uint64(0xD6E8FEB86659FD93)
 _table: list[tuple[np.ndarray, np.ndarray]] = []
 
@@ -37,64 +38,83 @@ def word_hashes(text: str) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
 class Lines:
     """The lines of a text, and hashes of any run of their words: equal runs of words have equal hashes."""
 
-    def __init__(self, text: str, words: int = WORDS):
+    def __init__(self, text: str):
         self.hashes, at, self.total = word_hashes(text)
         up, self.down = powers(len(self.hashes) + 2)
         self.sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(self.hashes * up[: len(self.hashes)], dtype=np.uint64)])
-        self.numbers, first, n = np.unique(at, return_index=True, return_counts=True)
-        long = n >= words
-        self.numbers, self.first, self.n = self.numbers[long], first[long], n[long]
+        self.numbers, self.first, self.n = np.unique(at, return_index=True, return_counts=True)
 
-    def run(self, first: np.ndarray, n: np.ndarray, salt: int = 0) -> np.ndarray:
+    def run(self, first: np.ndarray, n: np.ndarray, salt: np.ndarray | int = 0) -> np.ndarray:
         value = (self.sums[first + n] - self.sums[first]) * self.down[first]
-        return mixed(value + n.astype(np.uint64) * LENGTH + np.uint64(salt))
-
-    def halves(self, words: int) -> np.ndarray:
-        """Four hashes a line of at least `words` words: two lines with at most one edit share their prefix or suffix of one of these lengths."""
-        out = []
-        first, n = self.first[self.n >= words], self.n[self.n >= words]
-        for p in ((n - 1) // 2, (n - 2) // 2):
-            out += [self.run(first, p, 1), self.run(first + n - p, p, 2)]
+        return mixed(value + n.astype(np.uint64) * LENGTH + np.asarray(salt, np.uint64))
+
+    def digests(self) -> tuple[np.ndarray, np.ndarray]:
+        """Two hashes of each line, of all its words."""
+        d1 = self.run(self.first, self.n)
+        return d1, mixed(d1 ^ mixed(self.run(self.first, self.n - 1) + self.hashes[self.first + self.n - 1])) if len(d1) else d1
+
+    def halves(self, some: np.ndarray) -> np.ndarray:
+        """Four hashes for each of some lines.
+
+        Two lines with at most one edit, the shorter of n words, share their first or their last (n - 1) // 2 words. A
+        line looks for partners as the shorter one or an equally long one, and as the longer one; n is in the hash.
+        """
+        first, n, out = self.first[some], self.n[some], []
+        for least in (n, n - 1):
+            p, salt = (least - 1) // 2, 4 * least.astype(np.uint64)
+            out += [self.run(first, p, salt + np.uint64(1)), self.run(first + n - p, p, salt + np.uint64(2))]
         return np.column_stack(out)
 
+    def words(self, k: int) -> bytes:
+        return self.hashes[self.first[k] : self.first[k] + self.n[k]].tobytes()
+
     def variants(self, k: int) -> np.ndarray:
         """The hash of line k without its word 0, 1, ..: what run() gives for the line that is left."""
         first, n = int(self.first[k]), int(self.n[k])
         at = np.arange(n)
         before = (self.sums[first + at] - self.sums[first]) * self.down[first]
         after = (self.sums[first + n] - self.sums[first + at + 1]) * self.down[first + 1]
-        return mixed(before + after + np.uint64(n - 1) * LENGTH)
+        return mixed(before + after + np.array([n - 1], np.uint64) * LENGTH)
+
 
+NEAR = "d1 long, words binary, variants array<long>"
+NEAR_TYPE = pa.list_(pa.struct([("d1", pa.int64()), ("words", pa.binary()), ("variants", pa.list_(pa.int64()))]))
 
-def line_table(docs: DataFrame, words: int, equal: int) -> DataFrame:
-    """rid, doc_id, key (of the text), n_lines, and of each line of `equal` words its number, digests and, of `words`, half hashes."""
+
+def line_table(docs: DataFrame, words: int, short: int) -> DataFrame:
+    """rid, doc_id, key (of the text), n_lines; items: number, digests and, of lines of `short` words or more, half hashes; near: digest, words and variants of lines of `words` to `short` words."""
 
     def take(batches):
         for batch in batches:
             for k in range(0, batch.num_rows, 500):
                 part = batch.slice(k, 500)
-                total, size, number, d1, d2, half, halves = [], [], [], [], [], [], []
+                total, size, number, d1, d2, half, halves, near = [], [], [], [], [], [], [], []
                 for text in part.column(3).to_pylist():
-                    lines = Lines(text, equal)
+                    lines = Lines(text)
                     total.append(lines.total)
                     size.append(len(lines.n))
                     number.append(lines.numbers)
-                    d1.append(lines.run(lines.first, lines.n))
-                    d2.append(mixed(d1[-1] ^ mixed(lines.run(lines.first, lines.n - 1) + lines.hashes[lines.first + lines.n - 1])) if len(lines.n) else d1[-1])
-                    half.append(lines.halves(words).ravel())
-                    halves.append(np.where(lines.n >= words, 4, 0))
+                    own = lines.digests()
+                    d1.append(own[0])
+                    d2.append(own[1])
+                    long = lines.n >= short  # the longest short lines have longer partners
+                    half.append(lines.halves(long).ravel())
+                    halves.append(np.where(long, 4, 0))
+                    some = np.flatnonzero((lines.n <= short) & (lines.n >= words))
+                    some = some[np.unique(own[0][some], return_index=True)[1]]
+                    near.append([{"d1": int(own[0][i].view(np.int64)), "words": lines.words(i), "variants": lines.variants(i).view(np.int64)} for i in some.tolist()])
                 ends = pa.array(np.cumsum([0, *size]), pa.int32())
                 half_list = pa.ListArray.from_arrays(pa.array(np.cumsum([0, *np.concatenate(halves)]), pa.int32()), pa.array(np.concatenate(half).view(np.int64)))
                 parts = [pa.array(np.concatenate(number).astype(np.int32)), pa.array(np.concatenate(d1).view(np.int64)), pa.array(np.concatenate(d2).view(np.int64)), half_list]
                 items = pa.ListArray.from_arrays(ends, pa.StructArray.from_arrays(parts, ["line", "d1", "d2", "half"]))
-                yield pa.RecordBatch.from_arrays([*(part.column(c) for c in range(3)), pa.array(total, pa.int64()), items], ["rid", "doc_id", "key", "n_lines", "items"])
+                yield pa.RecordBatch.from_arrays([*(part.column(c) for c in range(3)), pa.array(total, pa.int64()), items, pa.array(near, NEAR_TYPE)], ["rid", "doc_id", "key", "n_lines", "items", "near"])
 
     rows = text_rows(docs).select(F.monotonically_increasing_id().alias("rid"), "doc_id", F.xxhash64("text").alias("key"), "text")
-    return rows.mapInArrow(take, "rid long, doc_id long, key long, n_lines long, items array<struct<line:int,d1:long,d2:long,half:array<long>>>")
+    return rows.mapInArrow(take, f"rid long, doc_id long, key long, n_lines long, items array<struct<line:int,d1:long,d2:long,half:array<long>>>, near array<struct<d1:long,words:binary,variants:array<long>>>")
 
 
-def line_words(docs: DataFrame, wanted: DataFrame, words: int) -> DataFrame:
-    """d1, words (their hashes) and variants (one without each word) of the wanted lines, each once."""
+def line_words(docs: DataFrame, wanted: DataFrame) -> DataFrame:
+    """d1, words (their hashes) and variants (one without each word) of the wanted lines: doc_id, key, lines."""
 
     def take(batches):
         for batch in batches:
@@ -102,16 +122,17 @@ def line_words(docs: DataFrame, wanted: DataFrame, words: int) -> DataFrame:
                 part = batch.slice(k, 500)
                 d1, data, variants = [], [], []
                 for text, chosen in zip(part.column(0).to_pylist(), part.column(1).to_pylist()):
-                    lines = Lines(text, words)
-                    for k2 in np.searchsorted(lines.numbers, chosen).tolist():
-                        d1.append(int(lines.run(lines.first[k2 : k2 + 1], lines.n[k2 : k2 + 1]).view(np.int64)[0]))
-                        data.append(lines.hashes[lines.first[k2] : lines.first[k2] + lines.n[k2]].tobytes())
-                        variants.append(lines.variants(k2).view(np.int64))
+                    lines = Lines(text)
+                    own = lines.digests()[0]
+                    for i in np.searchsorted(lines.numbers, chosen).tolist():
+                        d1.append(int(own[i].view(np.int64)))
+                        data.append(lines.words(i))
+                        variants.append(lines.variants(i).view(np.int64))
                 yield pa.RecordBatch.from_arrays([pa.array(d1, pa.int64()), pa.array(data, pa.binary()), pa.array(variants, pa.list_(pa.int64()))], ["d1", "words", "variants"])
 
-    keyed = text_rows(docs).withColumn("key", F.xxhash64("text"))
-    found = keyed.join(wanted, "key").select("text", "lines").mapInArrow(take, "d1 long, words binary, variants array<long>")
-    return found.dropDuplicates(["d1"])
+    keyed, wanted = text_rows(docs).withColumn("key", F.xxhash64("text")).alias("k"), wanted.alias("w")
+    same = F.col("k.doc_id").eqNullSafe(F.col("w.doc_id")) & (F.col("k.key") == F.col("w.key"))
+    return keyed.join(wanted, same).select("k.text", "w.lines").mapInArrow(take, NEAR)
 
 
 def one_edit(a: np.ndarray, b: np.ndarray) -> bool:
@@ -125,28 +146,31 @@ def one_edit(a: np.ndarray, b: np.ndarray) -> bool:
     return bool((a[at + (len(a) == len(b)) :] == b[at + 1 :]).all())
 
 
-def line_dedup(docs: DataFrame, words: int = WORDS, equal: int | None = None) -> DataFrame:
+def line_dedup(docs: DataFrame, words: int = WORDS, short: int = SHORT) -> DataFrame:
     """One row per document: doc_id, n_lines, dropped (numbers of the lines that repeat an earlier one, ascending).
 
-    Lines end at \\n; words are lower-cased and lie between ASCII white space. Two lines of at least `equal` words
-    (`words` if not given) are alike if equal, and two of at least `words` also if one word was deleted, inserted or
-    replaced; alike lines form groups, and of a group the line of the least (doc_id, row, line number) stays. A null doc_id comes after all others, null and empty texts have no
-    lines, repeated rows repeat their lines.
-
-    Equal lines count as one. A line can only be alike another if half of it, from either end, stands in that line,
-    so only lines with such a half take part in the neighbourhood join: each of their variants without one word is a
-    hashed key. Lines with equal variants at the same place are linked to the least of them, and lines that are a
-    variant to that line; so a crowded key gives one edge a line. Every edge is verified on the words.
+    Lines end at \\n; words are lower-cased and lie between ASCII white space; a line without words is left alone. Two
+    lines are alike if equal, and two of at least `words` also if one word was deleted, inserted or replaced; alike
+    lines form groups, and of a group the line of the least (doc_id, row, line number) stays. A null doc_id comes after
+    all others, null and empty texts have no lines, repeated rows repeat their lines.
+
+    Equal lines count as one, from map-side combining on. The neighbourhood join takes each variant of a line without
+    one word as a hashed key. Lines of up to `short` words emit all of theirs: their number is in proportion to the
+    input. A longer line can be alike another only if it shares half its words, from either end, with a line of near
+    length, so it emits variants only where such a half occurs. Lines with equal variants at the same place are linked
+    to the least of them, and lines that are a variant to that line; so a crowded key gives one edge a line. Every edge
+    is verified on the words.
     """
     spark = docs.sparkSession
     scratch = Scratch(spark, "line-dedup")
-    rows = scratch.table(line_table(docs, words, words if equal is None else min(equal, words)), "lines")
+    rows = scratch.table(line_table(docs, words, short), "lines")
     lines = rows.select("rid", "doc_id", "key", F.explode("items").alias("x")).select("rid", "doc_id", "key", "x.line", "x.d1", "x.d2", "x.half")
-    keys = lines.select("key", "line", "d1", F.explode(F.array_distinct("half")).alias("h"))
+    keys = lines.select("doc_id", "key", "line", "d1", F.explode(F.array_distinct("half")).alias("h"))
     shared = keys.groupBy("h").agg(F.min("d1").alias("lo"), F.max("d1").alias("hi")).where("lo < hi").select("h")
-    taking = scratch.table(keys.join(shared, "h", "left_semi").groupBy("d1").agg(F.min(F.struct("key", "line")).alias("at")), "taking")
-    wanted = taking.groupBy(F.col("at.key").alias("key")).agg(F.array_sort(F.collect_set("at.line")).alias("lines"))
-    near = scratch.table(line_words(docs, wanted, words), "near")
+    taking = keys.join(shared, "h", "left_semi").groupBy("d1").agg(F.min(F.struct("doc_id", "key", "line")).alias("at"))
+    wanted = taking.groupBy("at.doc_id", "at.key").agg(F.array_sort(F.collect_set("at.line")).alias("lines"))
+    every = rows.select(F.explode("near").alias("x")).select("x.*").union(line_words(docs, wanted))
+    near = scratch.table(every.groupBy("d1").agg(F.first("words").alias("words"), F.first("variants").alias("variants")), "near")
 
     variants = near.select("d1", F.posexplode("variants").alias("at", "v"))
     stars = variants.groupBy("v", "at").agg(F.min("d1").alias("a"), F.max("d1").alias("b")).where("a < b").select("v", "at", "a")
@@ -162,16 +186,18 @@ def line_dedup(docs: DataFrame, words: int = WORDS, equal: int | None = None) ->
 
     first, second = near.select(F.col("d1").alias("a"), F.col("words").alias("wa")), near.select(F.col("d1").alias("b"), F.col("words").alias("wb"))
     checked = scratch.table(edges.join(first, "a").join(second, "b").select("a", "b", "wa", "wb").mapInArrow(verify, "a long, b long"), "edges")
-    roots = connected_components(checked)
+    roots = connected_components(checked).withColumnRenamed("node", "d1")
+    scratch.drop("near", "edges")
 
-    columns = ["rid", "doc_id", "line", "d1", "d2"]
-    held = lines.where("size(half) > 0").select(*columns).join(roots.withColumnRenamed("node", "d1"), "d1", "left").select(*columns, "root")
-    held = held.union(lines.where("size(half) = 0").select(*columns, F.lit(None).cast("long")))
-    held = held.withColumn("c1", F.coalesce("root", "d1")).withColumn("c2", F.when(F.col("root").isNull(), F.col("d2")).otherwise(F.lit(0)))
-    held = scratch.table(held.select("rid", "doc_id", "line", "c1", "c2"), "held")
+    # One row a distinct line, then one a group, and back to the occurrences of those lines whose group has several.
     place = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "rid", "line")
-    earliest = scratch.table(held.groupBy("c1", "c2").agg(F.min(place).alias("first"), F.count("*").alias("n")).where("n > 1").select("c1", "c2", "first"), "earliest")
-    gone = held.join(earliest, ["c1", "c2"]).where("not (rid = first.rid and line = first.line)").groupBy("rid").agg(F.array_sort(F.collect_list("line")).alias("dropped"))
+    distinct = lines.groupBy("d1", "d2").agg(F.min(place).alias("first"), F.count("*").alias("n")).join(roots, "d1", "left")
+    distinct = distinct.select("d1", "d2", "first", "n", F.coalesce("root", "d1").alias("c1"), F.when(F.col("root").isNull(), F.col("d2")).otherwise(F.lit(0)).alias("c2"))
+    distinct = scratch.table(distinct, "distinct")
+    groups = distinct.groupBy("c1", "c2").agg(F.min("first").alias("first"), F.sum("n").alias("n")).where("n > 1").select("c1", "c2", F.col("first.rid").alias("keep_rid"), F.col("first.line").alias("keep_line"))
+    repeated = scratch.table(heavy_join(distinct.select("d1", "d2", "c1", "c2"), groups, ["c1", "c2"], scratch).select("d1", "d2", "keep_rid", "keep_line"), "repeated")
+    met = heavy_join(lines.select("rid", "line", "d1", "d2"), repeated, ["d1", "d2"], scratch)
+    gone = met.where("not (rid = keep_rid and line = keep_line)").groupBy("rid").agg(F.array_sort(F.collect_list("line")).alias("dropped"))
     return rows.select("rid", "doc_id", "n_lines").join(gone, "rid", "left").select("doc_id", "n_lines", F.coalesce("dropped", F.array().cast("array<int>")).alias("dropped"))
 
 
@@ -181,5 +207,5 @@ def without_lines(text, dropped):
 
 
 def op7_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = line_dedup(documents(spark, sf_dir), equal=1)
+    found = line_dedup(documents(spark, sf_dir))
     return found.select("doc_id", "n_lines", F.size("dropped").cast("long").alias("n_dropped"), F.array_join(F.transform("dropped", lambda k: k.cast("string")), ",").alias("dropped"))
