@@ -56,3 +56,18 @@ def test_the_winner_that_scores_best_on_the_page():
     text = "Long text of the story. " * 20
     html = f'<body><div class="teaser"><p>Read more</p></div><div class="story"><p>{text}</p></div></body>'
     assert extract(html, [">body>div.teaser", ">body>div.story"]) == (text.strip(), ">body>div.story")
+
+
+def test_prose_inside_the_article_stays_whatever_its_name():
+    body = "".join(f'<p class="{c}" id="{i}">Paragraph {k} of the story.</p>' for k, (c, i) in enumerate([("related-work", ""), ("", "comment-on-law"), ("notice", "reply-to-critics"), ("share", "ad"), ("promo", "subscribe")]))
+    got = extract(f'<body><nav><a href="/">Home</a></nav><article><h2 class="banner">Head</h2>{body}<div class="ad">Buy</div></article><footer>x</footer></body>')[0]
+    assert got == "\n\n".join(["Head", *(f"Paragraph {k} of the story." for k in range(5))])
+
+
+def test_deep_and_broken_pages_take_time_in_proportion():
+    import time
+
+    began = time.process_time()
+    for html in ("<div>" * 16_000 + "deep", "<span>" * 16_000 + "<p>x</p>" * 16_000, "<div class='a b'><b>" * 8_000 + "</i></b>" * 8_000 + "end", "<p>" + "<i>" * 16_000 + "<p>y" * 8_000, "<ul>" + "<li>z" * 16_000):
+        assert extract(html)[0].replace("\n\n", "").strip("xyz") in ("deep", "end", "")
+    assert time.process_time() - began < 5

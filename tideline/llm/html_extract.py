@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+from collections import Counter
 from dataclasses import dataclass, field
 from html import unescape
 
@@ -23,6 +24,7 @@ BLOCK = frozenset("address article aside blockquote body center dd details dialo
 CONTAINER = frozenset("article body center div main section table tbody td tr".split())
 #: A start tag of the key ends an open element of these names, unless one of the others lies between.
 ENDS = {"li": ("li",), "dt": ("dt", "dd"), "dd": ("dt", "dd"), "tr": ("tr", "td", "th"), "td": ("td", "th"), "th": ("td", "th"), "option": ("option",)}
+RAW_END = {tag: re.compile(rf"</{tag}(?=[\s/>])[^>]*>", re.I) for tag in RAW}
 SCOPE = frozenset("article aside body div dl footer form header main nav ol section table td th ul".split())
 JUNK_TAG = frozenset("nav footer aside form head button select option label input menu dialog object svg canvas audio video applet search datalist script style textarea noscript iframe template".split())
 JUNK_ROLE = frozenset("navigation banner complementary contentinfo search dialog alert menu menubar toolbar".split())
@@ -32,12 +34,14 @@ GOOD_WORD = frozenset("article content entry post story text main body page".spl
 LAYOUT_FIRST = frozenset("with without no has is".split())
 LAYOUT_LAST = frozenset("open opened closed wrap wrapper enabled disabled article entry main page post story".split())
 COMMENT_WORD = frozenset("comment comments disqus reply replies respond discussion".split())
+#: Only these can be junk by their name: a block of prose is never.
+GROUPING = frozenset("center details div dl fieldset figure li ol section table tbody td tr ul".split())
 
 
 @dataclass
 class Element:
     tag: str
-    path: str
+    path: int  # of the page's paths
     parent: int
     junk: bool
     weight: float = 1.0
@@ -49,9 +53,35 @@ class Element:
 
 @dataclass
 class Page:
+    """Paths are numbers: each is its parent's number and a tag with classes, so that deep nesting costs no more a tag."""
+
     elements: list[Element] = field(default_factory=list)
+    paths: list[tuple[int, str]] = field(default_factory=lambda: [(-1, "")])
+    path_of: dict[tuple[int, str], int] = field(default_factory=dict)
     runs: list[tuple[int, int, str, bool]] = field(default_factory=list)  # element, block, text, in a link
 
+    def path(self, parent: int, label: str) -> int:
+        found = self.path_of.get((parent, label))
+        if found is None:
+            found = self.path_of[parent, label] = len(self.paths)
+            self.paths.append((parent, label))
+        return found
+
+    def spelled(self, path: int) -> str:
+        labels = []
+        while path:
+            path, label = self.paths[path]
+            labels.append(label)
+        return "".join(">" + x for x in reversed(labels))
+
+    def number(self, spelled: str) -> int | None:
+        """The number of a path, if the page has it; of the empty one 0."""
+        path = 0
+        for label in spelled.split(">")[1:]:
+            if (path := self.path_of.get((path, label))) is None:
+                return None
+        return path
+
 
 def _words(value: str) -> list[str]:
     return [w for w in re.split(r"[^a-z0-9]+", value.lower()) if w]
@@ -84,25 +114,39 @@ def settle(page: Page) -> None:
 
 
 def parse(html: str) -> Page:
-    """Elements with generalised tag-class paths, and text runs with the element and block that each is in."""
+    """Elements with generalised tag-class paths, and text runs with the element and block that each is in.
+
+    The work is in proportion to the text: how many elements of a name are open is counted, so the stack is searched
+    only for names that are in it, and what is found is closed.
+    """
     page = Page()
     elements, runs = page.elements, page.runs
-    elements.append(Element("", "", -1, False))
-    stack, names, block, links, at = [0], [""], 0, 0, 0
+    elements.append(Element("", 0, -1, False))
+    stack, names, block, at = [0], [""], 0, 0
+    open_now: Counter[str] = Counter()
 
     def close_to(depth: int) -> None:
-        nonlocal block, links
+        nonlocal block
         while len(stack) > depth:
             name = names.pop()
             stack.pop()
+            open_now[name] -= 1
             block += name in BLOCK
-            links -= name == "a"
 
     def text(data: str) -> None:
         if data and not data.isspace():
-            runs.append((stack[-1], block, unescape(data) if "&" in data else data, links > 0))
+            runs.append((stack[-1], block, unescape(data) if "&" in data else data, open_now["a"] > 0))
         elif data:
-            runs.append((stack[-1], block, " ", links > 0))
+            runs.append((stack[-1], block, " ", open_now["a"] > 0))
+
+    def nearest(wanted, among) -> int:
+        """The place of the innermost open element of the wanted names, before one of the others; 0 if there is none."""
+        for k in range(len(names) - 1, 0, -1):
+            if names[k] in wanted:
+                return k
+            if names[k] in among:
+                return 0
+        return 0
 
     while m := TOKEN.search(html, at):
         text(html[at : m.start()])
@@ -113,9 +157,8 @@ def parse(html: str) -> Page:
             continue
         tag = m[2].lower()
         if m[1]:
-            if tag in names:
-                low = len(names) - 1 - names[::-1].index(tag)
-                if tag in SCOPE or not any(n in SCOPE for n in names[low + 1 :]):
+            if open_now[tag]:
+                if low := nearest((tag,), () if tag in SCOPE else SCOPE):
                     close_to(low)
             elif tag == "p":
                 block += 1
@@ -124,32 +167,29 @@ def parse(html: str) -> Page:
             runs.append((stack[-1], block, " ", False))
             continue
         ends = ENDS.get(tag, ()) + (("p",) if tag in BLOCK else ())
-        for k in range(len(names) - 1, 0, -1):
-            if names[k] in ends:
-                close_to(k)
-            elif names[k] in SCOPE:
-                break
+        while any(open_now[x] for x in ends) and (low := nearest(ends, SCOPE.difference(ends))):
+            close_to(low)
         if tag in BLOCK:
             block += 1
         if tag in VOID or m[3].endswith("/") and tag in ("svg", "path"):
             continue
         if tag in RAW:
-            end = re.compile(rf"</{re.escape(tag)}(?=[\s/>])[^>]*>", re.I).search(html, at)
+            end = RAW_END[tag].search(html, at)
             at = end.end() if end else len(html)
             continue
         parent = elements[stack[-1]]
         values = {k.lower(): v.strip("\"'") for k, v in ATTRIBUTE.findall(m[3])} if m[3] else {}
-        classes = sorted({re.sub(r"\d+", "#", c) for c in values.get("class", "").lower().split()})
-        words = [*_words(values.get("class", "")), *_words(values.get("id", ""))]
-        inside = any(n in ("article", "main") for n in names)
-        bad = _junk_words(values) if tag not in ("html", "body", "article", "main") else ()
+        classes = sorted({re.sub(r"\d+", "#", c.replace(">", "#")) for c in values.get("class", "").lower().split()})
+        words = [*_words(values.get("class", "")), *_words(values.get("id", ""))] if values else []
+        inside = open_now["article"] or open_now["main"]
+        bad = _junk_words(values) if words and tag in GROUPING else ()
         hard = (tag in JUNK_TAG and tag != "form") or (tag == "header" and not inside) or values.get("role", "").lower() in JUNK_ROLE or "hidden" in values or any(w in COMMENT_WORD for w in bad) or (tag == "article" and any(w in ("comment", "comments", "reply") for w in words))
         weight = 1.0 + 0.6 * (tag in ("article", "main")) + 0.3 * any(w in GOOD_WORD for w in words)
-        path = parent.path if tag == "html" else parent.path + ">" + ".".join([tag, *classes])
+        path = parent.path if tag == "html" else page.path(parent.path, ".".join([tag.replace(">", "#"), *classes]))
         elements.append(Element(tag, path, stack[-1], False, weight, soft=tag == "form" or bool(bad), hard=hard))
         stack.append(len(elements) - 1)
         names.append(tag)
-        links += tag == "a"
+        open_now[tag] += 1
     text(html[at:])
     settle(page)
     return page
@@ -168,16 +208,16 @@ def measure(page: Page) -> None:
         up.clean += elements[k].clean
 
 
-def best_path(page: Page, among: list[str] | None = None) -> tuple[str, float]:
-    """Path and score of the container (at a path of `among`) that holds most clean text, and little else; ("", 0) if there is no text."""
+def best_path(page: Page, among: set[int] | None = None) -> int:
+    """Path of the container (at a path of `among`) that holds most clean text, and little else; 0 if there is no text."""
     measure(page)
-    best, path = 0.0, ""
+    best, path = 0.0, 0
     for e in page.elements[1:]:
         if e.tag in CONTAINER and not e.junk and e.clean and (among is None or e.path in among):
             score = e.clean * e.weight * e.clean / e.all
             if score >= best:  # of equal ones the innermost
                 best, path = score, e.path
-    return path, best
+    return path
 
 
 def extract(html: str, paths: list[str] | None = None) -> tuple[str, str]:
@@ -185,8 +225,8 @@ def extract(html: str, paths: list[str] | None = None) -> tuple[str, str]:
     at the page's own best path if it has none of them."""
     page = parse(html)
     have = {e.path for e in page.elements if not e.junk}
-    found = [p for p in paths or () if p in have]
-    path = found[0] if len(found) == 1 else best_path(page, found or None)[0] or (found or [""])[0]
+    found = [p for x in paths or () if (p := page.number(x)) in have]
+    path = found[0] if len(found) == 1 else best_path(page, set(found) or None) or (found or [0])[0]
     inside = [False] * len(page.elements)
     for k, e in enumerate(page.elements):
         inside[k] = not e.junk and ((e.path == path) or (k > 0 and inside[e.parent]))
@@ -198,7 +238,7 @@ def extract(html: str, paths: list[str] | None = None) -> tuple[str, str]:
                 last = block
             blocks[-1].append(data)
     texts = (SPACE.sub(" ", "".join(b)).strip() for b in blocks)
-    return "\n\n".join(t for t in texts if t), path
+    return "\n\n".join(t for t in texts if t), page.spelled(path)
 
 
 def host_of(url):
@@ -215,9 +255,13 @@ def host_paths(pages: DataFrame, least_share: float = 0.1) -> DataFrame:
 
     def vote(batches):
         for batch in batches:
-            found = [best_path(parse(html))[0] for html in batch.column(1).to_pylist()]
+            found = [winner(html) for html in batch.column(1).to_pylist()]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found, pa.string())], ["host", "path"])
 
+    def winner(html):
+        page = parse(html)
+        return page.spelled(best_path(page))
+
     rows = pages.select(host_of(F.col("url")).alias("host"), F.coalesce("html", F.lit("")).alias("html")).where("host <> ''")
     votes = rows.mapInArrow(vote, "host string, path string").where("path <> ''").groupBy("host", "path").agg(F.count("*").alias("n"))
     shares = votes.withColumn("share", F.col("n") / F.sum("n").over(Window.partitionBy("host"))).where(F.col("share") >= least_share)
