@@ -1,7 +1,9 @@
 import public_tokenizers
+import pytest
 import sentencepiece
 from sentencepiece import sentencepiece_model_pb2
 
+from tideline.llm import sentence_pieces
 from tideline.llm.sentence_pieces import Encoder, decode, encode
 
 MODEL = public_tokenizers.path("piece_bpe_32k.model")
@@ -21,12 +23,27 @@ def score(ids, library):
 
 def test_ids_are_the_librarys(texts):
     library, encoder = viterbi_of_the_library(), Encoder(MODEL)
-    for text in [*list(texts.values())[:80], "", " ", "a", "  two  spaces ", "tab\tand\nline", "日本 é é ①", "x" * 700]:
+    for text in [*list(texts.values())[:80], "", " ", "a", "  two  spaces ", "tab\tand\nline", "日本 é é ①", "x" * 700, "the" * 20_000 + "日本" * 9_000]:
         got = list(memoryview(encoder.encode([text])[0]).cast("i"))
         want = library.encode(text)
         assert got == want or score(got, library) >= score(want, library), text[:80]  # the library adds in 32 bits
 
 
+def test_stretches_of_a_long_word_join(monkeypatch):
+    whole = Encoder(MODEL).encode(["understanding" * 40, "日本語" * 30 + "xyz"])
+    monkeypatch.setattr(sentence_pieces, "STRETCH", 7)
+    assert Encoder(MODEL).encode(["understanding" * 40, "日本語" * 30 + "xyz"]) == whole
+
+
+def test_models_that_change_texts_are_refused(tmp_path):
+    model = sentencepiece_model_pb2.ModelProto()
+    model.ParseFromString(open(MODEL, "rb").read())
+    model.normalizer_spec.remove_extra_whitespaces = True
+    (tmp_path / "m.model").write_bytes(model.SerializeToString())
+    with pytest.raises(ValueError):
+        Encoder(str(tmp_path / "m.model"))
+
+
 def test_texts_come_back(docs, odd, none):
     for df in (docs, odd, none):
         rows = sorted((str(r.doc_id), r.text or "") for r in df.select("doc_id", "text").collect())

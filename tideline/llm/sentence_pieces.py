@@ -16,7 +16,7 @@ SPACE = "▁"
 BASE = np.uint64(0x100000001B3)
 BATCH_CELLS = 1 << 18
 BATCH_TEXTS = 1000  # the more words of a length advance together, the fewer steps
-LONG_WORD = 256
+STRETCH = 1 << 15  # places of a long word whose pieces are looked up at once
 CACHE_WORDS = 250_000
 NORMAL, UNKNOWN, BYTE = 1, 2, 6  # piece types of the model format
 
@@ -30,7 +30,12 @@ class Pieces:
         model = sentencepiece_model_pb2.ModelProto()
         with open(model_path, "rb") as f:
             model.ParseFromString(f.read())
-        self.prefix = model.normalizer_spec.add_dummy_prefix
+        spec = model.normalizer_spec
+        if spec.precompiled_charsmap or spec.remove_extra_whitespaces or not spec.escape_whitespaces or model.trainer_spec.treat_whitespace_as_suffix:
+            raise ValueError("this model changes texts before it cuts them; only identity models are encoded here")
+        if any(SPACE in p.piece.lstrip(SPACE) for p in model.pieces if p.type == NORMAL):
+            raise ValueError("a piece has a space after another character, so words cannot be encoded by themselves")
+        self.prefix = spec.add_dummy_prefix
         self.table = [p.piece.encode() for p in model.pieces]
         self.unknown = next(k for k, p in enumerate(model.pieces) if p.type == UNKNOWN)
         self.bytes = {int(p.piece[3:-1], 16): k for k, p in enumerate(model.pieces) if p.type == BYTE}
@@ -73,68 +78,43 @@ class Pieces:
     def viterbi(self, codes: np.ndarray) -> list[np.ndarray]:
         """Best-scoring piece ids of words of one length, rows of code points; an unknown character is -1 - its code.
 
-        Words advance together, one end position at a time. Of equal scores the path with the longest last piece wins.
+        Words advance together, one end position at a time: the maximum over piece lengths of the best score before the
+        piece plus the piece's. Of equal scores the path with the longest last piece wins. Pieces are looked up for one
+        stretch of places after another, so that a long word needs little more than its back-pointers.
         """
         words, size = codes.shape
-        found = list(self.matches(codes))
-        if size > LONG_WORD:
-            return [self._long(codes[0], found)] if words == 1 else [self.viterbi(codes[k : k + 1])[0] for k in range(words)]
-        score = {n: np.full((words, size - n + 1), -np.inf) for n, *_ in found}
-        piece = {n: np.zeros((words, size - n + 1), np.int64) for n, *_ in found}
-        for n, row, start, ids, scores in found:
-            score[n][row, start] = scores
-            piece[n][row, start] = ids
-        if 1 not in score:
-            score[1], piece[1] = np.full((words, size), -np.inf), np.zeros((words, size), np.int64)
-        none = np.isneginf(score[1])
-        score[1][none] = self.unknown_score
-        piece[1][none] = -1 - codes[none].astype(np.int64)
-        lengths = sorted(score, reverse=True)
-        best = np.full((words, size + 1), -np.inf)
-        best[:, 0] = 0.0
-        back = np.zeros((words, size + 1), np.int64)
-        taken = np.zeros((words, size + 1), np.int64)
-        for end in range(1, size + 1):
-            for n in lengths:
-                if n <= end:
-                    offer = best[:, end - n] + score[n][:, end - n]
-                    better = offer > best[:, end]
-                    best[better, end] = offer[better]
-                    back[better, end] = n
-                    taken[better, end] = piece[n][better, end - n]
-        out = np.zeros((words, size), np.int64)
-        used = np.zeros((words, size), bool)
-        at, row = np.full(words, size), np.arange(words)
+        lengths = np.array(sorted({1, *(n for n in self.keys if n <= size)}, reverse=True))
+        slot = {int(n): k for k, n in enumerate(lengths)}
+        column, pad = np.arange(words), int(lengths[0])
+        best = np.full((pad + size + 1, words), -np.inf)
+        best[pad] = 0.0
+        back, taken = np.zeros((size, words), np.int64), np.zeros((size, words), np.int64)
+        for low in range(0, size, STRETCH):
+            high, first = min(size, low + STRETCH), max(0, low - pad + 1)
+            score, piece = np.full((high - low, len(lengths), words), -np.inf), np.zeros((high - low, len(lengths), words), np.int64)
+            for n, row, start, ids, scores in self.matches(codes[:, first:high]):
+                at = first + start + n - 1 - low  # of a piece's last character, in this stretch
+                if low:
+                    row, at, ids, scores = (x[at >= 0] for x in (row, at, ids, scores))
+                score[at, slot[n], row], piece[at, slot[n], row] = scores, ids
+            single = score[:, -1]
+            none = np.isneginf(single)
+            single[none] = self.unknown_score
+            piece[:, -1][none] = -1 - codes[:, low:high].T[none].astype(np.int64)
+            for k in range(high - low):
+                end = low + k
+                offers = best[pad + end + 1 - lengths] + score[k]
+                choice = offers.argmax(axis=0)
+                best[pad + end + 1], back[end], taken[end] = offers[choice, column], lengths[choice], piece[k, choice, column]
+        out, used = np.zeros((words, size), np.int64), np.zeros((words, size), bool)
+        at, row = np.full(words, size), column
         while len(row):
-            out[row, at[row] - 1] = taken[row, at[row]]
+            out[row, at[row] - 1] = taken[at[row] - 1, row]
             used[row, at[row] - 1] = True
-            at[row] -= back[row, at[row]]
+            at[row] -= back[at[row] - 1, row]
             row = row[at[row] > 0]
         return [out[k][used[k]] for k in range(words)]
 
-    def _long(self, codes: np.ndarray, found) -> np.ndarray:
-        """One long word: the same recursion over its matches only."""
-        size = len(codes)
-        ends: list[list[tuple[int, int, float]]] = [[] for _ in range(size + 1)]
-        single = np.zeros(size, bool)
-        for n, _, start, ids, scores in reversed(found):
-            for s, k, v in zip(start.tolist(), ids.tolist(), scores.tolist()):
-                ends[s + n].append((n, k, v))
-            if n == 1:
-                single[start] = True
-        best, back, taken = [0.0] + [-np.inf] * size, [0] * (size + 1), [0] * (size + 1)
-        for end in range(1, size + 1):
-            if not single[end - 1]:
-                ends[end].append((1, -1 - int(codes[end - 1]), self.unknown_score))
-            for n, k, v in ends[end]:
-                if (offer := best[end - n] + v) > best[end]:
-                    best[end], back[end], taken[end] = offer, n, k
-        out, at = [], size
-        while at:
-            out.append(taken[at])
-            at -= back[at]
-        return np.array(out[::-1], np.int64)
-
     def word_ids(self, words: list[str]) -> list[bytes]:
         """Ids of words, as 32-bit numbers; a character without a piece becomes its bytes."""
         by: dict[int, list[int]] = defaultdict(list)
