@@ -1,11 +1,25 @@
+import hashlib
 import random
+import re
 
-from tideline.llm.secret_scan import ACCESS, ASSIGN, KINDS, Formats, base_spans, infer, secret_scan
+from tideline.llm.secret_scan import KINDS, Formats, base_spans, infer, op10_secret_scan, secret_scan
+
+OWN_ASSIGN = re.compile(r"""(?i:password|passwd|secret|token|api_?key)["']?[ ]*[:=][ ]*["']?([A-Za-z0-9+/_.=\-]+)""", re.A)
 
 
 def brute(text):
-    found = [("assign", m.start(), m.end()) for m in ASSIGN.finditer(text) if len(m[2]) >= 12]
-    found += [("access", m.start(), m.end()) for m in ACCESS.finditer(text) if len(m[0]) >= 18]
+    """Base spans by patterns of the test's own."""
+    found = [("assign", m.start(), m.end()) for m in OWN_ASSIGN.finditer(text) if len(m[1]) > 11]
+    at = 0
+    while (at := text.find("AKIA", at)) >= 0:
+        end = at + 4
+        while end < len(text) and text[end] in "ABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789":
+            end += 1
+        if end > at + 4:
+            found += [("access", at, end)] * (end - at >= 18)
+            at = end
+        else:
+            at += 4
     at = 0
     while at < len(text):
         end = at
@@ -44,3 +58,50 @@ def test_inferred_formats_find_what_no_pattern_does():
     new = ["QX" + "".join(rng.choice("ABCDEFGH23456789") for _ in range(14)) for _ in range(100)]
     assert sum(map(formats.matches, new)) > 90 and not any(map(formats.matches, plain)) and not formats.matches("mail8.example.com")
     assert len(infer(keys).steps) < 40
+
+
+def hexes(rng, n=40):
+    return "".join(rng.choice("0123456789abcdef") for _ in range(n))
+
+
+def planted(rng):
+    """Texts with labelled credentials, and texts that hold others of the same formats without their cues."""
+    word = lambda: "".join(rng.choice(["th", "er", "on", "an", "ing", "tion"]) for _ in range(rng.randint(1, 7)))
+    prose = lambda: " ".join(word() for _ in range(300))
+    key = lambda: "".join(rng.choice("ABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789") for _ in range(16))
+    rows = [(k, f"{prose()} token = \"{hexes(rng)}\" {prose()} AKIA{key()} {prose()}") for k in range(150)]
+    hidden = []
+    for k in range(30):
+        x = (hexes(rng).upper(), key(), "-".join(hexes(rng, 4) for _ in range(10)))[k % 3]
+        hidden.append((1000 + k, f"é {prose()} {x} {prose()}", x))
+    clean = [(2000 + k, f"{prose()} {prose().upper()} 10.112.33.104 mail{k}.example.com 2024-01-02T10:11:12 {prose()}") for k in range(60)]
+    return rows, hidden, clean
+
+
+def test_credentials_without_their_cues_are_found_and_clean_texts_left_alone(spark):
+    rows, hidden, clean = planted(random.Random(5))
+    df = spark.createDataFrame([*rows, *((d, t) for d, t, _ in hidden), *clean], "doc_id long, text string")
+    got = {r.doc_id: [(s.kind, s.start, s.end) for s in r.spans] for r in secret_scan(df).collect()}
+    found = sum(("format", (at := t.index(x)), at + len(x)) in got[d] for d, t, x in hidden)
+    assert found >= 0.9 * len(hidden)
+    assert not any(got[d] for d, _ in clean)
+    assert all(len(got[d]) == 3 for d, _ in rows)  # assign, its hex, access
+
+
+def test_query_columns(spark, tmp_path):
+    rows, hidden, _ = planted(random.Random(6))
+    table = [*rows, *((d, t) for d, t, _ in hidden), (None, None), (7777, "")]
+    spark.createDataFrame(table, "doc_id long, text string").write.parquet(f"{tmp_path}/documents.parquet")
+    text = dict(table)
+    for r in op10_secret_scan(spark, str(tmp_path)).collect():
+        base = brute(text[r.doc_id] or "")
+        assert (r.n_assign, r.n_access, r.n_hex) == tuple(sum(k == kind for k, _, _ in base) for kind in KINDS)
+        spelled = ",".join(f"{k}:{a}:{b}" for k, a, b in base)
+        assert r.base_sha256 == hashlib.sha256(spelled.encode()).hexdigest()
+        assert [x for x in r.spans.split(",") if x and not x.startswith("format")] == [x for x in spelled.split(",") if x]
+
+
+def test_very_long_credentials_are_spans_but_teach_no_format(spark):
+    long = "A9z" * 70_000
+    df = spark.createDataFrame([(k, f"password={long}{k} and token: {hexes(random.Random(k))}") for k in range(30)], "doc_id long, text string")
+    assert all(r.spans[0].end - r.spans[0].start > 200_000 for r in secret_scan(df).collect())

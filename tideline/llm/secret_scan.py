@@ -24,6 +24,9 @@ SAMPLE = 2000  # labelled credentials a kind from which its automaton is inferre
 ALPHA = 0.01  # significance of the merging test
 RARE = 1e-3  # probability of a symbol that a state has not seen though the kind has
 MARGIN = 1.0  # bits a symbol by which a format must beat ordinary strings, at least
+LONGEST = 256  # longer credentials are found by base patterns, but teach no format: that bounds what the driver holds
+BACK = 1e-3
+CASE_BITS = 2.0  # cost of a word's being written in capitals
 
 
 def base_spans(text: str) -> list[tuple[str, int, int, str]]:
@@ -150,49 +153,83 @@ def infer(words: dict[str, int], alpha: float = ALPHA) -> Automaton | None:
 
 
 class Ordinary:
-    """Symbol pairs of the candidates that no base pattern labels: what a format is held against."""
+    """Symbol pairs of the candidates that no base pattern labels: what a format is held against.
+
+    A pair's probability is smoothed by the second symbol's own share, with a weight of BACK of all symbols: so what
+    follows a symbol that ordinary strings hardly have is not learnt from the few unlabelled credentials among them.
+    """
 
     def __init__(self, pairs: dict[str, int]):
         starts: Counter[str] = Counter()
+        ends: Counter[str] = Counter()
         for pair, n in pairs.items():
             starts[pair[0]] += n
-        size = len(SYMBOLS) + 1
-        self.pairs = {p: math.log2((n + 0.5) / (starts[p[0]] + 0.5 * size)) for p, n in pairs.items()}
-        self.unseen = {c: math.log2(0.5 / (n + 0.5 * size)) for c, n in starts.items()}
-        self.never = -math.log2(size)
+            ends[pair[1]] += n
+        size, whole = len(SYMBOLS) + 1, sum(starts.values())
+        weight = max(1.0, BACK * whole)
+        share = {c: (ends[c] + 0.5) / (whole + 0.5 * size) for c in SYMBOLS + "$"}
+        self.pairs = {a + c: math.log2((pairs.get(a + c, 0) + weight * share[c]) / (starts[a] + weight)) for a in SYMBOLS + "^" for c in SYMBOLS + "$"}
 
     def bits(self, word: str) -> float:
-        total, last = 0.0, "^"
-        for c in word + "$":
-            found = self.pairs.get(last + c)
-            total += self.unseen.get(last, self.never) if found is None else found
-            last = c
-        return total
+        """log2 probability of the word, or of its being a lower-case one in capitals."""
+        low = word.lower()
+        return self._bits(word) if low == word else max(self._bits(word), self._bits(low) - CASE_BITS)
+
+    def _bits(self, word: str) -> float:
+        return sum(map(self.pairs.__getitem__, map(str.__add__, "^" + word, word + "$")))
+
+
+def common_prefix(words) -> str:
+    low, high = min(words), max(words)
+    n = next((k for k, (a, b) in enumerate(zip(low, high)) if a != b), min(len(low), len(high)))
+    return low[:n]
+
+
+def forms(word: str) -> set[str]:
+    """The word, it in the other case if it has only one, and each without dashes: ways to write one credential."""
+    found = {word}
+    if word.upper() == word:
+        found.add(word.lower())
+    elif word.lower() == word:
+        found.add(word.upper())
+    return found | {plain for w in found if len(plain := w.replace("-", "").replace("_", "")) >= 12}
 
 
 class Formats:
-    """The automata, and for each the score from which on a candidate counts as that format."""
+    """The automata, and for each the score from which on a candidate counts as that format.
+
+    A kind whose credentials all begin alike (a cue of three symbols or more) gives a second format, of what follows.
+    """
 
     def __init__(self, labelled: dict[str, dict[str, int]], pairs: dict[str, int]):
         self.ordinary = Ordinary(pairs)
         self.automata = []
         for kind in sorted(labelled):
-            if automaton := infer(labelled[kind]):
-                scores = sorted(self.gain(automaton, w) for w in labelled[kind])
-                self.automata.append((kind, automaton, max(MARGIN, scores[len(scores) // 100])))
-
-    def gain(self, automaton: Automaton, word: str) -> float:
-        bits = automaton.bits(word)
+            words = {w: n for w, n in labelled[kind].items() if len(w) <= LONGEST}
+            cue = common_prefix(words) if len(words) > 1 else ""
+            self._learn(kind, words)
+            if len(cue) >= 3 and min(map(len, words)) >= len(cue) + 8:
+                self._learn(f"{kind} without {cue}", {w[len(cue) :]: n for w, n in words.items()})
+
+    def _learn(self, kind: str, words: dict[str, int]) -> None:
+        if automaton := infer(words):
+            scores = sorted(self.gain(automaton, w, w) for w in words)
+            self.automata.append((kind, automaton, max(MARGIN, scores[len(scores) // 100] / 2)))  # halfway to even odds
+
+    def gain(self, automaton: Automaton, form: str, word: str) -> float:
+        """Bits a symbol by which the format explains a form of the word better than ordinary strings do the word."""
+        bits = automaton.bits(form)
         return -math.inf if bits is None else (bits - self.ordinary.bits(word)) / (len(word) + 1)
 
     def matches(self, word: str) -> bool:
-        return any(self.gain(automaton, word) >= least for _, automaton, least in self.automata)
+        return any(self.gain(automaton, form, word) >= least for form in forms(word) for _, automaton, least in self.automata)
 
 
 def label_credentials(docs: DataFrame, sample: int = SAMPLE) -> Formats:
     """Formats from the whole corpus: base credentials label themselves, all other candidates are ordinary.
 
-    Counting covers every text; from the distinct credentials of a kind, the `sample` ones of least hash are used.
+    Counting covers every text; from the distinct credentials of a kind of at most LONGEST symbols, the `sample` ones
+    of least hash are used. The table of counts is deleted once it has been read.
     """
 
     def gather(batches):
@@ -213,10 +250,12 @@ def label_credentials(docs: DataFrame, sample: int = SAMPLE) -> Formats:
     def rows(held):
         return pa.RecordBatch.from_arrays([pa.array([k for k, _ in held], pa.string()), pa.array([w for _, w in held], pa.string()), pa.array(list(held.values()), pa.int64())], ["kind", "word", "n"])
 
-    scratch = Scratch(docs.sparkSession, "secret-formats")
+    scratch = Scratch(docs.sparkSession, "secret-formats")  # holds credentials in clear until they have been read
     counts = scratch.table(text_rows_only(docs).mapInArrow(gather, "kind string, word string, n long").groupBy("kind", "word").agg(F.sum("n").alias("n")), "counts")
-    labelled = {kind: {r.word: r.n for r in counts.where(F.col("kind") == kind).orderBy(F.xxhash64("word"), "word").limit(sample).collect()} for kind in KINDS}
+    usable = counts.where(F.length("word") <= LONGEST)
+    labelled = {kind: {r.word: r.n for r in usable.where(F.col("kind") == kind).orderBy(F.xxhash64("word"), "word").limit(sample).collect()} for kind in KINDS}
     pairs = {r.word: r.n for r in counts.where("kind = 'pair'").collect()}  # at most (symbols + 2) squared rows
+    scratch.drop("counts")
     return Formats(labelled, pairs)
 
 
@@ -229,7 +268,7 @@ def secret_scan(docs: DataFrame, formats: Formats | None = None) -> DataFrame:
 
     Kinds: assign, access, hex (base patterns) and format (a candidate of 12 or more symbols outside all base spans
     whose likelihood under an inferred format beats that of ordinary strings by the format's margin). Null and empty
-    texts have no spans; repeated rows are scanned each; without any labelled credential only base spans are found.
+    texts have no spans; whole texts are scanned, however long; repeated rows are scanned each; without any labelled credential only base spans are found.
     """
     formats = formats or label_credentials(docs)
     order = {kind: k for k, kind in enumerate((*KINDS, "format"))}
