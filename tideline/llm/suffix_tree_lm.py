@@ -125,22 +125,25 @@ class Chunk:
         self.train = np.repeat(~self.held, lengths)
         inside = np.arange(len(symbols)) - np.repeat(first, lengths)
         self.predicted = np.flatnonzero(inside > 0)
-        runs, grams, places = symbols, [], []
+        runs, found, self.places = symbols, [], []
+        self.number = np.full((3, len(symbols)), -1, np.int32)  # of the run of so many words that ends at a place
+        at = 0
         for words_before in range(3):
             place = np.flatnonzero(inside >= words_before)
             if words_before:
                 longer = np.zeros(len(symbols), np.uint64)
                 longer[place] = mixed(runs[place - 1] * MULTIPLIER + symbols[place])
                 runs = longer
-            grams.append((runs[place] >> np.uint64(64 - KEY_BITS)) & ~np.uint64(3) | np.uint64(words_before))
-            places.append(place)
-        self.keys, number = np.unique(np.concatenate(grams), return_inverse=True)
-        self.number = np.full((3, len(symbols)), -1, np.int64)  # of the run of so many words that ends at a place
-        at = 0
-        for k, place in enumerate(places):
-            self.number[k, place] = number[at : at + len(place)]
-            at += len(place)
-        self.places = places
+            keys, number = np.unique((runs[place] >> np.uint64(64 - KEY_BITS)) & ~np.uint64(3) | np.uint64(words_before), return_inverse=True)
+            self.number[words_before, place] = number + at
+            self.places.append(place)
+            found.append(keys)
+            at += len(keys)
+        keys = np.concatenate(found)
+        order = np.argsort(keys)
+        rank = np.empty(len(keys) + 1, np.int32)  # the last stands for no run
+        rank[order], rank[-1] = np.arange(len(keys)), -1
+        self.keys, self.number = keys[order], rank[self.number]
 
     def counts(self) -> np.ndarray:
         """How often each run occurs in the chunk's training documents."""
@@ -150,7 +153,7 @@ class Chunk:
         """Probabilities from the root, one word and two words before each place, and the contexts there with their totals."""
         seen = [np.where(own >= 0, totals[own], 0).astype(float) for own in self.number]
         self.p = [(seen[0] + 1) / (n + v + 1)]
-        self.context = [np.full(len(self.train), -1, np.int64) for _ in range(2)]
+        self.context = [np.full(len(self.train), -1, np.int32) for _ in range(2)]
         self.gain = []
         for k, weight in enumerate(WEIGHTS):
             place = self.places[k + 1]
