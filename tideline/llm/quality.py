@@ -10,9 +10,9 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tideline.llm.common import Scratch, documents
+from tideline.llm.common import Scratch, documents, heavy_join
 
-SAMPLE = 20_000  # labelled documents, those of least hash, on which the document classifier is fitted
+SAMPLE = 20_000  # labelled documents, about so many of them by their hash, on which the document classifier is fitted
 RIDGE = 1.0
 LEAST = 0.5  # posterior quality from which on a document stays
 PRIOR_RANGE = (1.0, 1e6)
@@ -116,12 +116,15 @@ def quality(docs: DataFrame, labels: DataFrame, host: str = "source", path: str
 
     A null host or path is a group of its own, a null or empty text has the features zero, repeated rows are judged
     each, labels of unknown documents and null labels are left out, several labels of one document are averaged.
-    Without labels p_doc is 0.5 and everything stays.
+    Without labels p_doc is 0.5 and everything stays. The document classifier is fitted on the labelled documents whose
+    hash is below a threshold that leaves about `sample` of them (all, if there are fewer); all else uses every row.
     """
     scratch = Scratch(docs.sparkSession, "quality")
     rows = scratch.table(featured(docs, F.col(host), F.col(path)), "features")
     labelled = scratch.table(labels.where("doc_id is not null and quality is not null").groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg((F.avg("quality") >= 0.5).cast("double").alias("label")), "labels")
-    chosen = rows.join(labelled, "doc_id").orderBy(F.xxhash64("doc_id", "key"), "doc_id").limit(sample).select("x", "label").toPandas()
+    found = rows.join(labelled, "doc_id")
+    share = int(min(1.0, sample / max(1, found.count())) * (1 << 30))
+    chosen = found.where(F.pmod(F.xxhash64("doc_id", "key"), F.lit(1 << 30)) < share).select("doc_id", "key", "x", "label").toPandas().sort_values(["doc_id", "key"])
     x = np.stack(chosen["x"].to_numpy()).astype(float) if len(chosen) else np.empty((0, FEATURES))
     model = Logistic.fit(x, chosen["label"].to_numpy(float))
 
@@ -140,11 +143,12 @@ def quality(docs: DataFrame, labels: DataFrame, host: str = "source", path: str
     mean = min(max(mean, 1e-6), 1 - 1e-6)
     of_host, of_path = prior_strength(hosts.select(F.col("host_n").alias("n"), F.col("host_s").alias("s")), mean), prior_strength(paths, mean)
     sites = paths.join(hosts, "host")
-    sites = F.broadcast(sites) if paths.count() <= BROADCAST_SITES else sites
+    small = paths.count() <= BROADCAST_SITES
+    placed = weighed.join(F.broadcast(sites), ["host", "path"]) if small else heavy_join(weighed, sites, ["host", "path"], scratch)
     host_rate = (F.col("host_s") - F.col("y") + of_host * mean) / (F.col("host_n") - 1 + of_host)
     path_rate = (F.col("s") - F.col("y") + of_path * F.col("host_rate")) / (F.col("n") - 1 + of_path)
     logit = lambda c: F.ln(F.greatest(F.lit(1e-9), c) / F.greatest(F.lit(1e-9), 1 - c))
-    found = weighed.join(sites, ["host", "path"]).withColumn("host_rate", host_rate).withColumn("path_rate", path_rate)
+    found = placed.withColumn("host_rate", host_rate).withColumn("path_rate", path_rate)
     moved = F.col("logit") + logit(F.col("path_rate")) - math.log(mean / (1 - mean))
     found = found.withColumn("quality", 1 / (1 + F.exp(-F.least(F.lit(30.0), F.greatest(F.lit(-30.0), moved)))))
     return found.select("doc_id", "key", "p_doc", "host_rate", "path_rate", "quality", (F.col("quality") >= least).alias("keep"))
