@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tideline.llm.common import Scratch, documents, text_rows
+from tideline.llm.common import HEAVY, Scratch, documents, heavy_join, text_rows
 from tideline.llm.components import connected_components
 
 WORDS = 5
@@ -220,8 +220,12 @@ def jaccard_join(docs: DataFrame, words: int = WORDS, similarity: float = SIMILA
 
     slots = texts.select("d1", "d2", F.posexplode("bands").alias("band", "bucket"))
     counts = texts.select("n", F.posexplode("bands").alias("band", "bucket")).groupBy("band", "bucket").agg(F.count("*").alias("m"), F.sum("n").alias("grams")).where("m > 1")
-    crowded = scratch.table(counts.withColumn("blocks", F.greatest(F.ceil(F.col("m") / BLOCK_DOCS), F.ceil(F.col("grams") / BLOCK_GRAMS)).cast("int")).drop("m", "grams"), "buckets")
-    members = slots.join(crowded, ["band", "bucket"]).join(texts.select("d1", "d2", "n", "bands"), ["d1", "d2"])
+    crowded = scratch.table(counts.withColumn("blocks", F.greatest(F.ceil(F.col("m") / BLOCK_DOCS), F.ceil(F.col("grams") / BLOCK_GRAMS)).cast("int")).drop("grams"), "buckets")
+    # Buckets with more than 1/HEAVY of all slots are fewer than HEAVY: they are broadcast, so that none is one task's alone.
+    least = bands * texts.count() // HEAVY
+    heavy, light = (F.broadcast(crowded.where(F.col("m") > least).drop("m")), crowded.where(F.col("m") <= least).drop("m"))
+    crowded_slots = slots.join(heavy, ["band", "bucket"]).unionByName(slots.join(heavy, ["band", "bucket"], "left_anti").join(light, ["band", "bucket"]))
+    members = crowded_slots.join(texts.select("d1", "d2", "n", "bands"), ["d1", "d2"])
     members = members.withColumn("block", F.pmod(F.xxhash64("d1", "d2"), F.col("blocks")).cast("int"))
     dealt = members.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     dealt = dealt.select("band", "bucket", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "d1", "d2", "n", "bands")
@@ -252,7 +256,7 @@ def jaccard_join(docs: DataFrame, words: int = WORDS, similarity: float = SIMILA
     fetched = held.alias("held").join(compared.alias("compared"), same).select("compared.d1", "compared.d2", "compared.copies", "held.text")
 
     def compare(batches):
-        known: dict[int, np.ndarray] = {}  # gram sets of this batch's texts; a text can be in several buckets
+        known: dict[tuple[int, int], np.ndarray] = {}  # gram sets of this batch's texts; a text can be in several buckets
         for table, starts in whole_groups(batches, at):
             d1, d2 = table.column("d1").to_numpy(), table.column("d2").to_numpy()
             new = np.zeros(len(table), bool)
@@ -265,8 +269,8 @@ def jaccard_join(docs: DataFrame, words: int = WORDS, similarity: float = SIMILA
             for a, b, (left, right, pairs) in groups(table, np.flatnonzero(new)):
                 sets = []
                 for k in range(a, b):
-                    if (x := known.get(d1[k])) is None:
-                        x = known[d1[k]] = ngram_set(text[k].as_py(), words)
+                    if (x := known.get((d1[k], d2[k]))) is None:
+                        x = known[d1[k], d2[k]] = ngram_set(text[k].as_py(), words)
                     sets.append(x)
                 links, forest, edges = np.zeros(b - a, np.int64), Forest(b - a), []
                 for row, others in verified(sets, left, right, pairs, similarity):
@@ -289,8 +293,8 @@ def jaccard_join(docs: DataFrame, words: int = WORDS, similarity: float = SIMILA
     placed = texts.join(roots, ["d1", "d2"], "left").join(degree, ["d1", "d2"], "left")
     placed = scratch.table(placed.select("d1", "d2", "rep", "copies", F.coalesce("c1", "d1").alias("c1"), F.coalesce("c2", "d2").alias("c2"), (F.col("copies") - 1 + F.coalesce("links", F.lit(0))).alias("n_links")), "placed")
     classes = placed.groupBy("c1", "c2").agg(F.min("rep").alias("class"), F.sum("copies").alias("class_size"))
-    classed = scratch.table(placed.join(classes, ["c1", "c2"]).select("d1", "d2", "class", "class_size", "n_links"), "classed")
-    some = signed.where("n > 0").join(classed, ["d1", "d2"]).select("doc_id", "key", F.col("class.doc_id").alias("class_id"), F.col("class.key").alias("class_key"), "n_links", "class_size", "n")
+    classed = scratch.table(heavy_join(placed, classes, ["c1", "c2"], scratch).select("d1", "d2", "class", "class_size", "n_links"), "classed")
+    some = heavy_join(signed.where("n > 0"), classed, ["d1", "d2"], scratch).select("doc_id", "key", F.col("class.doc_id").alias("class_id"), F.col("class.key").alias("class_key"), "n_links", "class_size", "n")
     none = signed.where("n = 0").select("doc_id", "key", F.col("doc_id").alias("class_id"), F.col("key").alias("class_key"), F.lit(0).cast("long").alias("n_links"), F.lit(1).cast("long").alias("class_size"), "n")
     return some.unionByName(none).withColumnRenamed("n", "n_grams")
 
