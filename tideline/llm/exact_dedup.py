@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tideline.llm.common import Scratch, documents, text_rows
+from tideline.llm.common import Scratch, documents, heavy_join, text_rows
 
 WHITE = " \t\n\x0b\x0c\r"
 
@@ -26,7 +26,7 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     A null text counts as empty, and all empty texts are equal. An empty table gives an empty result.
 
     Rows meet by hash only as (hash, length, id); whole texts are grouped once, by (hash, text) with map-side
-    combining, so that a hot text leaves each map task as one row. A hash with more than one text is split by the
+    combining, so that a hot text leaves each map task as one row; the slim rows of a hot text take their group's by broadcast. A hash with more than one text is split by the
     bytes themselves.
     """
     spark = docs.sparkSession
@@ -44,7 +44,7 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     best = F.min(F.struct((-F.col("n")).alias("n"), F.col("doc_id").isNull().alias("none"), "doc_id", "rid"))
     groups = scratch.table(meta.groupBy("h", "part").agg(F.count("*").alias("group_size"), best.alias("best")), "groups")
     groups = groups.select("h", "part", "group_size", F.col("best.doc_id").alias("keep_id"), F.col("best.rid").alias("keep_rid"))
-    return meta.join(groups, ["h", "part"]).select(
+    return heavy_join(meta, groups, ["h", "part"], scratch).select(
         "doc_id", "keep_id", "group_size", (F.col("rid") == F.col("keep_rid")).alias("kept"), F.col("sha").alias("text_sha256"), F.col("n").cast("long").alias("n_chars")
     )
 
