@@ -12,8 +12,9 @@ from tideline.llm.common import Scratch, documents, let, text_rows
 WORD_BREAK = r"[\x00-\x2F\x3A-\x60\x7B-\x7F]+"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 WINDOW = 13
-FILTER_BITS = 1 << 20
-BROADCAST_ROWS = 2_000_000
+BITS_A_GRAM = 16
+FILTER_BITS = 1 << 16, 1 << 26  # least and most
+BROADCAST_BYTES = 64 << 20
 
 
 def words_of(text: Column) -> Column:
@@ -34,8 +35,13 @@ def benchmark_grams(benchmark: DataFrame, window: int = WINDOW) -> DataFrame:
     return grams.groupBy("size", "gram").agg(F.collect_set("item").alias("items"))
 
 
-def bit_filter(grams: DataFrame, size: int, bits: int = FILTER_BITS) -> Column:
-    """A literal of bits/64 longs, whatever the number of grams: bit (hash mod bits) is set for each gram."""
+def filter_bits(grams: int) -> int:
+    """A power of two with BITS_A_GRAM or more bits a gram, within FILTER_BITS: beyond, more windows pass, and none is lost."""
+    return min(FILTER_BITS[1], max(FILTER_BITS[0], 1 << (BITS_A_GRAM * grams).bit_length()))
+
+
+def bit_filter(grams: DataFrame, size: int, bits: int) -> Column:
+    """A literal of bits/64 longs: bit (hash mod bits) is set for each gram."""
     slot = F.pmod(F.xxhash64(F.split("gram", " ")), F.lit(bits))
     words = grams.where(F.col("size") == size).select(slot.alias("s")).distinct().groupBy(F.floor(F.col("s") / 64).cast("int").alias("k")).agg(F.bit_or(F.call_function("shiftleft", F.lit(1).cast("long"), (F.col("s") % 64).cast("int"))).alias("v"))
     held = [0] * (bits // 64)
@@ -44,16 +50,18 @@ def bit_filter(grams: DataFrame, size: int, bits: int = FILTER_BITS) -> Column:
     return F.from_json(F.lit(json.dumps(held)), "array<bigint>")
 
 
-def gram_hits(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, broadcast_rows: int = BROADCAST_ROWS) -> tuple[DataFrame, DataFrame]:
+def gram_hits(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, broadcast_bytes: int = BROADCAST_BYTES) -> tuple[DataFrame, DataFrame]:
     """(rows: rid, doc_id, n_words) and (hits: rid, pos, size, items), one hit per occurrence of a benchmark window."""
     spark = docs.sparkSession
     scratch = Scratch(spark, "decontaminate")
     grams = scratch.table(benchmark_grams(benchmark, window), "grams")
-    sizes = [r.size for r in grams.select("size").distinct().collect()]  # at most `window` numbers
+    items_bytes = F.aggregate("items", F.lit(0), lambda a, x: a + F.octet_length(x) + 16)
+    of_sizes = grams.groupBy("size").agg(F.count("*").alias("n"), F.sum(F.octet_length("gram") + items_bytes + 64).alias("bytes")).collect()  # at most `window` rows
+    sizes = {r["size"]: filter_bits(r["n"]) for r in of_sizes}
 
     def of_size(words: Column, size: int) -> Column:
-        bits = bit_filter(grams, size)
-        slots = F.transform(windows_of(words, size), lambda h, i: F.struct(F.pmod(h, F.lit(FILTER_BITS)).cast("int").alias("s"), i.alias("i")))
+        bits = bit_filter(grams, size, sizes[size])
+        slots = F.transform(windows_of(words, size), lambda h, i: F.struct(F.pmod(h, F.lit(sizes[size])).cast("int").alias("s"), i.alias("i")))
         maybe = F.filter(slots, lambda x: F.getbit(F.element_at(bits, F.shiftright(x.s, 6) + 1), x.s.bitwiseAND(63)) == 1)
         return F.transform(maybe, lambda x: F.struct(x.i.alias("pos"), F.lit(size).alias("size"), F.concat_ws(" ", F.slice(words, x.i + 1, size)).alias("gram")))
 
@@ -63,7 +71,7 @@ def gram_hits(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, broad
     seen = text_rows(docs).select(F.monotonically_increasing_id().alias("rid"), "doc_id", let(words_of(F.col("text")), lambda w: F.struct(F.size(w).alias("n"), candidates(w).alias("maybe"))).alias("x"))
     seen = scratch.table(seen.select("rid", "doc_id", F.col("x.n").cast("long").alias("n_words"), F.col("x.maybe").alias("maybe")), "scanned")
     # The bit filter only narrows; equality of the whole window decides.
-    small = grams.count() <= broadcast_rows
+    small = sum(r["bytes"] for r in of_sizes) <= broadcast_bytes
     maybe = seen.select("rid", F.explode("maybe").alias("m")).select("rid", "m.pos", "m.size", "m.gram")
     hits = maybe.join(F.broadcast(grams) if small else grams, ["size", "gram"]).select("rid", "pos", "size", "items")
     return seen.select("rid", "doc_id", "n_words"), scratch.table(hits, "hits")
@@ -89,8 +97,9 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW) -
     hits; benchmark rows with null or wordless texts have no window; a null item_id has no name and is left out of
     items. Repeated rows are judged each on its own; an empty table gives an empty result, an empty benchmark none hit.
 
-    Each text is read once. Inside its row, window hashes are held against a bit filter of fixed size; the few
-    windows that pass leave as rows and meet the windows themselves in a hash join (broadcast up to a row bound).
+    Each text is read once. Inside its row, window hashes are held against a bit filter sized by the number of benchmark
+    windows; the few windows that pass leave as rows and meet the windows themselves in a hash join, broadcast up to a
+    bound on their bytes.
     """
     rows, hits = gram_hits(docs, benchmark, window)
     n_hit = F.aggregate("spans", F.lit(0), lambda a, x: a + x.end - x.pos).cast("long")
