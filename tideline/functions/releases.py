@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import datetime as dt
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -27,10 +29,6 @@ def month_number(month: Column) -> Column:
     return F.substring(month, 1, 4).cast("int") * 12 + F.substring(month, 6, 2).cast("int") - 1
 
 
-def month_name(month: Column) -> Column:
-    return F.date_format(month_start(month), "MMMM yyyy")
-
-
 def window_name(ord: Column) -> Column:
     return F.when(ord == 1, WINDOWS[0]).when(ord == 2, WINDOWS[1]).otherwise(WINDOWS[2])
 
@@ -79,7 +77,11 @@ def surrogate_id(name: Column, unit: Column) -> Column:
 
 def json_safe(value: Column) -> Column:
     """NaN and infinities become null."""
-    return F.when(F.isnan(value) | (F.abs(value) == float("inf")), None).otherwise(value)
+    return F.when(~F.isnan(value) & (F.abs(value) != float("inf")), value)
+
+
+def month_name(month: Column) -> Column:
+    return F.date_format(month_start(month), "MMMM yyyy")
 
 
 def regime(actual: Column) -> Column:
@@ -89,3 +91,29 @@ def regime(actual: Column) -> Column:
 def allowed_url(url: Column, host: str, prefix: str) -> Column:
     """Whether a URL is on the host and below the path prefix."""
     return F.coalesce((F.try_parse_url(url, F.lit("HOST")) == host) & F.try_parse_url(url, F.lit("PATH")).startswith(prefix), F.lit(False))
+
+
+PUBLISHER = dt.timezone(dt.timedelta(hours=8))
+
+
+def parse_as_of(text: str) -> dt.datetime:
+    """A cutoff as the publisher's time (+08:00); without a time zone it is refused."""
+    at = dt.datetime.fromisoformat(text)
+    if at.tzinfo is None:
+        raise ValueError("as_of needs a time zone")
+    return at.astimezone(PUBLISHER)
+
+
+def default_month(now: Column) -> Column:
+    """The publisher's month at a UTC time."""
+    return F.date_format(now + F.expr("INTERVAL '8' HOUR"), "yyyy-MM")
+
+
+def category_name(category: Column) -> Column:
+    """A category without the ordinal that it begins with."""
+    return F.regexp_replace(category, r"^(?:[一二三四五六七八九十]+、|[IVX]+\. )", "")
+
+
+def event_digest() -> Column:
+    """What a journal event's id must be: a digest over its own columns."""
+    return F.sha2(F.concat_ws("|", "sequence", "kind", F.date_format("as_of", "yyyy-MM-dd HH:mm:ss"), "key", "cycle_id", "payload"), 256)

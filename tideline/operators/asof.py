@@ -22,12 +22,14 @@ def latest_by(df: DataFrame, keys: list[str], order: list[Column], keep: str = "
 
 
 def latest_snapshots(obs: DataFrame, grain: list[str]) -> DataFrame:
-    """The rows of each grain's newest stored snapshot.
+    """The rows of each grain's newest stored snapshot: of a page the one retrieved last, whatever stamp it carries; of a
+    period the one published last, then retrieved last.
 
     The snapshots are found by aggregation (a few columns, combined map-side) and joined back, so that wide
     observations are never sorted by window.
     """
-    newest = obs.groupBy(*grain).agg(F.max(F.struct("published_at", "retrieved_at", "content_sha256")).alias("s")).select(*grain, "s.content_sha256")
+    order = ["retrieved_at", "published_at"] if "source_url" in grain else ["published_at", "retrieved_at"]
+    newest = obs.groupBy(*grain).agg(F.max(F.struct(*order, "content_sha256")).alias("s")).select(*grain, "s.content_sha256")
     return obs.join(newest, [*grain, "content_sha256"], "left_semi")
 
 

@@ -52,18 +52,21 @@ def span_versions(epochs: DataFrame) -> DataFrame:
     return rows.groupBy("product_name").agg(F.min_by("version", "effective_from").alias("start_basket"), F.max_by("version", "effective_from").alias("end_basket"), F.count("*").alias("n_epochs"))
 
 
-def coverage_gaps(obs: DataFrame, first: str, last: str) -> DataFrame:
-    """Months and windows between two months that have no release."""
-    spark = obs.sparkSession
-    months = spark.range(1).select(F.explode(F.sequence(F.lit(f"{first}-01").cast("date"), F.lit(f"{last}-01").cast("date"), F.expr("INTERVAL 1 MONTH"))).alias("m"))
+def coverage_gaps(obs: DataFrame) -> DataFrame:
+    """Months and windows between the first and the last month that have no release."""
+    held = obs.select("release_month", "ord").distinct()
+    bounds = held.agg(F.min("release_month").alias("first"), F.max("release_month").alias("last"))
+    day = lambda c: F.to_date(F.concat(c, F.lit("-01")))
+    months = bounds.select(F.explode(F.sequence(day("first"), day("last"), F.expr("INTERVAL 1 MONTH"))).alias("m"))
     grid = months.select(F.date_format("m", "yyyy-MM").alias("release_month"), F.explode(F.array(F.lit(1), F.lit(2), F.lit(3))).alias("ord"))
-    return grid.join(obs.select("release_month", "ord").distinct(), ["release_month", "ord"], "left_anti")
+    return grid.join(held, ["release_month", "ord"], "left_anti")
 
 
 def panel_diagnostics(obs: DataFrame) -> DataFrame:
     """Per product: share of periods with a price, whether stable (90 % or more), and how often it came or went."""
     periods = obs.select("release_month", "ord").distinct()
-    grid = periods.crossJoin(F.broadcast(obs.select("product_name").distinct()))  # few periods, one dimension's names
+    names = obs.agg(F.array_sort(F.collect_set("product_name")).alias("names"))  # one dimension
+    grid = periods.crossJoin(names).select("release_month", "ord", F.explode("names").alias("product_name"))
     present = grid.join(obs.select("release_month", "ord", "product_name").distinct().withColumn("here", F.lit(1)), ["release_month", "ord", "product_name"], "left").withColumn("here", F.coalesce("here", F.lit(0)))
     line = Window.partitionBy("product_name").orderBy("release_month", "ord")
     moved = present.withColumn("moved", F.abs(F.col("here") - F.lag("here").over(line)))

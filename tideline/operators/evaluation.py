@@ -5,22 +5,25 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tideline.functions.releases import month_number, regime, shift_month
+from tideline.functions.releases import month_number, regime
 
 
-def feature_cutoffs(obs: DataFrame) -> DataFrame:
-    """Per month, when its features were complete: the least publication time of its second window."""
-    return obs.where("ord = 2").groupBy(F.col("release_month").alias("month")).agg(F.min("published_at").alias("cutoff"))
+def feature_cutoffs(obs: DataFrame, variant: str = "twentieth", last: bool = False) -> DataFrame:
+    """Per month, when its features were complete: the publication time of its second window, of its first for the early
+    variants; of several snapshots the first time, or the last."""
+    ord = 1 if variant.startswith("early") else 2
+    return obs.where(F.col("ord") == ord).groupBy(F.col("release_month").alias("month")).agg((F.max if last else F.min)("published_at").alias("cutoff"))
 
 
-def training_matrix(values: DataFrame, cutoffs: DataFrame, actuals: DataFrame) -> DataFrame:
-    """Long matrix (month, product, value, actual) with the reason why a month is left out.
+def training_matrix(values: DataFrame, cutoffs: DataFrame, actuals: DataFrame, months: DataFrame) -> DataFrame:
+    """One row a month of `months`: its target, cutoff and number of values, and the reason why it is left out.
 
-    Reasons: no_comparable (no product has a value), no_release, no_actual, actual_already_public.
+    Reasons: no_release, no_actual, actual_already_public, no_comparable (no product has a price change).
     """
-    months = values.groupBy("month").agg(F.count("value").alias("n_values"))
+    counts = values.where("part = 'price'").groupBy("month").agg(F.count("value").alias("n_values"))
+    months = months.join(counts, "month", "left").withColumn("n_values", F.coalesce("n_values", F.lit(0)))
     labelled = months.join(cutoffs, "month", "left").join(actuals.select(F.col("target_month").alias("month"), "actual_mom_pct", F.col("published_at").alias("actual_published_at")), "month", "left")
-    reason = F.when(F.col("n_values") == 0, "no_comparable").when(F.col("cutoff").isNull(), "no_release").when(F.col("actual_mom_pct").isNull(), "no_actual").when(F.col("actual_published_at") <= F.col("cutoff"), "actual_already_public")
+    reason = F.when(F.col("cutoff").isNull(), "no_release").when(F.col("actual_mom_pct").isNull(), "no_actual").when(F.col("actual_published_at") <= F.col("cutoff"), "actual_already_public").when(F.col("n_values") == 0, "no_comparable")
     return labelled.withColumn("reason", reason)
 
 
@@ -112,10 +115,13 @@ def out_of_range(values: DataFrame, split_month: str, least: int = 12) -> DataFr
     return joined.groupBy("month").agg(F.count_if((F.col("value") < F.col("lo")) | (F.col("value") > F.col("hi"))).alias("outside"), F.count_if(F.coalesce("history", F.lit(0)) < least).alias("short_history"), F.count("*").alias("n_values"))
 
 
-def attributions(values: DataFrame) -> DataFrame:
-    """Each product's standardised value times its coefficient (here: the product's share), and the group's sum."""
-    stats = values.where("value is not null").groupBy("product_name").agg(F.avg("value").alias("m"), F.greatest(F.stddev_pop("value"), F.lit(1.0)).alias("s"))
-    return values.join(stats, "product_name").withColumn("contribution", F.coalesce((F.col("value") - F.col("m")) / F.col("s"), F.lit(0.0)) / 25)
+def attributions(values: DataFrame, coefficients: DataFrame) -> DataFrame:
+    """Each product's standardised value times its fitted coefficient, of the model that was fitted for that month.
+
+    coefficients: month, product_name, centre, scale, weight. A missing value contributes nothing.
+    """
+    held = values.join(coefficients, ["month", "product_name"])
+    return held.withColumn("contribution", F.coalesce((F.col("value") - F.col("centre")) / F.col("scale"), F.lit(0.0)) * F.col("weight"))
 
 
 def top_k(contributions: DataFrame, keys: list[str], k: int) -> DataFrame:
@@ -123,7 +129,15 @@ def top_k(contributions: DataFrame, keys: list[str], k: int) -> DataFrame:
     return contributions.withColumn("rank", F.row_number().over(line).cast("long")).where(F.col("rank") <= k)
 
 
-def next_month_pairs(values: DataFrame) -> DataFrame:
-    """A value with the same product's value of the month before."""
-    before = values.select("product_name", "variant", shift_month(F.col("month"), 1).alias("month"), F.col("value").alias("before"))
-    return values.join(before, ["product_name", "variant", "month"])
+def newest_months(origins: DataFrame, n: int) -> DataFrame:
+    """The newest n training months of each origin."""
+    line = Window.partitionBy("month").orderBy(F.col("train_month").desc())
+    return origins.withColumn("_r", F.row_number().over(line)).where(F.col("_r") <= n).drop("_r")
+
+
+def simple_baselines(actuals: DataFrame, least: int = 12) -> DataFrame:
+    """Per month after the first `least`: no change, the month before, and the mean of all before, whatever was released."""
+    line = Window.orderBy("target_month")  # one row a month
+    before = line.rowsBetween(Window.unboundedPreceding, -1)
+    held = actuals.select("target_month", "actual_mom_pct", F.row_number().over(line).alias("r"), F.lag("actual_mom_pct").over(line).alias("persistence"), (F.round(F.sum("actual_mom_pct").over(before), 6) / F.count("*").over(before)).alias("expanding_mean"))
+    return held.where(F.col("r") > least).select("target_month", "actual_mom_pct", F.lit(0.0).alias("no_change"), "persistence", "expanding_mean")

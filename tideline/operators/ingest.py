@@ -11,9 +11,15 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StringType
 
+from tideline.functions.releases import title_month_window
+
 ROWS = "source_url string, position int, category string, product_name string, unit string, price double, change double, change_pct double"
 NUMBER = re.compile(r"^[+-]?\d+(?:\.\d+)?$")
-CHALLENGE_MARKS = ("verify you are human", "challenge-platform", "enable javascript and cookies")
+# The marks of the publisher's challenge page, the table's header words, and how a category begins.
+CHALLENGE_MARKS = ("Please enable JavaScript and refresh the page", "请开启JavaScript并刷新该页")
+HEADER = (("产品名称", "本期价格", "涨跌幅"), ("product", "price", "%"))
+CATEGORY = re.compile(r"^(?:[一二三四五六七八九十]+、|[IVX]+\. )")
+TITLE_ROW = ("产品名称", "序号", "product")
 UP, DOWN, FLAT = ("上涨", "rose", "increased", "up"), ("下降", "fell", "decreased", "down"), ("持平", "flat", "unchanged")
 
 
@@ -48,34 +54,38 @@ class Tables(HTMLParser):
         self.cell = None
 
 
-def price_rows(html: str | None, header: tuple[str, ...] = ("产品", "product")) -> list[tuple]:
-    """(position, category, product, unit, price, change, change_pct) of the first table whose header names products.
+def price_rows(html: str | None) -> list[tuple]:
+    """(position, category, product, unit, price, change, change_pct) of the first table that has all the header words.
 
-    A row of one filled cell is a category and is carried down; rows without a number are skipped.
+    A row that begins with an ordinal is a category and is carried down; a row counts if its price, change and per cent
+    are all numbers. Fewer cells, title rows and rows with a dash are skipped.
     """
     reader = Tables()
     reader.feed(html or "")
+    reader.close_cell()
     for table in reader.tables:
-        if table and any(any(h in c.lower() for h in header) for row in table[:3] for c in row):
-            found, category = [], None
+        words = " ".join(c for row in table for c in row).lower()
+        if any(all(w in words for w in header) for header in HEADER):
+            found, category = [], ""
             for k, row in enumerate(table):
-                filled = [c for c in row if c]
-                if len(filled) == 1 and not NUMBER.match(filled[0]):
-                    category = filled[0]
-                elif len(row) >= 5 and NUMBER.match(row[2]):
-                    numbers = [float(c) if NUMBER.match(c) else None for c in row[2:5]]
-                    found.append((k, category, row[0], row[1], *numbers))
+                if row and CATEGORY.match(row[0]):
+                    category = row[0]
+                elif len(row) >= 5 and row[0].lower() not in TITLE_ROW and all(NUMBER.match(c) for c in row[2:5]):
+                    found.append((k, category, row[0], row[1], *map(float, row[2:5])))
             return found
     return []
 
 
 def extract_prices(pages: DataFrame) -> DataFrame:
-    """Rows of the price tables of (source_url, html) pages; parsing is the only Python step, on Arrow batches."""
+    """Rows of the price tables of (source_url, html) pages; parsing is the only Python step, on Arrow batches.
+
+    A page without such a table, or with no numeric row, gives one row with a null position, so that it can be counted.
+    """
 
     def parse(frames):
         for frame in frames:
-            rows = [(url, *r) for url, html in zip(frame["source_url"], frame["html"]) for r in price_rows(html)]
-            yield pd.DataFrame(rows, columns=[c.split()[0] for c in ROWS.split(", ")]).astype({"position": "int32"})
+            rows = [(url, *r) for url, html in zip(frame["source_url"], frame["html"]) for r in price_rows(html) or [(None,) * 7]]
+            yield pd.DataFrame(rows, columns=[c.split()[0] for c in ROWS.split(", ")]).astype({"position": "Int32", "price": float, "change": float, "change_pct": float})
 
     return pages.select("source_url", "html").mapInPandas(parse, ROWS)
 
@@ -84,7 +94,7 @@ def is_challenge(html: Column) -> Column:
     """Whether a page is an anti-bot challenge, not a release."""
     hit = F.lit(False)
     for mark in CHALLENGE_MARKS:
-        hit = hit | F.contains(F.lower(html), F.lit(mark))
+        hit = hit | F.contains(html, F.lit(mark))
     return F.coalesce(hit, F.lit(False))
 
 
@@ -114,12 +124,26 @@ def normalised_names(names: DataFrame) -> DataFrame:
 
 
 def discovered_links(pages: DataFrame) -> DataFrame:
-    """Distinct links of index pages with their kind, by title."""
-    links = pages.select(F.explode(F.expr(r"""regexp_extract_all(html, '<a[^>]*href="([^"]+)"[^>]*>', 1)""")).alias("url")).distinct()
-    return links.withColumn("kind", F.when(F.col("url").rlike("(1-10|11-20|21-end)"), "ten_day").when(F.lower("url").contains("ppi"), "ppi").otherwise("other"))
-
-
-def ingest(stored: DataFrame, incoming: DataFrame) -> DataFrame:
-    """Incoming snapshots with unseen content, once each, that are no challenge pages."""
-    digested = incoming.withColumn("content_sha256", F.sha2("html", 256)).where(~is_challenge(F.col("html")))
-    return digested.dropDuplicates(["content_sha256"]).join(stored.select("content_sha256"), "content_sha256", "left_anti")
+    """Distinct links of index pages with kind and month, read from their titles (the anchor's text)."""
+    anchors = pages.select(F.explode(F.expr(r"""regexp_extract_all(html, '<a[^>]*href="[^"]+"[^>]*>[^<]*', 0)""")).alias("a"))
+    links = anchors.select(F.regexp_extract("a", 'href="([^"]+)"', 1).alias("url"), F.trim(F.regexp_extract("a", ">([^<]*)$", 1)).alias("title")).groupBy("url").agg(F.min("title").alias("title"))
+    month, window = title_month_window(F.col("title"))
+    kind = F.when(window.isNotNull() & month.isNotNull(), "ten_day").when(F.col("title").rlike("(?i)producer price|工业生产者"), "ppi").otherwise("other")
+    return links.withColumn("kind", kind).withColumn("month", month)
+
+
+def link_range(links: DataFrame, first: str, last: str) -> DataFrame:
+    """Release links of months between two, both included."""
+    return links.where(F.col("month").between(first, last) & (F.col("kind") != "other"))
+
+
+def ingest(stored: DataFrame, incoming: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(new snapshots, errors): incoming pages with unseen addresses and content, once each; challenge pages and pages
+    whose title names no release are errors with a reason, and stop nothing. pages: source_url, title, html, retrieved_at."""
+    month, window = title_month_window(F.col("title"))
+    judged = incoming.withColumns({"content_sha256": F.sha2("html", 256), "release_month": month, "window": window, "published_at": published_at(F.col("html"))})
+    reason = F.when(is_challenge(F.col("html")), "challenge").when(F.col("release_month").isNull() | F.col("window").isNull(), "no_release_in_title").when(F.col("published_at").isNull(), "no_publication_time")
+    judged = judged.withColumn("reason", reason)
+    new = judged.where("reason is null").join(stored.select("source_url").distinct(), "source_url", "left_anti").join(stored.select("content_sha256").distinct(), "content_sha256", "left_anti")
+    first = new.groupBy("content_sha256").agg(F.min_by(F.struct("source_url", "title", "html", "retrieved_at", "release_month", "window", "published_at"), "source_url").alias("x"))
+    return first.select("content_sha256", "x.*"), judged.where("reason is not null").select("source_url", "content_sha256", "reason")

@@ -9,104 +9,81 @@ from pyspark.ml.regression import GBTRegressor, LinearRegression, RandomForestRe
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-# The grids that are searched.
-ALPHAS = (10.0, 25.0, 100.0, 400.0, 1600.0)
-MIN_HISTORY = (2, 12, 24)
-INNER_FOLDS = 3
-
-
-def observed_scale(values: pd.DataFrame) -> tuple[pd.Series, pd.Series]:
-    """Mean and population deviation (1 at least) of what is observed in each column."""
-    return values.mean(), values.std(ddof=0).clip(lower=1.0)
-
-
-class ObservedScaleRidge:
-    """Ridge on columns scaled by their observed values; a missing value counts as the column's mean."""
-
-    def __init__(self, alpha: float, min_history: int = 2):
-        self.alpha, self.min_history = alpha, min_history
-
-    def fit(self, x: pd.DataFrame, y: np.ndarray) -> ObservedScaleRidge:
-        self.columns = sorted(c for c in x.columns if x[c].notna().sum() >= self.min_history)
-        x = x[self.columns]
-        self.mean, self.scale = observed_scale(x)
-        z = self.transform(x)
-        self.bias = float(np.mean(y))
-        centre = z.mean(axis=0)
-        z = z - centre
-        # As many unknowns as rows or columns, whichever is fewer.
-        if z.shape[1] <= z.shape[0]:
-            self.weight = np.linalg.solve(z.T @ z + self.alpha * np.eye(z.shape[1]), z.T @ (y - self.bias))
-        else:
-            self.weight = z.T @ np.linalg.solve(z @ z.T + self.alpha * np.eye(z.shape[0]), y - self.bias)
-        self.bias -= float(centre @ self.weight)
-        return self
-
-    def transform(self, x: pd.DataFrame) -> np.ndarray:
-        return ((x.reindex(columns=self.columns) - self.mean) / self.scale).fillna(0.0).to_numpy(float)
-
-    def predict(self, x: pd.DataFrame) -> np.ndarray:
-        return self.transform(x) @ self.weight + self.bias
-
-    def contributions(self, x: pd.DataFrame) -> pd.DataFrame:
-        return pd.DataFrame(self.transform(x) * self.weight, columns=self.columns, index=x.index)
-
-
-def select_ridge(x: pd.DataFrame, y: np.ndarray) -> tuple[float, int]:
-    """Alpha and history of least error on the last blocks; of equal ones the larger alpha, then the longer history."""
-    n = len(y)
-    size = max(1, n // (INNER_FOLDS + 1))
-    best = None
-    for alpha in ALPHAS:
-        for history in MIN_HISTORY:
-            losses = []
-            for k in range(INNER_FOLDS, 0, -1):
-                end = n - (k - 1) * size
-                start = end - size
-                if start < 2 or not any(x.iloc[:start].notna().sum() >= history):
-                    continue
-                model = ObservedScaleRidge(alpha, history).fit(x.iloc[:start], y[:start])
-                losses += np.abs(model.predict(x.iloc[start:end]) - y[start:end]).tolist()
-            if losses:
-                rank = (round(float(np.mean(losses)), 12), -alpha, -history)
-                best = min(best, (rank, alpha, history)) if best else (rank, alpha, history)
-    return (best[1], best[2]) if best else (ALPHAS[-1], MIN_HISTORY[0])
-
-
-PREDICTION = "month string, model_key string, estimate_mom_pct double, actual_mom_pct double, n_train long, training_end string, alpha double, min_history long"
-
-
-def nested_predictions(matrix_long: DataFrame, origins: DataFrame, model: str = "product_ridge", least: int = 24) -> DataFrame:
-    """Expanding-window predictions: each origin month is one group with only the months that were public at its cutoff.
-
-    matrix_long: month, product_name, value, actual_mom_pct. origins: month, train_month (eligible_origins()). A group
-    holds at most all months of one panel, which is bounded by the calendar, and groups run side by side.
+from tideline.operators import ridge
+
+PARTS = "array<struct<product_name:string,centre:double,scale:double,weight:double>>"
+FITTED = f"month string, model_key string, status string, estimate_mom_pct double, actual_mom_pct double, n_train long, training_end string, penalty double, least_history long, window long, bias double, parts {PARTS}"
+
+
+def wide_rows(matrix_long: DataFrame) -> DataFrame:
+    """One row a month: its products with value and group, its target and both times."""
+    cell = F.struct("product_name", "sector", "value")
+    return matrix_long.groupBy("month", "actual_mom_pct", "actual_published_at", "cutoff").agg(F.array_sort(F.collect_list(cell)).alias("cells"))
+
+
+def fit_origins(rows: DataFrame, origins: DataFrame, model: str = "product_ridge", stable: bool = False, windows: tuple = (None,), least: int = 24) -> DataFrame:
+    """One row an origin month: the model chosen and fitted on the months that were public at its cutoff, and its estimate.
+
+    rows: wide_rows(). origins: month, train_month (eligible_origins()). An origin's group holds one row a month, so it
+    is bounded by the calendar, and groups run side by side. status: fitted, or why there is no model. Models:
+    product_ridge (columns are products), sector_first (means of each sector's products), benchmark_ridge (medians,
+    indicators and leave-one-out choice; needs no inner folds).
     """
-    long = matrix_long.select(F.col("month").alias("train_month"), "product_name", "value", F.col("actual_mom_pct").alias("y"))
     itself = origins.select("month").distinct().withColumn("train_month", F.col("month"))
-    rows = origins.select("month", "train_month").unionByName(itself).join(long, "train_month")
+    joined = origins.select("month", "train_month").unionByName(itself).join(rows.withColumnRenamed("month", "train_month"), "train_month")
 
-    def predict(frame: pd.DataFrame) -> pd.DataFrame:
+    def run(frame: pd.DataFrame) -> pd.DataFrame:
+        frame = frame.sort_values("train_month")
         month = frame["month"].iloc[0]
-        x = frame.pivot_table(index="train_month", columns="product_name", values="value", dropna=False).sort_index()
-        y = frame.groupby("train_month")["y"].first().sort_index()
-        train = x.index < month
-        if train.sum() < least or month not in x.index:
-            return result()
-        xs, ys = x[train], y[train].to_numpy(float)
-        if model == "direct_tracker":
-            estimate, alpha, history = float(100 * np.expm1(x.loc[month].mean() / 100)), np.nan, 0
-        else:
-            alpha, history = select_ridge(xs, ys)
-            estimate = float(ObservedScaleRidge(alpha, history).fit(xs, ys).predict(x.loc[[month]])[0])
-        return result(month, model, estimate, float(y[month]), int(train.sum()), str(xs.index[-1]), alpha, history)
-
-    def result(*row) -> pd.DataFrame:
-        kinds = {"string": object, "double": float, "long": "int64"}
-        columns = [c.split() for c in PREDICTION.split(", ")]
-        return pd.DataFrame({name: pd.Series([v] if row else [], dtype=kinds[kind]) for (name, kind), v in zip(columns, row or columns)})
-
-    return rows.groupBy("month").applyInPandas(predict, PREDICTION)
+        names, x = panel_of(frame["cells"], model == "sector_first")
+        y = frame["actual_mom_pct"].to_numpy(float)
+        train, now = np.flatnonzero(frame["train_month"] < month), np.flatnonzero(frame["train_month"] == month)
+        row = {"month": month, "model_key": model, "status": "short_history", "actual_mom_pct": y[now][0], "n_train": len(train), "training_end": frame["train_month"].iloc[train[-1]] if len(train) else None, "parts": []}
+        if len(train) >= least:
+            try:
+                row |= {"status": "fitted"} | fitted(names, x, y, train, now, frame)
+            except ValueError as reason:
+                row["status"] = str(reason)
+        kinds = {"double": float, "long": "Int64"}
+        return pd.DataFrame({c.split()[0]: pd.Series([row.get(c.split()[0])], dtype=kinds.get(c.split()[1], object)) for c in FITTED.split(", ")})
+
+    def fitted(names, x, y, train, now, frame) -> dict:
+        if model == "benchmark_ridge":
+            found, penalty = ridge.fit_leave_one_out(x[train], y[train])
+            return {"estimate_mom_pct": float(found(ridge.with_indicators(x[now], x[train]))[0]), "penalty": penalty, "bias": found.bias}
+        public, cutoff = (frame[c].to_numpy("datetime64[ns]") for c in ("actual_published_at", "cutoff"))
+        best = ridge.choose(x[train], y[train], public[train], cutoff[train], stable, windows)
+        rows = train[-best.window :] if best.window else train
+        found = ridge.fit(x[rows], y[rows], best.penalty, best.least, stable)
+        parts = [{"product_name": names[k], "centre": float(c), "scale": float(s), "weight": float(w)} for k, c, s, w in zip(found.use, found.centre, found.scale, found.weight)]
+        return {"estimate_mom_pct": float(found(x[now])[0]), "penalty": best.penalty, "least_history": best.least, "window": best.window, "bias": found.bias, "parts": parts}
+
+    return joined.groupBy("month").applyInPandas(run, FITTED)
+
+
+def panel_of(cells, by_sector: bool = False) -> tuple[list[str], np.ndarray]:
+    """(names, months x names) of the months' cells, missing ones as NaN; by sector the means of its products."""
+    key = "sector" if by_sector else "product_name"
+    frame = pd.DataFrame([(k, c[key], c["value"]) for k, month in enumerate(cells) for c in month], columns=["k", "name", "value"])
+    table = frame.pivot_table(index="k", columns="name", values="value", dropna=False).reindex(range(len(cells)))
+    return list(table.columns), table.to_numpy(float)
+
+
+def direct_tracker(values: DataFrame, origins: DataFrame, least: int = 24) -> DataFrame:
+    """The geometric mean change of the origin's own month; nothing is fitted, but origins need as much history."""
+    known = origins.groupBy("month").agg(F.count("*").alias("n_train"), F.max("train_month").alias("training_end")).where(F.col("n_train") >= least)
+    return values.groupBy("month").agg((100 * F.expm1(F.avg("value") / 100)).alias("estimate_mom_pct")).join(known, "month")
+
+
+def coefficients(fitted: DataFrame) -> DataFrame:
+    """(month, product_name, centre, scale, weight) of fitted origins."""
+    return fitted.select("month", F.explode("parts").alias("p")).select("month", "p.*")
+
+
+def compared_fits(old: DataFrame, new: DataFrame) -> DataFrame:
+    """Two ways of fitting, on the months that both could predict: errors side by side."""
+    side = lambda df, name: df.where("status = 'fitted'").select("month", (F.col("estimate_mom_pct") - F.col("actual_mom_pct")).alias(name))
+    return side(old, "old_error").join(side(new, "new_error"), "month")
 
 
 def wide(matrix_long: DataFrame, products: list[str]) -> DataFrame:
@@ -124,7 +101,7 @@ def estimators(rows: int, label_sd: float, alpha: float = 25.0) -> dict[str, obj
     common = {"featuresCol": "features", "labelCol": "label", "seed": 7}
     return {
         "ridge": LinearRegression(featuresCol="features", labelCol="label", regParam=alpha * label_sd / max(rows, 1), elasticNetParam=0.0, standardization=False, solver="normal"),
-        "boosting": GBTRegressor(maxIter=20, maxDepth=2, stepSize=0.1, **common),
+        "boosting": GBTRegressor(maxIter=40, maxDepth=2, stepSize=0.1, **common),
         "forest": RandomForestRegressor(numTrees=50, maxDepth=4, **common),
     }
 

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tideline.functions.releases import event_digest
+
 KEY = ["target_month", "vintage", "model_key", "feature_hash"]
 
 
@@ -35,39 +37,62 @@ def changed_values(previous: DataFrame, rebuilt: DataFrame, keys: list[str], val
 
 
 def chain_breaks(journal: DataFrame) -> DataFrame:
-    """Events that do not follow the one before: it is missing, or another predecessor is named.
+    """Events whose own columns no longer give their id (changed), or that do not follow the one before: it is missing
+    (gap), or another predecessor is named (forged).
 
     The predecessor is found by its sequence number, so a long journal is dealt by key and never ordered in one task.
     """
-    before = journal.select((F.col("sequence") + 1).alias("sequence"), F.col("payload_id").alias("last"))
+    before = journal.select((F.col("sequence") + 1).alias("sequence"), F.col("event_id").alias("last"))
     held = journal.join(before, "sequence", "left")
-    return held.where(~F.col("previous_event").eqNullSafe(F.col("last"))).withColumn("fault", F.when(F.col("last").isNull(), "gap").otherwise("forged"))
+    broken = ~F.col("previous_event").eqNullSafe(F.col("last"))
+    fault = F.when(F.col("event_id") != event_digest(), "changed").when(broken & F.col("last").isNull(), "gap").when(broken, "forged")
+    return held.withColumn("fault", fault).where("fault is not null")
+
+
+#: What a cycle's status is after an event; a failed refit changes none.
+STATUS = {"trial_requested": "requested", "challenger_fitted": "testing", "trial_decided": "decided", "trial_cancelled": "cancelled", "promoted": "promoted"}
 
 
-def replay(journal: DataFrame, entity: str = "entity") -> DataFrame:
-    """State of each entity after its last event, and how many events of each type led there.
+def replay_champions(journal: DataFrame) -> DataFrame:
+    """Per key: the event that set its champion last, and the last event that completed a comparison.
 
-    The fold is an aggregation: the last event by sequence wins, counts add up, so it runs map-side and in any order.
+    The fold is an aggregation: the last event by sequence wins, so it runs map-side and in any order.
     """
-    count = lambda t: F.count_if(F.col("event_type") == t).alias(f"n_{t}")
-    return journal.groupBy(entity).agg(F.max_by("event_type", "sequence").alias("state"), F.max("sequence").alias("last_sequence"), count("signup"), count("purchase"), count("error"))
+    last = lambda kinds, c: F.max_by(F.when(F.col("kind").isin(*kinds), F.col(c)), F.when(F.col("kind").isin(*kinds), F.col("sequence")))
+    return journal.groupBy("key").agg(last(("initialized", "adopted", "promoted"), "event_id").alias("champion"), last(("trial_decided", "adopted"), "as_of").alias("completed_at"), F.count("*").alias("n_events"))
 
 
-def drift_triggers(scores: DataFrame, keys: list[str], window: int = 4, ratio: float = 1.5, increase: float = 0.15, bias: float = 0.25, refresh: int = 12) -> DataFrame:
-    """Whether the last outcomes of a key call for a new trial, and why.
+def replay_cycles(journal: DataFrame) -> DataFrame:
+    """Per requested cycle: its status after all its events, when it was requested last, and how many refits failed.
 
-    Reasons: error (recent MAE above both bounds on the reference), bias, refresh (so many outcomes since the start).
+    Events before the cycle's first request are unknown to it and count for nothing.
+    """
+    first = journal.where("kind = 'trial_requested'").groupBy("cycle_id").agg(F.min("sequence").alias("since"))
+    held = journal.join(first, "cycle_id").where(F.col("sequence") >= F.col("since"))
+    status = F.lit(None).cast("string")
+    for kind, name in STATUS.items():
+        status = F.when(F.col("kind") == kind, name).otherwise(status)
+    held = held.withColumn("status", status)
+    return held.groupBy("key", "cycle_id").agg(
+        F.max_by("status", F.when(F.col("status").isNotNull(), F.col("sequence"))).alias("status"), F.max(F.when(F.col("kind") == "trial_requested", F.col("as_of"))).alias("requested_at"), F.count_if(F.col("kind") == "refit_failed").alias("n_failed"),
+    )
+
+
+def drift_triggers(scores: DataFrame, reference: DataFrame, keys: list[str], window: int = 4, ratio: float = 1.5, increase: float = 0.15, bias: float = 0.25, refresh: int = 12) -> DataFrame:
+    """Whether a key's last outcomes call for a new trial, and why.
+
+    scores: outcomes since the last comparison. reference: keys, reference_mae, as saved with the model. Reasons: error
+    (recent MAE above both bounds on the reference), bias, refresh (so many outcomes without a trial). With fewer than
+    `window` outcomes there is no reason yet.
     """
     line = Window.partitionBy(*keys).orderBy(F.col("target_month").desc())
     ranked = scores.withColumn("r", F.row_number().over(line))
     recent = F.col("r") <= window
-    held = ranked.groupBy(*keys).agg(
-        F.avg(F.when(recent, F.abs("error"))).alias("recent_mae"), F.avg(F.when(recent, F.col("error"))).alias("recent_bias"), F.avg(F.when(~recent, F.abs("error"))).alias("reference_mae"), F.count("*").alias("outcomes"), F.count_if(recent).alias("in_window"),
-    )
-    enough = F.col("in_window") >= window
+    held = ranked.groupBy(*keys).agg(F.avg(F.when(recent, F.abs("error"))).alias("recent_mae"), F.avg(F.when(recent, F.col("error"))).alias("recent_bias"), F.count("*").alias("outcomes")).join(reference, keys)
+    enough = F.col("outcomes") >= window
     error = enough & (F.col("recent_mae") > F.greatest(ratio * F.col("reference_mae"), F.col("reference_mae") + increase))
     biased = enough & (F.abs("recent_bias") > bias)
-    reasons = F.array_compact(F.array(F.when(error, F.lit("error")), F.when(biased, F.lit("bias")), F.when(F.col("outcomes") >= refresh, F.lit("refresh"))))
+    reasons = F.array_compact(F.array(F.when(error, F.lit("error")), F.when(biased, F.lit("bias")), F.when(enough & (F.col("outcomes") >= refresh), F.lit("refresh"))))
     return held.withColumn("reasons", F.array_join(reasons, ",")).withColumn("triggered", F.size(reasons) > 0)
 
 
@@ -79,11 +104,17 @@ def promotion_rules(relative: float = 0.05, absolute: float = 0.02, rmse: float
     }
 
 
+def matched_pairs(scores: DataFrame, champion: str, keys: tuple[str, ...] = ("vintage",)) -> DataFrame:
+    """Every challenger's outcomes beside the champion's, from the same features of the same months."""
+    same = [*keys, "target_month", "feature_hash"]
+    of = scores.select(*same, "model_key", "error")
+    base = of.where(F.col("model_key") == champion).select(*same, F.col("error").alias("old"))
+    return of.where(F.col("model_key") != champion).join(base, same)
+
+
 def promotion_decisions(scores: DataFrame, champion: str, first: int = 6, keys: tuple[str, ...] = ("vintage",)) -> DataFrame:
     """Every challenger against the champion on their first common months; promoted if all five rules hold."""
-    of = scores.select(*keys, "target_month", "model_key", "error")
-    base = of.where(F.col("model_key") == champion).select(*keys, "target_month", F.col("error").alias("old"))
-    pairs = of.where(F.col("model_key") != champion).join(base, [*keys, "target_month"])
+    pairs = matched_pairs(scores, champion, keys)
     line = Window.partitionBy(*keys, "model_key").orderBy("target_month")
     pairs = pairs.withColumn("r", F.row_number().over(line)).where(F.col("r") <= first)
     rms = lambda c: F.sqrt(F.avg(F.col(c) * F.col(c)))
@@ -98,3 +129,19 @@ def promotion_decisions(scores: DataFrame, champion: str, first: int = 6, keys:
     for name in promotion_rules():
         every = every & F.col(f"rule_{name}")
     return held.withColumn("promoted", every)
+
+
+def changed_predictions(saved: DataFrame, again: DataFrame, keys: list[str], value: str = "estimate_mom_pct", tolerance: float = 1e-10) -> DataFrame:
+    """Saved forecasts that the model no longer gives, or that it was not asked for: what a re-prediction check must find empty."""
+    return saved.select(*keys, F.col(value).alias("saved")).join(again.select(*keys, F.col(value).alias("again")), keys, "left").where(F.col("again").isNull() | (F.abs(F.col("saved") - F.col("again")) > tolerance))
+
+
+def late_forecasts(forecasts: DataFrame, actuals: DataFrame) -> DataFrame:
+    """Forecasts that were made when an actual of their month was public: none of them may be scored as prospective."""
+    public = actuals.groupBy("target_month").agg(F.min("published_at").alias("actual_published_at"))
+    return forecasts.join(public, "target_month").where(F.col("as_of") >= F.col("actual_published_at"))
+
+
+def composite_bundle(active: DataFrame, promoted: DataFrame, keys: list[str]) -> DataFrame:
+    """The active models with the promoted ones in place of those of the same key; all others stay."""
+    return active.join(promoted.select(*keys), keys, "left_anti").unionByName(promoted, allowMissingColumns=True)

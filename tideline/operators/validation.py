@@ -19,13 +19,13 @@ def with_changes(obs: DataFrame) -> DataFrame:
     return changed.withColumn("reported_pct", F.round(100 * F.col("change") / (F.col("price") - F.col("change")), 1))
 
 
-def release_validation(obs: DataFrame, minimum_products: int = 20) -> DataFrame:
+def release_validation(obs: DataFrame, minimum_products: int = 40) -> DataFrame:
     """Per release: offenders of each rule, and its status (error, warning or ok)."""
     implied = 100 * F.col("change") / F.nullif(F.col("price") - F.col("change"), F.lit(0.0))
     gap = F.abs(implied - F.col("reported_pct"))
     checks = obs.groupBy("release_month", "ord", "snapshot").agg(
         F.count("*").alias("n_products"), F.count_if(F.col("price").isNull()).alias("not_numeric"), F.count_if(F.col("price") <= 0).alias("not_positive"), F.count_if(F.trim("product_name") == "").alias("blank"),
-        (F.count("*") - F.count_distinct("product_name")).alias("duplicates"), F.count_if(gap > 1.0).alias("wrong_change"), F.count_if((gap > 0.04) & (gap <= 1.0)).alias("odd_change"),
+        (F.count("*") - F.count_distinct("product_name")).alias("duplicates"), F.count_if(gap > 1.0).alias("wrong_change"), F.count_if((gap > 0.25) & (gap <= 1.0)).alias("odd_change"),
     )
     bad = F.col("not_numeric") + F.col("not_positive") + F.col("blank") + F.col("duplicates") + F.col("wrong_change")
     return checks.withColumn("status", F.when(bad > 0, "error").when((F.col("n_products") < minimum_products) | (F.col("odd_change") > 0), "warning").otherwise("ok"))

@@ -13,14 +13,14 @@ def known_scores(scores: DataFrame, as_of: Column) -> DataFrame:
     return scores.where(F.col("actual_published_at") <= as_of)
 
 
-def cycle_events(scores: DataFrame, champion: str, as_of: Column, most_trials: int = 2) -> DataFrame:
+def cycle_events(scores: DataFrame, reference: DataFrame, champion: str, as_of: Column, most_trials: int = 2) -> DataFrame:
     """Events of one run per vintage: triggered champions, the trials opened (at most `most_trials`), and decisions.
 
     Nothing later than as_of is used. A trial goes to the challengers of least error so far; a decision is made on the
     first common months and promotes only if every rule holds.
     """
     held = known_scores(scores, as_of)
-    due = registry.drift_triggers(held, ["model_key", "vintage"]).where((F.col("model_key") == champion) & F.col("triggered"))
+    due = registry.drift_triggers(held, reference, ["model_key", "vintage"]).where((F.col("model_key") == champion) & F.col("triggered"))
     triggers = due.select("vintage", F.lit("trigger").alias("event_type"), F.lit(champion).alias("model_key"), F.col("reasons").alias("payload"))
     ranked = held.where(F.col("model_key") != champion).groupBy("vintage", "model_key").agg(F.round(F.avg(F.abs("error")), 9).alias("mae"))
     best = ranked.groupBy("vintage").agg(F.slice(F.array_sort(F.collect_list(F.struct("mae", "model_key"))), 1, most_trials).alias("best"))

@@ -2,27 +2,30 @@
 
 from __future__ import annotations
 
-from tideline.plans.queries import CUTOFF, FIRST, LAST
-from tideline.sources.proxy import MODELS, VINTAGES
-
-FAR = "2010-01-01 00:00:00"
+from tideline.operators.specs import SPECS
+from tideline.plans.queries import CUTOFF, FAR, SINCE
+from tideline.sources.proxy import EVENT_KINDS, MODELS, VINTAGES
 
 OBS = """
 cells AS (
   SELECT strftime(l_shipdate, '%Y-%m') AS release_month, CASE WHEN day(l_shipdate) <= 10 THEN 1 WHEN day(l_shipdate) <= 20 THEN 2 ELSE 3 END AS ord, p_brand AS product_name, snapshot,
-         (CAST(sum(CAST(round(l_extendedprice * 100) AS BIGINT)) AS BIGINT) * 100 // CAST(sum(CAST(l_quantity AS BIGINT)) AS BIGINT)) / 10000 AS price
-  FROM lineitem JOIN part ON l_partkey = p_partkey, (VALUES ('full'), ('early')) s(snapshot) WHERE snapshot = 'full' OR l_linestatus = 'F' GROUP BY ALL),
+         (CAST(sum(CAST(round(l_extendedprice * 100) AS BIGINT)) AS BIGINT) * CASE snapshot WHEN 'corrected' THEN 102 ELSE 100 END // CAST(sum(CAST(l_quantity AS BIGINT)) AS BIGINT)) / 10000 AS price
+  FROM lineitem JOIN part ON l_partkey = p_partkey, (VALUES ('full'), ('early'), ('corrected')) s(snapshot)
+  WHERE snapshot = 'full' OR (snapshot = 'early' AND l_linestatus = 'F') OR (snapshot = 'corrected' AND month(l_shipdate) % 4 = 1 AND day(l_shipdate) BETWEEN 11 AND 20) GROUP BY 1, 2, 3, 4),
 dated AS (
   SELECT *, CAST(release_month || '-01' AS DATE) AS m0, CAST(split_part(product_name, '#', 2) AS INTEGER) AS num FROM cells),
+kept AS (
+  SELECT *, CAST(CASE ord WHEN 1 THEN m0 + 9 WHEN 2 THEN m0 + 19 ELSE last_day(m0) END AS DATE) AS ends, CAST(CASE ord WHEN 1 THEN m0 WHEN 2 THEN m0 + 10 ELSE m0 + 20 END AS DATE) AS starts,
+         'https://stats.example.org/release/' || release_month || '/' || CAST(ord AS VARCHAR) || '/' || CASE snapshot WHEN 'corrected' THEN 'full' ELSE snapshot END AS source_url
+  FROM dated WHERE NOT (num % 8 = 0 AND release_month >= '1998-07') AND NOT (num % 9 = 0 AND release_month < '1997-02') AND NOT (month(m0) = 10 AND year(m0) % 3 = 0 AND ord = 1)),
+stamped AS (
+  SELECT *, ends + CASE WHEN snapshot = 'corrected' AND month(m0) = 5 THEN 3 WHEN snapshot = 'corrected' THEN 44 ELSE 4 END + INTERVAL '9 hours 30 minutes' AS published_at FROM kept),
 obs AS (
-  SELECT release_month, ord, product_name, snapshot, price, 'C' || CAST(num % 5 AS VARCHAR) AS category, 'S' || CAST(num % 3 AS VARCHAR) AS sector,
-         CASE ord WHEN 1 THEN '1-10' WHEN 2 THEN '11-20' ELSE '21-end' END AS "window",
-         CAST(CASE ord WHEN 1 THEN m0 + 9 WHEN 2 THEN m0 + 19 ELSE last_day(m0) END AS DATE) AS ends, CAST(CASE ord WHEN 1 THEN m0 WHEN 2 THEN m0 + 10 ELSE m0 + 20 END AS DATE) AS starts,
-         CAST(CASE ord WHEN 1 THEN m0 + 9 WHEN 2 THEN m0 + 19 ELSE last_day(m0) END AS DATE) + 4 + INTERVAL '9 hours 30 minutes' AS published_at,
-         CAST(CASE ord WHEN 1 THEN m0 + 9 WHEN 2 THEN m0 + 19 ELSE last_day(m0) END AS DATE) + 4 + INTERVAL '9 hours 30 minutes' + to_hours(CASE snapshot WHEN 'early' THEN 1 ELSE 24 + (year(m0) * 31 + month(m0) * 7 + ord * 13) % 72 END) AS retrieved_at,
-         'https://stats.example.org/release/' || release_month || '/' || CAST(ord AS VARCHAR) || '/' || snapshot AS source_url,
-         sha256('https://stats.example.org/release/' || release_month || '/' || CAST(ord AS VARCHAR) || '/' || snapshot) AS content_sha256
-  FROM dated)"""
+  SELECT release_month, ord, product_name, snapshot, price, 'C' || CAST(num % 5 AS VARCHAR) AS category, 'S' || CAST(num % 3 AS VARCHAR) AS sector, num,
+         CASE ord WHEN 1 THEN '1-10' WHEN 2 THEN '11-20' ELSE '21-end' END AS "window", ends, starts, published_at,
+         published_at + to_hours(CASE snapshot WHEN 'early' THEN 1 WHEN 'corrected' THEN 1200 ELSE 24 + (year(m0) * 31 + month(m0) * 7 + ord * 13) % 72 END) AS retrieved_at,
+         source_url, sha256(source_url || CASE snapshot WHEN 'corrected' THEN '#corrected' ELSE '' END) AS content_sha256
+  FROM stamped)"""
 
 
 def avail(cutoff: str = CUTOFF, strict: bool = True, name: str = "avail") -> str:
@@ -41,8 +44,25 @@ def cells(source: str = "avail", name: str = "lp") -> str:
 
 def timing(source: str = "lp", name: str = "timing") -> str:
     final = "ln((exp(c1) + exp(c2)) / 2) - ln((exp(p1) + exp(p2)) / 2)"
-    parts = {"twentieth": "c2 - p2", "final": final, "early": "c1 - p1", "early_carry": "c1 - p3"}
-    return f"\n{name} AS (" + " UNION ALL ".join(f"SELECT product_name, category, sector, month, '{v}' AS variant, 100 * ({e}) AS value FROM {source}" for v, e in parts.items()) + ")"
+    parts = {("twentieth", "price"): "c2 - p2", ("final", "price"): final, ("early", "price"): "c1 - p1", ("early_carry", "price"): "c1 - p1", ("early_carry", "carry"): "c1 - p3"}
+    return f"\n{name} AS (" + " UNION ALL ".join(f"SELECT product_name, category, sector, month, '{v}' AS variant, '{p}' AS part, 100 * ({e}) AS value FROM {source}" for (v, p), e in parts.items()) + ")"
+
+
+def prior(month: str, n: int = 1) -> str:
+    return f"strftime(CAST({month} || '-01' AS DATE) - INTERVAL {n} MONTH, '%Y-%m')"
+
+
+def vintages(ord: int, pick: str = "min", back: int = 1, name: str = "") -> str:
+    """Cells of each month as its own cutoff knew them: the last published snapshot of each period."""
+    months = ", ".join(["c.month", *(prior("c.month", k) for k in range(1, back + 1))])
+    cell = lambda k, b: f"max(CASE WHEN o.ord = {k} AND o.release_month = {'month' if not b else prior('month', b)} THEN ln(price) END) AS {'cpq'[b]}{k}"
+    picks = ", ".join(cell(k, b) for b in range(back + 1) for k in (1, 2, 3))
+    return f"""
+cut{name} AS (SELECT release_month AS month, {pick}(published_at) AS cutoff FROM obs WHERE ord = {ord} GROUP BY 1),
+snaps{name} AS (SELECT DISTINCT release_month, ord, content_sha256, published_at, retrieved_at FROM obs),
+pick{name} AS (SELECT c.month, c.cutoff, s.release_month, s.ord, s.content_sha256 FROM cut{name} c JOIN snaps{name} s ON s.release_month IN ({months}) AND s.published_at <= c.cutoff
+  QUALIFY row_number() OVER (PARTITION BY c.month, s.release_month, s.ord ORDER BY s.published_at DESC, s.retrieved_at DESC, s.content_sha256 DESC) = 1),
+lpv{name} AS (SELECT product_name, category, sector, month, {picks}, bool_or(o.release_month = month) AS now, bool_or(o.release_month = {prior("month")}) AS was FROM obs o JOIN pick{name} USING (release_month, ord, content_sha256) WHERE price > 0 GROUP BY ALL)"""
 
 
 ACT = """
@@ -62,19 +82,21 @@ FIRST_ACT = """
 first_act AS (SELECT target_month, actual_mom_pct, published_at AS actual_published_at FROM act WHERE version = 1)"""
 
 SCORES = """
-sc AS (SELECT fc.*, actual_mom_pct, estimate_mom_pct - actual_mom_pct AS error, CAST(sign(estimate_mom_pct) = sign(actual_mom_pct) AS INTEGER)::DOUBLE AS right_way
+sc AS (SELECT fc.*, actual_mom_pct, actual_published_at, estimate_mom_pct - actual_mom_pct AS error, CAST(sign(estimate_mom_pct) = sign(actual_mom_pct) AS INTEGER)::DOUBLE AS right_way
        FROM fc JOIN first_act USING (target_month) WHERE as_of < actual_published_at QUALIFY row_number() OVER (PARTITION BY target_month, model_key, vintage ORDER BY as_of DESC, forecast_id DESC) = 1)"""
 
 METRICS = "count(*) AS n, round(avg(abs(error)), 9) + 0.0 AS mae, round(sqrt(avg(error * error)), 9) + 0.0 AS rmse, round(avg(error), 9) + 0.0 AS bias, round(avg(right_way), 9) + 0.0 AS direction"
 
-MATRIX = "".join((avail(FAR, name="newest"), ",", cells("newest", "lpn"), ",", timing("lpn", "timing_n"), ",", """
-vals AS (SELECT * FROM timing_n WHERE variant = 'twentieth'),
-cut AS (SELECT release_month AS month, min(published_at) AS cutoff FROM obs WHERE ord = 2 GROUP BY 1),
-mx AS (SELECT v.month, v.n_values, cutoff, actual_mom_pct, actual_published_at,
-              CASE WHEN n_values = 0 THEN 'no_comparable' WHEN cutoff IS NULL THEN 'no_release' WHEN actual_mom_pct IS NULL THEN 'no_actual' WHEN actual_published_at <= cutoff THEN 'actual_already_public' END AS reason
-       FROM (SELECT month, count(value) AS n_values FROM vals GROUP BY 1) v LEFT JOIN cut USING (month) LEFT JOIN first_act ON target_month = v.month),
+def matrix(variant: str = "twentieth") -> tuple[str, ...]:
+    """vals and mx of a timing, each month at its own cutoff; used: what may be trained on; origins: with what."""
+    return (OBS, ACT, FIRST_ACT, vintages(1 if variant.startswith("early") else 2), "\nlpn AS (SELECT * FROM lpv WHERE now)", timing("lpn", "timing_n"), f"""
+vals AS (SELECT * FROM timing_n WHERE variant = '{variant}'),
+mx AS (SELECT m.month, coalesce(v.n_values, 0) AS n_values, cutoff, actual_mom_pct, actual_published_at,
+              CASE WHEN cutoff IS NULL THEN 'no_release' WHEN actual_mom_pct IS NULL THEN 'no_actual' WHEN actual_published_at <= cutoff THEN 'actual_already_public' WHEN coalesce(v.n_values, 0) = 0 THEN 'no_comparable' END AS reason
+       FROM (SELECT DISTINCT release_month AS month FROM obs) m LEFT JOIN (SELECT month, count(value) AS n_values FROM vals WHERE part = 'price' GROUP BY 1) v USING (month) LEFT JOIN cut USING (month) LEFT JOIN first_act ON target_month = m.month),
 used AS (SELECT * FROM mx WHERE reason IS NULL),
-origins AS (SELECT o.month, o.cutoff, t.month AS train_month, t.actual_mom_pct AS y FROM used o JOIN used t ON t.month < o.month AND t.actual_published_at < o.cutoff)"""))
+origins AS (SELECT o.month, o.cutoff, t.month AS train_month, t.actual_mom_pct AS y FROM used o JOIN used t ON t.month < o.month AND t.actual_published_at < o.cutoff)""")
+
 
 EPOCHS = """
 per AS (SELECT release_month, ord, min(starts) AS starts, min(ends) AS ends, list(DISTINCT product_name ORDER BY product_name) AS products FROM avail GROUP BY 1, 2),
@@ -90,20 +112,46 @@ def q(*parts: str) -> str:
 
 SNAPSHOT = "SELECT release_month, ord, product_name, snapshot, price FROM avail"
 TWENTIETH = "SELECT product_name, category, month, 100 * (exp(c2 - p2) - 1) AS change_pct FROM lp"
-BASE = (OBS, avail(), cells())
+NOW = avail(FAR)
+BASE = (OBS, NOW, cells())
 TIMED = (*BASE, timing())
 SCORED = (ACT, FC, FIRST_ACT, SCORES)
-MATRICES = (OBS, ACT, FIRST_ACT, MATRIX)
-ATTRIBUTED = (*TIMED, """
-at_v AS (SELECT * FROM timing WHERE variant = 'twentieth'),
-at_s AS (SELECT product_name, avg(value) AS m, greatest(stddev_pop(value), 1.0) AS s FROM at_v WHERE value IS NOT NULL GROUP BY 1),
-at_c AS (SELECT v.*, coalesce((value - m) / s, 0.0) / 25 AS contribution FROM at_v v JOIN at_s USING (product_name))""")
+MATRICES = matrix()
+SURVEY = """
+sv AS (SELECT product_name, category, month, {level} AS change_pct FROM (
+  SELECT product_name, category, month, max(CASE WHEN b = 0 AND ord = 1 THEN v END) AS c1, max(CASE WHEN b = 0 AND ord = 2 THEN v END) AS c2, max(CASE WHEN b = 1 AND ord = 1 THEN v END) AS p1, max(CASE WHEN b = 1 AND ord = 2 THEN v END) AS p2,
+         max(CASE WHEN b = 1 AND ord = 3 THEN v END) AS p3, max(CASE WHEN b = 2 AND ord = 3 THEN v END) AS q3, bool_or(b = 0) AS now, bool_or(b = 1) AS was
+  FROM (SELECT product_name, category, ord, ln(price) AS v, b, strftime(CAST(release_month || '-01' AS DATE) + to_months(b), '%Y-%m') AS month FROM avail, (VALUES (0), (1), (2)) t(b) WHERE price > 0) GROUP BY ALL) WHERE now AND was)"""
+LEVEL = "100 * (exp(((0.5 * p3 + 0.5 * c1) + c2) / 2 - ((0.5 * q3 + 0.5 * p1) + p2) / 2) - 1)"
+EARLY_LEVEL = "100 * (exp(coalesce(((0.5 * p3 + 0.5 * c1) + c2) / 2, 0.5 * p3 + 0.5 * c1) - coalesce(((0.5 * q3 + 0.5 * p1) + p2) / 2, 0.5 * q3 + 0.5 * p1)) - 1)"
+SURVEYED = (*BASE, SURVEY.replace("{level}", LEVEL))
 REGISTRY = (ACT, FC, """
 stored AS (SELECT * FROM fc WHERE target_month < '1999-01'),
 incoming AS (SELECT target_month, vintage, model_key, feature_hash, CASE WHEN target_month = '1998-08' AND model_key = 'boosting' THEN round(estimate_mom_pct + 1, 6) ELSE estimate_mom_pct END AS estimate_mom_pct FROM fc WHERE target_month >= '1998-07')""")
-JOURNAL = """
-jr AS (SELECT event_id AS sequence, event_type, user_id AS entity, sha256(concat_ws('|', event_id, event_type, CAST(json_extract_string(props, '$.k') AS BIGINT))) AS payload_id FROM events),
-jn AS (SELECT *, lag(payload_id) OVER (ORDER BY sequence) AS previous_event FROM jr)"""
+KINDS = "[" + ", ".join(f"'{k}'" for k in EVENT_KINDS) + "]"
+JOURNAL = f"""
+ja AS (SELECT event_id AS sequence, CAST(json_extract_string(props, '$.k') AS BIGINT) AS k, ts AS as_of, CAST(user_id AS VARCHAR) AS key, CAST(user_id AS VARCHAR) || '-' || strftime(ts, '%Y-%m-%d') AS cycle_id FROM events),
+jb AS (SELECT *, {KINDS}[CAST(k % 8 AS INTEGER) + 1] AS kind, CAST(k AS VARCHAR) AS payload FROM ja),
+jr AS (SELECT *, sha256(concat_ws('|', sequence, kind, strftime(as_of, '%Y-%m-%d %H:%M:%S'), key, cycle_id, payload)) AS event_id FROM jb),
+jn AS (SELECT *, lag(event_id) OVER (ORDER BY sequence) AS previous_event FROM jr)"""
+SAVED = f"""
+fresh AS (SELECT * FROM sc WHERE target_month >= '{SINCE}'),
+saved AS (SELECT model_key, vintage, round(avg(abs(estimate_mom_pct - actual_mom_pct)), 9) AS reference_mae FROM fc JOIN first_act USING (target_month) WHERE target_month < '{SINCE}' GROUP BY 1, 2)"""
+PROMOTIONS = """
+pp AS (SELECT c.vintage, c.model_key, c.target_month, c.error, b.error AS old FROM {source} c JOIN {source} b ON c.vintage = b.vintage AND c.target_month = b.target_month AND b.model_key = 'no_change' WHERE c.model_key <> 'no_change' QUALIFY row_number() OVER (PARTITION BY c.vintage, c.model_key ORDER BY c.target_month) <= 6),
+pa AS (SELECT vintage, model_key, count(*) AS n, avg(abs(old)) AS a, avg(abs(error)) AS b, sqrt(avg(old * old)) AS c, sqrt(avg(error * error)) AS d, avg(old) AS e, avg(error) AS f, avg(CAST(abs(error) < abs(old) AS INTEGER)) AS g FROM pp GROUP BY 1, 2 HAVING count(*) >= 6),
+pr AS (SELECT *, a - b >= 0.05 * a AS rule_relative_gain, a - b >= 0.02 AS rule_absolute_gain, d <= c AS rule_rmse_ratio, abs(f) - abs(e) <= 0.05 AS rule_bias, g >= 0.5 AS rule_wins FROM pa),
+pd AS (SELECT *, rule_relative_gain AND rule_absolute_gain AND rule_rmse_ratio AND rule_bias AND rule_wins AS promoted FROM pr)"""
+DRIFT = """
+dr AS (SELECT *, row_number() OVER (PARTITION BY model_key, vintage ORDER BY target_month DESC) AS r FROM {source}),
+da AS (SELECT model_key, vintage, avg(abs(error)) FILTER (r <= 4) AS recent_mae, avg(error) FILTER (r <= 4) AS recent_bias, count(*) AS outcomes FROM dr GROUP BY 1, 2),
+dd AS (SELECT *, concat_ws(',', CASE WHEN outcomes >= 4 AND recent_mae > greatest(1.5 * reference_mae, reference_mae + 0.15) THEN 'error' END, CASE WHEN outcomes >= 4 AND abs(recent_bias) > 0.25 THEN 'bias' END, CASE WHEN outcomes >= 12 THEN 'refresh' END) AS reasons FROM da JOIN saved USING (model_key, vintage))"""
+CYCLE = (f"""
+held AS (SELECT * FROM fresh WHERE actual_published_at <= TIMESTAMP '{CUTOFF}')""", DRIFT.replace("{source}", "held"), PROMOTIONS.replace("{source}", "held"), """
+due AS (SELECT vintage, reasons FROM dd WHERE model_key = 'no_change' AND reasons <> ''),
+trial AS (SELECT vintage, model_key FROM (SELECT vintage, model_key, round(avg(abs(error)), 9) AS mae FROM held WHERE model_key <> 'no_change' GROUP BY 1, 2) JOIN due USING (vintage) QUALIFY row_number() OVER (PARTITION BY vintage ORDER BY mae, model_key) <= 2),
+cycle AS (SELECT vintage, 'trigger' AS event_type, 'no_change' AS model_key, reasons AS payload FROM due UNION ALL SELECT vintage, 'trial', model_key, '' FROM trial
+  UNION ALL SELECT vintage, CASE WHEN promoted THEN 'promotion' ELSE 'rejection' END, model_key, '' FROM pd JOIN trial USING (vintage, model_key))""")
 
 
 def known(policy: str) -> str:
@@ -112,7 +160,45 @@ def known(policy: str) -> str:
 
 
 def timed(variant: str) -> str:
-    return q(*TIMED, f"SELECT product_name, month, round(value, 6) + 0.0 AS value FROM timing WHERE variant = '{variant}'")
+    return q(*TIMED, f"SELECT product_name, month, part, round(value, 6) + 0.0 AS value FROM timing WHERE variant = '{variant}'")
+
+
+def trained(variant: str) -> str:
+    return q(*matrix(variant), "SELECT month, product_name, part, round(value, 6) + 0.0 AS value, actual_mom_pct, cutoff FROM vals JOIN used USING (month, cutoff)".replace("USING (month, cutoff)", "USING (month)"))
+
+
+def benchmark(vintage: str) -> str:
+    level = {"final": LEVEL, "early": EARLY_LEVEL}[vintage]
+    return q(OBS, vintages(1 if vintage == "early" else 2, "max", 2), f"""
+bs AS (SELECT month, CASE WHEN c AND f AND s THEN 'final' WHEN c AND f THEN 'early' ELSE 'not_ready' END AS state FROM (
+  SELECT month, bool_or(ord = 3 AND release_month = {prior("month")}) AS c, bool_or(ord = 1 AND release_month = month) AS f, bool_or(ord = 2 AND release_month = month) AS s FROM pick GROUP BY 1))""", f"SELECT product_name, month, round({level}, 6) + 0.0 AS change_pct, state FROM lpv JOIN bs USING (month) WHERE now AND was")
+
+
+def summary(source: str, name: str) -> str:
+    return f"""
+tr_{source} AS (SELECT month, change_pct AS x, row_number() OVER (PARTITION BY month ORDER BY change_pct) AS r, count(*) OVER (PARTITION BY month) AS n FROM {source} WHERE change_pct IS NOT NULL),
+sum_{source} AS (SELECT month, round(avg(change_pct), 6) + 0.0 AS {name}_mean, round(median(change_pct), 6) + 0.0 AS {name}_median, round(any_value(trimmed), 6) + 0.0 AS {name}_trimmed, round(stddev_samp(change_pct), 6) + 0.0 AS {name}_sd, count(change_pct) AS {name}_n, round(avg(CAST(change_pct IS NULL AS INTEGER)), 6) + 0.0 AS {name}_missing
+  FROM {source} LEFT JOIN (SELECT month, avg(CASE WHEN r > floor(n * 0.1) AND r <= n - floor(n * 0.1) THEN x END) AS trimmed FROM tr_{source} GROUP BY 1) USING (month) GROUP BY 1)"""
+
+
+LONG = f"""
+lt AS ({TWENTIETH}),
+lr AS (SELECT sv.month, sv.product_name, sv.category, sv.change_pct AS s, lt.change_pct AS t FROM sv JOIN lt USING (month, product_name)),
+lf AS (SELECT month, 'product__' || product_name AS feature, s AS value FROM lr UNION ALL SELECT month, 'missing__' || product_name, CAST(s IS NULL AS INTEGER) FROM lr
+  UNION ALL SELECT month, 'twentieth_product__' || product_name, t FROM lr UNION ALL SELECT month, 'twentieth_missing__' || product_name, CAST(t IS NULL AS INTEGER) FROM lr
+  UNION ALL SELECT month, 'category__' || category, avg(s) FROM lr GROUP BY month, category UNION ALL SELECT month, 'twentieth_category__' || category, avg(t) FROM lr GROUP BY month, category
+  UNION ALL SELECT month, 'global__' || g, CASE g WHEN 'mean' THEN m WHEN 'median' THEN d WHEN 'sd' THEN sd WHEN 'n' THEN n ELSE q END FROM (SELECT month, avg(s) AS m, median(s) AS d, stddev_samp(s) AS sd, count(s)::DOUBLE AS n, avg(CAST(s IS NULL AS INTEGER)) AS q FROM lr GROUP BY 1), (VALUES ('mean'), ('median'), ('sd'), ('n'), ('missing')) v(g))"""
+CANONICAL = """
+cn AS (SELECT *, 'p_' || substr(sha256('"' || product || '|' || u || '"'), 1, 16) AS product_id FROM (
+  SELECT * REPLACE (product_name || '(A' || CAST(num % 4 AS VARCHAR) || ')' AS product_name), product_name || '(A' || CAST(num % 4 AS VARCHAR) || ')' AS product, 'A' || CAST(num % 4 AS VARCHAR) AS product_specification, product_name AS continuity_group,
+         CASE WHEN num = 23 THEN '箱' WHEN num % 3 = 0 THEN '吨' WHEN num % 3 = 1 THEN '千克' ELSE '张' END AS u, CASE WHEN num = 23 THEN NULL WHEN num % 3 = 0 THEN 'CNY/tonne' WHEN num % 3 = 1 THEN 'CNY/kg' ELSE 'CNY/sheet' END AS unit,
+         price AS absolute_price, release_month || ':' || CAST(ord AS VARCHAR) AS observation_period, CASE WHEN num = 23 THEN 'unknown_unit' ELSE 'ok' END AS status FROM avail))"""
+ODD = "starts_with(content_sha256, '0')"  # what release_pages() makes a challenge page
+PAGES = (OBS, """
+pc AS (SELECT *, price - lag(price) OVER (PARTITION BY product_name, snapshot ORDER BY release_month, ord) AS change FROM obs),
+pp0 AS (SELECT source_url || '#' || substr(content_sha256, 1, 8) AS source_url, content_sha256, ['I. ', 'II. ', 'III. ', 'IV. ', 'V. '][num % 5 + 1] || category AS category, product_name, 't' AS unit, price, CAST(printf('%.4f', change) AS DOUBLE) AS change, round(100 * change / (price - change), 1) + 0.0 AS change_pct FROM pc),
+pn AS (SELECT *, starts_with(content_sha256, '0') AS odd, bool_or(change IS NOT NULL) OVER (PARTITION BY source_url) AS any_row FROM pp0),
+pg AS (SELECT source_url, category, product_name, unit, price, change, change_pct FROM pn WHERE change IS NOT NULL AND NOT odd UNION ALL SELECT DISTINCT source_url, CAST(NULL AS VARCHAR), CAST(NULL AS VARCHAR), CAST(NULL AS VARCHAR), CAST(NULL AS DOUBLE), CAST(NULL AS DOUBLE), CAST(NULL AS DOUBLE) FROM pn WHERE odd OR NOT any_row)""")
 
 
 def grouped_metrics(keys: str, extra: str = "", source: str = "sc") -> str:
@@ -122,7 +208,8 @@ def grouped_metrics(keys: str, extra: str = "", source: str = "sc") -> str:
 ORACLES = {
     "asof_strict": q(OBS, avail(), SNAPSHOT),
     "asof_publication": q(OBS, avail(strict=False), SNAPSHOT),
-    "latest_snapshot_per_url": q(OBS, f"SELECT release_month, ord, source_url, content_sha256, count(*) AS n_rows FROM obs WHERE retrieved_at <= TIMESTAMP '{CUTOFF}' AND published_at <= TIMESTAMP '{CUTOFF}' GROUP BY ALL"),
+    "latest_snapshot_per_url": q(OBS, f"""SELECT release_month, ord, source_url, content_sha256, count(*) AS n_rows FROM (
+SELECT * FROM obs WHERE retrieved_at <= TIMESTAMP '{CUTOFF}' AND published_at <= TIMESTAMP '{CUTOFF}' QUALIFY dense_rank() OVER (PARTITION BY release_month, ord, source_url ORDER BY retrieved_at DESC, published_at DESC, content_sha256 DESC) = 1) GROUP BY ALL"""),
     "latest_snapshot_per_period": q(OBS, avail(), "SELECT release_month, ord, snapshot, content_sha256, count(*) AS n_rows FROM avail GROUP BY ALL"),
     "vintage_state": q(OBS, avail(), """
 SELECT release_month, carry, first, second, CASE WHEN carry AND first AND second THEN 'final' WHEN carry AND first THEN 'early' ELSE 'not_ready' END AS state
@@ -134,9 +221,8 @@ FROM (SELECT release_month, bool_or(ord = 0) AS carry, bool_or(ord = 1) AS first
     "forecast_prerelease_latest": q(ACT, FC, FIRST_ACT, "SELECT target_month, model_key, vintage, forecast_id, estimate_mom_pct, actual_mom_pct FROM fc JOIN first_act USING (target_month) WHERE as_of < actual_published_at QUALIFY row_number() OVER (PARTITION BY target_month, model_key ORDER BY as_of DESC, forecast_id DESC) = 1"),
     "latest_saved_forecast": q(ACT, FC, f"SELECT model_key, target_month, vintage, forecast_id, estimate_mom_pct FROM fc WHERE as_of <= TIMESTAMP '{CUTOFF}' QUALIFY row_number() OVER (PARTITION BY model_key ORDER BY as_of DESC, forecast_id DESC) = 1"),
     "log_price_cells": q(*BASE, "SELECT product_name, month, " + ", ".join(f"round({c}, 6) + 0.0 AS {c}" for c in ("p1", "p2", "p3", "c1", "c2", "c3")) + " FROM lp"),
-    "survey_change": q(*BASE, """
-, lv AS (SELECT product_name, month, ((0.5 * p3 + 0.5 * c1) + c2) / 2 AS level FROM lp)
-SELECT a.product_name, a.month, round(100 * (exp(a.level - b.level) - 1), 6) + 0.0 AS change_pct FROM lv a JOIN lv b ON a.product_name = b.product_name AND a.month = strftime(CAST(b.month || '-01' AS DATE) + INTERVAL 1 MONTH, '%Y-%m')""".lstrip("\n")),
+    "survey_change": q(*SURVEYED, "SELECT product_name, month, round(change_pct, 6) + 0.0 AS change_pct FROM sv"),
+    "survey_change_early": q(*BASE, SURVEY.replace("{level}", EARLY_LEVEL), "SELECT product_name, month, round(change_pct, 6) + 0.0 AS change_pct FROM sv"),
     "twentieth_change": q(*BASE, f"SELECT product_name, month, round(change_pct, 6) + 0.0 AS change_pct FROM ({TWENTIETH})"),
     "final_two_window_change": timed("final"),
     "early_change": timed("early"),
@@ -149,22 +235,22 @@ SELECT a.product_name, a.month, round(100 * (exp(a.level - b.level) - 1), 6) + 0
 SELECT m.month, coalesce(max(n), 0) AS n, round(avg(CASE WHEN r > floor(n * 0.1) AND r <= n - floor(n * 0.1) THEN x END), 6) + 0.0 AS trimmed FROM (SELECT DISTINCT month FROM lp) m LEFT JOIN tr USING (month) GROUP BY 1""".lstrip("\n")),
     "geometric_tracker": q(*TIMED, "SELECT month, round(100 * (exp(avg(value) / 100) - 1), 6) + 0.0 AS tracker FROM timing WHERE variant = 'twentieth' GROUP BY 1"),
     "sector_means": q(*TIMED, "SELECT month, sector, round(avg(value), 6) + 0.0 AS mean, round(avg(CAST(value IS NULL AS INTEGER)), 6) + 0.0 AS missing, count(*) AS n FROM timing WHERE variant = 'twentieth' GROUP BY 1, 2"),
-    "feature_hash": q(OBS, avail(), "SELECT release_month, sha256(string_agg(DISTINCT ord || ':' || content_sha256, '|' ORDER BY ord || ':' || content_sha256)) AS feature_hash FROM avail GROUP BY 1"),
-    "product_dim": q(OBS, avail(), """SELECT product_name, max_by(category, starts) AS category, CAST(min(starts) AS VARCHAR) AS first_seen, CAST(max(starts) AS VARCHAR) AS last_seen, count(*) AS n_obs, 'p_' || substr(sha256('"' || product_name || '|unit"'), 1, 16) AS product_id FROM avail GROUP BY product_name"""),
-    "basket_epochs": q(OBS, avail(), EPOCHS, """
+    "feature_hash": q(OBS, NOW, "SELECT release_month, sha256(string_agg(DISTINCT ord || ':' || content_sha256, '|' ORDER BY ord || ':' || content_sha256)) AS feature_hash FROM avail GROUP BY 1"),
+    "product_dim": q(OBS, NOW, """SELECT product_name, max_by(category, starts) AS category, CAST(min(starts) AS VARCHAR) AS first_seen, CAST(max(starts) AS VARCHAR) AS last_seen, count(*) AS n_obs, 'p_' || substr(sha256('"' || product_name || '|unit"'), 1, 16) AS product_id FROM avail GROUP BY product_name"""),
+    "basket_epochs": q(OBS, NOW, EPOCHS, """
 SELECT version, CAST(effective_from AS VARCHAR) AS effective_from, CAST(effective_to AS VARCHAR) AS effective_to, array_to_string(products, ',') AS products, array_to_string(list_sort(list_filter(products, lambda x: NOT list_contains(before, x))), ',') AS added, array_to_string(list_sort(list_filter(before, lambda x: NOT list_contains(products, x))), ',') AS removed FROM ep"""),
-    "basket_at_date": q(OBS, avail(), EPOCHS, "SELECT CAST(d AS VARCHAR) AS held_on, max(version) AS version, count(version) AS matches FROM (SELECT DISTINCT CAST(o_orderdate AS DATE) AS d FROM orders) LEFT JOIN ep ON effective_from <= d AND (effective_to IS NULL OR d <= effective_to) GROUP BY 1"),
-    "basket_membership_qa": q(OBS, avail(), EPOCHS, """
+    "basket_at_date": q(OBS, NOW, EPOCHS, "SELECT CAST(d AS VARCHAR) AS held_on, max(version) AS version, count(version) AS matches FROM (SELECT DISTINCT CAST(o_orderdate AS DATE) AS d FROM orders) LEFT JOIN ep ON effective_from <= d AND (effective_to IS NULL OR d <= effective_to) GROUP BY 1"),
+    "basket_membership_qa": q(OBS, NOW, EPOCHS, """
 SELECT release_month, ord, CAST(len(list_filter(ep.products, lambda x: NOT list_contains(per.products, x))) AS BIGINT) AS n_missing, CAST(len(list_filter(per.products, lambda x: NOT list_contains(ep.products, x))) AS BIGINT) AS n_extra FROM per JOIN ep ON effective_from <= ends AND (effective_to IS NULL OR ends <= effective_to)"""),
-    "basket_spans": q(OBS, avail(), EPOCHS, "SELECT product_name, min(version) AS start_basket, max(version) AS end_basket, count(*) AS n_epochs FROM (SELECT version, unnest(products) AS product_name FROM ep) GROUP BY 1"),
-    "surrogate_ids": q(OBS, avail(), """SELECT DISTINCT product_name, category, 'p_' || substr(sha256('"' || product_name || '|' || category || '"'), 1, 16) AS product_id FROM avail"""),
+    "basket_spans": q(OBS, NOW, EPOCHS, "SELECT product_name, min(version) AS start_basket, max(version) AS end_basket, count(*) AS n_epochs FROM (SELECT version, unnest(products) AS product_name FROM ep) GROUP BY 1"),
+    "surrogate_ids": q(OBS, NOW, """SELECT DISTINCT product_name, category, 'p_' || substr(sha256('"' || product_name || '|' || category || '"'), 1, 16) AS product_id FROM avail"""),
     "release_validation": q(OBS, """
 , ch AS (SELECT *, price - lag(price) OVER (PARTITION BY product_name, snapshot ORDER BY release_month, ord) AS change FROM obs),
 rp AS (SELECT *, abs(100 * change / nullif(price - change, 0) - round(100 * change / (price - change), 1)) AS gap FROM ch),
-rv AS (SELECT release_month, ord, snapshot, count(*) AS n_products, count(*) FILTER (price IS NULL) AS not_numeric, count(*) FILTER (price <= 0) AS not_positive, count(*) FILTER (trim(product_name) = '') AS blank, count(*) - count(DISTINCT product_name) AS duplicates, count(*) FILTER (gap > 1.0) AS wrong_change, count(*) FILTER (gap > 0.04 AND gap <= 1.0) AS odd_change FROM rp GROUP BY 1, 2, 3)
-SELECT *, CASE WHEN not_numeric + not_positive + blank + duplicates + wrong_change > 0 THEN 'error' WHEN n_products < 20 OR odd_change > 0 THEN 'warning' ELSE 'ok' END AS status FROM rv""".lstrip("\n")),
-    "coverage_gaps": q(OBS, avail(), f"SELECT strftime(m, '%Y-%m') AS release_month, ord FROM (SELECT unnest(generate_series(DATE '{FIRST}-01', DATE '{LAST}-01', INTERVAL 1 MONTH)) AS m), (VALUES (1), (2), (3)) o(ord) WHERE (strftime(m, '%Y-%m'), ord) NOT IN (SELECT (release_month, ord) FROM avail)"),
-    "panel_diagnostics": q(OBS, avail(), """
+rv AS (SELECT release_month, ord, snapshot, count(*) AS n_products, count(*) FILTER (price IS NULL) AS not_numeric, count(*) FILTER (price <= 0) AS not_positive, count(*) FILTER (trim(product_name) = '') AS blank, count(*) - count(DISTINCT product_name) AS duplicates, count(*) FILTER (gap > 1.0) AS wrong_change, count(*) FILTER (gap > 0.25 AND gap <= 1.0) AS odd_change FROM rp GROUP BY 1, 2, 3)
+SELECT *, CASE WHEN not_numeric + not_positive + blank + duplicates + wrong_change > 0 THEN 'error' WHEN n_products < 40 OR odd_change > 0 THEN 'warning' ELSE 'ok' END AS status FROM rv""".lstrip("\n")),
+    "coverage_gaps": q(OBS, NOW, "SELECT strftime(m, '%Y-%m') AS release_month, ord FROM (SELECT unnest(generate_series((SELECT CAST(min(release_month) || '-01' AS DATE) FROM avail), (SELECT CAST(max(release_month) || '-01' AS DATE) FROM avail), INTERVAL 1 MONTH)) AS m), (VALUES (1), (2), (3)) o(ord) WHERE (strftime(m, '%Y-%m'), ord) NOT IN (SELECT (release_month, ord) FROM avail)"),
+    "panel_diagnostics": q(OBS, NOW, """
 , g AS (SELECT p.release_month, p.ord, b.product_name, CAST(a.price IS NOT NULL AS INTEGER) AS here FROM (SELECT DISTINCT release_month, ord FROM avail) p CROSS JOIN (SELECT DISTINCT product_name FROM avail) b LEFT JOIN avail a ON a.release_month = p.release_month AND a.ord = p.ord AND a.product_name = b.product_name),
 mv AS (SELECT *, abs(here - lag(here) OVER (PARTITION BY product_name ORDER BY release_month, ord)) AS moved FROM g)
 SELECT product_name, round(avg(here), 6) + 0.0 AS coverage, CAST(coalesce(sum(moved), 0) AS BIGINT) AS turnover, avg(here) >= 0.9 AS stable FROM mv GROUP BY 1""".lstrip("\n")),
@@ -193,32 +279,69 @@ rl AS (SELECT *, max(m) OVER (PARTITION BY model_key, vintage) AS last FROM rm)
 , ov AS (SELECT * FROM timing WHERE variant = 'twentieth' AND value IS NOT NULL),
 op AS (SELECT product_name, min(value) AS lo, max(value) AS hi, count(*) AS history FROM ov WHERE month < '1998-01' GROUP BY 1)
 SELECT month, count(*) FILTER (value < lo OR value > hi) AS outside, count(*) FILTER (coalesce(history, 0) < 12) AS short_history, count(*) AS n_values FROM ov LEFT JOIN op USING (product_name) WHERE month >= '1998-01' GROUP BY 1""".lstrip("\n")),
-    "top_k_attribution": q(*ATTRIBUTED, "SELECT month, rank, product_name, round(contribution, 6) + 0.0 AS contribution FROM (SELECT *, row_number() OVER (PARTITION BY month ORDER BY round(abs(contribution), 9) DESC, product_name) AS rank FROM at_c) WHERE rank <= 6"),
-    "attribution_groups": q(*ATTRIBUTED, "SELECT month, sector, round(sum(contribution), 6) + 0.0 AS contribution FROM at_c GROUP BY 1, 2"),
     "registry_conflicts": q(*REGISTRY, "SELECT i.target_month, i.vintage, i.model_key, i.estimate_mom_pct, s.estimate_mom_pct AS stored_value FROM incoming i JOIN stored s USING (target_month, vintage, model_key, feature_hash) WHERE abs(i.estimate_mom_pct - s.estimate_mom_pct) > 1e-12"),
     "idempotent_append": q(*REGISTRY, "SELECT model_key, vintage, count(*) AS n, round(sum(estimate_mom_pct), 6) + 0.0 AS total FROM (SELECT target_month, vintage, model_key, estimate_mom_pct FROM stored UNION ALL SELECT target_month, vintage, model_key, estimate_mom_pct FROM incoming WHERE target_month >= '1999-01') GROUP BY 1, 2"),
     "rebuilt_audit": q(*REGISTRY, "SELECT CASE WHEN s.estimate_mom_pct IS NULL THEN 'added' WHEN i.estimate_mom_pct IS NULL THEN 'removed' ELSE 'changed' END AS change, model_key, count(*) AS n FROM stored s FULL JOIN incoming i USING (target_month, vintage, model_key) WHERE s.estimate_mom_pct IS DISTINCT FROM i.estimate_mom_pct GROUP BY 1, 2"),
     "journal_chain_check": q(JOURNAL, """
-, jt AS (SELECT * FROM jn WHERE sequence % 97 <> 13)
-SELECT a.sequence, CASE WHEN b.payload_id IS NULL THEN 'gap' ELSE 'forged' END AS fault, a.event_type FROM jt a LEFT JOIN jt b ON a.sequence = b.sequence + 1 WHERE a.previous_event IS DISTINCT FROM b.payload_id""".lstrip("\n")),
-    "journal_replay": q(JOURNAL, "SELECT entity, max_by(event_type, sequence) AS state, max(sequence) AS last_sequence, count(*) FILTER (event_type = 'signup') AS n_signup, count(*) FILTER (event_type = 'purchase') AS n_purchase, count(*) FILTER (event_type = 'error') AS n_error FROM jn GROUP BY 1"),
-    "drift_trigger": q(*SCORED, """
-, dr AS (SELECT *, row_number() OVER (PARTITION BY model_key, vintage ORDER BY target_month DESC) AS r FROM sc),
-da AS (SELECT model_key, vintage, avg(abs(error)) FILTER (r <= 4) AS recent_mae, avg(error) FILTER (r <= 4) AS recent_bias, avg(abs(error)) FILTER (r > 4) AS reference_mae, count(*) AS outcomes, count(*) FILTER (r <= 4) AS w FROM dr GROUP BY 1, 2),
-dd AS (SELECT *, concat_ws(',', CASE WHEN w >= 4 AND recent_mae > greatest(1.5 * reference_mae, reference_mae + 0.15) THEN 'error' END, CASE WHEN w >= 4 AND abs(recent_bias) > 0.25 THEN 'bias' END, CASE WHEN outcomes >= 12 THEN 'refresh' END) AS reasons FROM da)
-SELECT model_key, vintage, round(recent_mae, 9) + 0.0 AS recent_mae, round(recent_bias, 9) + 0.0 AS recent_bias, round(reference_mae, 9) + 0.0 AS reference_mae, outcomes, reasons, reasons <> '' AS triggered FROM dd""".lstrip("\n")),
-    "promotion_decision": q(*SCORED, """
-, pp AS (SELECT c.vintage, c.model_key, c.target_month, c.error, b.error AS old FROM sc c JOIN sc b ON c.vintage = b.vintage AND c.target_month = b.target_month AND b.model_key = 'no_change' WHERE c.model_key <> 'no_change' QUALIFY row_number() OVER (PARTITION BY c.vintage, c.model_key ORDER BY c.target_month) <= 6),
-pa AS (SELECT vintage, model_key, count(*) AS n, avg(abs(old)) AS a, avg(abs(error)) AS b, sqrt(avg(old * old)) AS c, sqrt(avg(error * error)) AS d, avg(old) AS e, avg(error) AS f, avg(CAST(abs(error) < abs(old) AS INTEGER)) AS g FROM pp GROUP BY 1, 2 HAVING count(*) >= 6),
-pr AS (SELECT *, a - b >= 0.05 * a AS rule_relative_gain, a - b >= 0.02 AS rule_absolute_gain, d <= c AS rule_rmse_ratio, abs(f) - abs(e) <= 0.05 AS rule_bias, g >= 0.5 AS rule_wins FROM pa)
+jt AS (SELECT * REPLACE (CASE WHEN sequence % 89 = 7 THEN sha256(event_id) ELSE previous_event END AS previous_event, CASE WHEN sequence % 97 = 13 THEN payload || '0' ELSE payload END AS payload) FROM jn WHERE sequence % 101 <> 50),
+jx AS (SELECT a.sequence, a.kind, CASE WHEN a.event_id <> sha256(concat_ws('|', a.sequence, a.kind, strftime(a.as_of, '%Y-%m-%d %H:%M:%S'), a.key, a.cycle_id, a.payload)) THEN 'changed' WHEN a.previous_event IS DISTINCT FROM b.event_id AND b.event_id IS NULL THEN 'gap' WHEN a.previous_event IS DISTINCT FROM b.event_id THEN 'forged' END AS fault FROM jt a LEFT JOIN jt b ON a.sequence = b.sequence + 1)""", "SELECT sequence, fault, kind FROM jx WHERE fault IS NOT NULL"),
+    "journal_replay": q(JOURNAL, "SELECT key, max_by(event_id, sequence) FILTER (kind IN ('initialized', 'adopted', 'promoted')) AS champion, max_by(as_of, sequence) FILTER (kind IN ('trial_decided', 'adopted')) AS completed_at, count(*) AS n_events FROM jn GROUP BY 1"),
+    "journal_cycles": q(JOURNAL, """
+jf AS (SELECT cycle_id, min(sequence) AS since FROM jn WHERE kind = 'trial_requested' GROUP BY 1),
+js AS (SELECT jn.*, CASE kind WHEN 'trial_requested' THEN 'requested' WHEN 'challenger_fitted' THEN 'testing' WHEN 'trial_decided' THEN 'decided' WHEN 'trial_cancelled' THEN 'cancelled' WHEN 'promoted' THEN 'promoted' END AS st FROM jn JOIN jf USING (cycle_id) WHERE sequence >= since)""", "SELECT key, cycle_id, max_by(st, sequence) FILTER (st IS NOT NULL) AS status, max(as_of) FILTER (kind = 'trial_requested') AS requested_at, count(*) FILTER (kind = 'refit_failed') AS n_failed FROM js GROUP BY 1, 2"),
+    "drift_trigger": q(*SCORED, SAVED, DRIFT.replace("{source}", "fresh"), "SELECT model_key, vintage, round(recent_mae, 9) + 0.0 AS recent_mae, round(recent_bias, 9) + 0.0 AS recent_bias, outcomes, reference_mae, reasons, reasons <> '' AS triggered FROM dd"),
+    "drift_diagnosis": q(*TIMED, f"""
+ov AS (SELECT * FROM timing WHERE variant = 'twentieth'),
+op AS (SELECT product_name, min(value) AS lo, max(value) AS hi, count(value) AS history FROM ov WHERE month < '{SINCE}' AND value IS NOT NULL GROUP BY 1),
+oa AS (SELECT month, count(*) FILTER (value < lo OR value > hi) AS outside, count(*) FILTER (coalesce(history, 0) < 12) AS short_history, count(*) AS n_values FROM ov LEFT JOIN op USING (product_name) WHERE month >= '{SINCE}' AND value IS NOT NULL GROUP BY 1)""", f"SELECT oa.*, structural_missing FROM oa JOIN (SELECT month, count(*) FILTER (value IS NULL) AS structural_missing FROM ov WHERE month >= '{SINCE}' GROUP BY 1) USING (month)"),
+    "trial_pairs": q(*SCORED, SAVED, "SELECT c.vintage, c.model_key, c.target_month, round(c.error, 6) + 0.0 AS error, round(b.error, 6) + 0.0 AS old_error FROM fresh c JOIN fresh b USING (vintage, target_month, feature_hash) WHERE b.model_key = 'no_change' AND c.model_key <> 'no_change'"),
+    "late_forecasts": q(ACT, FC, "SELECT fc.target_month, model_key, vintage, forecast_id FROM fc JOIN (SELECT target_month, min(published_at) AS p FROM act GROUP BY 1) USING (target_month) WHERE as_of >= p"),
+    "forecast_audit": q(ACT, FC, "SELECT forecast_id, round(estimate_mom_pct + 0.001, 6) AS saved, round(estimate_mom_pct, 6) + 0.0 AS again FROM fc WHERE CAST(substr(target_month, 6, 2) AS INTEGER) % 7 = 0"),
+    "promotion_decision": q(*SCORED, SAVED, PROMOTIONS.replace("{source}", "fresh"), """
 SELECT vintage, model_key, n, round(a, 9) + 0.0 AS champion_mae, round(b, 9) + 0.0 AS challenger_mae, round(c, 9) + 0.0 AS champion_rmse, round(d, 9) + 0.0 AS challenger_rmse, round(e, 9) + 0.0 AS champion_bias, round(f, 9) + 0.0 AS challenger_bias, round(g, 9) + 0.0 AS win_rate,
-       rule_relative_gain, rule_absolute_gain, rule_rmse_ratio, rule_bias, rule_wins, rule_relative_gain AND rule_absolute_gain AND rule_rmse_ratio AND rule_bias AND rule_wins AS promoted FROM pr""".lstrip("\n")),
-    "html_price_extract": q(OBS, "SELECT source_url, category, product_name, 't' AS unit, price, CAST(NULL AS DOUBLE) AS change, CAST(0.0 AS DOUBLE) AS change_pct FROM obs"),
+       rule_relative_gain, rule_absolute_gain, rule_rmse_ratio, rule_bias, rule_wins, promoted FROM pd"""),
+    "composite_bundle": q(*SCORED, SAVED, PROMOTIONS.replace("{source}", "fresh"), "SELECT vintage || '/' || model_key AS key, CASE WHEN promoted THEN 'trial' ELSE 'first' END AS bundle, true AS active FROM saved LEFT JOIN pd USING (vintage, model_key)"),
+    "bundle_checks": q(*MATRICES, FC, SCORES, """
+SELECT (SELECT count(*) >= 36 FROM used) AS months, (SELECT bool_and(actual_published_at > cutoff) FROM used) AS published_before_actual, false AS all_fitted, (SELECT bool_and(n >= 12) FROM (SELECT count(*) AS n FROM sc WHERE vintage = 'final' GROUP BY model_key)) AS enough_predictions, true AS finite_metrics, false AS validated"""),
+    "lifecycle_events": q(*SCORED, SAVED, *CYCLE, "SELECT * FROM cycle"),
+    "lifecycle_champions": q(*SCORED, SAVED, *CYCLE, "SELECT vintage, coalesce(min(model_key) FILTER (event_type = 'promotion'), 'no_change') AS champion FROM cycle GROUP BY 1"),
+    "training_matrix_final": trained("final"),
+    "training_matrix_early": trained("early"),
+    "training_matrix_early_carry": trained("early_carry"),
+    "training_exclusions_early": q(*matrix("early"), "SELECT month, coalesce(reason, 'used') AS reason, n_values FROM mx"),
+    "imputed_early_values": q(OBS, vintages(2), "SELECT month, product_name, round(100 * (coalesce(c1, ln((exp(p3) + exp(c2)) / 2)) - p1), 6) + 0.0 AS value FROM lpv WHERE now AND substr(month, 6, 2) = '10' AND CAST(substr(month, 1, 4) AS INTEGER) % 3 = 0"),
+    "feature_rows": q(OBS, vintages(1), f"""
+fr AS (SELECT month, part || '__' || product_name AS name, value FROM (SELECT month, product_name, 'price' AS part, 100 * (c1 - p1) AS value FROM lpv WHERE now UNION ALL SELECT month, product_name, 'carry', 100 * (c1 - p3) FROM lpv WHERE now)),
+fs AS (SELECT month, count(*) AS n_sources, string_agg(src, ',' ORDER BY src) AS src FROM (SELECT DISTINCT month, release_month || ':' || CAST(ord AS VARCHAR) || ':' || content_sha256 AS src FROM pick WHERE ord = 1 OR (ord = 3 AND release_month <> month)) GROUP BY 1),
+fg AS (SELECT month, count(value) AS n_values, coalesce(string_agg(name, ',' ORDER BY name) FILTER (value IS NULL), '') AS missing, string_agg(name, ',' ORDER BY name) AS names FROM fr GROUP BY 1)""", "SELECT month, n_values, missing, n_sources, sha256('log-change-1|early_carry|false|' || names || '|' || src) AS feature_hash FROM fg JOIN fs USING (month)"),
+    "feature_vintages": q(*SURVEYED, f"""
+tw AS ({TWENTIETH}),
+st AS (SELECT release_month AS month, CASE WHEN bool_or(ord = 0) AND bool_or(ord = 1) AND bool_or(ord = 2) THEN 'final' WHEN bool_or(ord = 0) AND bool_or(ord = 1) THEN 'early' ELSE 'not_ready' END AS state
+      FROM (SELECT release_month, ord FROM avail UNION ALL SELECT strftime(CAST(release_month || '-01' AS DATE) + INTERVAL 1 MONTH, '%Y-%m'), 0 FROM avail WHERE ord = 3) GROUP BY 1),
+so AS (SELECT release_month AS month, string_agg(DISTINCT ord || ':' || content_sha256, '|' ORDER BY ord || ':' || content_sha256) AS src FROM avail GROUP BY 1)""", summary("sv", "survey"), summary("tw", "twentieth"), """
+SELECT month, CASE WHEN coalesce(survey_n, 0) = 0 THEN 'pending' ELSE state END AS state, sum_sv.* EXCLUDE (month, survey_n), coalesce(survey_n, 0) AS survey_n, sum_tw.* EXCLUDE (month, twentieth_n), coalesce(twentieth_n, 0) AS twentieth_n, sha256('0.5|0.1|' || src) AS feature_hash FROM so JOIN st USING (month) LEFT JOIN sum_sv USING (month) LEFT JOIN sum_tw USING (month)"""),
+    "long_features": q(*SURVEYED, LONG, "SELECT month, feature, round(value, 6) + 0.0 AS value FROM lf"),
+    "spec_columns": q(*SURVEYED, LONG, "SELECT position, model_key, label, count(DISTINCT feature) AS n_features FROM lf JOIN (VALUES " + ", ".join(f"({k}, '{s[0]}', '{s[1]}', '{p}')" for k, s in enumerate(SPECS) for p in s[2] if "final" in s[3]) + ") s(position, model_key, label, prefix) ON starts_with(feature, prefix) GROUP BY 1, 2, 3"),
+    "saved_order_features": q(*SURVEYED, LONG, """
+lw AS (SELECT * FROM lf WHERE starts_with(feature, 'twentieth_product__')),
+lo AS (SELECT feature, CAST(row_number() OVER (ORDER BY feature) AS INTEGER) AS position FROM (SELECT DISTINCT feature FROM lw WHERE month < '1999-01'))""", "SELECT m.month, position, lo.feature, round(value, 6) + 0.0 AS value FROM (SELECT DISTINCT month FROM lw WHERE month >= '1999-01') m CROSS JOIN lo LEFT JOIN lw ON lw.month = m.month AND lw.feature = lo.feature"),
+    "benchmark_values_early": benchmark("early"),
+    "benchmark_values_final": benchmark("final"),
+    "canonical_panel": q(OBS, NOW, CANONICAL, "SELECT product_id, product_name, product_specification, continuity_group, unit, category, absolute_price, observation_period, CAST(starts AS VARCHAR) AS period_start, CAST(ends AS VARCHAR) AS period_end, CAST(CAST(starts + CAST(floor((ends - starts) / 2) AS INTEGER) AS DATE) AS VARCHAR) AS period_midpoint, status FROM cn"),
+    "canonical_release_qa": q(OBS, NOW, CANONICAL, "SELECT observation_period, content_sha256, count(*) AS n_rows, count(DISTINCT product_id) AS n_products, count(*) FILTER (status <> 'ok') AS n_bad, count(*) = 25 AND count(DISTINCT product_id) = 25 AND count(*) FILTER (status <> 'ok') = 0 AS passed FROM cn GROUP BY 1, 2"),
+    "newest_training_months": q(*MATRICES, "SELECT month, count(*) AS n_train, min(train_month) AS training_start FROM (SELECT * FROM origins QUALIFY row_number() OVER (PARTITION BY month ORDER BY train_month DESC) <= 24) GROUP BY 1"),
+    "historical_baselines": q(ACT, FIRST_ACT, """
+hb AS (SELECT target_month, actual_mom_pct, row_number() OVER (ORDER BY target_month) AS r, lag(actual_mom_pct) OVER (ORDER BY target_month) AS persistence, round(sum(actual_mom_pct) OVER w, 6) / count(*) OVER w AS expanding_mean FROM first_act WINDOW w AS (ORDER BY target_month ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING))""", "SELECT target_month, actual_mom_pct, CAST(0.0 AS DOUBLE) AS no_change, persistence, expanding_mean FROM hb WHERE r > 12"),
+    "html_price_extract": q(*PAGES, "SELECT source_url, category, product_name, unit, price, change, change_pct FROM pg"),
+    "ingested_pages": q(OBS, """
+sn AS (SELECT DISTINCT source_url || '#' || substr(content_sha256, 1, 8) AS source_url, content_sha256, release_month, "window", published_at FROM obs)""", f"""SELECT source_url, CASE WHEN NOT {ODD} THEN release_month END AS release_month, CASE WHEN NOT {ODD} THEN "window" END AS "window", CASE WHEN NOT {ODD} THEN published_at END AS published_at, CASE WHEN {ODD} THEN 'challenge' ELSE 'stored' END AS outcome FROM sn WHERE {ODD} OR release_month >= '1998'"""),
+    "release_links": q(OBS, """
+sn AS (SELECT DISTINCT source_url || '#' || substr(content_sha256, 1, 8) AS url, release_month AS month, 'Market prices ' || release_month || ' (' || "window" || ')' AS title FROM obs)""", "SELECT url, title, 'ten_day' AS kind, month FROM sn WHERE month BETWEEN '1996-03' AND '1999-02'"),
     "release_titles": q(OBS, """SELECT DISTINCT 'Prices of goods, ' || substr(release_month, 1, 4) || '–' || CAST(CAST(substr(release_month, 6, 2) AS INTEGER) AS VARCHAR) || ' (' || replace("window", '-', '—') || ')' AS title, release_month AS month, "window" AS "window" FROM obs"""),
     "headline_changes": q(ACT, "SELECT target_month, version, CASE WHEN actual_mom_pct = 0 THEN 0.0 ELSE sign(actual_mom_pct) * CAST(printf('%.2f', abs(actual_mom_pct)) AS DOUBLE) END AS headline FROM act"),
-    "page_links": """WITH l AS (SELECT DISTINCT unnest(regexp_extract_all(html, '<a[^>]*href="([^"]+)"[^>]*>', 1)) AS url FROM pages)
-SELECT CASE WHEN regexp_matches(url, '(1-10|11-20|21-end)') THEN 'ten_day' WHEN contains(lower(url), 'ppi') THEN 'ppi' ELSE 'other' END AS kind, count(*) AS n FROM l GROUP BY 1""",
+    "page_links": """WITH l AS (SELECT url, min(title) AS title FROM (SELECT regexp_extract(a, 'href="([^"]+)"', 1) AS url, trim(regexp_extract(a, '>([^<]*)$', 1)) AS title FROM (SELECT unnest(regexp_extract_all(html, '<a[^>]*href="[^"]+"[^>]*>[^<]*')) AS a FROM pages)) GROUP BY 1)
+SELECT 'other' AS kind, count(*) AS n FROM l HAVING count(*) > 0""",
     "page_hosts": "SELECT page_id, regexp_extract(url, '^https?://([^/?#:]+)', 1) = 'blog.thths.example.com' AND regexp_matches(url, '^https?://[^/?#]+/') AS allowed, false AS challenge FROM pages WHERE url IS NOT NULL",
     "status_counts": q(OBS, ACT, FC, "SELECT 'observations' AS kind, count(*) AS n, max(release_month) AS last FROM obs UNION ALL SELECT 'actuals', count(*), max(target_month) FROM act UNION ALL SELECT 'forecasts', count(*), max(target_month) FROM fc"),
-    "direct_tracker_predictions": q(*MATRICES, "SELECT month, round(100 * (exp(avg(value) / 100) - 1), 6) + 0.0 AS estimate_mom_pct, n_train, training_end FROM vals JOIN (SELECT month, count(*) AS n_train, max(train_month) AS training_end FROM origins GROUP BY 1 HAVING count(*) >= 24) USING (month) GROUP BY 1, 3, 4"),
+    "direct_tracker_predictions": q(*MATRICES, "SELECT month, round(100 * (exp(avg(value) / 100) - 1), 6) + 0.0 AS estimate_mom_pct, n_train, training_end FROM vals JOIN used USING (month) JOIN (SELECT month, count(*) AS n_train, max(train_month) AS training_end FROM origins GROUP BY 1 HAVING count(*) >= 24) USING (month) GROUP BY 1, 3, 4"),
 }

@@ -4,16 +4,17 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tideline.functions import releases as rel
-from tideline.operators import asof, catalog, evaluation, features, ingest, models, registry, validation
+from tideline.operators import asof, catalog, evaluation, features, ingest, models, products, registry, ridge, specs, validation
 from tideline.plans import lifecycle
 from tideline.sources import proxy
 
-CUTOFF = "1999-03-26 12:00:00"
-FIRST, LAST = "1995-01", "2001-12"
+CUTOFF = "1999-03-26 12:00:00"  # of the queries that ask what was known at a time
+FAR = "2010-01-01 00:00:00"  # of all others: after the last event of the tables
+SINCE = "1997-01"  # month from which on the saved models were in use
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 
 
@@ -39,10 +40,14 @@ def scored_metrics(df: DataFrame, *more: str) -> DataFrame:
     return rounded(df, *(m for m in METRICS if m in df.columns), *more, places=9)
 
 
-def available(spark, sf_dir) -> DataFrame:
+def known(spark, sf_dir) -> DataFrame:
     return asof.select_available(proxy.observations(spark, sf_dir), at())
 
 
+def available(spark, sf_dir) -> DataFrame:
+    return asof.select_available(proxy.observations(spark, sf_dir), at(FAR))
+
+
 def cells(spark, sf_dir) -> DataFrame:
     return features.log_price_cells(available(spark, sf_dir))
 
@@ -51,17 +56,17 @@ def values(spark, sf_dir, variant: str = "twentieth") -> DataFrame:
     return features.timing_changes(cells(spark, sf_dir)).where(F.col("variant") == variant)
 
 
-def all_values(spark, sf_dir) -> DataFrame:
-    newest = asof.select_available(proxy.observations(spark, sf_dir), at("2010-01-01"))
-    return features.timing_changes(features.log_price_cells(newest)).where("variant = 'twentieth'")
+def first_actuals(spark, sf_dir) -> DataFrame:
+    return asof.known_actuals(proxy.actuals(spark, sf_dir), at(FAR))
 
 
-def first_actuals(spark, sf_dir) -> DataFrame:
-    return asof.known_actuals(proxy.actuals(spark, sf_dir), at("2010-01-01"))
+def training(spark, sf_dir, variant: str = "twentieth", **more) -> tuple[DataFrame, DataFrame]:
+    """(values, matrix), each month's as its own cutoff knew it."""
+    return products.training_matrix(proxy.observations(spark, sf_dir), first_actuals(spark, sf_dir), variant, **more)
 
 
-def matrix(spark, sf_dir) -> DataFrame:
-    return evaluation.training_matrix(all_values(spark, sf_dir), evaluation.feature_cutoffs(proxy.observations(spark, sf_dir)), first_actuals(spark, sf_dir))
+def matrix(spark, sf_dir, variant: str = "twentieth") -> DataFrame:
+    return training(spark, sf_dir, variant)[1]
 
 
 def scores(spark, sf_dir) -> DataFrame:
@@ -74,7 +79,7 @@ METRICS = ["mae", "rmse", "bias", "direction"]
 
 @query
 def asof_strict(spark, sf_dir):
-    return available(spark, sf_dir).select(*SNAPSHOT_COLUMNS)
+    return known(spark, sf_dir).select(*SNAPSHOT_COLUMNS)
 
 
 @query
@@ -90,12 +95,12 @@ def latest_snapshot_per_url(spark, sf_dir):
 
 @query
 def latest_snapshot_per_period(spark, sf_dir):
-    return available(spark, sf_dir).groupBy("release_month", "ord", "snapshot", "content_sha256").agg(F.count("*").alias("n_rows"))
+    return known(spark, sf_dir).groupBy("release_month", "ord", "snapshot", "content_sha256").agg(F.count("*").alias("n_rows"))
 
 
 @query
 def vintage_state(spark, sf_dir):
-    return asof.vintage_state(available(spark, sf_dir))
+    return asof.vintage_state(known(spark, sf_dir))
 
 
 def _actuals(policy):
@@ -127,8 +132,14 @@ def log_price_cells(spark, sf_dir):
 
 @query
 def survey_change(spark, sf_dir):
-    c = cells(spark, sf_dir)
-    return rounded(features.survey_change(c, c), "change_pct").select("product_name", "month", "change_pct")
+    changes = features.survey_change(features.survey_cells(available(spark, sf_dir)))
+    return rounded(changes, "change_pct").select("product_name", "month", "change_pct")
+
+
+@query
+def survey_change_early(spark, sf_dir):
+    changes = features.survey_change(features.survey_cells(available(spark, sf_dir)), first_only=True)
+    return rounded(changes, "change_pct").select("product_name", "month", "change_pct")
 
 
 @query
@@ -138,7 +149,7 @@ def twentieth_change(spark, sf_dir):
 
 def _timing(variant):
     def run(spark, sf_dir):
-        return rounded(values(spark, sf_dir, variant), "value").select("product_name", "month", "value")
+        return rounded(values(spark, sf_dir, variant), "value").select("product_name", "month", "part", "value")
 
     return run
 
@@ -223,7 +234,7 @@ def release_validation(spark, sf_dir):
 
 @query
 def coverage_gaps(spark, sf_dir):
-    return catalog.coverage_gaps(available(spark, sf_dir), FIRST, LAST)
+    return catalog.coverage_gaps(available(spark, sf_dir))
 
 
 @query
@@ -231,10 +242,26 @@ def panel_diagnostics(spark, sf_dir):
     return rounded(catalog.panel_diagnostics(available(spark, sf_dir)), "coverage")
 
 
+def long_matrix(spark, sf_dir, variant: str = "twentieth") -> DataFrame:
+    held, months = training(spark, sf_dir, variant)
+    used = months.where("reason is null").select("month", "actual_mom_pct", "actual_published_at", "cutoff")
+    return held.join(used, "month")
+
+
 @query
 def training_matrix_long(spark, sf_dir):
-    used = matrix(spark, sf_dir).where("reason is null").select("month", "actual_mom_pct", "cutoff")
-    return rounded(all_values(spark, sf_dir).join(used, "month").select("month", "product_name", "value", "actual_mom_pct", "cutoff"), "value")
+    return rounded(long_matrix(spark, sf_dir), "value").select("month", "product_name", "value", "actual_mom_pct", "cutoff")
+
+
+def _matrix_of(variant):
+    def run(spark, sf_dir):
+        held = long_matrix(spark, sf_dir, variant)
+        return rounded(held, "value").select("month", "product_name", "part", "value", "actual_mom_pct", "cutoff")
+
+    return run
+
+
+QUERIES |= {"training_matrix_final": _matrix_of("final"), "training_matrix_early": _matrix_of("early"), "training_matrix_early_carry": _matrix_of("early_carry")}
 
 
 @query
@@ -242,6 +269,93 @@ def training_exclusions(spark, sf_dir):
     return matrix(spark, sf_dir).select("month", F.coalesce("reason", F.lit("used")).alias("reason"), "n_values")
 
 
+@query
+def training_exclusions_early(spark, sf_dir):
+    return matrix(spark, sf_dir, "early").select("month", F.coalesce("reason", F.lit("used")).alias("reason"), "n_values")
+
+
+def cancelled_months(spark, sf_dir) -> list[str]:
+    """Months without a first window: the policy's scenario months. A few literals."""
+    gaps = catalog.coverage_gaps(available(spark, sf_dir)).where("ord = 1")
+    return [r.release_month for r in gaps.select("release_month").orderBy("release_month").collect()]
+
+
+@query
+def imputed_early_values(spark, sf_dir):
+    """Early changes at the second window's time, with the midpoint where the first survey was cancelled."""
+    obs = proxy.observations(spark, sf_dir)
+    months = cancelled_months(spark, sf_dir)
+    held = products.variant_values(obs, "early", evaluation.feature_cutoffs(obs, "final"), months).where(F.col("month").isin(*months))
+    return rounded(held, "value").select("month", "product_name", "value")
+
+
+@query
+def feature_rows(spark, sf_dir):
+    """Feature rows of the timing early_carry: how many values, what is missing, the sources and the hash over them."""
+    obs = proxy.observations(spark, sf_dir)
+    found = products.feature_rows(obs, "early_carry", evaluation.feature_cutoffs(obs, "early_carry"))
+    return found.select("month", "n_values", F.array_join("structural_missing", ",").alias("missing"), F.size("sources").cast("long").alias("n_sources"), "feature_hash")
+
+
+@query
+def feature_vintages(spark, sf_dir):
+    found = features.feature_vintages(available(spark, sf_dir))
+    numbers = [c for c in found.columns if c.startswith(("survey_", "twentieth_")) and not c.endswith("_n")]
+    return rounded(found, *numbers).drop("sources")
+
+
+@query
+def long_features(spark, sf_dir):
+    return rounded(features.long_features(available(spark, sf_dir)), "value")
+
+
+@query
+def spec_columns(spark, sf_dir):
+    """How many features each model of the final vintage reads, by prefix, in the order of display."""
+    table = specs.spec_table(spark)
+    read = specs.columns_of(features.long_features(available(spark, sf_dir)), specs.of_vintage(table, "final"))
+    return specs.labelled(read.groupBy("model_key").agg(F.count("*").alias("n_features")), table).select("position", "model_key", "label", "n_features")
+
+
+@query
+def saved_order_features(spark, sf_dir):
+    """Each later month's values in the feature order of a model that was saved at the end of 1998: new ones are not read, lost ones are null."""
+    wide = features.long_features(available(spark, sf_dir)).where("feature like 'twentieth_product__%'")
+    order = wide.where("month < '1999-01'").groupBy("feature").agg(F.count("value").alias("n")).withColumn("position", F.row_number().over(Window.orderBy("feature")))
+    return rounded(specs.in_saved_order(wide.where("month >= '1999-01'"), order), "value").select("month", "position", "feature", "value")
+
+
+def _benchmark(vintage):
+    def run(spark, sf_dir):
+        held = products.benchmark_values(proxy.observations(spark, sf_dir), vintage)
+        return rounded(held, "change_pct").select("product_name", "month", "change_pct", "state")
+
+    return run
+
+
+QUERIES |= {"benchmark_values_early": _benchmark("early"), "benchmark_values_final": _benchmark("final")}
+
+
+def raw_panel(spark, sf_dir) -> DataFrame:
+    """The panel as pages name things: full-width brackets and blanks, units, ordinals before categories."""
+    number = F.substring_index("product_name", "#", -1).cast("int")
+    unit = F.when(number % 3 == 0, " 吨").when(number % 3 == 1, "千克").otherwise("张")
+    raw = available(spark, sf_dir).withColumns({"raw_name": F.concat("product_name", F.lit(" （Ａ"), (number % 4).cast("string"), F.lit("）")), "raw_unit": F.when(number == 23, "箱").otherwise(unit), "raw_category": F.concat(F.element_at(F.array(*map(F.lit, "一二三四五")), number % 5 + 1), F.lit("、"), F.col("category"))})
+    return raw.drop("product_name", "category")
+
+
+@query
+def canonical_panel(spark, sf_dir):
+    found = products.canonical(raw_panel(spark, sf_dir))
+    dates = {c: F.col(c).cast("string") for c in ("period_start", "period_end", "period_midpoint")}
+    return found.withColumns(dates).select("product_id", "product_name", "product_specification", "continuity_group", "unit", "category", "absolute_price", "observation_period", *dates, "status")
+
+
+@query
+def canonical_release_qa(spark, sf_dir):
+    return products.release_qa(products.canonical(raw_panel(spark, sf_dir)), 25)
+
+
 @query
 def eligible_origins(spark, sf_dir):
     return evaluation.eligible_origins(matrix(spark, sf_dir)).groupBy("month").agg(F.count("*").alias("n_train"), F.max("train_month").alias("training_end"))
@@ -306,16 +420,6 @@ def out_of_range_features(spark, sf_dir):
     return evaluation.out_of_range(values(spark, sf_dir), "1998-01")
 
 
-@query
-def top_k_attribution(spark, sf_dir):
-    return rounded(evaluation.top_k(evaluation.attributions(values(spark, sf_dir)), ["month"], 6), "contribution").select("month", "rank", "product_name", "contribution")
-
-
-@query
-def attribution_groups(spark, sf_dir):
-    return rounded(evaluation.attributions(values(spark, sf_dir)).groupBy("month", "sector").agg(F.sum("contribution").alias("contribution")), "contribution")
-
-
 def registry_halves(spark, sf_dir):
     """Forecasts stored so far, and an incoming batch that repeats some of them, partly with another value."""
     every = proxy.forecasts(spark, sf_dir).select(*registry.KEY, "estimate_mom_pct")
@@ -344,43 +448,117 @@ def rebuilt_audit(spark, sf_dir):
 
 @query
 def journal_chain_check(spark, sf_dir):
-    torn = proxy.journal(spark, sf_dir).where("sequence % 97 <> 13")
-    return registry.chain_breaks(torn).select("sequence", "fault", "event_type")
+    return registry.chain_breaks(proxy.journal(spark, sf_dir, intact=False)).select("sequence", "fault", "kind")
 
 
 @query
 def journal_replay(spark, sf_dir):
-    return registry.replay(proxy.journal(spark, sf_dir))
+    return registry.replay_champions(proxy.journal(spark, sf_dir))
+
+
+@query
+def journal_cycles(spark, sf_dir):
+    return registry.replay_cycles(proxy.journal(spark, sf_dir))
+
+
+def fresh_scores(spark, sf_dir) -> DataFrame:
+    return scores(spark, sf_dir).where(F.col("target_month") >= SINCE)
 
 
 @query
 def drift_trigger(spark, sf_dir):
-    return scored_metrics(registry.drift_triggers(scores(spark, sf_dir), ["model_key", "vintage"]), "recent_mae", "recent_bias", "reference_mae").drop("in_window")
+    found = registry.drift_triggers(fresh_scores(spark, sf_dir), proxy.saved_metrics(spark, sf_dir, SINCE), ["model_key", "vintage"])
+    return scored_metrics(found, "recent_mae", "recent_bias")
+
+
+@query
+def drift_diagnosis(spark, sf_dir):
+    """The months since the models were put to use: values outside the range of training, short histories, missing ones."""
+    held = values(spark, sf_dir)
+    missing = held.where(F.col("month") >= SINCE).groupBy("month").agg(F.count_if(F.col("value").isNull()).alias("structural_missing"))
+    return evaluation.out_of_range(held, SINCE).join(missing, "month")
+
+
+@query
+def trial_pairs(spark, sf_dir):
+    found = registry.matched_pairs(fresh_scores(spark, sf_dir), "no_change")
+    return found.select("vintage", "model_key", "target_month", r6("error").alias("error"), r6("old").alias("old_error"))
+
+
+@query
+def promotion_interval(spark, sf_dir):
+    """The descriptive interval of each challenger's loss difference over its first six months."""
+    pairs = registry.matched_pairs(fresh_scores(spark, sf_dir), "no_change")
+    line = Window.partitionBy("vintage", "model_key").orderBy("target_month")
+    first = pairs.withColumn("r", F.row_number().over(line)).where("r <= 6")
+    d = first.select(F.col("model_key").alias("model_a"), F.col("vintage").alias("model_b"), "target_month", (F.abs("error") - F.abs("old")).alias("d"))
+    return models.block_bootstrap(d, length=2, draws=2000).withColumnsRenamed({"model_a": "model_key", "model_b": "vintage"})
+
+
+@query
+def late_forecasts(spark, sf_dir):
+    found = registry.late_forecasts(proxy.forecasts(spark, sf_dir), proxy.actuals(spark, sf_dir))
+    return found.select("target_month", "model_key", "vintage", "forecast_id")
+
+
+@query
+def forecast_audit(spark, sf_dir):
+    """Saved forecasts of which every seventh month was changed afterwards, against what the models give again."""
+    again = proxy.forecasts(spark, sf_dir)
+    month = F.substring("target_month", 6, 2).cast("int")
+    saved = again.withColumn("estimate_mom_pct", F.when(month % 7 == 0, F.round(F.col("estimate_mom_pct") + 0.001, 6)).otherwise(F.col("estimate_mom_pct")))
+    return registry.changed_predictions(saved, again, ["forecast_id"]).select("forecast_id", r6("saved").alias("saved"), r6("again").alias("again"))
+
+
+@query
+def composite_bundle(spark, sf_dir):
+    """The models in use, with the promoted ones in place of their predecessors, and the label of each."""
+    active = proxy.saved_metrics(spark, sf_dir, SINCE).select("vintage", "model_key", F.lit("first").alias("bundle"))
+    promoted = registry.promotion_decisions(fresh_scores(spark, sf_dir), "no_change").where("promoted").select("vintage", "model_key", F.lit("trial").alias("bundle"))
+    found = registry.composite_bundle(active, promoted, ["vintage", "model_key"])
+    return found.select(specs.spec_key("vintage", "model_key").alias("key"), "bundle", specs.is_active(F.col("model_key")).alias("active"))
+
+
+@query
+def bundle_checks(spark, sf_dir):
+    """Whether the bundle of saved scores would pass: its models are not those of the specification."""
+    used = matrix(spark, sf_dir).where("reason is null")
+    return specs.bundle_checks(evaluation.error_summary(final_scores(spark, sf_dir), ["model_key"]), used, specs.spec_table(spark), "final")
 
 
 @query
 def promotion_decision(spark, sf_dir):
-    found = registry.promotion_decisions(scores(spark, sf_dir), "no_change")
+    found = registry.promotion_decisions(fresh_scores(spark, sf_dir), "no_change")
     return scored_metrics(found, *(c for c in found.columns if c.endswith(("_mae", "_rmse", "_bias")) and not c.startswith("rule_")), "win_rate")
 
 
 @query
 def lifecycle_events(spark, sf_dir):
-    return lifecycle.cycle_events(scores(spark, sf_dir), "no_change", at()).drop("event_id")
+    return lifecycle.cycle_events(fresh_scores(spark, sf_dir), proxy.saved_metrics(spark, sf_dir, SINCE), "no_change", at()).drop("event_id")
 
 
 @query
 def lifecycle_champions(spark, sf_dir):
-    return lifecycle.champions(lifecycle.cycle_events(scores(spark, sf_dir), "no_change", at()), "no_change")
+    events = lifecycle.cycle_events(fresh_scores(spark, sf_dir), proxy.saved_metrics(spark, sf_dir, SINCE), "no_change", at())
+    return lifecycle.champions(events, "no_change")
 
 
 def release_pages(spark, sf_dir):
-    """Release pages as they would be scraped: a price table of each stored snapshot, made from the panel."""
+    """Release pages as they would be scraped: title, stamp and price table of each stored snapshot, made from the panel.
+
+    A product's first release has a dash for its change, and one release in sixteen is a challenge page.
+    """
     cell = lambda *c: F.concat(F.lit("<td>"), F.concat(*c), F.lit("</td>"))
-    row = F.concat(F.lit("<tr>"), cell(F.col("product_name")), cell(F.lit("&nbsp;t ")), cell(F.format_string("%.4f", "price")), cell(F.lit("-")), cell(F.lit("0.0")), F.lit("</tr>"))
-    rows = F.transform(F.array_sort(F.collect_list(F.struct("category", "product_name", row.alias("row")))), lambda x: F.concat(F.lit("<tr><td>"), x.category, F.lit("</td></tr>"), x.row))
-    table = F.concat(F.lit("<html><body><table><tr><th>Product</th><th>Unit</th><th>Price</th><th>Change</th><th>%</th></tr>"), F.array_join(rows, ""), F.lit("</table></body></html>"))
-    return proxy.observations(spark, sf_dir).groupBy("source_url").agg(table.alias("html"))
+    dash = lambda c, form: F.coalesce(F.format_string(form, c), F.lit("-"))
+    obs = validation.with_changes(proxy.observations(spark, sf_dir))
+    row = F.concat(F.lit("<tr>"), cell(F.col("product_name")), cell(F.lit("&nbsp;t ")), cell(F.format_string("%.4f", "price")), cell(dash(F.col("change"), "%.4f")), cell(dash(F.col("reported_pct"), "%.1f")), F.lit("</tr>"))
+    roman = F.element_at(F.array(*map(F.lit, ("I. ", "II. ", "III. ", "IV. ", "V. "))), F.substring("category", 2, 1).cast("int") + 1)
+    rows = F.transform(F.array_sort(F.collect_list(F.struct("category", "product_name", F.concat(roman, "category").alias("head"), row.alias("row")))), lambda x: F.concat(F.lit("<tr><td colspan=5>"), x.head, F.lit("</td></tr>"), x.row))
+    title = F.concat_ws(" ", F.lit("Market prices"), F.first("release_month"), F.concat(F.lit("("), F.first("window"), F.lit(")")))
+    table = F.concat(F.lit("<h1>"), title, F.lit("</h1><p>"), F.date_format(F.first("published_at") + F.expr("INTERVAL '8' HOUR"), "yyyy/MM/dd HH:mm"), F.lit("</p><table><tr><th>menu</th></tr></table><table><tr><th>Product</th><th>Unit</th><th>Price</th><th>Change</th><th>%</th></tr>"), F.array_join(rows, ""), F.lit("</table>"))
+    odd = F.col("content_sha256").startswith("0")
+    pages = obs.groupBy("source_url", "content_sha256").agg(title.alias("title"), table.alias("page"), F.first("retrieved_at").alias("retrieved_at"))
+    return pages.select(F.concat_ws("#", "source_url", F.substring("content_sha256", 1, 8)).alias("source_url"), "title", F.when(odd, "<p>Please enable JavaScript and refresh the page</p>").otherwise(F.col("page")).alias("html"), "retrieved_at")
 
 
 @query
@@ -388,6 +566,23 @@ def html_price_extract(spark, sf_dir):
     return ingest.extract_prices(release_pages(spark, sf_dir)).select("source_url", "category", "product_name", "unit", "price", "change", "change_pct")
 
 
+@query
+def ingested_pages(spark, sf_dir):
+    """New snapshots of a landing zone in which the releases before 1998 are stored already."""
+    pages = release_pages(spark, sf_dir)
+    stored = pages.where("title < 'Market prices 1998'").select("source_url", F.sha2("html", 256).alias("content_sha256"))
+    new, errors = ingest.ingest(stored, pages)
+    return new.select("source_url", "release_month", "window", F.col("published_at").cast("timestamp_ntz").alias("published_at"), F.lit("stored").alias("outcome")).unionByName(errors.select("source_url", F.col("reason").alias("outcome")), allowMissingColumns=True)
+
+
+@query
+def release_links(spark, sf_dir):
+    """Links of an index page of all releases, by title, and those of a range of months."""
+    link = F.concat(F.lit('<li><a class="t" href="'), F.col("source_url"), F.lit('">'), F.col("title"), F.lit("</a></li>"))
+    index = release_pages(spark, sf_dir).groupBy(F.substring("title", 15, 4)).agg(F.array_join(F.collect_list(link), "").alias("html"))
+    return ingest.link_range(ingest.discovered_links(index), "1996-03", "1999-02").select("url", "title", "kind", "month")
+
+
 @query
 def release_titles(spark, sf_dir):
     title = F.concat(F.lit("Prices of goods, "), F.regexp_replace("release_month", "-0?", "–"), F.lit(" ("), F.regexp_replace("window", "-", "—"), F.lit(")"))
@@ -424,28 +619,84 @@ def status_counts(spark, sf_dir):
     return count(obs, "observations", "release_month").unionByName(count(act, "actuals", "target_month")).unionByName(count(fc, "forecasts", "target_month"))
 
 
-def long_matrix(spark, sf_dir):
-    used = matrix(spark, sf_dir).where("reason is null").select("month", "actual_mom_pct")
-    return all_values(spark, sf_dir).join(used, "month").select("month", "product_name", "value", "actual_mom_pct")
+def fits(spark, sf_dir, model: str = "product_ridge", **more) -> DataFrame:
+    rows = models.wide_rows(long_matrix(spark, sf_dir))
+    return models.fit_origins(rows, evaluation.eligible_origins(matrix(spark, sf_dir)), model, **more)
+
+
+PREDICTED = ["month", "model_key", "status", "estimate_mom_pct", "actual_mom_pct", "n_train", "training_end", "penalty", "least_history", "window"]
 
 
 @query
 def nested_cv_predictions(spark, sf_dir):
-    return models.nested_predictions(long_matrix(spark, sf_dir), evaluation.eligible_origins(matrix(spark, sf_dir)))
+    return fits(spark, sf_dir).select(*PREDICTED)
+
+
+@query
+def stable_panel_predictions(spark, sf_dir):
+    return fits(spark, sf_dir, stable=True).select(*PREDICTED)
+
+
+@query
+def sector_first_predictions(spark, sf_dir):
+    return fits(spark, sf_dir, "sector_first").select(*PREDICTED)
+
+
+@query
+def benchmark_ridge_predictions(spark, sf_dir):
+    return fits(spark, sf_dir, "benchmark_ridge").select(*PREDICTED)
+
+
+@query
+def adaptive_window_predictions(spark, sf_dir):
+    return fits(spark, sf_dir, windows=ridge.WINDOWS).select(*PREDICTED)
+
+
+@query
+def refit_comparison(spark, sf_dir):
+    """All history against a chosen window, on the months that both could predict."""
+    return models.compared_fits(fits(spark, sf_dir), fits(spark, sf_dir, windows=ridge.WINDOWS))
+
+
+def contributions(spark, sf_dir) -> DataFrame:
+    return evaluation.attributions(long_matrix(spark, sf_dir).select("month", "product_name", "sector", "value"), models.coefficients(fits(spark, sf_dir)))
+
+
+@query
+def top_k_attribution(spark, sf_dir):
+    return rounded(evaluation.top_k(contributions(spark, sf_dir), ["month"], 6), "contribution").select("month", "rank", "product_name", "contribution")
+
+
+@query
+def attribution_groups(spark, sf_dir):
+    return rounded(contributions(spark, sf_dir).groupBy("month", "sector").agg(F.sum("contribution").alias("contribution")), "contribution")
+
+
+@query
+def newest_training_months(spark, sf_dir):
+    """What is left of each origin's training months with a window of 24."""
+    kept = evaluation.newest_months(evaluation.eligible_origins(matrix(spark, sf_dir)), 24)
+    return kept.groupBy("month").agg(F.count("*").alias("n_train"), F.min("train_month").alias("training_start"))
+
+
+@query
+def historical_baselines(spark, sf_dir):
+    return evaluation.simple_baselines(first_actuals(spark, sf_dir))
 
 
 @query
 def direct_tracker_predictions(spark, sf_dir):
-    found = models.nested_predictions(long_matrix(spark, sf_dir), evaluation.eligible_origins(matrix(spark, sf_dir)), "direct_tracker")
-    return found.select("month", r6("estimate_mom_pct").alias("estimate_mom_pct"), "n_train", "training_end")
+    held = long_matrix(spark, sf_dir)
+    return rounded(models.direct_tracker(held, evaluation.eligible_origins(matrix(spark, sf_dir))), "estimate_mom_pct")
 
 
 def _split(spark, sf_dir):
+    """(train, test, features): products come from the catalog, so that no product is left out."""
     long = long_matrix(spark, sf_dir)
-    products = [f"Brand#{k}" for k in range(1, 26)]
-    rows = models.wide(long, products)
-    names = [c for c in rows.columns if c.startswith(("price__", "missing__"))]
-    return rows.where("month < '2000-01'"), rows.where("month >= '2000-01'"), names
+    names = [r.product_name for r in long.select("product_name").distinct().orderBy("product_name").collect()]  # one dimension
+    rows = models.wide(long, names)
+    columns = [c for c in rows.columns if c.startswith(("price__", "missing__"))]
+    return rows.where("month < '2000-01'"), rows.where("month >= '2000-01'"), columns
 
 
 @query
@@ -453,6 +704,11 @@ def ridge_predictions(spark, sf_dir):
     return models.fit_predict(*_split(spark, sf_dir), "ridge")
 
 
+@query
+def forest_predictions(spark, sf_dir):
+    return models.fit_predict(*_split(spark, sf_dir), "forest")
+
+
 @query
 def gbt_predictions(spark, sf_dir):
     train, test, names = _split(spark, sf_dir)

@@ -57,3 +57,44 @@ def write_version(df: DataFrame, root: str, version: str) -> str:
     path = f"{root}/version={version}"
     df.write.mode("errorifexists").parquet(path)
     return path
+
+
+def newest_version(spark: SparkSession, root: str) -> DataFrame:
+    """The rows of the newest complete version: Spark lists only those whose writing was committed."""
+    every = spark.read.parquet(root)
+    return every.where(F.col("version") == every.agg(F.max("version")).first()[0])
+
+
+def write_vintage(root: str, key: str, tables: dict[str, DataFrame]) -> bool:
+    """Write a vintage's tables under one key, all or none. Repeating it with the same rows is a no-op, with others an
+    error. A version counts as complete by its last table, so a run that was cut off is written again."""
+    names = sorted(tables)
+    spark = tables[names[0]].sparkSession
+    done = f"{root}/key={key}"
+    try:
+        spark.read.parquet(f"{done}/{names[-1]}").schema
+    except Exception as e:
+        if "PATH_NOT_FOUND" not in str(e) and "UNABLE_TO_INFER_SCHEMA" not in str(e):
+            raise
+        for name in names:
+            tables[name].write.mode("overwrite").parquet(f"{done}/{name}")
+        return True
+    for name in names:
+        held = spark.read.parquet(f"{done}/{name}")
+        if not held.exceptAll(tables[name]).isEmpty() or not tables[name].exceptAll(held).isEmpty():
+            raise ValueError(f"{name} of vintage {key} is stored with other rows")
+    return False
+
+
+def save_model(model, root: str, version: str, validated: bool) -> None:
+    """Save a fitted Spark ML model as a version, with a mark of whether it passed its checks."""
+    model.write().save(f"{root}/{version}/model")
+    SparkSession.getActiveSession().createDataFrame([(validated,)], "validated boolean").coalesce(1).write.parquet(f"{root}/{version}/checks")
+
+
+def load_model(kind, root: str, version: str, require_validated: bool = True):
+    """The saved model of a Spark ML model class; one that did not pass its checks is refused unless asked for."""
+    spark = SparkSession.getActiveSession()
+    if require_validated and not spark.read.parquet(f"{root}/{version}/checks").first()["validated"]:
+        raise ValueError(f"model {version} has not passed its checks")
+    return kind.load(f"{root}/{version}/model")
