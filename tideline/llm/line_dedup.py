@@ -68,17 +68,23 @@ class Lines:
     def words(self, k: int) -> bytes:
         return self.hashes[self.first[k] : self.first[k] + self.n[k]].tobytes()
 
-    def variants(self, k: int) -> np.ndarray:
-        """The hash of line k without its word 0, 1, ..: what run() gives for the line that is left."""
+    def places(self, k: int, prefix: bool, suffix: bool) -> tuple[int, int]:
+        """(from, to): where an edit of line k may lie beside a line that shares its first or its last half."""
+        n = int(self.n[k])
+        half = (n - 2) // 2
+        return (0 if suffix else half), (n if prefix else n - half)
+
+    def variants(self, k: int, low: int = 0, high: int | None = None) -> np.ndarray:
+        """The hash of line k without its word low, low + 1, ..: what run() gives for the line that is left."""
         first, n = int(self.first[k]), int(self.n[k])
-        at = np.arange(n)
+        at = np.arange(low, n if high is None else high)
         before = (self.sums[first + at] - self.sums[first]) * self.down[first]
         after = (self.sums[first + n] - self.sums[first + at + 1]) * self.down[first + 1]
         return mixed(before + after + np.array([n - 1], np.uint64) * LENGTH)
 
 
-NEAR = "d1 long, words binary, variants array<long>"
-NEAR_TYPE = pa.list_(pa.struct([("d1", pa.int64()), ("words", pa.binary()), ("variants", pa.list_(pa.int64()))]))
+NEAR = "d1 long, words binary, start int, variants array<long>"
+NEAR_TYPE = pa.list_(pa.struct([("d1", pa.int64()), ("words", pa.binary()), ("start", pa.int32()), ("variants", pa.list_(pa.int64()))]))
 
 
 def line_table(docs: DataFrame, words: int, short: int) -> DataFrame:
@@ -102,7 +108,7 @@ def line_table(docs: DataFrame, words: int, short: int) -> DataFrame:
                     halves.append(np.where(long, 4, 0))
                     some = np.flatnonzero((lines.n <= short) & (lines.n >= words))
                     some = some[np.unique(own[0][some], return_index=True)[1]]
-                    near.append([{"d1": int(own[0][i].view(np.int64)), "words": lines.words(i), "variants": lines.variants(i).view(np.int64)} for i in some.tolist()])
+                    near.append([{"d1": int(own[0][i].view(np.int64)), "words": lines.words(i), "start": 0, "variants": lines.variants(i).view(np.int64)} for i in some.tolist()])
                 ends = pa.array(np.cumsum([0, *size]), pa.int32())
                 half_list = pa.ListArray.from_arrays(pa.array(np.cumsum([0, *np.concatenate(halves)]), pa.int32()), pa.array(np.concatenate(half).view(np.int64)))
                 parts = [pa.array(np.concatenate(number).astype(np.int32)), pa.array(np.concatenate(d1).view(np.int64)), pa.array(np.concatenate(d2).view(np.int64)), half_list]
@@ -110,25 +116,28 @@ def line_table(docs: DataFrame, words: int, short: int) -> DataFrame:
                 yield pa.RecordBatch.from_arrays([*(part.column(c) for c in range(3)), pa.array(total, pa.int64()), items, pa.array(near, NEAR_TYPE)], ["rid", "doc_id", "key", "n_lines", "items", "near"])
 
     rows = text_rows(docs).select(F.monotonically_increasing_id().alias("rid"), "doc_id", F.xxhash64("text").alias("key"), "text")
-    return rows.mapInArrow(take, f"rid long, doc_id long, key long, n_lines long, items array<struct<line:int,d1:long,d2:long,half:array<long>>>, near array<struct<d1:long,words:binary,variants:array<long>>>")
+    return rows.mapInArrow(take, f"rid long, doc_id long, key long, n_lines long, items array<struct<line:int,d1:long,d2:long,half:array<long>>>, near array<struct<d1:long,words:binary,start:int,variants:array<long>>>")
 
 
 def line_words(docs: DataFrame, wanted: DataFrame) -> DataFrame:
-    """d1, words (their hashes) and variants (one without each word) of the wanted lines: doc_id, key, lines."""
+    """d1, words (their hashes), and variants without one word from place `start` on, of the wanted lines: doc_id, key, and
+    lines (line, prefix, suffix: which halves are shared)."""
 
     def take(batches):
         for batch in batches:
             for k in range(0, batch.num_rows, 500):
                 part = batch.slice(k, 500)
-                d1, data, variants = [], [], []
+                d1, data, start, variants = [], [], [], []
                 for text, chosen in zip(part.column(0).to_pylist(), part.column(1).to_pylist()):
                     lines = Lines(text)
                     own = lines.digests()[0]
-                    for i in np.searchsorted(lines.numbers, chosen).tolist():
+                    for i, x in zip(np.searchsorted(lines.numbers, [x["line"] for x in chosen]).tolist(), chosen):
+                        low, high = lines.places(i, x["prefix"], x["suffix"])
                         d1.append(int(own[i].view(np.int64)))
                         data.append(lines.words(i))
-                        variants.append(lines.variants(i).view(np.int64))
-                yield pa.RecordBatch.from_arrays([pa.array(d1, pa.int64()), pa.array(data, pa.binary()), pa.array(variants, pa.list_(pa.int64()))], ["d1", "words", "variants"])
+                        start.append(low)
+                        variants.append(lines.variants(i, low, high).view(np.int64))
+                yield pa.RecordBatch.from_arrays([pa.array(d1, pa.int64()), pa.array(data, pa.binary()), pa.array(start, pa.int32()), pa.array(variants, pa.list_(pa.int64()))], ["d1", "words", "start", "variants"])
 
     keyed, wanted = text_rows(docs).withColumn("key", F.xxhash64("text")).alias("k"), wanted.alias("w")
     same = F.col("k.doc_id").eqNullSafe(F.col("w.doc_id")) & (F.col("k.key") == F.col("w.key"))
@@ -157,7 +166,7 @@ def line_dedup(docs: DataFrame, words: int = WORDS, short: int = SHORT) -> DataF
     Equal lines count as one, from map-side combining on. The neighbourhood join takes each variant of a line without
     one word as a hashed key. Lines of up to `short` words emit all of theirs: their number is in proportion to the
     input. A longer line can be alike another only if it shares half its words, from either end, with a line of near
-    length, so it emits variants only where such a half occurs. Lines with equal variants at the same place are linked
+    length, so it emits variants only where such a half occurs, and only without a word outside of it. Lines with equal variants at the same place are linked
     to the least of them, and lines that are a variant to that line; so a crowded key gives one edge a line. Every edge
     is verified on the words.
     """
@@ -165,14 +174,16 @@ def line_dedup(docs: DataFrame, words: int = WORDS, short: int = SHORT) -> DataF
     scratch = Scratch(spark, "line-dedup")
     rows = scratch.table(line_table(docs, words, short), "lines")
     lines = rows.select("rid", "doc_id", "key", F.explode("items").alias("x")).select("rid", "doc_id", "key", "x.line", "x.d1", "x.d2", "x.half")
-    keys = lines.select("doc_id", "key", "line", "d1", F.explode(F.array_distinct("half")).alias("h"))
+    keys = lines.select("doc_id", "key", "line", "d1", F.posexplode("half").alias("side", "h"))
     shared = keys.groupBy("h").agg(F.min("d1").alias("lo"), F.max("d1").alias("hi")).where("lo < hi").select("h")
-    taking = keys.join(shared, "h", "left_semi").groupBy("d1").agg(F.min(F.struct("doc_id", "key", "line")).alias("at"))
-    wanted = taking.groupBy("at.doc_id", "at.key").agg(F.array_sort(F.collect_set("at.line")).alias("lines"))
+    side = lambda k: F.bool_or(F.col("side") % 2 == k)
+    taking = keys.join(shared, "h", "left_semi").groupBy("d1").agg(F.min(F.struct("doc_id", "key", "line")).alias("at"), side(0).alias("prefix"), side(1).alias("suffix"))
+    wanted = taking.groupBy("at.doc_id", "at.key").agg(F.array_sort(F.collect_list(F.struct("at.line", "prefix", "suffix"))).alias("lines"))
     every = rows.select(F.explode("near").alias("x")).select("x.*").union(line_words(docs, wanted))
-    near = scratch.table(every.groupBy("d1").agg(F.first("words").alias("words"), F.first("variants").alias("variants")), "near")
+    longest = F.max_by(F.struct("words", "start", "variants"), F.size("variants"))  # a short line may come twice
+    near = scratch.table(every.groupBy("d1").agg(longest.alias("x")).select("d1", "x.*"), "near")
 
-    variants = near.select("d1", F.posexplode("variants").alias("at", "v"))
+    variants = near.select("d1", "start", F.posexplode("variants").alias("at", "v")).select("d1", (F.col("start") + F.col("at")).alias("at"), "v")
     stars = variants.groupBy("v", "at").agg(F.min("d1").alias("a"), F.max("d1").alias("b")).where("a < b").select("v", "at", "a")
     replaced = variants.join(stars, ["v", "at"]).where("d1 <> a").select("a", F.col("d1").alias("b"))
     inserted = variants.select(F.col("d1").alias("b"), "v").join(near.select(F.col("d1").alias("a")), F.col("v") == F.col("a")).select("a", "b")
