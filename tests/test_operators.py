@@ -430,3 +430,14 @@ def test_lifecycle(spark):
     assert events == {("trigger", "old"), ("trial", "new"), ("trial", "worse"), ("promotion", "new"), ("rejection", "worse")}
     assert lifecycle.cycle_events(scores, saved, "old", cut("2026-02-01")).isEmpty()
     assert [r.champion for r in lifecycle.champions(lifecycle.cycle_events(scores, saved, "old", cut("2026-07-01")), "old").collect()] == ["new"]
+
+
+def test_hours_close_with_the_watermark(spark, tmp_path):
+    from tideline.streaming.arrivals import append_to, hourly_events, stream_table
+
+    make = lambda *hours: spark.createDataFrame([(dt.datetime(2026, 1, 1, h, 30), "click", 1.5) for h in hours], "ts timestamp, event_type string, value double")
+    source, sink, marks = (str(tmp_path / n) for n in ("in", "out", "marks"))
+    for hours in ((1, 1, 2), (3, 9), (2,)):  # the last comes too late
+        make(*hours).write.mode("append").parquet(source)
+        append_to(hourly_events(stream_table(spark, source, make().schema)), sink, marks).awaitTermination()
+    assert sorted((r.hour.hour, r.n, r.value) for r in spark.read.parquet(sink).collect()) == [(1, 2, 3.0), (2, 1, 1.5), (3, 1, 1.5)]

@@ -344,4 +344,5 @@ SELECT 'other' AS kind, count(*) AS n FROM l HAVING count(*) > 0""",
     "page_hosts": "SELECT page_id, regexp_extract(url, '^https?://([^/?#:]+)', 1) = 'blog.thths.example.com' AND regexp_matches(url, '^https?://[^/?#]+/') AS allowed, false AS challenge FROM pages WHERE url IS NOT NULL",
     "status_counts": q(OBS, ACT, FC, "SELECT 'observations' AS kind, count(*) AS n, max(release_month) AS last FROM obs UNION ALL SELECT 'actuals', count(*), max(target_month) FROM act UNION ALL SELECT 'forecasts', count(*), max(target_month) FROM fc"),
     "direct_tracker_predictions": q(*MATRICES, "SELECT month, round(100 * (exp(avg(value) / 100) - 1), 6) + 0.0 AS estimate_mom_pct, n_train, training_end FROM vals JOIN used USING (month) JOIN (SELECT month, count(*) AS n_train, max(train_month) AS training_end FROM origins GROUP BY 1 HAVING count(*) >= 24) USING (month) GROUP BY 1, 3, 4"),
+    "hourly_events": "SELECT date_trunc('hour', ts) AS hour, event_type, count(*) AS n, round(sum(value), 6) + 0.0 AS value FROM events WHERE date_trunc('hour', ts) + INTERVAL 1 HOUR <= (SELECT max(ts) FROM events) - INTERVAL 2 HOURS GROUP BY 1, 2",
 }

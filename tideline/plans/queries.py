@@ -10,7 +10,8 @@ from pyspark.sql import functions as F
 from tideline.functions import releases as rel
 from tideline.operators import asof, catalog, evaluation, features, ingest, models, products, registry, ridge, specs, validation
 from tideline.plans import lifecycle
-from tideline.sources import proxy
+from tideline.sources import files, proxy
+from tideline.streaming import arrivals
 
 CUTOFF = "1999-03-26 12:00:00"  # of the queries that ask what was known at a time
 FAR = "2010-01-01 00:00:00"  # of all others: after the last event of the tables
@@ -722,3 +723,13 @@ def block_bootstrap_ci(spark, sf_dir):
     other = s.select("target_month", F.col("model_key").alias("model_b"), F.col("loss").alias("lb"))
     pairs = s.join(other, "target_month").where("model_key < model_b").select(F.col("model_key").alias("model_a"), "model_b", "target_month", (F.col("loss") - F.col("lb")).alias("d"))
     return models.block_bootstrap(pairs)
+
+
+@query
+def hourly_events(spark, sf_dir):
+    """Events by hour and type, as a stream of what has arrived closes them: hours beyond the watermark are not out yet."""
+    where = files.run_path(spark, "hourly-events")
+    stream = arrivals.stream_table(spark, sf_dir, proxy.table(spark, sf_dir, "events").schema, "events.parquet").withColumn("ts", F.col("ts").cast("timestamp"))
+    arrivals.append_to(arrivals.hourly_events(stream), f"{where}/out", f"{where}/marks").awaitTermination()
+    found = spark.read.schema("hour timestamp, event_type string, n long, value double").parquet(f"{where}/out")
+    return found.select(F.col("hour").cast("timestamp_ntz").alias("hour"), "event_type", "n", r6("value").alias("value"))

@@ -7,9 +7,9 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 
 
-def stream_table(spark: SparkSession, path: str, schema) -> DataFrame:
-    """A folder of Parquet files that grows."""
-    return spark.readStream.schema(schema).parquet(path)
+def stream_table(spark: SparkSession, path: str, schema, pattern: str = "*") -> DataFrame:
+    """A folder of Parquet files that grows; only those whose names match the pattern."""
+    return spark.readStream.schema(schema).option("pathGlobFilter", pattern).parquet(path)
 
 
 def new_snapshots(stream: DataFrame, delay: str = "40 days") -> DataFrame:
