@@ -55,15 +55,16 @@ def test_matches_brute_force(request, name):
     assert found(df) == brute([(r.doc_id, r.text) for r in df.select("doc_id", "text").collect()])
 
 
-@pytest.mark.parametrize("size", [12, 16, 17, 18, 60])
+@pytest.mark.parametrize("size", [12, 16, 40])
 def test_edits(spark, size):
     base = [f"w{k}" for k in range(size)]
     variants = [base, base[1:], base[:-1], base[:5] + base[6:], [*base[:3], "new", *base[3:]], [*base[:7], "other", *base[8:]], ["x", *base[1:]], base[::-1], [*base[:2], "a", "b", *base[2:]], base[:4]]
     rows = [(k, "Intro\n" + " ".join(v) + "\n") for k, v in enumerate(variants)]
     rows += [(100 + k, f"page {k} of the long report here") for k in range(40)]
     df = spark.createDataFrame(rows, "doc_id long, text string")
-    assert found(df) == brute(rows)
-    cleaned = {r.doc_id: r.t for r in df.join(line_dedup(df), "doc_id").select("doc_id", without_lines(F.col("text"), F.col("dropped")).alias("t")).collect()}
+    got = line_dedup(df).collect()
+    assert sorted((str(r.doc_id), r.n_lines, list(r.dropped)) for r in got) == brute(rows)
+    cleaned = {r.doc_id: r.t for r in df.join(spark.createDataFrame(got, "doc_id long, n_lines long, dropped array<int>"), "doc_id").select("doc_id", without_lines(F.col("text"), F.col("dropped")).alias("t")).collect()}
     assert cleaned[1] == "" and cleaned[0] == rows[0][1] and cleaned[101] == ""
 
 

@@ -26,3 +26,16 @@ def test_stages_return_the_columns(spark, small, odd):
         docs = stage(spark, docs, small)
         assert docs.columns == odd.columns, name
     assert docs.count() > 0
+
+
+def test_empty_tables(spark, small, odd, none, tmp_path):
+    """Without documents nothing comes out; without labels and benchmark only copies go."""
+    spark.createDataFrame([], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    spark.createDataFrame([], "item_id string, text string").write.parquet(f"{tmp_path}/benchmark.parquet")
+    odd.write.parquet(f"{tmp_path}/documents.parquet")
+    got = corpus_pipeline.run(spark, str(tmp_path))
+    assert got.where("not round_trip and doc_id <> 9").isEmpty() and 0 < got.count() < odd.count()
+    docs = none
+    for _, stage in corpus_pipeline.STAGES:
+        docs = stage(spark, docs, small)
+    assert docs.isEmpty()

@@ -57,16 +57,17 @@ def heavy_join(left: DataFrame, right: DataFrame, on: list[str], scratch: Scratc
     """left joined with right, which has one row a key, such that no key of left is one task's alone.
 
     A key with more than 1/HEAVY of left's rows is heavy: there are fewer than HEAVY of them whatever the input, so their
-    rows of right are broadcast, and left's stay where they are. All other keys meet in a shuffle. left is read thrice.
+    rows of right are broadcast, and left's stay where they are. All other keys meet in a shuffle. left is read more
+    than once, so it should be a stored table.
     """
-    counts = left.groupBy(*on).agg(F.count("*").alias("_tl_n"))  # combined map-side
     least = left.count() // HEAVY
-    name = f"heavy-{uuid.uuid4().hex}"
-    heavy = scratch.table(counts.where(F.col("_tl_n") > least).select(*on), name)
-    there = scratch.table(right.join(F.broadcast(heavy), on, "left_semi"), f"{name}-right")
-    here = left.join(F.broadcast(heavy), on, "left_semi").join(F.broadcast(there), on, how)
-    rest = left.join(F.broadcast(heavy), on, "left_anti").join(right, on, how)
-    return here.unionByName(rest)
+    counts = left.groupBy(*on).agg(F.count("*").alias("_tl_n"))  # combined map-side
+    heavy = scratch.table(counts.where(F.col("_tl_n") > least).select(*on), f"heavy-{uuid.uuid4().hex}")
+    if heavy.isEmpty():
+        return left.join(right, on, how)
+    keys = F.broadcast(heavy)
+    here = left.join(keys, on, "left_semi").join(F.broadcast(right.join(keys, on, "left_semi")), on, how)
+    return here.unionByName(left.join(keys, on, "left_anti").join(right, on, how))
 
 
 def let(value: Column, body) -> Column:
