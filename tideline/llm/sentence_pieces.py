@@ -17,7 +17,7 @@ BASE = np.uint64(0x100000001B3)
 BATCH_CELLS = 1 << 18
 BATCH_TEXTS = 1000  # the more words of a length advance together, the fewer steps
 STRETCH = 1 << 15  # places of a long word whose pieces are looked up at once
-CACHE_WORDS = 250_000
+CACHE_WORDS = 600_000
 NORMAL, UNKNOWN, BYTE = 1, 2, 6  # piece types of the model format
 
 
@@ -39,6 +39,7 @@ class Pieces:
         self.table = [p.piece.encode() for p in model.pieces]
         self.unknown = next(k for k, p in enumerate(model.pieces) if p.type == UNKNOWN)
         self.bytes = {int(p.piece[3:-1], 16): k for k, p in enumerate(model.pieces) if p.type == BYTE}
+        self.table = [p.replace(SPACE.encode(), b" ") for p in self.table]
         for value, k in self.bytes.items():
             self.table[k] = bytes([value])
         by: dict[int, list[tuple[int, int, float]]] = defaultdict(list)
@@ -75,8 +76,9 @@ class Pieces:
             if same.any():
                 yield n, row[same], start[same], ids[found[same]], scores[found[same]]
 
-    def viterbi(self, codes: np.ndarray) -> list[np.ndarray]:
-        """Best-scoring piece ids of words of one length, rows of code points; an unknown character is -1 - its code.
+    def viterbi(self, codes: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Best-scoring piece ids of words of one length (rows of code points), word after word, and how many each has;
+        an unknown character is -1 - its code.
 
         Words advance together, one end position at a time: the maximum over piece lengths of the best score before the
         piece plus the piece's. Of equal scores the path with the longest last piece wins. Pieces are looked up for one
@@ -113,7 +115,7 @@ class Pieces:
             used[row, at[row] - 1] = True
             at[row] -= back[at[row] - 1, row]
             row = row[at[row] > 0]
-        return [out[k][used[k]] for k in range(words)]
+        return out[used], used.sum(axis=1)
 
     def word_ids(self, words: list[str]) -> list[bytes]:
         """Ids of words, as 32-bit numbers; a character without a piece becomes its bytes."""
@@ -126,12 +128,21 @@ class Pieces:
             for k in range(0, len(members), step):
                 part = members[k : k + step]
                 codes = np.frombuffer("".join(words[m] for m in part).encode("utf-32-le", "surrogatepass"), "<u4").reshape(len(part), size)
-                for m, ids in zip(part, self.viterbi(codes.astype(np.uint64))):
-                    if len(ids) and ids.min() < 0:
-                        ids = [i for x in ids.tolist() for i in ([x] if x >= 0 else self.fallback(chr(-1 - x)))]
-                    out[m] = np.asarray(ids, "<i4").tobytes()
+                ids, counts = self.viterbi(codes.astype(np.uint64))
+                if len(ids) and ids.min() < 0:
+                    ids, counts = self.spelled(ids, counts)
+                data, ends = ids.astype("<i4").tobytes(), [0, *(4 * np.cumsum(counts)).tolist()]
+                for m, a, b in zip(part, ends, ends[1:]):
+                    out[m] = data[a:b]
         return out
 
+    def spelled(self, ids: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The ids and counts with each unknown character as its bytes."""
+        parts = [[x] if x >= 0 else self.fallback(chr(-1 - x)) for x in ids.tolist()]
+        sizes = np.fromiter(map(len, parts), np.int64, len(parts))
+        more = np.add.reduceat(sizes, np.cumsum(counts) - counts)
+        return np.array([i for x in parts for i in x], np.int64), more
+
     def fallback(self, c: str) -> list[int]:
         return [self.bytes.get(b, self.unknown) for b in c.encode("utf-8", "surrogatepass")]
 
