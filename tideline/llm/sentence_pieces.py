@@ -17,7 +17,7 @@ BASE = np.uint64(0x100000001B3)
 BATCH_CELLS = 1 << 18
 BATCH_TEXTS = 1000  # the more words of a length advance together, the fewer steps
 STRETCH = 1 << 15  # places of a long word whose pieces are looked up at once
-CACHE_WORDS = 600_000
+CACHE_WORDS = 450_000
 NORMAL, UNKNOWN, BYTE = 1, 2, 6  # piece types of the model format
 
 
@@ -128,7 +128,7 @@ class Pieces:
             for k in range(0, len(members), step):
                 part = members[k : k + step]
                 codes = np.frombuffer("".join(words[m] for m in part).encode("utf-32-le", "surrogatepass"), "<u4").reshape(len(part), size)
-                ids, counts = self.viterbi(codes.astype(np.uint64))
+                ids, counts = self.viterbi(np.where(codes == ord(" "), ord(SPACE), codes).astype(np.uint64))
                 if len(ids) and ids.min() < 0:
                     ids, counts = self.spelled(ids, counts)
                 data, ends = ids.astype("<i4").tobytes(), [0, *(4 * np.cumsum(counts)).tolist()]
@@ -162,7 +162,7 @@ def substring_hash(codes: np.ndarray) -> np.uint64:
 class Encoder:
     """Ids of whole texts. No piece has a space mark after another character, so words are encoded by themselves."""
 
-    WORD = re.compile(f"{SPACE}*[^{SPACE}]+|{SPACE}+")
+    WORD = re.compile(" *[^ ]+| +")  # a space stands for the mark, which is a wider character, until words are looked up
 
     def __init__(self, model_path: str):
         self.pieces = Pieces(model_path)
@@ -170,8 +170,8 @@ class Encoder:
         self.old: dict[str, bytes] = {}
 
     def words(self, text: str) -> list[str]:
-        marked = text.replace(" ", SPACE)
-        return self.WORD.findall(SPACE + marked if self.pieces.prefix and text else marked)
+        plain = text.replace(SPACE, " ") if SPACE in text else text
+        return self.WORD.findall(" " + plain if self.pieces.prefix and text else plain)
 
     def encode(self, texts: list[str]) -> list[bytes]:
         split = [self.words(t) for t in texts]
