@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tideline.functions import releases as rel
-from tideline.operators import asof, catalog, evaluation, features, ingest, models, products, registry, ridge, specs, validation
+from tideline.operators import asof, catalog, evaluation, features, ingest, models, products, registry, ridge, specs, trees, validation
 from tideline.plans import lifecycle
 from tideline.sources import files, proxy
 from tideline.streaming import arrivals
@@ -659,6 +659,43 @@ def refit_comparison(spark, sf_dir):
     return models.compared_fits(fits(spark, sf_dir), fits(spark, sf_dir, windows=ridge.WINDOWS))
 
 
+def grown(spark, sf_dir, model: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(long matrix, origins, leaves of each origin's ensemble), each written once, as a saved model and its data are."""
+    held = files.stored(long_matrix(spark, sf_dir), "long-matrix")
+    origins = files.stored(evaluation.eligible_origins(matrix(spark, sf_dir)), "origins")
+    return held, origins, files.stored(trees.grow_origins(models.wide_rows(held), origins, model), f"{model}-leaves")
+
+
+def _ensemble(model):
+    def run(spark, sf_dir):
+        held, origins, leaves = grown(spark, sf_dir, model)
+        known = origins.groupBy("month").agg(F.count("*").alias("n_train"), F.max("train_month").alias("training_end"))
+        found = known.join(held.select("month", "actual_mom_pct").distinct(), "month").join(trees.ensemble_predictions(leaves, held), "month", "left")
+        status = F.when(F.col("estimate").isNull(), "short_history").otherwise("fitted")
+        found = rounded(found.withColumn("status", status).withColumn("model_key", F.lit(model)), "estimate", "baseline")
+        return found.select("month", "model_key", "status", "n_train", "training_end", F.col("estimate").alias("estimate_mom_pct"), "baseline", "actual_mom_pct")
+
+    return run
+
+
+QUERIES |= {"boosted_origin_predictions": _ensemble("boosting"), "forest_origin_predictions": _ensemble("forest")}
+
+
+@query
+def tree_attribution(spark, sf_dir):
+    """Each product's part in each month's boosted estimate, beside the baseline and the estimate that they add up to."""
+    held, _, leaves = grown(spark, sf_dir, "boosting")
+    parts = trees.tree_attributions(leaves, held).join(trees.ensemble_predictions(leaves, held), ["month", "model_key"])
+    return rounded(parts, "contribution", "baseline", "estimate", places=9).select("month", "product_name", "contribution", "baseline", "estimate")
+
+
+@query
+def hybrid_origin_predictions(spark, sf_dir):
+    """The equal mean of the ridge and the boosted estimate of each origin that has both."""
+    boosted = QUERIES["boosted_origin_predictions"](spark, sf_dir).where("status = 'fitted'")
+    return rounded(models.hybrid(fits(spark, sf_dir).where("status = 'fitted'"), boosted), "estimate_mom_pct")
+
+
 def contributions(spark, sf_dir) -> DataFrame:
     return evaluation.attributions(long_matrix(spark, sf_dir).select("month", "product_name", "sector", "value"), models.coefficients(fits(spark, sf_dir)))
 

@@ -19,6 +19,13 @@ def run_path(spark: SparkSession, name: str) -> str:
     return f"{root.rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
+def stored(df: DataFrame, name: str) -> DataFrame:
+    """df, written once to a folder of its own and scanned from there."""
+    path = run_path(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def read_strings(spark: SparkSession, path: str, columns: list[str]) -> DataFrame:
     """A CSV folder with every column a string and the empty string missing; an empty frame if nothing is there."""
     schema = ", ".join(f"`{c}` string" for c in columns)
