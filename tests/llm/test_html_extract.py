@@ -1,4 +1,9 @@
-from tideline.llm.html_extract import extract, html_extract
+import random
+from collections import Counter
+from html.parser import HTMLParser
+
+from tideline.llm.common import Scratch
+from tideline.llm.html_extract import extract, host_paths, html_extract, parse
 
 PAGE = """<!DOCTYPE html><html><head><title>T</title><style>p{{}}</style><script>var t="</p>";</script></head><body>
 <header class="masthead"><p>Site</p></header><nav><ul><li><a href="/">Home</a></ul></nav><div class="cookie-notice"><p>We use cookies</p></div>
@@ -71,3 +76,52 @@ def test_deep_and_broken_pages_take_time_in_proportion():
     for html in ("<div>" * 16_000 + "deep", "<span>" * 16_000 + "<p>x</p>" * 16_000, "<div class='a b'><b>" * 8_000 + "</i></b>" * 8_000 + "end", "<p>" + "<i>" * 16_000 + "<p>y" * 8_000, "<ul>" + "<li>z" * 16_000):
         assert extract(html)[0].replace("\n\n", "").strip("xyz") in ("deep", "end", "")
     assert time.process_time() - began < 5
+
+
+def text_of(html):
+    page = parse(html)
+    return "".join(data for _, _, data, _ in page.runs)
+
+
+def test_quotes_that_open_no_value():
+    assert extract("<p>He said <i title=it's>yes</i> and it was fine.</p><p>It's done.</p>")[0] == "He said yes and it was fine.\n\nIt's done."
+    assert extract('<div class="a"">First words stay here.</div>')[0] == "First words stay here."
+    for tag in ("<i a='>x</i>", '<i a=">x</i>', "<i a=b'c\"d>x</i>", "<i 'a' \"b\">x</i>", "<i a = \"1>2\" b='>'>x</i>", "<i a=>x</i>", "<i =a>x</i>", "<i a/b=/c/>x</i>", "<i a=1/>x</i>", "<i\na\n=\n'b'\n>x</i>"):
+        assert extract(f"<p>before {tag} after</p>")[0] == "before x after", tag
+    assert extract("<p>one <i a='b>two</i> three</p><p c='d'>four</p>")[0] == "one four"  # the value runs to the next quote, as in a browser
+    assert extract("<p>a < b and c <d")[0] == "a < b and c <d" and extract("<p>x</p><!-- open <p>y</p> z")[0] == "x" and extract("<p>x<![CDATA[y<z]]></p>")[0] == "xy<z"
+
+
+def test_tokens_match_the_standard_parser():
+    """Random tags with quoted, unquoted and stray quotes, closed: the text between them is what the standard parser gives."""
+    rng = random.Random(11)
+    values = ["", "=x", "='x y'", '="x y"', "=it's", '=a"b', "='a>b'", '="c>d"', " = 'e'", '=f"', "=/g/"]
+    for _ in range(300):
+        parts, words = [], []
+        for k in range(rng.randrange(1, 12)):
+            attributes = "".join(f" a{j}{rng.choice(values)}" for j in range(rng.randrange(4)))
+            tag = rng.choice(["i", "b", "span", "u"])
+            words.append(f"w{k} ")
+            parts.append(f"<{tag}{attributes}{rng.choice(['', ' '])}>w{k} {rng.choice(['</' + tag + '>', ''])}")
+        found = []
+        standard = HTMLParser()
+        standard.handle_data = found.append
+        standard.feed("".join(parts))
+        standard.close()
+        assert text_of("".join(parts)) == "".join(words) == "".join(found), parts
+
+
+def test_votes_match_brute_force(spark):
+    """Winners of each host against a plain count, with tied votes, single votes, shares below the bound and a hot host."""
+    body = lambda box: f'<body><div class="{box}"><p>{"Words of the story. " * 9}</p></div></body>'
+    boxes = {"hot.example": ["a"] * 40 + ["b"] * 40 + ["c"] * 5 + [f"x{chr(97 + k)}" for k in range(20)], "tie.example": ["d", "e"], "one.example": ["f"], "few.example": ["g", "g", "h"]}
+    rows = [(None, f"http://{host}/{k}", body(box), "n") for host, names in boxes.items() for k, box in enumerate(names)]
+    df = spark.createDataFrame([*rows, (1, None, body("z"), "n"), (2, "http://none.example/", None, "n")], "page_id long, url string, html string, host string")
+    want = {}
+    for host, names in boxes.items():
+        counts = Counter(names)
+        won = [(-n, f">body>div.{b}") for b, n in counts.items() if 10 * n >= len(names) and (n > 1 or max(counts.values()) == 1)]
+        want[host] = [path for _, path in sorted(won)]
+    got = {r.host: r.paths for r in host_paths(df, Scratch(spark, "votes")).collect()}
+    assert got == want
+    assert sorted(map(tuple, html_extract(df, broadcast_hosts=0).collect()), key=str) == sorted(map(tuple, html_extract(df).collect()), key=str)

@@ -8,13 +8,15 @@ from dataclasses import dataclass, field
 from html import unescape
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tideline.llm.common import Scratch
+from tideline.llm.common import Scratch, heavy_join
 
-TOKEN = re.compile(r"""<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:"[^"]*"|'[^']*'|[^>"'])*)>|<[!?/][^>]*>""", re.S)
-ATTRIBUTE = re.compile(r"""([^\s=/"']+)(?:\s*=\s*("[^"]*"|'[^']*'|[^\s"']+))?""")
+#: A quote opens a value only after an equals sign; an unquoted value ends at white space or the tag's end. Nothing that was taken is given back, so broken tags take no longer.
+_VALUE = r"""(?:\s*+=\s*+(?:"[^"]*"|'[^']*'|[^\s>]*+))?+"""
+TOKEN = re.compile(rf"""<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<(/?)([a-zA-Z][^\s/>]*+)((?:[\s/]++|[^\s/>][^\s/>=]*+{_VALUE})*+)>|<[!?/][^>]*>""", re.S)
+ATTRIBUTE = re.compile(r"""([^\s/>][^\s/>=]*+)(?:\s*+=\s*+("[^"]*"|'[^']*'|[^\s>]*+))?+""")
 SPACE = re.compile(r"\s+")
 
 # HTML's element kinds.
@@ -148,12 +150,16 @@ def parse(html: str) -> Page:
                 return 0
         return 0
 
-    while m := TOKEN.search(html, at):
+    last = html.rfind(">") + 1  # no tag ends beyond
+    while m := TOKEN.search(html, at, last):
         text(html[at : m.start()])
         at = m.end()
         if m[2] is None:
             if m[0].startswith("<![CDATA["):
-                text(m[0][9:].removesuffix("]]>"))
+                at = at if m[0].endswith("]]>") else len(html)
+                text(html[m.start() + 9 : at].removesuffix("]]>"))
+            elif m[0].startswith("<!--") and not m[0].endswith("-->"):
+                at = len(html)
             continue
         tag = m[2].lower()
         if m[1]:
@@ -178,7 +184,7 @@ def parse(html: str) -> Page:
             at = end.end() if end else len(html)
             continue
         parent = elements[stack[-1]]
-        values = {k.lower(): v.strip("\"'") for k, v in ATTRIBUTE.findall(m[3])} if m[3] else {}
+        values = {k.lower(): v.strip("\"'") for k, v in reversed(ATTRIBUTE.findall(m[3]))} if m[3] else {}  # of equal names the first
         classes = sorted({re.sub(r"\d+", "#", c.replace(">", "#")) for c in values.get("class", "").lower().split()})
         words = [*_words(values.get("class", "")), *_words(values.get("id", ""))] if values else []
         inside = open_now["article"] or open_now["main"]
@@ -245,12 +251,13 @@ def host_of(url):
     return F.lower(F.regexp_extract(F.coalesce(url, F.lit("")), r"^[a-zA-Z][a-zA-Z0-9+.-]*://(?:[^/?#@]*@)?([^/?#:]+)", 1))
 
 
-def host_paths(pages: DataFrame, least_share: float = 0.1) -> DataFrame:
+def host_paths(pages: DataFrame, scratch: Scratch, least_share: float = 0.1) -> DataFrame:
     """(host, paths): containers that at least `least_share` of a host's pages vote for, most votes first.
 
     A page gives one vote, to its best container. A single vote wins only where none has more, so that no page outvotes
-    its host by itself. Votes are counted with map-side combining, so a host with a third of
-    all pages leaves each task as a few rows. Pages without a host have no vote.
+    its host by itself; of equally many votes the path that sorts first. Votes and their sums by host are counted with
+    map-side combining; a host with as many paths as pages takes its sum by broadcast, and no more than 1 / least_share
+    of its paths are left when they meet. Pages without a host have no vote.
     """
 
     def vote(batches):
@@ -264,8 +271,9 @@ def host_paths(pages: DataFrame, least_share: float = 0.1) -> DataFrame:
 
     rows = pages.select(host_of(F.col("url")).alias("host"), F.coalesce("html", F.lit("")).alias("html")).where("host <> ''")
     votes = rows.mapInArrow(vote, "host string, path string").where("path <> ''").groupBy("host", "path").agg(F.count("*").alias("n"))
-    shares = votes.withColumn("share", F.col("n") / F.sum("n").over(Window.partitionBy("host"))).where(F.col("share") >= least_share)
-    shares = shares.withColumn("most", F.max("n").over(Window.partitionBy("host"))).where("n > 1 or n = most")
+    votes = scratch.table(votes, "votes")
+    sums = votes.groupBy("host").agg(F.sum("n").alias("all"), F.max("n").alias("most"))
+    shares = heavy_join(votes, sums, ["host"], scratch).where((F.col("n") >= least_share * F.col("all")) & ((F.col("n") > 1) | (F.col("most") == 1)))
     return shares.groupBy("host").agg(F.transform(F.array_sort(F.collect_list(F.struct((-F.col("n")).alias("k"), "path"))), lambda x: x.path).alias("paths"))
 
 
@@ -274,13 +282,14 @@ def html_extract(pages: DataFrame, broadcast_hosts: int = 200_000) -> DataFrame:
 
     Null and empty pages have an empty text. A page without its host's winning containers, or without a host, uses its
     own best one. Repeated rows give repeated results; other columns of the input are not read. The paths of up to
-    `broadcast_hosts` hosts (at most 1 / least_share short strings each) are broadcast, of more they are joined.
+    `broadcast_hosts` hosts (at most 1 / least_share short strings each) are broadcast; of more they are joined, a hot host's by broadcast.
     """
     scratch = Scratch(pages.sparkSession, "html-paths")
-    paths = scratch.table(host_paths(pages), "paths")
+    paths = scratch.table(host_paths(pages, scratch), "paths")
     small = paths.count() <= broadcast_hosts
     rows = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), F.coalesce("html", F.lit("")).alias("html"), host_of(F.col("url")).alias("host"))
-    rows = rows.join(F.broadcast(paths) if small else paths, "host", "left").select("page_id", "url", "html", "paths")
+    rows = rows.join(F.broadcast(paths), "host", "left") if small else heavy_join(rows, paths, ["host"], scratch, "left")
+    rows = rows.select("page_id", "url", "html", "paths")
 
     def take(batches):
         for batch in batches:
