@@ -281,6 +281,14 @@ def test_registry(spark):
     assert registry.append(stored, make([row("2026-01", 0.1 + 1e-14), row("2026-02", 0.2), row("2026-02", 0.2)])).count() == 2
     with pytest.raises(ValueError):
         registry.append(stored, make([row("2026-01", 0.2)]))
+    nothing, nan = None, float("nan")
+    cases = {"batch": [row("2026-02", 1.0), row("2026-02", 9.0)], "null": [row("2026-01", nothing)], "stored": [row("2026-01", 0.1 + 1e-9)]}
+    for fault, batch in cases.items():
+        assert [r.fault for r in registry.conflicts(stored, make(batch)).collect()] == [fault]
+        with pytest.raises(ValueError, match=fault):
+            registry.append(stored, make(batch))
+    assert [r.fault for r in registry.conflicts(stored, make([row("2026-03", nan), row("2026-03", 1.0)])).collect()] == ["null"]
+    assert [r.fault for r in registry.conflicts(make([row("2026-01", nothing)]), stored).collect()] == ["stored"]
 
 
 def test_drift_and_promotion(spark):
@@ -299,15 +307,25 @@ def test_drift_and_promotion(spark):
 
 def test_journal(spark):
     kinds = [("initialized", "c0", "k"), ("trial_requested", "c1", "k"), ("refit_failed", "c1", "k"), ("challenger_fitted", "c1", "k"), ("trial_decided", "c1", "k"), ("promoted", "c1", "k"), ("challenger_fitted", "c2", "k"), ("trial_requested", "c2", "k"), ("trial_cancelled", "c2", "k"), ("adopted", "c3", "k2"), ("trial_requested", "c4", "k2")]
-    rows = spark.createDataFrame([(n, kind, dt.datetime(2026, 1, n + 1), key, cycle, str(n)) for n, (kind, cycle, key) in enumerate(kinds)], "sequence long, kind string, as_of timestamp_ntz, key string, cycle_id string, payload string").withColumn("event_id", rel.event_digest())
-    before = rows.select((F.col("sequence") + 1).alias("sequence"), F.col("event_id").alias("previous_event"))
-    journal = rows.join(before, "sequence", "left")
+    rows = spark.createDataFrame([(n, kind, dt.datetime(2026, 1, n + 1), key, cycle, str(n)) for n, (kind, cycle, key) in enumerate(kinds)], "sequence long, kind string, as_of timestamp_ntz, key string, cycle_id string, payload string")
+    journal = registry.chained(rows)
     assert registry.chain_breaks(journal).isEmpty()
     faults = lambda df: {(r.sequence, r.fault) for r in registry.chain_breaks(df).collect()}
     assert faults(journal.where("sequence <> 4")) == {(5, "gap")}
     assert faults(journal.withColumn("payload", F.when(F.col("sequence") == 3, "x").otherwise(F.col("payload")))) == {(3, "changed")}
-    assert faults(journal.withColumn("previous_event", F.when(F.col("sequence") == 6, "x").otherwise(F.col("previous_event")))) == {(6, "forged")}
-    assert faults(journal.withColumn("previous_event", F.when(F.col("sequence") == 0, "x").otherwise(F.col("previous_event")))) == {(0, "gap")}
+    at = lambda n, c, v: F.when(F.col("sequence") == n, v).otherwise(F.col(c))
+    again = lambda df, n: df.withColumn("event_id", at(n, "event_id", rel.event_digest()))
+    assert faults(journal.withColumn("previous_event", at(6, "previous_event", F.lit("x")))) == {(6, "changed")}
+    assert faults(again(journal.withColumn("previous_event", at(6, "previous_event", F.lit("x"))), 6)) == {(6, "forged"), (7, "forged")}
+    assert faults(again(journal.withColumn("previous_event", at(0, "previous_event", F.lit("x"))), 0)) == {(0, "gap"), (1, "forged")}
+    # An event rewritten with its id is seen at the next one; if that one's pointer is mended, at its id.
+    forged = again(journal.withColumn("payload", at(3, "payload", F.lit("x"))), 3)
+    assert faults(forged) == {(4, "forged")}
+    new = forged.where("sequence = 3").first().event_id
+    assert faults(forged.withColumn("previous_event", at(4, "previous_event", F.lit(new)))) == {(4, "changed")}
+    # What is rewritten before the chain is made changes every later id of its key, and none of others.
+    other = {r.sequence: r.event_id for r in registry.chained(rows.withColumn("payload", at(3, "payload", F.lit("x")))).collect()}
+    assert {n for n, i in other.items() if i != {r.sequence: r.event_id for r in journal.collect()}[n]} == {3, 4, 5, 6, 7, 8}
     cycles = {r.cycle_id: (r.status, r.requested_at.day, r.n_failed) for r in registry.replay_cycles(journal).collect()}
     assert cycles == {"c1": ("promoted", 2, 1), "c2": ("cancelled", 8, 0), "c4": ("requested", 11, 0)}
     ids = {r.sequence: r.event_id for r in journal.collect()}
@@ -381,6 +399,11 @@ def test_files(spark, tmp_path):
     assert files.write_once(make(("a", 1.0), ("b", 2.0)), out, ["k"], "v") == 1
     with pytest.raises(ValueError):
         files.write_once(make(("a", 9.0)), out, ["k"], "v")
+    for batch in ([("z", 1.0), ("z", 9.0)], [("a", None)], [("z", None)], [("z", float("nan"))]):
+        with pytest.raises(ValueError):
+            files.write_once(make(*batch), out, ["k"], "v")
+    assert files.write_once(make(("c", 3.0), ("c", 3.0 + 1e-13), ("a", 1.0 - 1e-13)), out, ["k"], "v") == 1
+    assert sorted(map(tuple, spark.read.parquet(out).collect())) == [("a", 1.0), ("b", 2.0), ("c", 3.0)]
 
 
 def test_vintages_versions_and_models(spark, tmp_path):

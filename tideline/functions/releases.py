@@ -114,6 +114,12 @@ def category_name(category: Column) -> Column:
     return F.regexp_replace(category, r"^(?:[一二三四五六七八九十]+、|[IVX]+\. )", "")
 
 
+def event_content() -> Column:
+    """A journal event's own columns as one string."""
+    return F.concat_ws("|", "sequence", "kind", F.date_format("as_of", "yyyy-MM-dd HH:mm:ss"), "key", "cycle_id", "payload")
+
+
 def event_digest() -> Column:
-    """What a journal event's id must be: a digest over its own columns."""
-    return F.sha2(F.concat_ws("|", "sequence", "kind", F.date_format("as_of", "yyyy-MM-dd HH:mm:ss"), "key", "cycle_id", "payload"), 256)
+    """What a journal event's id must be: a digest over the id before it and its own columns, so that no event can be
+    rewritten without all ids after it."""
+    return F.sha2(F.concat_ws("|", F.coalesce("previous_event", F.lit("")), event_content()), 256)

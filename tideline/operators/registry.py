@@ -5,29 +5,47 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tideline.functions.releases import event_digest
+from tideline.functions.releases import event_content, event_digest
 
+TOLERANCE = 1e-12
 KEY = ["target_month", "vintage", "model_key", "feature_hash"]
 
 
-def conflicts(stored: DataFrame, incoming: DataFrame, keys: list[str] | None = None, value: str = "estimate_mom_pct", tolerance: float = 1e-12) -> DataFrame:
-    """Incoming rows whose key is stored with another value."""
+def conflicts(stored: DataFrame, incoming: DataFrame, keys: list[str] | None = None, value: str = "estimate_mom_pct", tolerance: float = TOLERANCE) -> DataFrame:
+    """Keys of a batch that must be refused: lowest and highest incoming value, the stored one, and the fault.
+
+    null: a value is null or NaN. batch: the batch itself holds two values for the key. stored: the key is stored with
+    another value, or without one. The batch is reduced to one row a key, map-side, before it meets what is stored.
+    """
     keys = keys or KEY
-    held = stored.select(*keys, F.col(value).alias("stored_value"))
-    return incoming.join(held, keys).where(F.abs(F.col(value) - F.col("stored_value")) > tolerance)
+    given = F.when(~F.isnan(value), F.col(value))
+    batch = incoming.groupBy(*keys).agg(F.min(given).alias("lowest"), F.max(given).alias("highest"), (F.count("*") - F.count(given)).alias("_none"))
+    held = batch.join(stored.select(*keys, F.col(value).alias("stored_value"), F.lit(True).alias("_held")), keys, "left")
+    near = lambda a, b: F.coalesce(F.abs(F.col(a) - F.col(b)) <= tolerance, F.lit(False))
+    fault = F.when(F.col("_none") > 0, "null").when(~near("lowest", "highest"), "batch").when(F.col("_held") & ~near("lowest", "stored_value"), "stored")
+    return held.withColumn("fault", fault).where("fault is not null").drop("_none", "_held")
 
 
-def new_rows(stored: DataFrame, incoming: DataFrame, keys: list[str] | None = None) -> DataFrame:
-    """Incoming rows with a key that is not stored yet, once each."""
+def new_rows(stored: DataFrame, incoming: DataFrame, keys: list[str] | None = None, value: str = "estimate_mom_pct") -> DataFrame:
+    """Incoming rows with a key that is not stored yet, once each: of equal ones that with the least value and columns."""
     keys = keys or KEY
-    return incoming.dropDuplicates(keys).join(stored.select(*keys), keys, "left_anti")
+    rest = [value, *(c for c in incoming.columns if c not in {*keys, value})]
+    once = incoming.groupBy(*keys).agg(F.min(F.struct(*rest)).alias("_row")).select(*keys, "_row.*").select(*incoming.columns)
+    return once.join(stored.select(*keys), keys, "left_anti")
 
 
 def append(stored: DataFrame, incoming: DataFrame, keys: list[str] | None = None, value: str = "estimate_mom_pct") -> DataFrame:
-    """Idempotent append: equal rows are a no-op, a changed value is an error."""
-    if not conflicts(stored, incoming, keys, value).isEmpty():
-        raise ValueError("an incoming row changes a stored one")
-    return stored.unionByName(new_rows(stored, incoming, keys), allowMissingColumns=True)
+    """Idempotent append: equal rows are a no-op; a null, two values for a key, or a changed value is an error."""
+    if found := conflicts(stored, incoming, keys, value).take(1):
+        raise ValueError(f"a batch is refused ({found[0]['fault']}): {found[0]}")
+    return stored.unionByName(new_rows(stored, incoming, keys, value), allowMissingColumns=True)
+
+
+def append_actuals(stored: DataFrame, incoming: DataFrame) -> DataFrame:
+    """Released values that are not stored yet, by month and content digest, after those that are: a page that was read
+    again adds nothing, a revision has a digest of its own and is kept beside the first."""
+    keys = ["target_month", "content_sha256"]
+    return stored.unionByName(new_rows(stored, incoming, keys, "actual_mom_pct"), allowMissingColumns=True)
 
 
 def changed_values(previous: DataFrame, rebuilt: DataFrame, keys: list[str], value: str) -> DataFrame:
@@ -36,14 +54,32 @@ def changed_values(previous: DataFrame, rebuilt: DataFrame, keys: list[str], val
     return a.join(b, keys, "full_outer").where("not (was <=> now)").withColumn("change", F.when(F.col("was").isNull(), "added").when(F.col("now").isNull(), "removed").otherwise("changed"))
 
 
+def chained(events: DataFrame) -> DataFrame:
+    """events with step (from 1 on in their key), previous_event and event_id: each id covers the one before it.
+
+    A chain can only be made in order, so each key's events are folded in one row; a key is one model's lifecycle.
+    Checking a chain needs no order and is a join (chain_breaks).
+    """
+    names = [c for c in events.columns if c != "key"]
+    held = events.withColumn("_content", event_content()).groupBy("key").agg(F.array_sort(F.collect_list(F.struct("sequence", "_content", *(c for c in names if c != "sequence")))).alias("_events"))
+    first = F.lit("")
+    last = lambda ids: F.when(F.size(ids) == 0, first).otherwise(F.element_at(ids, -1))
+    ids = F.aggregate("_events", F.array().cast("array<string>"), lambda acc, e: F.concat(acc, F.array(F.sha2(F.concat_ws("|", last(acc), e["_content"]), 256))))
+    each = held.select("key", "_events", ids.alias("_ids")).select("key", "_ids", F.posexplode("_events").alias("_k", "_e"))
+    at = lambda k: F.get("_ids", k)
+    return each.select("key", *(F.col(f"_e.{c}").alias(c) for c in names), (F.col("_k") + 1).cast("long").alias("step"), at(F.col("_k") - 1).alias("previous_event"), at(F.col("_k")).alias("event_id"))
+
+
 def chain_breaks(journal: DataFrame) -> DataFrame:
-    """Events whose own columns no longer give their id (changed), or that do not follow the one before: it is missing
-    (gap), or another predecessor is named (forged).
+    """Events whose columns and named predecessor no longer give their id (changed), or that do not follow the one before
+    in their key: it is missing (gap), or another one is named (forged).
 
-    The predecessor is found by its sequence number, so a long journal is dealt by key and never ordered in one task.
+    An event that was rewritten along with its id no longer is what the next one names; if that is mended too, the next
+    one's id fails, and so on to the end. The predecessor is found by its step, so that a long journal is dealt by key
+    and step and never ordered in one task.
     """
-    before = journal.select((F.col("sequence") + 1).alias("sequence"), F.col("event_id").alias("last"))
-    held = journal.join(before, "sequence", "left")
+    before = journal.select("key", (F.col("step") + 1).alias("step"), F.col("event_id").alias("last"))
+    held = journal.join(before, ["key", "step"], "left")
     broken = ~F.col("previous_event").eqNullSafe(F.col("last"))
     fault = F.when(F.col("event_id") != event_digest(), "changed").when(broken & F.col("last").isNull(), "gap").when(broken, "forged")
     return held.withColumn("fault", fault).where("fault is not null")

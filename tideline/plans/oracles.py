@@ -128,12 +128,24 @@ SURVEYED = (*BASE, SURVEY.replace("{level}", LEVEL))
 REGISTRY = (ACT, FC, """
 stored AS (SELECT * FROM fc WHERE target_month < '1999-01'),
 incoming AS (SELECT target_month, vintage, model_key, feature_hash, CASE WHEN target_month = '1998-08' AND model_key = 'boosting' THEN round(estimate_mom_pct + 1, 6) ELSE estimate_mom_pct END AS estimate_mom_pct FROM fc WHERE target_month >= '1998-07')""")
+OFFENDING = (*REGISTRY, """
+batch AS (
+  SELECT * REPLACE (CASE WHEN (target_month, model_key) IN (('1998-09', 'no_change'), ('1999-04', 'sector_first')) THEN NULL WHEN (target_month, model_key) = ('1998-10', 'product_ridge') THEN estimate_mom_pct + 1e-13 ELSE estimate_mom_pct END AS estimate_mom_pct) FROM incoming
+  UNION ALL SELECT * FROM incoming WHERE target_month = '1999-03'
+  UNION ALL SELECT * REPLACE (round(estimate_mom_pct + 8, 6) AS estimate_mom_pct) FROM incoming WHERE (target_month, model_key) = ('1999-02', 'persistence')),
+ranges AS (SELECT target_month, vintage, model_key, min(estimate_mom_pct) AS lowest, max(estimate_mom_pct) AS highest, count(*) - count(estimate_mom_pct) AS nulls FROM batch GROUP BY 1, 2, 3),
+faults AS (SELECT * FROM (SELECT r.*, s.estimate_mom_pct AS stored_value, CASE WHEN nulls > 0 THEN 'null' WHEN highest - lowest > 1e-12 THEN 'batch' WHEN s.target_month IS NOT NULL AND coalesce(abs(lowest - s.estimate_mom_pct) > 1e-12, TRUE) THEN 'stored' END AS fault
+  FROM ranges r LEFT JOIN stored s USING (target_month, vintage, model_key)) WHERE fault IS NOT NULL)""")
 KINDS = "[" + ", ".join(f"'{k}'" for k in EVENT_KINDS) + "]"
 JOURNAL = f"""
 ja AS (SELECT event_id AS sequence, CAST(json_extract_string(props, '$.k') AS BIGINT) AS k, ts AS as_of, CAST(user_id AS VARCHAR) AS key, CAST(user_id AS VARCHAR) || '-' || strftime(ts, '%Y-%m-%d') AS cycle_id FROM events),
 jb AS (SELECT *, {KINDS}[CAST(k % 8 AS INTEGER) + 1] AS kind, CAST(k AS VARCHAR) AS payload FROM ja),
-jr AS (SELECT *, sha256(concat_ws('|', sequence, kind, strftime(as_of, '%Y-%m-%d %H:%M:%S'), key, cycle_id, payload)) AS event_id FROM jb),
-jn AS (SELECT *, lag(event_id) OVER (ORDER BY sequence) AS previous_event FROM jr)"""
+jc AS (SELECT *, concat_ws('|', sequence, kind, strftime(as_of, '%Y-%m-%d %H:%M:%S'), key, cycle_id, payload) AS content FROM jb),
+jg AS (SELECT key, list(sequence ORDER BY sequence) AS seqs, list(content ORDER BY sequence) AS parts FROM jc GROUP BY 1),
+ji AS (SELECT key, seqs, list_transform(range(1, len(parts) + 1), lambda n: list_reduce(list_prepend('', parts[1:n]), lambda a, b: sha256(a || '|' || b))) AS ids FROM jg),
+je AS (SELECT key, unnest(seqs) AS sequence, unnest(ids) AS event_id, unnest(list_prepend(NULL, ids[1:len(ids) - 1])) AS previous_event, unnest(range(1, len(ids) + 1)) AS step FROM ji),
+jn AS (SELECT jb.*, step, previous_event, event_id FROM jb JOIN je USING (key, sequence))"""
+OWN = "sha256(coalesce(previous_event, '') || '|' || concat_ws('|', sequence, kind, strftime(as_of, '%Y-%m-%d %H:%M:%S'), key, cycle_id, payload))"
 SAVED = f"""
 fresh AS (SELECT * FROM sc WHERE target_month >= '{SINCE}'),
 saved AS (SELECT model_key, vintage, round(avg(abs(estimate_mom_pct - actual_mom_pct)), 9) AS reference_mae FROM fc JOIN first_act USING (target_month) WHERE target_month < '{SINCE}' GROUP BY 1, 2)"""
@@ -279,12 +291,18 @@ rl AS (SELECT *, max(m) OVER (PARTITION BY model_key, vintage) AS last FROM rm)
 , ov AS (SELECT * FROM timing WHERE variant = 'twentieth' AND value IS NOT NULL),
 op AS (SELECT product_name, min(value) AS lo, max(value) AS hi, count(*) AS history FROM ov WHERE month < '1998-01' GROUP BY 1)
 SELECT month, count(*) FILTER (value < lo OR value > hi) AS outside, count(*) FILTER (coalesce(history, 0) < 12) AS short_history, count(*) AS n_values FROM ov LEFT JOIN op USING (product_name) WHERE month >= '1998-01' GROUP BY 1""".lstrip("\n")),
-    "registry_conflicts": q(*REGISTRY, "SELECT i.target_month, i.vintage, i.model_key, i.estimate_mom_pct, s.estimate_mom_pct AS stored_value FROM incoming i JOIN stored s USING (target_month, vintage, model_key, feature_hash) WHERE abs(i.estimate_mom_pct - s.estimate_mom_pct) > 1e-12"),
-    "idempotent_append": q(*REGISTRY, "SELECT model_key, vintage, count(*) AS n, round(sum(estimate_mom_pct), 6) + 0.0 AS total FROM (SELECT target_month, vintage, model_key, estimate_mom_pct FROM stored UNION ALL SELECT target_month, vintage, model_key, estimate_mom_pct FROM incoming WHERE target_month >= '1999-01') GROUP BY 1, 2"),
+    "registry_conflicts": q(*OFFENDING, "SELECT target_month, vintage, model_key, round(lowest, 6) + 0.0 AS lowest, round(highest, 6) + 0.0 AS highest, round(stored_value, 6) + 0.0 AS stored_value, fault FROM faults"),
+    "idempotent_append": q(*OFFENDING, """
+after AS (SELECT target_month, vintage, model_key, estimate_mom_pct FROM stored UNION ALL
+  SELECT target_month, vintage, model_key, lowest FROM ranges r WHERE NOT EXISTS (FROM stored s WHERE (s.target_month, s.vintage, s.model_key) = (r.target_month, r.vintage, r.model_key)) AND NOT EXISTS (FROM faults f WHERE (f.target_month, f.vintage, f.model_key) = (r.target_month, r.vintage, r.model_key)))""",
+        "SELECT model_key, vintage, count(*) AS n, round(sum(estimate_mom_pct), 6) + 0.0 AS total FROM after GROUP BY 1, 2"),
+    "appended_actuals": q(ACT, "SELECT target_month, count(*) AS n, round(min_by(actual_mom_pct, published_at), 6) + 0.0 AS first, round(max_by(actual_mom_pct, published_at), 6) + 0.0 AS last FROM act GROUP BY 1"),
     "rebuilt_audit": q(*REGISTRY, "SELECT CASE WHEN s.estimate_mom_pct IS NULL THEN 'added' WHEN i.estimate_mom_pct IS NULL THEN 'removed' ELSE 'changed' END AS change, model_key, count(*) AS n FROM stored s FULL JOIN incoming i USING (target_month, vintage, model_key) WHERE s.estimate_mom_pct IS DISTINCT FROM i.estimate_mom_pct GROUP BY 1, 2"),
-    "journal_chain_check": q(JOURNAL, """
-jt AS (SELECT * REPLACE (CASE WHEN sequence % 89 = 7 THEN sha256(event_id) ELSE previous_event END AS previous_event, CASE WHEN sequence % 97 = 13 THEN payload || '0' ELSE payload END AS payload) FROM jn WHERE sequence % 101 <> 50),
-jx AS (SELECT a.sequence, a.kind, CASE WHEN a.event_id <> sha256(concat_ws('|', a.sequence, a.kind, strftime(a.as_of, '%Y-%m-%d %H:%M:%S'), a.key, a.cycle_id, a.payload)) THEN 'changed' WHEN a.previous_event IS DISTINCT FROM b.event_id AND b.event_id IS NULL THEN 'gap' WHEN a.previous_event IS DISTINCT FROM b.event_id THEN 'forged' END AS fault FROM jt a LEFT JOIN jt b ON a.sequence = b.sequence + 1)""", "SELECT sequence, fault, kind FROM jx WHERE fault IS NOT NULL"),
+    "journal_chain_check": q(JOURNAL, f"""
+j1 AS (SELECT * REPLACE (CASE WHEN sequence % 89 = 7 THEN sha256(event_id) ELSE previous_event END AS previous_event, CASE WHEN sequence % 83 = 29 THEN payload || '1' ELSE payload END AS payload) FROM jn WHERE sequence % 101 <> 50),
+j2 AS (SELECT * REPLACE (CASE WHEN sequence % 89 = 7 OR sequence % 83 = 29 THEN {OWN} ELSE event_id END AS event_id) FROM j1),
+jt AS (SELECT *, {OWN} AS own FROM (SELECT * REPLACE (CASE WHEN sequence % 97 = 13 THEN payload || '0' ELSE payload END AS payload) FROM j2)),
+jx AS (SELECT a.sequence, a.kind, CASE WHEN a.event_id <> a.own THEN 'changed' WHEN a.previous_event IS DISTINCT FROM b.event_id AND b.event_id IS NULL THEN 'gap' WHEN a.previous_event IS DISTINCT FROM b.event_id THEN 'forged' END AS fault FROM jt a LEFT JOIN jt b ON a.key = b.key AND a.step = b.step + 1)""", "SELECT sequence, fault, kind FROM jx WHERE fault IS NOT NULL"),
     "journal_replay": q(JOURNAL, "SELECT key, max_by(event_id, sequence) FILTER (kind IN ('initialized', 'adopted', 'promoted')) AS champion, max_by(as_of, sequence) FILTER (kind IN ('trial_decided', 'adopted')) AS completed_at, count(*) AS n_events FROM jn GROUP BY 1"),
     "journal_cycles": q(JOURNAL, """
 jf AS (SELECT cycle_id, min(sequence) AS since FROM jn WHERE kind = 'trial_requested' GROUP BY 1),

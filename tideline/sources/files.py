@@ -8,6 +8,8 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tideline.operators import registry
+
 
 def run_path(spark: SparkSession, name: str) -> str:
     """A new folder that driver and executors share, below spark.checkpoint.dir; a local session without that gets one of its own."""
@@ -51,21 +53,21 @@ def typed(df: DataFrame, kinds: dict[str, str]) -> DataFrame:
 
 
 def write_once(df: DataFrame, path: str, keys: list[str], value: str) -> int:
-    """Append rows with new keys; equal rows are a no-op, a changed value is an error. Returns how many were new.
+    """Append rows with new keys; equal rows are a no-op, and what registry.conflicts() finds is an error: a null, two
+    values for a key, or another value than the stored one. Returns how many were new.
 
     One writer at a time. The new rows are found by joins against the stored keys, never by reading them to the driver.
     """
     spark = df.sparkSession
     try:
-        stored = spark.read.schema(df.schema).parquet(path)
+        held = spark.read.schema(df.schema).parquet(path)
     except Exception as e:
         if "PATH_NOT_FOUND" not in str(e):
             raise
-        stored = spark.createDataFrame([], df.schema)
-    held = stored.select(*keys, F.col(value).alias("_stored"))
-    if not df.join(held, keys).where(~F.col(value).eqNullSafe(F.col("_stored"))).isEmpty():
-        raise ValueError(f"a row changes what {path} holds")
-    new = df.dropDuplicates(keys).join(held, keys, "left_anti")
+        held = spark.createDataFrame([], df.schema)
+    if not registry.conflicts(held, df, keys, value).isEmpty():
+        raise ValueError(f"a row changes what {path} holds, or the batch contradicts itself")
+    new = registry.new_rows(held, df, keys, value)
     n = new.count()
     if n:
         new.write.mode("append").parquet(path)

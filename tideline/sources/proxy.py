@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tideline.functions.releases import event_digest, month_start, release_url, window_end, window_name
+from tideline.operators.registry import chained
 
 MODELS = (("no_change", 0.0, 0.0), ("persistence", 1.0, 0.0), ("sector_first", 0.6, 0.2), ("product_ridge", 0.4, -0.1), ("boosting", 0.8, 0.4))
 VINTAGES = (("early", 14), ("final", 24), ("late", 44))
@@ -74,22 +75,24 @@ EVENT_KINDS = ("initialized", "trial_requested", "refit_failed", "challenger_fit
 
 
 def journal(spark: SparkSession, sf_dir: str, intact: bool = True) -> DataFrame:
-    """An append-only journal of lifecycle events, in which each event names the one before and has a digest of its own.
+    """An append-only journal of lifecycle events, in which each event's id covers that of its key's event before.
 
-    Not intact: some events were removed, some name another predecessor, and some had their payload changed afterwards.
+    Not intact: some events were removed, some had their payload changed afterwards, some name another predecessor and
+    some were rewritten, both of these with an id that fits again.
     """
     number = F.get_json_object("props", "$.k").cast("long")
     rows = table(spark, sf_dir, "events").select(
         F.col("event_id").alias("sequence"), F.element_at(F.array(*map(F.lit, EVENT_KINDS)), (number % 8 + 1).cast("int")).alias("kind"), F.col("ts").alias("as_of"),
         F.col("user_id").cast("string").alias("key"), F.concat_ws("-", F.col("user_id"), F.date_format("ts", "yyyy-MM-dd")).alias("cycle_id"), number.cast("string").alias("payload"),
     )
-    rows = rows.withColumn("event_id", event_digest())
-    before = rows.select((F.col("sequence") + 1).alias("sequence"), F.col("event_id").alias("previous_event"))
-    rows = rows.join(before, "sequence", "left")
+    rows = chained(rows)
     if intact:
         return rows
-    rows = rows.where("sequence % 101 <> 50").withColumn("previous_event", F.when(F.col("sequence") % 89 == 7, F.sha2("event_id", 256)).otherwise(F.col("previous_event")))
-    return rows.withColumn("payload", F.when(F.col("sequence") % 97 == 13, F.concat("payload", F.lit("0"))).otherwise(F.col("payload")))
+    turn = lambda n, k: F.col("sequence") % n == k
+    rows = rows.where(~turn(101, 50)).withColumn("previous_event", F.when(turn(89, 7), F.sha2("event_id", 256)).otherwise(F.col("previous_event")))
+    rows = rows.withColumn("payload", F.when(turn(83, 29), F.concat("payload", F.lit("1"))).otherwise(F.col("payload")))
+    rows = rows.withColumn("event_id", F.when(turn(89, 7) | turn(83, 29), event_digest()).otherwise(F.col("event_id")))
+    return rows.withColumn("payload", F.when(turn(97, 13), F.concat("payload", F.lit("0"))).otherwise(F.col("payload")))
 
 
 def saved_metrics(spark: SparkSession, sf_dir: str, before: str = "1997-01") -> DataFrame:
