@@ -74,6 +74,6 @@ def test_refits_are_compared_on_common_months(spark, small):
 
 
 def test_every_query_is_tested():
-    held = {*FITTED, "top_k_attribution", "attribution_groups", "ridge_predictions", "forest_predictions", "gbt_predictions", "block_bootstrap_ci", "promotion_interval", "refit_comparison"}
+    held = {*FITTED, "top_k_attribution", "attribution_groups", "ridge_predictions", "forest_predictions", "gbt_predictions", "refit_comparison"}
     held |= {"boosted_origin_predictions", "forest_origin_predictions", "hybrid_origin_predictions", "tree_attribution"}  # test_trees
     assert set(QUERIES) - set(ORACLES) == held

@@ -166,6 +166,16 @@ cycle AS (SELECT vintage, 'trigger' AS event_type, 'no_change' AS model_key, rea
   UNION ALL SELECT vintage, CASE WHEN promoted THEN 'promotion' ELSE 'rejection' END, model_key, '' FROM pd JOIN trial USING (vintage, model_key))""")
 
 
+def bootstrap(length: int, draws: int) -> str:
+    """From pairs (a, b, target_month, d) to intervals: each draw's months are listed one by one."""
+    return f"""
+bh AS (SELECT a, b, CAST(round(d * 1000000) AS BIGINT) AS v, row_number() OVER (PARTITION BY a, b ORDER BY target_month) - 1 AS r, count(*) OVER (PARTITION BY a, b) AS n FROM pairs),
+bn AS (SELECT a, b, max(n) AS n, sum(v) / count(*) / 1000000 AS mean_difference FROM bh GROUP BY 1, 2),
+bd AS (SELECT a, b, n, draw, place, CAST('0x' || substr(md5(concat_ws('|', 7, a, b, draw, place // {length})), 1, 8) AS BIGINT) % n AS start FROM (SELECT *, unnest(range(n)) AS place FROM (SELECT *, unnest(range({draws})) AS draw FROM bn))),
+bm AS (SELECT bd.a, bd.b, draw, sum(v) / max(bd.n) / 1000000 AS mean FROM bd JOIN bh ON bh.a = bd.a AND bh.b = bd.b AND bh.r = (start + place % {length}) % bd.n GROUP BY 1, 2, 3),
+bounds AS (SELECT a, b, n, round(mean_difference, 9) + 0.0 AS mean_difference, round(quantile_cont(mean, 0.025), 9) + 0.0 AS low, round(quantile_cont(mean, 0.975), 9) + 0.0 AS high FROM bm JOIN bn USING (a, b) GROUP BY 1, 2, 3, mean_difference)"""
+
+
 def known(policy: str) -> str:
     order = {"first": "published_at, retrieved_at", "last_published": "published_at DESC, retrieved_at DESC", "last_retrieved": "retrieved_at DESC, published_at DESC"}[policy]
     return q(ACT, f"SELECT target_month, actual_mom_pct, published_at FROM act WHERE published_at <= TIMESTAMP '{CUTOFF}' AND retrieved_at <= TIMESTAMP '{CUTOFF}' QUALIFY row_number() OVER (PARTITION BY target_month ORDER BY {order}) = 1")
@@ -363,4 +373,9 @@ SELECT 'other' AS kind, count(*) AS n FROM l HAVING count(*) > 0""",
     "status_counts": q(OBS, ACT, FC, "SELECT 'observations' AS kind, count(*) AS n, max(release_month) AS last FROM obs UNION ALL SELECT 'actuals', count(*), max(target_month) FROM act UNION ALL SELECT 'forecasts', count(*), max(target_month) FROM fc"),
     "direct_tracker_predictions": q(*MATRICES, "SELECT month, round(100 * (exp(avg(value) / 100) - 1), 6) + 0.0 AS estimate_mom_pct, n_train, training_end FROM vals JOIN used USING (month) JOIN (SELECT month, count(*) AS n_train, max(train_month) AS training_end FROM origins GROUP BY 1 HAVING count(*) >= 24) USING (month) GROUP BY 1, 3, 4"),
     "hourly_events": "SELECT date_trunc('hour', ts) AS hour, event_type, count(*) AS n, round(sum(value), 6) + 0.0 AS value FROM events WHERE date_trunc('hour', ts) + INTERVAL 1 HOUR <= (SELECT max(ts) FROM events) - INTERVAL 2 HOURS GROUP BY 1, 2",
+    "block_bootstrap_ci": q(*SCORED, """
+pairs AS (SELECT x.model_key AS a, y.model_key AS b, x.target_month, abs(x.error) - abs(y.error) AS d FROM sc x JOIN sc y ON x.target_month = y.target_month AND x.model_key < y.model_key WHERE x.vintage = 'final' AND y.vintage = 'final')""",
+        bootstrap(3, 1000), "SELECT a AS model_a, b AS model_b, n, mean_difference, low, high FROM bounds"),
+    "promotion_interval": q(*SCORED, SAVED, PROMOTIONS.replace("{source}", "fresh"), "pairs AS (SELECT model_key AS a, vintage AS b, target_month, abs(error) - abs(old) AS d FROM pp)",
+        bootstrap(2, 2000), "SELECT a AS model_key, b AS vintage, n, mean_difference, low, high FROM bounds"),
 }

@@ -514,7 +514,8 @@ def promotion_interval(spark, sf_dir):
     line = Window.partitionBy("vintage", "model_key").orderBy("target_month")
     first = pairs.withColumn("r", F.row_number().over(line)).where("r <= 6")
     d = first.select(F.col("model_key").alias("model_a"), F.col("vintage").alias("model_b"), "target_month", (F.abs("error") - F.abs("old")).alias("d"))
-    return models.block_bootstrap(d, length=2, draws=2000).withColumnsRenamed({"model_a": "model_key", "model_b": "vintage"})
+    found = rounded(models.block_bootstrap(d, length=2, draws=2000), "mean_difference", "low", "high", places=9)
+    return found.withColumnsRenamed({"model_a": "model_key", "model_b": "vintage"})
 
 
 @query
@@ -780,7 +781,7 @@ def block_bootstrap_ci(spark, sf_dir):
     s = final_scores(spark, sf_dir).select("target_month", "model_key", F.abs("error").alias("loss"))
     other = s.select("target_month", F.col("model_key").alias("model_b"), F.col("loss").alias("lb"))
     pairs = s.join(other, "target_month").where("model_key < model_b").select(F.col("model_key").alias("model_a"), "model_b", "target_month", (F.col("loss") - F.col("lb")).alias("d"))
-    return models.block_bootstrap(pairs)
+    return rounded(models.block_bootstrap(pairs), "mean_difference", "low", "high", places=9)
 
 
 @query
