@@ -76,4 +76,5 @@ def test_refits_are_compared_on_common_months(spark, small):
 def test_every_query_is_tested():
     held = {*FITTED, "top_k_attribution", "attribution_groups", "ridge_predictions", "forest_predictions", "gbt_predictions", "refit_comparison"}
     held |= {"boosted_origin_predictions", "forest_origin_predictions", "hybrid_origin_predictions", "tree_attribution"}  # test_trees
+    held |= {"stress_metrics_ridge"}  # test_saved
     assert set(QUERIES) - set(ORACLES) == held

@@ -166,6 +166,39 @@ cycle AS (SELECT vintage, 'trigger' AS event_type, 'no_change' AS model_key, rea
   UNION ALL SELECT vintage, CASE WHEN promoted THEN 'promotion' ELSE 'rejection' END, model_key, '' FROM pd JOIN trial USING (vintage, model_key))""")
 
 
+MARGINAL = """
+mm AS (SELECT version, product_name, count(*) AS n, avg(value) AS centre, greatest(stddev_pop(value), 1.0) AS scale, covar_pop(value, y) AS cv, var_pop(value) AS vp FROM tr JOIN lng USING (month) WHERE value IS NOT NULL GROUP BY 1, 2 HAVING count(*) >= 12),
+ml AS (SELECT version, avg(y) AS bias, count(*) AS n_train FROM tr JOIN (SELECT DISTINCT month, y FROM lng) USING (month) GROUP BY 1),
+mp AS (SELECT *, count(*) OVER (PARTITION BY version) AS products FROM mm),
+coef AS (SELECT version, model_key, product_name, centre, scale, (n * cv / scale) / (n * vp / (scale * scale) + penalty) / products AS weight, bias, n_train FROM mp JOIN ml USING (version) JOIN kinds USING (version))"""
+LNG = "lng AS (SELECT month, product_name, sector, value, actual_mom_pct AS y, cutoff, actual_published_at FROM vals JOIN used USING (month))"
+TRIAL = (*MATRICES, LNG, f"""
+ready AS (SELECT month FROM origins WHERE month >= '{SINCE}' GROUP BY 1 HAVING count(*) >= 24),
+kinds AS (SELECT min(month) AS version, 'champion' AS model_key, 100.0::DOUBLE AS penalty FROM ready UNION ALL SELECT min(month), 'challenger', 10.0::DOUBLE FROM ready WHERE month > (SELECT min(month) FROM ready) GROUP BY substr(month, 1, 4)),
+tr AS (SELECT DISTINCT version, train_month AS month FROM origins JOIN kinds ON origins.month = version)""", MARGINAL, """
+asked AS (SELECT r.month, model_key, max(version) AS version FROM ready r JOIN kinds ON version <= r.month GROUP BY 1, 2),
+est AS (SELECT a.month, model_key, version, max(bias) + sum(coalesce((value - centre) / scale, 0) * weight) AS estimate FROM asked a JOIN coef USING (version, model_key) LEFT JOIN lng USING (month, product_name) GROUP BY 1, 2, 3),
+hashes AS (SELECT month, sha256(string_agg(product_name || ':' || coalesce(CAST(CAST(round(value * 1000000) AS BIGINT) AS VARCHAR), '-'), ',' ORDER BY product_name || ':' || coalesce(CAST(CAST(round(value * 1000000) AS BIGINT) AS VARCHAR), '-'))) AS feature_hash FROM lng GROUP BY 1),
+made AS (SELECT e.*, feature_hash FROM est e JOIN hashes USING (month) QUALIFY count(*) OVER (PARTITION BY e.month) = 2)""")
+DAMAGED = """
+forged AS (SELECT month, model_key, version, CASE WHEN substr(month, 6, 2) = '07' THEN estimate + 1e-6 ELSE estimate END AS saved FROM made),
+again AS (SELECT a.month, a.model_key, max(bias) + sum(coalesce((value + CASE WHEN substr(month, 6, 2) = '03' AND product_name LIKE '%#11' THEN 1 ELSE 0 END - centre) / scale, 0) * weight) AS again FROM made a JOIN coef USING (version, model_key) LEFT JOIN lng USING (month, product_name)
+  WHERE NOT (model_key = 'challenger' AND version LIKE '1999%') GROUP BY 1, 2),
+touched AS (SELECT DISTINCT month FROM lng WHERE substr(month, 6, 2) = '03' AND product_name LIKE '%#11' AND value IS NOT NULL),
+bad AS (SELECT month, model_key AS role, version, model_key, saved, again, CASE WHEN month IN (FROM touched) THEN 'features' WHEN again IS NULL THEN 'version' WHEN abs(saved - again) > 1e-10 THEN 'estimate' END AS fault FROM forged LEFT JOIN again USING (month, model_key))"""
+STRESS = (*MATRICES, LNG, """
+fn AS (SELECT month, row_number() OVER (ORDER BY month) AS r, count(*) OVER () AS n FROM used),
+fk AS (SELECT *, least(5, greatest(2, n // 6)) AS k, n // (least(5, greatest(2, n // 6)) + 1) AS size FROM fn),
+fe AS (SELECT *, unnest(range(1, CAST(k + 1 AS BIGINT))) AS fold FROM fk),
+fp AS (SELECT CAST(fold AS VARCHAR) AS version, month, r <= n - (k - fold) * size - size AS train, r > n - (k - fold) * size - size AND r <= n - (k - fold) * size AS test FROM fe),
+tr AS (SELECT version, month FROM fp WHERE train),
+kinds AS (SELECT DISTINCT version, m.model_key, m.penalty FROM fp, (VALUES ('marginal_10', 10.0::DOUBLE), ('marginal_100', 100.0::DOUBLE), ('marginal_1600', 1600.0::DOUBLE)) m(model_key, penalty))""", MARGINAL, """
+sides AS (SELECT t.version, t.month, model_key, max(bias) + sum(coalesce((value - centre) / scale, 0) * weight) AS clean,
+    max(bias) + sum(CASE WHEN CAST('0x' || substr(sha256(product_name || '|' || month), 1, 6) AS BIGINT) % 10 = 0 THEN 0 ELSE coalesce((value - centre) / scale, 0) * weight END) AS stressed
+  FROM (SELECT * FROM fp WHERE test) t JOIN coef USING (version) LEFT JOIN lng USING (month, product_name) GROUP BY 1, 2, 3),
+se AS (SELECT model_key, clean - y AS c, stressed - y AS s, abs(stressed - clean) AS moved FROM sides JOIN (SELECT DISTINCT month, y FROM lng) USING (month))""")
+
+
 def bootstrap(length: int, draws: int) -> str:
     """From pairs (a, b, target_month, d) to intervals: each draw's months are listed one by one."""
     return f"""
@@ -378,4 +411,11 @@ pairs AS (SELECT x.model_key AS a, y.model_key AS b, x.target_month, abs(x.error
         bootstrap(3, 1000), "SELECT a AS model_a, b AS model_b, n, mean_difference, low, high FROM bounds"),
     "promotion_interval": q(*SCORED, SAVED, PROMOTIONS.replace("{source}", "fresh"), "pairs AS (SELECT model_key AS a, vintage AS b, target_month, abs(error) - abs(old) AS d FROM pp)",
         bootstrap(2, 2000), "SELECT a AS model_key, b AS vintage, n, mean_difference, low, high FROM bounds"),
+    "saved_coefficients": q(*TRIAL, "SELECT version, model_key, product_name, round(centre, 6) + 0.0 AS centre, round(scale, 6) + 0.0 AS scale, round(weight, 6) + 0.0 AS weight, round(bias, 6) + 0.0 AS bias, n_train FROM coef"),
+    "matched_forecasts": q(*TRIAL, "SELECT month, feature_hash, model_key AS role, version, model_key, round(estimate, 6) + 0.0 AS estimate, TRUE AS groups_agree FROM made"),
+    "reprediction_faults": q(*TRIAL, DAMAGED, "SELECT month, role, version, model_key, round(saved, 6) + 0.0 AS saved, round(again, 6) + 0.0 AS again, fault FROM bad WHERE fault IS NOT NULL"),
+    "trial_scores": q(*TRIAL, DAMAGED, """
+ok AS (SELECT month, max(saved) FILTER (model_key = 'champion') AS a, max(saved) FILTER (model_key = 'challenger') AS b, max(version) FILTER (model_key = 'challenger') AS version FROM forged WHERE month NOT IN (SELECT month FROM bad WHERE fault IS NOT NULL) GROUP BY 1)""",
+        "SELECT month, version, round(a - actual_mom_pct, 6) + 0.0 AS champion_error, round(b - actual_mom_pct, 6) + 0.0 AS challenger_error, abs(b - actual_mom_pct) < abs(a - actual_mom_pct) AS won FROM ok JOIN used USING (month) WHERE cutoff < actual_published_at"),
+    "stress_metrics": q(*STRESS, "SELECT model_key, count(*) AS n, round(avg(abs(c)), 6) + 0.0 AS clean_mae, round(sqrt(avg(c * c)), 6) + 0.0 AS clean_rmse, round(avg(c), 6) + 0.0 AS clean_bias, round(avg(abs(s)), 6) + 0.0 AS stressed_mae, round(sqrt(avg(s * s)), 6) + 0.0 AS stressed_rmse, round(avg(s), 6) + 0.0 AS stressed_bias, round(avg(moved), 6) + 0.0 AS mean_change, count(*) FILTER (moved > 1e-9) AS n_moved FROM se GROUP BY 1"),
 }

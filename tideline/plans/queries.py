@@ -8,7 +8,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tideline.functions import releases as rel
-from tideline.operators import asof, catalog, evaluation, features, ingest, models, products, registry, ridge, specs, trees, validation
+from tideline.operators import asof, catalog, evaluation, features, ingest, models, products, registry, ridge, saved, specs, trees, validation
 from tideline.plans import lifecycle
 from tideline.sources import files, proxy
 from tideline.streaming import arrivals
@@ -792,3 +792,88 @@ def hourly_events(spark, sf_dir):
     arrivals.append_to(arrivals.hourly_events(stream), f"{where}/out", f"{where}/marks").awaitTermination()
     found = spark.read.schema("hour timestamp, event_type string, n long, value double").parquet(f"{where}/out")
     return found.select(F.col("hour").cast("timestamp_ntz").alias("hour"), "event_type", "n", r6("value").alias("value"))
+
+
+PENALTIES = {"champion": 100.0, "challenger": 10.0}
+
+
+def trial_store(spark, sf_dir) -> dict[str, DataFrame]:
+    """What a trial keeps: frozen features, the versioned coefficient table, and both models' forecasts, each written once.
+
+    The champion was fitted at the first origin with enough months since it was put to use; the challenger is fitted
+    again at the first origin of each later year, and the newest one by then forecasts.
+    """
+    held, months = training(spark, sf_dir)
+    months = files.stored(months, "trial-months")
+    used = months.where("reason is null").select("month", "actual_mom_pct", "actual_published_at", "cutoff")
+    features = files.stored(held.join(used, "month"), "trial-features")
+    origins = files.stored(evaluation.eligible_origins(months), "trial-origins")
+    ready = origins.groupBy("month").agg(F.count("*").alias("n")).where((F.col("n") >= 24) & (F.col("month") >= SINCE)).select("month")
+    start = ready.agg(F.min("month").alias("version"))
+    later = ready.join(start, F.col("month") > F.col("version")).groupBy(F.substring("month", 1, 4)).agg(F.min("month").alias("version")).select("version")
+    versions = files.stored(start.withColumn("role", F.lit("champion")).unionByName(later.withColumn("role", F.lit("challenger"))), "trial-versions")
+    fitted = saved.marginal_models(features, origins.join(versions.select(F.col("version").alias("month")), "month", "left_semi").select(F.col("month").alias("version"), F.col("train_month").alias("month")), PENALTIES)
+    table = files.stored(fitted.join(versions.withColumnRenamed("role", "model_key"), ["version", "model_key"], "left_semi"), "trial-models")
+    of = lambda role: saved.newest_version(ready, versions.where(F.col("role") == role).select("version")).withColumn("model_key", F.lit(role))
+    forecasts = files.stored(saved.matched_forecasts(features, table, of("champion"), of("challenger")), "trial-forecasts")
+    return {"features": features, "models": table, "forecasts": forecasts, "months": used, "matrix": months}
+
+
+@query
+def saved_coefficients(spark, sf_dir):
+    return rounded(trial_store(spark, sf_dir)["models"], "centre", "scale", "weight", "bias")
+
+
+@query
+def matched_forecasts(spark, sf_dir):
+    return rounded(trial_store(spark, sf_dir)["forecasts"], "estimate")
+
+
+def damaged(store: dict[str, DataFrame]) -> dict[str, DataFrame]:
+    """A store that was changed afterwards: forecasts of July, features of one product in March, and a lost version."""
+    month = F.substring("month", 6, 2)
+    shifted = F.when((month == "03") & F.col("product_name").endswith("#11"), F.col("value") + 1).otherwise(F.col("value"))
+    return store | {
+        "forecasts": store["forecasts"].withColumn("estimate", F.when(month == "07", F.col("estimate") + 1e-6).otherwise(F.col("estimate"))),
+        "features": store["features"].withColumn("value", shifted), "models": store["models"].where("not (model_key = 'challenger' and version like '1999%')"),
+    }
+
+
+@query
+def reprediction_faults(spark, sf_dir):
+    store = damaged(trial_store(spark, sf_dir))
+    return rounded(saved.reprediction_faults(store["forecasts"], store["models"], store["features"]), "saved", "again")
+
+
+@query
+def trial_scores(spark, sf_dir):
+    """The trial's months as they are scored: without those that the store does not give again."""
+    store = damaged(trial_store(spark, sf_dir))
+    faults = saved.reprediction_faults(store["forecasts"], store["models"], store["features"])
+    times = store["months"]
+    found = saved.score_trial(store["forecasts"], times.select("month", "actual_mom_pct", "actual_published_at"), times.select("month", "cutoff"), faults)
+    return rounded(found, "champion_error", "challenger_error")
+
+
+@query
+def stress_metrics(spark, sf_dir):
+    held, months = training(spark, sf_dir)
+    months = files.stored(months, "stress-months")
+    features = files.stored(held.join(months.where("reason is null").select("month", "actual_mom_pct"), "month"), "stress-features")
+    train, tests = saved.fold_months(months)
+    table = files.stored(saved.marginal_models(features, train, {"marginal_10": 10.0, "marginal_100": 100.0, "marginal_1600": 1600.0}), "stress-models")
+    return scored_stress(saved.stress_metrics(table, tests, features))
+
+
+@query
+def stress_metrics_ridge(spark, sf_dir):
+    """The same of one ridge over all products, fitted once a fold."""
+    held, months = training(spark, sf_dir)
+    months = files.stored(months, "stress-months")
+    features = files.stored(held.join(months.where("reason is null").select("month", "actual_mom_pct"), "month"), "stress-features")
+    train, tests = saved.fold_months(months)
+    return scored_stress(saved.stress_metrics(files.stored(saved.ridge_models(features, train), "stress-models"), tests, features))
+
+
+def scored_stress(df: DataFrame) -> DataFrame:
+    return rounded(df, *(c for c in df.columns if c not in ("model_key", "n", "n_moved")))
