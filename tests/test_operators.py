@@ -259,11 +259,19 @@ def test_specs(spark):
     named = {r.model_key: r.label for r in specs.labelled(spark.createDataFrame([("random_forest",), ("unknown",)], "model_key string"), table).collect()}
     assert named == {"random_forest": "Random forest", "unknown": "unknown"}
     assert [r[0] for r in spark.createDataFrame([("category_factor",), ("ridge",)], "m string").select(specs.is_active(F.col("m"))).collect()] == [False, True]
-    fits = spark.createDataFrame([(s[0], 20, 0.1, 0.2, 0.0, 0.5) for s in specs.SPECS], "model_key string, n int, mae double, rmse double, bias double, direction double")
-    matrix = spark.createDataFrame([(f"{k}", dt.datetime(2024, 1, 1), dt.datetime(2024, 2, 1)) for k in range(40)], "month string, cutoff timestamp_ntz, actual_published_at timestamp_ntz")
-    assert specs.bundle_checks(fits, matrix, table, "final").first().validated
-    assert not specs.bundle_checks(fits.where("model_key <> 'random_forest'"), matrix, table, "final").first().all_fitted
-    assert not specs.bundle_checks(fits.withColumn("mae", F.lit(float("nan"))), matrix, table, "final").first().finite_metrics
+    fits = spark.createDataFrame([("b", "final", s[0], 20, 0.1, 0.2, 0.0, 0.5) for s in specs.SPECS], "bundle string, vintage string, model_key string, n int, mae double, rmse double, bias double, direction double")
+    matrix = spark.createDataFrame([("b", dt.datetime(2024, 1, 1), dt.datetime(2024, 2, 1), "pseudo_real_time")] * 40, "bundle string, cutoff timestamp_ntz, actual_published_at timestamp_ntz, realtime_status string")
+    check = lambda f=fits, m=matrix: {k for k, v in specs.bundle_checks(f, m, table).first().asDict().items() if v is False} - {"validated"}
+    assert specs.bundle_checks(fits, matrix, table).first().validated and check() == set()
+    assert check(fits.where("model_key <> 'random_forest'")) == {"expected_models_fitted", "core_models_fitted"}
+    assert check(fits.where("model_key <> 'twentieth_to_twentieth_ridge'")) == {"expected_models_fitted", "final_benchmarks_fitted"}
+    early = fits.where("model_key not like 'twentieth%'").withColumn("vintage", F.lit("early"))
+    assert check(early) == set()
+    assert check(fits.withColumn("mae", F.lit(float("nan")))) == check(fits.withColumn("bias", F.lit(None).cast("double"))) == {"all_metrics_finite"}
+    assert check(fits.withColumn("n", F.lit(11))) == {"enough_predictions"} and check(m=matrix.limit(35)) == {"at_least_36_months"}
+    assert check(m=matrix.withColumn("cutoff", F.col("actual_published_at"))) == {"publication_precedes_actual"} and check(m=matrix.withColumn("realtime_status", F.lit(None).cast("string"))) == {"label_present"}
+    assert check(m=matrix.limit(0)) == {"at_least_36_months", "publication_precedes_actual", "label_present"}
+
 
 
 def test_baskets(spark):

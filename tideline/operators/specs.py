@@ -57,16 +57,31 @@ def labelled(df: DataFrame, specs: DataFrame, key: str = "model_key") -> DataFra
     return df.join(F.broadcast(names), key, "left").withColumn("label", F.coalesce("label", F.col(key))).withColumn("position", F.coalesce("position", F.lit(len(SPECS))))
 
 
-def bundle_checks(fits: DataFrame, matrix: DataFrame, specs: DataFrame, vintage: str) -> DataFrame:
-    """One row: the checks that a bundle of fitted models must pass, and whether all hold.
+def bundle_checks(fits: DataFrame, training: DataFrame, specs: DataFrame) -> DataFrame:
+    """One row a bundle: the eight checks that its fitted models must pass, and whether all hold.
 
-    fits: model_key, n, mae, rmse, bias, direction. matrix: month, cutoff, actual_published_at of the training rows.
+    fits: bundle, vintage, model_key, n, mae, rmse, bias, direction. training: bundle, cutoff, actual_published_at and
+    realtime_status of each training month. Core models are those of every vintage, benchmarks those of the final one
+    only. A bundle without training months fails.
     """
-    wanted = of_vintage(specs, vintage).select("model_key")
-    have = fits.select("model_key").distinct()
-    finite = lambda c: F.col(c).isNotNull() & ~F.isnan(c) & (F.abs(c) < float("inf"))
-    rows = matrix.agg((F.count("*") >= 36).alias("months"), F.coalesce(F.bool_and(F.col("actual_published_at") > F.col("cutoff")), F.lit(False)).alias("published_before_actual"))
-    missing = wanted.join(have, "model_key", "left_anti").agg((F.count("*") == 0).alias("all_fitted"))
-    enough = fits.agg(F.coalesce(F.bool_and(F.col("n") >= 12), F.lit(False)).alias("enough_predictions"), F.coalesce(F.bool_and(finite("mae") & finite("rmse") & finite("bias") & finite("direction")), F.lit(False)).alias("finite_metrics"))
-    found = rows.join(missing).join(enough)  # three single rows
-    return found.withColumn("validated", F.col("months") & F.col("published_before_actual") & F.col("all_fitted") & F.col("enough_predictions") & F.col("finite_metrics"))
+    finite = lambda c: F.coalesce(~F.isnan(c) & (F.abs(c) < float("inf")), F.lit(False))
+    have = fits.groupBy("bundle", "vintage").agg(
+        F.collect_set("model_key").alias("have"), F.bool_and(F.coalesce(F.col("n") >= 12, F.lit(False))).alias("enough_predictions"),
+        F.bool_and(finite("mae") & finite("rmse") & finite("bias") & finite("direction")).alias("all_metrics_finite"),
+    )
+    core = F.array_contains("vintages", "early")
+    wanted = specs.select("model_key", core.alias("core"), F.explode("vintages").alias("vintage")).groupBy("vintage").agg(
+        F.count("*").alias("expected"), F.collect_set(F.when(F.col("core"), F.col("model_key"))).alias("core"), F.collect_set(F.when(~F.col("core"), F.col("model_key"))).alias("benchmarks"),
+    )
+    rows = training.groupBy("bundle").agg(
+        (F.count("*") >= 36).alias("at_least_36_months"), F.bool_and(F.coalesce(F.col("actual_published_at") > F.col("cutoff"), F.lit(False))).alias("publication_precedes_actual"),
+        F.bool_and(F.coalesce(F.col("realtime_status") == "pseudo_real_time", F.lit(False))).alias("label_present"),
+    )
+    held = have.join(wanted, "vintage").join(rows, "bundle", "left")
+    checks = {
+        "at_least_36_months": F.col("at_least_36_months"), "expected_models_fitted": F.size("have") == F.col("expected"), "core_models_fitted": F.size(F.array_except("core", "have")) == 0,
+        "final_benchmarks_fitted": F.size(F.array_except("benchmarks", "have")) == 0, "enough_predictions": F.col("enough_predictions"), "all_metrics_finite": F.col("all_metrics_finite"),
+        "publication_precedes_actual": F.col("publication_precedes_actual"), "label_present": F.col("label_present"),
+    }
+    found = held.select("bundle", *(F.coalesce(c, F.lit(False)).alias(name) for name, c in checks.items()))
+    return found.withColumn("validated", F.forall(F.array(*checks), lambda c: c))

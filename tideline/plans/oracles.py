@@ -150,7 +150,7 @@ SAVED = f"""
 fresh AS (SELECT * FROM sc WHERE target_month >= '{SINCE}'),
 saved AS (SELECT model_key, vintage, round(avg(abs(estimate_mom_pct - actual_mom_pct)), 9) AS reference_mae FROM fc JOIN first_act USING (target_month) WHERE target_month < '{SINCE}' GROUP BY 1, 2)"""
 PROMOTIONS = """
-pp AS (SELECT c.vintage, c.model_key, c.target_month, c.error, b.error AS old FROM {source} c JOIN {source} b ON c.vintage = b.vintage AND c.target_month = b.target_month AND b.model_key = 'no_change' WHERE c.model_key <> 'no_change' QUALIFY row_number() OVER (PARTITION BY c.vintage, c.model_key ORDER BY c.target_month) <= 6),
+pp AS (SELECT c.vintage, c.model_key, c.target_month, c.error, b.error AS old FROM {source} c JOIN {source} b ON c.vintage = b.vintage AND c.target_month = b.target_month AND b.model_key = 'sector_first' WHERE c.model_key <> 'sector_first' QUALIFY row_number() OVER (PARTITION BY c.vintage, c.model_key ORDER BY c.target_month) <= 6),
 pa AS (SELECT vintage, model_key, count(*) AS n, avg(abs(old)) AS a, avg(abs(error)) AS b, sqrt(avg(old * old)) AS c, sqrt(avg(error * error)) AS d, avg(old) AS e, avg(error) AS f, avg(CAST(abs(error) < abs(old) AS INTEGER)) AS g FROM pp GROUP BY 1, 2 HAVING count(*) >= 6),
 pr AS (SELECT *, a - b >= 0.05 * a AS rule_relative_gain, a - b >= 0.02 AS rule_absolute_gain, d <= c AS rule_rmse_ratio, abs(f) - abs(e) <= 0.05 AS rule_bias, g >= 0.5 AS rule_wins FROM pa),
 pd AS (SELECT *, rule_relative_gain AND rule_absolute_gain AND rule_rmse_ratio AND rule_bias AND rule_wins AS promoted FROM pr)"""
@@ -160,9 +160,9 @@ da AS (SELECT model_key, vintage, avg(abs(error)) FILTER (r <= 4) AS recent_mae,
 dd AS (SELECT *, concat_ws(',', CASE WHEN outcomes >= 4 AND recent_mae > greatest(1.5 * reference_mae, reference_mae + 0.15) THEN 'error' END, CASE WHEN outcomes >= 4 AND abs(recent_bias) > 0.25 THEN 'bias' END, CASE WHEN outcomes >= 12 THEN 'refresh' END) AS reasons FROM da JOIN saved USING (model_key, vintage))"""
 CYCLE = (f"""
 held AS (SELECT * FROM fresh WHERE actual_published_at <= TIMESTAMP '{CUTOFF}')""", DRIFT.replace("{source}", "held"), PROMOTIONS.replace("{source}", "held"), """
-due AS (SELECT vintage, reasons FROM dd WHERE model_key = 'no_change' AND reasons <> ''),
-trial AS (SELECT vintage, model_key FROM (SELECT vintage, model_key, round(avg(abs(error)), 9) AS mae FROM held WHERE model_key <> 'no_change' GROUP BY 1, 2) JOIN due USING (vintage) QUALIFY row_number() OVER (PARTITION BY vintage ORDER BY mae, model_key) <= 2),
-cycle AS (SELECT vintage, 'trigger' AS event_type, 'no_change' AS model_key, reasons AS payload FROM due UNION ALL SELECT vintage, 'trial', model_key, '' FROM trial
+due AS (SELECT vintage, reasons FROM dd WHERE model_key = 'sector_first' AND reasons <> ''),
+trial AS (SELECT vintage, model_key FROM (SELECT vintage, model_key, round(avg(abs(error)), 9) AS mae FROM held WHERE model_key <> 'sector_first' GROUP BY 1, 2) JOIN due USING (vintage) QUALIFY row_number() OVER (PARTITION BY vintage ORDER BY mae, model_key) <= 2),
+cycle AS (SELECT vintage, 'trigger' AS event_type, 'sector_first' AS model_key, reasons AS payload FROM due UNION ALL SELECT vintage, 'trial', model_key, '' FROM trial
   UNION ALL SELECT vintage, CASE WHEN promoted THEN 'promotion' ELSE 'rejection' END, model_key, '' FROM pd JOIN trial USING (vintage, model_key))""")
 
 
@@ -300,10 +300,14 @@ SELECT release_month, ord, CAST(len(list_filter(ep.products, lambda x: NOT list_
     "basket_spans": q(OBS, NOW, EPOCHS, "SELECT product_name, min(version) AS start_basket, max(version) AS end_basket, count(*) AS n_epochs FROM (SELECT version, unnest(products) AS product_name FROM ep) GROUP BY 1"),
     "surrogate_ids": q(OBS, NOW, """SELECT DISTINCT product_name, category, 'p_' || substr(sha256('"' || product_name || '|' || category || '"'), 1, 16) AS product_id FROM avail"""),
     "release_validation": q(OBS, """
-, ch AS (SELECT *, price - lag(price) OVER (PARTITION BY product_name, snapshot ORDER BY release_month, ord) AS change FROM obs),
-rp AS (SELECT *, abs(100 * change / nullif(price - change, 0) - round(100 * change / (price - change), 1)) AS gap FROM ch),
-rv AS (SELECT release_month, ord, snapshot, count(*) AS n_products, count(*) FILTER (price IS NULL) AS not_numeric, count(*) FILTER (price <= 0) AS not_positive, count(*) FILTER (trim(product_name) = '') AS blank, count(*) - count(DISTINCT product_name) AS duplicates, count(*) FILTER (gap > 1.0) AS wrong_change, count(*) FILTER (gap > 0.25 AND gap <= 1.0) AS odd_change FROM rp GROUP BY 1, 2, 3)
-SELECT *, CASE WHEN not_numeric + not_positive + blank + duplicates + wrong_change > 0 THEN 'error' WHEN n_products < 40 OR odd_change > 0 THEN 'warning' ELSE 'ok' END AS status FROM rv""".lstrip("\n")),
+c0 AS (SELECT *, price - lag(price) OVER (PARTITION BY product_name, snapshot ORDER BY release_month, ord) AS change FROM obs),
+c1 AS (SELECT *, round(100 * change / (price - change), 1) AS reported, CAST(substr(release_month, 6, 2) AS INTEGER) AS moy FROM c0),
+c2 AS (SELECT release_month, ord, snapshot, CASE WHEN num = 11 AND moy = 7 THEN '  ' ELSE product_name END AS product_name, CASE WHEN num = 7 AND moy = 6 THEN -price WHEN num = 13 AND moy = 9 THEN NULL ELSE price END AS price,
+         CASE WHEN num IN (7, 13) AND moy IN (6, 9) THEN NULL ELSE change END AS change, reported + CASE WHEN num = 3 AND moy = 4 THEN 2 WHEN num = 5 AND moy = 5 THEN 0.5 ELSE 0 END AS reported, num, moy FROM c1),
+c3 AS (FROM c2 UNION ALL FROM c2 WHERE num = 12 AND moy = 8),
+rp AS (SELECT *, abs(100 * change / nullif(price - change, 0) - reported) AS gap FROM c3),
+rv AS (SELECT release_month, ord, snapshot, count(*) AS n_products, count(*) FILTER (price IS NULL) AS not_numeric, count(*) FILTER (price <= 0) AS not_positive, count(*) FILTER (trim(product_name) = '') AS blank, count(*) - count(DISTINCT product_name) AS duplicates, count(*) FILTER (gap > 1.0) AS wrong_change, count(*) FILTER (gap > 0.25 AND gap <= 1.0) AS odd_change FROM rp GROUP BY 1, 2, 3)""",
+        "SELECT *, CASE WHEN not_numeric + not_positive + blank + duplicates + wrong_change > 0 THEN 'error' WHEN n_products < 20 OR odd_change > 0 THEN 'warning' ELSE 'ok' END AS status FROM rv"),
     "coverage_gaps": q(OBS, NOW, "SELECT strftime(m, '%Y-%m') AS release_month, ord FROM (SELECT unnest(generate_series((SELECT CAST(min(release_month) || '-01' AS DATE) FROM avail), (SELECT CAST(max(release_month) || '-01' AS DATE) FROM avail), INTERVAL 1 MONTH)) AS m), (VALUES (1), (2), (3)) o(ord) WHERE (strftime(m, '%Y-%m'), ord) NOT IN (SELECT (release_month, ord) FROM avail)"),
     "panel_diagnostics": q(OBS, NOW, """
 , g AS (SELECT p.release_month, p.ord, b.product_name, CAST(a.price IS NOT NULL AS INTEGER) AS here FROM (SELECT DISTINCT release_month, ord FROM avail) p CROSS JOIN (SELECT DISTINCT product_name FROM avail) b LEFT JOIN avail a ON a.release_month = p.release_month AND a.ord = p.ord AND a.product_name = b.product_name),
@@ -350,22 +354,33 @@ jx AS (SELECT a.sequence, a.kind, CASE WHEN a.event_id <> a.own THEN 'changed' W
     "journal_cycles": q(JOURNAL, """
 jf AS (SELECT cycle_id, min(sequence) AS since FROM jn WHERE kind = 'trial_requested' GROUP BY 1),
 js AS (SELECT jn.*, CASE kind WHEN 'trial_requested' THEN 'requested' WHEN 'challenger_fitted' THEN 'testing' WHEN 'trial_decided' THEN 'decided' WHEN 'trial_cancelled' THEN 'cancelled' WHEN 'promoted' THEN 'promoted' END AS st FROM jn JOIN jf USING (cycle_id) WHERE sequence >= since)""", "SELECT key, cycle_id, max_by(st, sequence) FILTER (st IS NOT NULL) AS status, max(as_of) FILTER (kind = 'trial_requested') AS requested_at, count(*) FILTER (kind = 'refit_failed') AS n_failed FROM js GROUP BY 1, 2"),
-    "drift_trigger": q(*SCORED, SAVED, DRIFT.replace("{source}", "fresh"), "SELECT model_key, vintage, round(recent_mae, 9) + 0.0 AS recent_mae, round(recent_bias, 9) + 0.0 AS recent_bias, outcomes, reference_mae, reasons, reasons <> '' AS triggered FROM dd"),
+    "drift_trigger": q(*SCORED, SAVED, """
+counted AS (SELECT *, row_number() OVER (PARTITION BY model_key, vintage ORDER BY target_month DESC) AS k FROM fresh),
+since AS (SELECT * FROM counted WHERE k <= CASE model_key WHEN 'persistence' THEN 3 WHEN 'sector_first' THEN 10 WHEN 'product_ridge' THEN 4 ELSE 1000 END)""", DRIFT.replace("{source}", "since"), "SELECT model_key, vintage, round(recent_mae, 9) + 0.0 AS recent_mae, round(recent_bias, 9) + 0.0 AS recent_bias, outcomes, reference_mae, reasons, reasons <> '' AS triggered FROM dd"),
     "drift_diagnosis": q(*TIMED, f"""
 ov AS (SELECT * FROM timing WHERE variant = 'twentieth'),
 op AS (SELECT product_name, min(value) AS lo, max(value) AS hi, count(value) AS history FROM ov WHERE month < '{SINCE}' AND value IS NOT NULL GROUP BY 1),
 oa AS (SELECT month, count(*) FILTER (value < lo OR value > hi) AS outside, count(*) FILTER (coalesce(history, 0) < 12) AS short_history, count(*) AS n_values FROM ov LEFT JOIN op USING (product_name) WHERE month >= '{SINCE}' AND value IS NOT NULL GROUP BY 1)""", f"SELECT oa.*, structural_missing FROM oa JOIN (SELECT month, count(*) FILTER (value IS NULL) AS structural_missing FROM ov WHERE month >= '{SINCE}' GROUP BY 1) USING (month)"),
-    "trial_pairs": q(*SCORED, SAVED, "SELECT c.vintage, c.model_key, c.target_month, round(c.error, 6) + 0.0 AS error, round(b.error, 6) + 0.0 AS old_error FROM fresh c JOIN fresh b USING (vintage, target_month, feature_hash) WHERE b.model_key = 'no_change' AND c.model_key <> 'no_change'"),
+    "trial_pairs": q(*SCORED, SAVED, "SELECT c.vintage, c.model_key, c.target_month, round(c.error, 6) + 0.0 AS error, round(b.error, 6) + 0.0 AS old_error FROM fresh c JOIN fresh b USING (vintage, target_month, feature_hash) WHERE b.model_key = 'sector_first' AND c.model_key <> 'sector_first'"),
     "late_forecasts": q(ACT, FC, "SELECT fc.target_month, model_key, vintage, forecast_id FROM fc JOIN (SELECT target_month, min(published_at) AS p FROM act GROUP BY 1) USING (target_month) WHERE as_of >= p"),
     "forecast_audit": q(ACT, FC, "SELECT forecast_id, round(estimate_mom_pct + 0.001, 6) AS saved, round(estimate_mom_pct, 6) + 0.0 AS again FROM fc WHERE CAST(substr(target_month, 6, 2) AS INTEGER) % 7 = 0"),
     "promotion_decision": q(*SCORED, SAVED, PROMOTIONS.replace("{source}", "fresh"), """
 SELECT vintage, model_key, n, round(a, 9) + 0.0 AS champion_mae, round(b, 9) + 0.0 AS challenger_mae, round(c, 9) + 0.0 AS champion_rmse, round(d, 9) + 0.0 AS challenger_rmse, round(e, 9) + 0.0 AS champion_bias, round(f, 9) + 0.0 AS challenger_bias, round(g, 9) + 0.0 AS win_rate,
        rule_relative_gain, rule_absolute_gain, rule_rmse_ratio, rule_bias, rule_wins, promoted FROM pd"""),
     "composite_bundle": q(*SCORED, SAVED, PROMOTIONS.replace("{source}", "fresh"), "SELECT vintage || '/' || model_key AS key, CASE WHEN promoted THEN 'trial' ELSE 'first' END AS bundle, true AS active FROM saved LEFT JOIN pd USING (vintage, model_key)"),
-    "bundle_checks": q(*MATRICES, FC, SCORES, """
-SELECT (SELECT count(*) >= 36 FROM used) AS months, (SELECT bool_and(actual_published_at > cutoff) FROM used) AS published_before_actual, false AS all_fitted, (SELECT bool_and(n >= 12) FROM (SELECT count(*) AS n FROM sc WHERE vintage = 'final' GROUP BY model_key)) AS enough_predictions, true AS finite_metrics, false AS validated"""),
+    "bundle_checks": q(*MATRICES, FC, SCORES, f"""
+specs AS (SELECT * FROM (VALUES {", ".join(f"({k}, '{key}', {'TRUE' if 'early' in vintages else 'FALSE'})" for k, (key, _, _, vintages) in enumerate(SPECS))}) s(position, spec, core)),
+ranked AS (SELECT *, row_number() OVER (PARTITION BY model_key ORDER BY target_month DESC) AS k FROM sc WHERE vintage = 'final'),
+bundles AS (SELECT * FROM (VALUES ('complete', 'final'), ('core', 'early'), ('no_direct', 'final'), ('no_ridge', 'final'), ('short', 'final'), ('broken', 'final'), ('unlabelled', 'final'), ('few_months', 'final'), ('late', 'final')) b(bundle, vintage)),
+fit AS (SELECT bundle, b.vintage, spec, core, count(*) AS n, avg(abs(error)) AS mae FROM bundles b JOIN specs ON b.vintage = 'final' OR core
+  JOIN ranked ON model_key = ['no_change', 'persistence', 'sector_first', 'product_ridge', 'boosting'][position % 5 + 1] AND (bundle <> 'short' OR k <= 8)
+  WHERE NOT (bundle = 'no_direct' AND spec = 'twentieth_to_twentieth_direct') AND NOT (bundle = 'no_ridge' AND spec = 'product_level_ridge') GROUP BY 1, 2, 3, 4),
+bundled AS (SELECT bundle, count(*) AS rows, bool_and(bundle <> 'late' OR month <> (SELECT max(month) FROM used)) AS ok FROM bundles, used WHERE bundle <> 'few_months' OR month < '1997-01' GROUP BY 1),
+checks AS (SELECT bundle, rows >= 36 AS at_least_36_months, count(*) = CASE vintage WHEN 'final' THEN 7 ELSE 5 END AS expected_models_fitted, count(*) FILTER (core) = 5 AS core_models_fitted,
+  vintage <> 'final' OR count(*) FILTER (NOT core) = 2 AS final_benchmarks_fitted, bool_and(n >= 12) AS enough_predictions, bundle <> 'broken' AS all_metrics_finite, ok AS publication_precedes_actual, bundle <> 'unlabelled' AS label_present FROM fit JOIN bundled USING (bundle) GROUP BY bundle, vintage, rows, ok)""",
+        "SELECT *, at_least_36_months AND expected_models_fitted AND core_models_fitted AND final_benchmarks_fitted AND enough_predictions AND all_metrics_finite AND publication_precedes_actual AND label_present AS validated FROM checks"),
     "lifecycle_events": q(*SCORED, SAVED, *CYCLE, "SELECT * FROM cycle"),
-    "lifecycle_champions": q(*SCORED, SAVED, *CYCLE, "SELECT vintage, coalesce(min(model_key) FILTER (event_type = 'promotion'), 'no_change') AS champion FROM cycle GROUP BY 1"),
+    "lifecycle_champions": q(*SCORED, SAVED, *CYCLE, "SELECT vintage, coalesce(min(model_key) FILTER (event_type = 'promotion'), 'sector_first') AS champion FROM cycle GROUP BY 1"),
     "training_matrix_final": trained("final"),
     "training_matrix_early": trained("early"),
     "training_matrix_early_carry": trained("early_carry"),

@@ -16,6 +16,7 @@ from tideline.streaming import arrivals
 CUTOFF = "1999-03-26 12:00:00"  # of the queries that ask what was known at a time
 FAR = "2010-01-01 00:00:00"  # of all others: after the last event of the tables
 SINCE = "1997-01"  # month from which on the saved models were in use
+CHAMPION = "sector_first"  # the model in use; some challengers beat it and some do not
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 
 
@@ -230,7 +231,16 @@ def surrogate_ids(spark, sf_dir):
 
 @query
 def release_validation(spark, sf_dir):
-    return validation.release_validation(validation.with_changes(proxy.observations(spark, sf_dir)))
+    """Releases in which each fault occurs: a reported rate that is wrong or odd, prices that are no number or not positive,
+    blank and repeated names, and too few products."""
+    number, month = F.substring_index("product_name", "#", -1).cast("int"), F.substring("release_month", 6, 2).cast("int")
+    at = lambda n, m: (F.col("number") == n) & (F.col("moy") == m)
+    held = validation.with_changes(proxy.observations(spark, sf_dir)).withColumns({"number": number, "moy": month})
+    held = held.withColumns({
+        "product_name": F.when(at(11, 7), "  ").otherwise(F.col("product_name")), "change": F.when(~(F.col("number").isin(7, 13) & F.col("moy").isin(6, 9)), F.col("change")),
+        "price": F.when(at(7, 6), -F.col("price")).when(~at(13, 9), F.col("price")), "reported_pct": F.col("reported_pct") + F.when(at(3, 4), 2.0).when(at(5, 5), 0.5).otherwise(0.0),
+    })
+    return validation.release_validation(held.unionByName(held.where(at(12, 8))), minimum_products=20)
 
 
 @query
@@ -433,7 +443,7 @@ def offending_batch(spark, sf_dir):
     two values for a key, and values that are stored otherwise."""
     stored, incoming = registry_halves(spark, sf_dir)
     value, of = F.col("estimate_mom_pct"), lambda month, model: (F.col("target_month") == month) & (F.col("model_key") == model)
-    changed = F.when(of("1998-09", "no_change") | of("1999-04", "sector_first"), F.lit(None).cast("double")).when(of("1998-10", "product_ridge"), value + 1e-13).otherwise(value)
+    changed = F.when(of("1998-09", CHAMPION) | of("1999-04", "sector_first"), F.lit(None).cast("double")).when(of("1998-10", "product_ridge"), value + 1e-13).otherwise(value)
     twice = incoming.where(of("1999-02", "persistence")).withColumn("estimate_mom_pct", F.round(value + 8, 6))
     return stored, incoming.withColumn("estimate_mom_pct", changed).unionByName(incoming.where("target_month = '1999-03'")).unionByName(twice)
 
@@ -489,7 +499,11 @@ def fresh_scores(spark, sf_dir) -> DataFrame:
 
 @query
 def drift_trigger(spark, sf_dir):
-    found = registry.drift_triggers(fresh_scores(spark, sf_dir), proxy.saved_metrics(spark, sf_dir, SINCE), ["model_key", "vintage"])
+    """Outcomes since each model's last comparison: three models were compared a few months ago, others never."""
+    line = Window.partitionBy("model_key", "vintage").orderBy(F.col("target_month").desc())
+    since = F.when(F.col("model_key") == "persistence", 3).when(F.col("model_key") == "sector_first", 10).when(F.col("model_key") == "product_ridge", 4).otherwise(1000)
+    held = fresh_scores(spark, sf_dir).withColumn("k", F.row_number().over(line)).where(F.col("k") <= since)
+    found = registry.drift_triggers(held, proxy.saved_metrics(spark, sf_dir, SINCE), ["model_key", "vintage"])
     return scored_metrics(found, "recent_mae", "recent_bias")
 
 
@@ -503,14 +517,14 @@ def drift_diagnosis(spark, sf_dir):
 
 @query
 def trial_pairs(spark, sf_dir):
-    found = registry.matched_pairs(fresh_scores(spark, sf_dir), "no_change")
+    found = registry.matched_pairs(fresh_scores(spark, sf_dir), CHAMPION)
     return found.select("vintage", "model_key", "target_month", r6("error").alias("error"), r6("old").alias("old_error"))
 
 
 @query
 def promotion_interval(spark, sf_dir):
     """The descriptive interval of each challenger's loss difference over its first six months."""
-    pairs = registry.matched_pairs(fresh_scores(spark, sf_dir), "no_change")
+    pairs = registry.matched_pairs(fresh_scores(spark, sf_dir), CHAMPION)
     line = Window.partitionBy("vintage", "model_key").orderBy("target_month")
     first = pairs.withColumn("r", F.row_number().over(line)).where("r <= 6")
     d = first.select(F.col("model_key").alias("model_a"), F.col("vintage").alias("model_b"), "target_month", (F.abs("error") - F.abs("old")).alias("d"))
@@ -537,33 +551,51 @@ def forecast_audit(spark, sf_dir):
 def composite_bundle(spark, sf_dir):
     """The models in use, with the promoted ones in place of their predecessors, and the label of each."""
     active = proxy.saved_metrics(spark, sf_dir, SINCE).select("vintage", "model_key", F.lit("first").alias("bundle"))
-    promoted = registry.promotion_decisions(fresh_scores(spark, sf_dir), "no_change").where("promoted").select("vintage", "model_key", F.lit("trial").alias("bundle"))
+    promoted = registry.promotion_decisions(fresh_scores(spark, sf_dir), CHAMPION).where("promoted").select("vintage", "model_key", F.lit("trial").alias("bundle"))
     found = registry.composite_bundle(active, promoted, ["vintage", "model_key"])
     return found.select(specs.spec_key("vintage", "model_key").alias("key"), "bundle", specs.is_active(F.col("model_key")).alias("active"))
 
 
+BUNDLES = {"complete": "final", "core": "early", "no_direct": "final", "no_ridge": "final", "short": "final", "broken": "final", "unlabelled": "final", "few_months": "final", "late": "final"}
+
+
 @query
 def bundle_checks(spark, sf_dir):
-    """Whether the bundle of saved scores would pass: its models are not those of the specification."""
+    """Bundles that pass and bundles that fail each check. A specified model has the scores of one of the saved ones."""
+    bundle = lambda *names: F.col("bundle").isin(*names)
+    named = spark.createDataFrame(list(BUNDLES.items()), "bundle string, bundle_vintage string")
+    line = Window.partitionBy("model_key").orderBy(F.col("target_month").desc())
+    ranked = final_scores(spark, sf_dir).withColumn("k", F.row_number().over(line))
+    table = specs.spec_table(spark)
+    keys = F.element_at(F.array(*(F.lit(m[0]) for m in proxy.MODELS)), F.col("position") % 5 + 1)
+    wanted = named.join(table, F.expr("array_contains(vintages, bundle_vintage)")).select("bundle", "bundle_vintage", F.col("model_key").alias("spec"), keys.alias("model_key"))
+    wanted = wanted.where(~(bundle("no_direct") & (F.col("spec") == "twentieth_to_twentieth_direct")) & ~(bundle("no_ridge") & (F.col("spec") == "product_level_ridge")))
+    held = wanted.join(ranked, "model_key").where(~bundle("short") | (F.col("k") <= 8))
+    fits = evaluation.error_summary(held, ["bundle", "bundle_vintage", "spec"]).withColumnsRenamed({"bundle_vintage": "vintage", "spec": "model_key"})
+    fits = fits.withColumn("mae", F.when(bundle("broken") & (F.col("model_key") == "random_forest"), float("nan")).otherwise(F.col("mae")))
     used = matrix(spark, sf_dir).where("reason is null")
-    return specs.bundle_checks(evaluation.error_summary(final_scores(spark, sf_dir), ["model_key"]), used, specs.spec_table(spark), "final")
+    last = used.agg(F.max("month").alias("last"))
+    rows = named.select("bundle").join(used.join(last), ~bundle("few_months") | (F.col("month") < "1997-01"))
+    late = F.when(bundle("late") & (F.col("month") == F.col("last")), F.col("cutoff")).otherwise(F.col("actual_published_at"))
+    status = F.when(~bundle("unlabelled"), "pseudo_real_time")
+    return specs.bundle_checks(fits, rows.withColumns({"actual_published_at": late, "realtime_status": status}), table)
 
 
 @query
 def promotion_decision(spark, sf_dir):
-    found = registry.promotion_decisions(fresh_scores(spark, sf_dir), "no_change")
+    found = registry.promotion_decisions(fresh_scores(spark, sf_dir), CHAMPION)
     return scored_metrics(found, *(c for c in found.columns if c.endswith(("_mae", "_rmse", "_bias")) and not c.startswith("rule_")), "win_rate")
 
 
 @query
 def lifecycle_events(spark, sf_dir):
-    return lifecycle.cycle_events(fresh_scores(spark, sf_dir), proxy.saved_metrics(spark, sf_dir, SINCE), "no_change", at()).drop("event_id")
+    return lifecycle.cycle_events(fresh_scores(spark, sf_dir), proxy.saved_metrics(spark, sf_dir, SINCE), CHAMPION, at()).drop("event_id")
 
 
 @query
 def lifecycle_champions(spark, sf_dir):
-    events = lifecycle.cycle_events(fresh_scores(spark, sf_dir), proxy.saved_metrics(spark, sf_dir, SINCE), "no_change", at())
-    return lifecycle.champions(events, "no_change")
+    events = lifecycle.cycle_events(fresh_scores(spark, sf_dir), proxy.saved_metrics(spark, sf_dir, SINCE), CHAMPION, at())
+    return lifecycle.champions(events, CHAMPION)
 
 
 def release_pages(spark, sf_dir):
