@@ -9,8 +9,10 @@ SNAPSHOT = ["release_month", "ord", "source_url"]
 PERIOD = ["release_month", "ord"]
 
 
-def eligible(obs: DataFrame, cutoff: Column, strict: bool = True) -> DataFrame:
-    """Rows published by the cutoff and, if strict, retrieved by it too."""
+def eligible(obs: DataFrame, cutoff: Column | None, strict: bool = True) -> DataFrame:
+    """Rows published by the cutoff and, if strict, retrieved by it too; without a cutoff all."""
+    if cutoff is None:
+        return obs
     known = F.col("published_at") <= cutoff
     return obs.where(known & (F.col("retrieved_at") <= cutoff) if strict else known)
 
@@ -33,7 +35,7 @@ def latest_snapshots(obs: DataFrame, grain: list[str]) -> DataFrame:
     return obs.join(newest, [*grain, "content_sha256"], "left_semi")
 
 
-def select_available(obs: DataFrame, cutoff: Column, strict: bool = True, grain: list[str] | None = None) -> DataFrame:
+def select_available(obs: DataFrame, cutoff: Column | None, strict: bool = True, grain: list[str] | None = None) -> DataFrame:
     return latest_snapshots(eligible(obs, cutoff, strict), grain or PERIOD)
 
 
@@ -47,7 +49,7 @@ def vintage_state(available: DataFrame) -> DataFrame:
     return flags.withColumn("state", state)
 
 
-def known_actuals(actuals: DataFrame, cutoff: Column, policy: str = "first") -> DataFrame:
+def known_actuals(actuals: DataFrame, cutoff: Column | None, policy: str = "first") -> DataFrame:
     """One actual a month of those published and retrieved by the cutoff: first, last published, or last retrieved."""
     order = {"first": ["published_at", "retrieved_at"], "last_published": ["published_at", "retrieved_at"], "last_retrieved": ["retrieved_at", "published_at"]}[policy]
     held = eligible(actuals, cutoff)

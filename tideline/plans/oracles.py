@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from tideline.operators.specs import SPECS
-from tideline.plans.queries import CUTOFF, FAR, SINCE
+from tideline.plans.queries import CUTOFF, SINCE
 from tideline.sources.proxy import EVENT_KINDS, MODELS, VINTAGES
 
 OBS = """
@@ -28,8 +28,8 @@ obs AS (
   FROM stamped)"""
 
 
-def avail(cutoff: str = CUTOFF, strict: bool = True, name: str = "avail") -> str:
-    known = f"published_at <= TIMESTAMP '{cutoff}'" + (f" AND retrieved_at <= TIMESTAMP '{cutoff}'" if strict else "")
+def avail(cutoff: str | None = CUTOFF, strict: bool = True, name: str = "avail") -> str:
+    known = "TRUE" if cutoff is None else f"published_at <= TIMESTAMP '{cutoff}'" + (f" AND retrieved_at <= TIMESTAMP '{cutoff}'" if strict else "")
     return f"""
 {name} AS (SELECT * FROM obs WHERE {known} QUALIFY dense_rank() OVER (PARTITION BY release_month, ord ORDER BY published_at DESC, retrieved_at DESC, content_sha256 DESC) = 1)"""
 
@@ -112,7 +112,7 @@ def q(*parts: str) -> str:
 
 SNAPSHOT = "SELECT release_month, ord, product_name, snapshot, price FROM avail"
 TWENTIETH = "SELECT product_name, category, month, 100 * (exp(c2 - p2) - 1) AS change_pct FROM lp"
-NOW = avail(FAR)
+NOW = avail(None)
 BASE = (OBS, NOW, cells())
 TIMED = (*BASE, timing())
 SCORED = (ACT, FC, FIRST_ACT, SCORES)
@@ -433,4 +433,24 @@ pairs AS (SELECT x.model_key AS a, y.model_key AS b, x.target_month, abs(x.error
 ok AS (SELECT month, max(saved) FILTER (model_key = 'champion') AS a, max(saved) FILTER (model_key = 'challenger') AS b, max(version) FILTER (model_key = 'challenger') AS version FROM forged WHERE month NOT IN (SELECT month FROM bad WHERE fault IS NOT NULL) GROUP BY 1)""",
         "SELECT month, version, round(a - actual_mom_pct, 6) + 0.0 AS champion_error, round(b - actual_mom_pct, 6) + 0.0 AS challenger_error, abs(b - actual_mom_pct) < abs(a - actual_mom_pct) AS won FROM ok JOIN used USING (month) WHERE cutoff < actual_published_at"),
     "stress_metrics": q(*STRESS, "SELECT model_key, count(*) AS n, round(avg(abs(c)), 6) + 0.0 AS clean_mae, round(sqrt(avg(c * c)), 6) + 0.0 AS clean_rmse, round(avg(c), 6) + 0.0 AS clean_bias, round(avg(abs(s)), 6) + 0.0 AS stressed_mae, round(sqrt(avg(s * s)), 6) + 0.0 AS stressed_rmse, round(avg(s), 6) + 0.0 AS stressed_bias, round(avg(moved), 6) + 0.0 AS mean_change, count(*) FILTER (moved > 1e-9) AS n_moved FROM se GROUP BY 1"),
+    "lifecycle_stream": f"""
+WITH RECURSIVE ev AS (SELECT event_id AS sequence, CAST(user_id AS VARCHAR) AS key, CAST(user_id AS VARCHAR) || '-' || CAST(dayofyear(ts) // 7 AS VARCHAR) AS cycle,
+    CASE WHEN event_id % 29 = 6 THEN 'renamed' ELSE {KINDS}[CAST(CAST(json_extract_string(props, '$.k') AS BIGINT) % 8 AS INTEGER) + 1] END AS kind, CASE WHEN event_id % 23 = 4 THEN ts - INTERVAL 5 DAY ELSE ts END AS tm FROM events),
+line AS (SELECT *, row_number() OVER (PARTITION BY key ORDER BY sequence) AS step FROM ev),
+r AS (
+  SELECT key, CAST(0 AS BIGINT) AS step, TIMESTAMP '0001-01-01' AS seen, CAST(MAP {{}} AS MAP(VARCHAR, INTEGER)) AS open, CAST(NULL AS BIGINT) AS sequence, CAST(NULL AS VARCHAR) AS kind, CAST(NULL AS VARCHAR) AS outcome FROM (SELECT DISTINCT key FROM line)
+  UNION ALL
+  SELECT key, step, CASE WHEN outcome = 'accepted' THEN tm ELSE seen END,
+    CASE WHEN outcome <> 'accepted' OR kind IN ('initialized', 'adopted', 'trial_decided') OR (kind = 'trial_requested' AND map_contains(open, cycle)) THEN open WHEN kind = 'trial_requested' THEN map_concat(open, MAP {{cycle: 0}})
+         WHEN kind IN ('refit_failed', 'challenger_fitted') THEN map_concat(open, MAP {{cycle: refits + 1}}) ELSE CAST(map_from_entries(list_filter(map_entries(open), lambda x: x.key <> cycle)) AS MAP(VARCHAR, INTEGER)) END, sequence, kind, outcome
+  FROM (SELECT e.key, e.step, e.tm, e.cycle, e.sequence, e.kind, r.seen, r.open, coalesce(r.open[e.cycle], 0) AS refits,
+      CASE WHEN e.kind = 'renamed' THEN 'unknown' WHEN e.tm < r.seen THEN 'late' WHEN e.kind NOT IN ('initialized', 'adopted', 'trial_requested') AND NOT map_contains(r.open, e.cycle) THEN 'no_cycle'
+           WHEN e.kind IN ('refit_failed', 'challenger_fitted') AND r.open[e.cycle] >= 2 THEN 'too_many_refits' ELSE 'accepted' END AS outcome
+    FROM r JOIN line e ON e.key = r.key AND e.step = r.step + 1))
+SELECT sequence, key, kind, outcome FROM r WHERE step > 0""",
+    "landed_pages": q(OBS, f"""
+lc AS (SELECT *, price - lag(price) OVER (PARTITION BY product_name, snapshot ORDER BY release_month, ord) AS change FROM obs),
+lp AS (SELECT source_url || '#' || substr(content_sha256, 1, 8) AS source_url, content_sha256, release_month, "window", {ODD} AS odd, count(change) AS n_prices FROM lc GROUP BY 1, 2, 3, 4, 5)""", """
+SELECT source_url, release_month, "window", 'stored' AS outcome, n_prices FROM lp WHERE NOT odd UNION ALL SELECT source_url, NULL, NULL, 'challenge', 0 FROM lp WHERE odd
+UNION ALL SELECT DISTINCT coalesce(url, 'none'), NULL, NULL, 'no_release_in_title', 0 FROM pages WHERE page_id % 5 <> 0 UNION ALL SELECT DISTINCT NULL, NULL, NULL, 'no_address', 0 FROM pages WHERE page_id % 5 = 0"""),
 }

@@ -11,10 +11,10 @@ from tideline.functions import releases as rel
 from tideline.operators import asof, catalog, evaluation, features, ingest, models, products, registry, ridge, saved, specs, trees, validation
 from tideline.plans import lifecycle
 from tideline.sources import files, proxy
-from tideline.streaming import arrivals
+from tideline.streaming import arrivals, landing
+from tideline.streaming import lifecycle as carried
 
-CUTOFF = "1999-03-26 12:00:00"  # of the queries that ask what was known at a time
-FAR = "2010-01-01 00:00:00"  # of all others: after the last event of the tables
+CUTOFF = "1999-03-26 12:00:00"  # of the queries that ask what was known at a time; all others have none
 SINCE = "1997-01"  # month from which on the saved models were in use
 CHAMPION = "sector_first"  # the model in use; some challengers beat it and some do not
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -47,7 +47,7 @@ def known(spark, sf_dir) -> DataFrame:
 
 
 def available(spark, sf_dir) -> DataFrame:
-    return asof.select_available(proxy.observations(spark, sf_dir), at(FAR))
+    return asof.select_available(proxy.observations(spark, sf_dir), None)
 
 
 def cells(spark, sf_dir) -> DataFrame:
@@ -59,7 +59,7 @@ def values(spark, sf_dir, variant: str = "twentieth") -> DataFrame:
 
 
 def first_actuals(spark, sf_dir) -> DataFrame:
-    return asof.known_actuals(proxy.actuals(spark, sf_dir), at(FAR))
+    return asof.known_actuals(proxy.actuals(spark, sf_dir), None)
 
 
 def training(spark, sf_dir, variant: str = "twentieth", **more) -> tuple[DataFrame, DataFrame]:
@@ -909,3 +909,48 @@ def stress_metrics_ridge(spark, sf_dir):
 
 def scored_stress(df: DataFrame) -> DataFrame:
     return rounded(df, *(c for c in df.columns if c not in ("model_key", "n", "n_moved")))
+
+
+def lifecycle_arrivals(spark, sf_dir) -> DataFrame:
+    """The events as a lifecycle's, a week of a user as a cycle; some come five days late and some are of no known kind."""
+    events = proxy.table(spark, sf_dir, "events")
+    number = F.get_json_object("props", "$.k").cast("long")
+    kind = F.when(F.col("event_id") % 29 == 6, "renamed").otherwise(F.element_at(F.array(*map(F.lit, proxy.EVENT_KINDS)), (number % 8 + 1).cast("int")))
+    at = F.when(F.col("event_id") % 23 == 4, F.col("ts") - F.expr("INTERVAL '5' DAY")).otherwise(F.col("ts"))
+    week = F.floor(F.dayofyear("ts") / 7).cast("string")
+    return events.select(F.col("event_id").alias("sequence"), F.col("user_id").cast("string").alias("key"), F.concat_ws("-", F.col("user_id").cast("string"), week).alias("cycle_id"), kind.alias("kind"), at.alias("as_of"))
+
+
+@query
+def lifecycle_stream(spark, sf_dir):
+    """Every event's outcome as a stream that arrives in four files, judged against the state carried from file to file."""
+    where = files.run_path(spark, "lifecycle-stream")
+    events = lifecycle_arrivals(spark, sf_dir)
+    quarter = F.floor(4 * F.col("sequence") / (events.agg(F.max("sequence")).first()[0] + 1))
+    for k in range(4):  # one after the other, as files arrive
+        events.where(quarter == k).coalesce(1).write.mode("append").parquet(f"{where}/in")
+    stream = spark.readStream.schema(events.schema).option("maxFilesPerTrigger", 1).parquet(f"{where}/in")
+    arrivals.append_to(carried.judged_stream(stream), f"{where}/out", f"{where}/marks").awaitTermination()
+    return spark.read.schema(carried.JUDGED).parquet(f"{where}/out").select("sequence", "key", "kind", "outcome")
+
+
+@query
+def landed_pages(spark, sf_dir):
+    """Release pages as raw files that arrive in two lots, the second with copies under other names, new pages, pages
+    without an address and files that are no release; each stored address with the prices that were read, each fault once."""
+    where = files.run_path(spark, "landing")
+    page = F.concat(F.lit('<link rel="canonical" href="'), "source_url", F.lit('">'), "html")
+    pages = files.stored(release_pages(spark, sf_dir).select("source_url", "title", page.alias("raw")), "raw-pages")
+    old = F.substring("title", 15, 4) < "1998"
+    html = F.concat(F.lit("<h1>"), F.col("page_id").cast("string"), F.lit("</h1>"))
+    others = proxy.table(spark, sf_dir, "pages").select(F.when(F.col("page_id") % 5 == 0, html).otherwise(F.concat(F.lit('<link rel="canonical" href="'), F.coalesce("url", F.lit("none")), F.lit('">'), html)).alias("raw"))
+    lots = [pages.where(old).select("raw"), pages.select("raw").unionByName(others)]
+    for k, lot in enumerate(lots):
+        named = lot.withColumn("name", F.sha2("raw", 256)).dropDuplicates(["name"])
+        named.repartition(8, "name").write.partitionBy("name").option("lineSep", "\r").mode("append").text(f"{where}/in/lot={k}")
+        landing.ingest_landing(landing.landed_files(spark, f"{where}/in", "*.txt", 400), where).awaitTermination()
+    prices = landing.batches(spark, where, "prices", ingest.ROWS).groupBy("source_url").agg(F.count("price").alias("n_prices"))
+    stored = landing.batches(spark, where, "snapshots", landing.SNAPSHOT).join(prices, "source_url", "left")
+    done = stored.select("source_url", "release_month", "window", F.lit("stored").alias("outcome"), F.coalesce("n_prices", F.lit(0).cast("long")).alias("n_prices"))
+    faults = landing.batches(spark, where, "errors", landing.ERROR).select("source_url", F.col("reason").alias("outcome"), F.lit(0).cast("long").alias("n_prices")).distinct()
+    return done.unionByName(faults, allowMissingColumns=True)
