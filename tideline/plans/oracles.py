@@ -454,3 +454,4 @@ lp AS (SELECT source_url || '#' || substr(content_sha256, 1, 8) AS source_url, c
 SELECT source_url, release_month, "window", 'stored' AS outcome, n_prices FROM lp WHERE NOT odd UNION ALL SELECT source_url, NULL, NULL, 'challenge', 0 FROM lp WHERE odd
 UNION ALL SELECT DISTINCT coalesce(url, 'none'), NULL, NULL, 'no_release_in_title', 0 FROM pages WHERE page_id % 5 <> 0 UNION ALL SELECT DISTINCT NULL, NULL, NULL, 'no_address', 0 FROM pages WHERE page_id % 5 = 0"""),
 }
+ORACLES["published_bundle"] = f"SELECT key, bundle, 'trial' AS active_bundle FROM ({ORACLES['composite_bundle']})"

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from tideline.functions import releases as rel
 from tideline.operators import asof, catalog, evaluation, features, ingest, models, products, registry, ridge, saved, specs, trees, validation
 from tideline.plans import lifecycle
-from tideline.sources import files, proxy
+from tideline.sources import files, proxy, publish
 from tideline.streaming import arrivals, landing
 from tideline.streaming import lifecycle as carried
 
@@ -954,3 +954,31 @@ def landed_pages(spark, sf_dir):
     done = stored.select("source_url", "release_month", "window", F.lit("stored").alias("outcome"), F.coalesce("n_prices", F.lit(0).cast("long")).alias("n_prices"))
     faults = landing.batches(spark, where, "errors", landing.ERROR).select("source_url", F.col("reason").alias("outcome"), F.lit(0).cast("long").alias("n_prices")).distinct()
     return done.unionByName(faults, allowMissingColumns=True)
+
+
+class Interrupted(Exception):
+    """What stands for a crash below."""
+
+
+@query
+def published_bundle(spark, sf_dir):
+    """What readers see after the models in use, then the bundle with the promoted ones, were published, the latter cut off
+    before its pointer and recovered, and a third that was cut off in the middle and dropped."""
+    root = files.run_path(spark, "bundles")
+    start = proxy.saved_metrics(spark, sf_dir, SINCE).select("vintage", "model_key", F.lit("first").alias("bundle"))
+    promoted = registry.promotion_decisions(fresh_scores(spark, sf_dir), CHAMPION).where("promoted").select("vintage", "model_key", F.lit("trial").alias("bundle"))
+
+    def cut_off(name, df, step):
+        def stop(done):
+            if done == step:
+                raise Interrupted
+
+        try:
+            publish.publish(spark, root, name, {"models": df}, stop)
+        except Interrupted:
+            publish.recover(spark, root)
+
+    publish.publish(spark, root, "first", {"models": start})
+    cut_off("trial", registry.composite_bundle(start, promoted, ["vintage", "model_key"]), "manifest")
+    cut_off("lost", start.limit(0), "table models")
+    return publish.read_active(spark, root, "models").select(specs.spec_key("vintage", "model_key").alias("key"), "bundle", F.lit(publish.active(spark, root)).alias("active_bundle"))
