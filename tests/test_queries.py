@@ -77,4 +77,5 @@ def test_every_query_is_tested():
     held = {*FITTED, "top_k_attribution", "attribution_groups", "ridge_predictions", "forest_predictions", "gbt_predictions", "refit_comparison"}
     held |= {"boosted_origin_predictions", "forest_origin_predictions", "hybrid_origin_predictions", "tree_attribution"}  # test_trees
     held |= {"stress_metrics_ridge"}  # test_saved
+    held |= {"candidate_grid_predictions", "gram_sums"}  # test_gram
     assert set(QUERIES) - set(ORACLES) == held

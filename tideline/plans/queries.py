@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
+import functools
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tideline.functions import releases as rel
-from tideline.operators import asof, catalog, evaluation, features, ingest, models, products, registry, ridge, saved, specs, trees, validation
+from tideline.operators import asof, catalog, evaluation, features, gram, ingest, models, products, registry, ridge, saved, specs, trees, validation
 from tideline.plans import lifecycle
 from tideline.sources import files, proxy, publish
 from tideline.streaming import arrivals, landing
@@ -982,3 +983,36 @@ def published_bundle(spark, sf_dir):
     cut_off("trial", registry.composite_bundle(start, promoted, ["vintage", "model_key"]), "manifest")
     cut_off("lost", start.limit(0), "table models")
     return publish.read_active(spark, root, "models").select(specs.spec_key("vintage", "model_key").alias("key"), "bundle", F.lit(publish.active(spark, root)).alias("active_bundle"))
+
+
+VARIANTS = ("twentieth", "final", "early", "early_carry")
+
+
+def grid_inputs(spark, sf_dir) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(values, months, origins) of all timings, each written once."""
+    each = {v: training(spark, sf_dir, v) for v in VARIANTS}
+    feature = F.concat_ws("__", "part", "product_name").alias("feature")
+    join = lambda frames: functools.reduce(DataFrame.unionByName, frames)
+    months = files.stored(join([m.withColumn("variant", F.lit(v)) for v, (_, m) in each.items()]), "grid-months")
+    values = files.stored(join([h.select(F.lit(v).alias("variant"), "month", feature, "value") for v, (h, _) in each.items()]), "grid-values")
+    used = months.where("reason is null")
+    origins = join([evaluation.eligible_origins(used.where(F.col("variant") == v)).select(F.lit(v).alias("variant"), "month", "train_month") for v in VARIANTS])
+    return values.join(used.select("variant", "month"), ["variant", "month"], "left_semi"), gram.numbered_months(months), files.stored(origins, "grid-origins")
+
+
+@query
+def candidate_grid_predictions(spark, sf_dir):
+    """Every timing, panel and origin in one job: normal equations are looked up in sums that run over the months."""
+    values, months, origins = grid_inputs(spark, sf_dir)
+    cells = files.stored(gram.month_cells(values, months), "grid-cells")
+    table = files.stored(gram.gram_table(gram.pair_sums(cells)), "grid-sums")
+    return rounded(gram.grid_predictions(values, months, origins, table, cells), "estimate_mom_pct")
+
+
+@query
+def gram_sums(spark, sf_dir):
+    """The sums that the grid looks up, of each timing's last month but one: per pair of features, rounded."""
+    values, months, _ = grid_inputs(spark, sf_dir)
+    last = months.groupBy("variant").agg((F.max("r") - 1).alias("r"))
+    found = gram.pair_sums(gram.month_cells(values, months)).join(last, ["variant", "r"], "left_semi")
+    return rounded(found.where(F.col("f") != F.col("g")), "xy", "x", "y", places=4).select("variant", "f", "g", "xy", "x", "y", F.col("n").cast("long").alias("n"))
