@@ -455,3 +455,29 @@ SELECT source_url, release_month, "window", 'stored' AS outcome, n_prices FROM l
 UNION ALL SELECT DISTINCT coalesce(url, 'none'), NULL, NULL, 'no_release_in_title', 0 FROM pages WHERE page_id % 5 <> 0 UNION ALL SELECT DISTINCT NULL, NULL, NULL, 'no_address', 0 FROM pages WHERE page_id % 5 = 0"""),
 }
 ORACLES["published_bundle"] = f"SELECT key, bundle, 'trial' AS active_bundle FROM ({ORACLES['composite_bundle']})"
+MICRO = "product_name || ':' || " + " || ':' || ".join(f"CAST(CAST(round({c} * 1000000) AS BIGINT) AS VARCHAR)" for c in ("centre", "scale", "{weight}", "bias"))
+ORACLES["quality_violations"] = q(*TRIAL, f"""
+man AS (SELECT version, model_key, max(train_month) AS training_end, max(u.actual_published_at) AS training_published FROM origins o JOIN kinds ON o.month = version JOIN used u ON u.month = train_month GROUP BY 1, 2),
+art AS (SELECT version, model_key, string_agg(a, ',' ORDER BY a) AS saved, string_agg(b, ',' ORDER BY b) AS now FROM (SELECT version, model_key, {MICRO.replace("{weight}", "weight")} AS a, {MICRO.replace("{weight}", "(weight + CASE WHEN version LIKE '1999%' THEN 0.001 ELSE 0 END)")} AS b FROM coef) GROUP BY 1, 2),
+asked2 AS (SELECT month, model_key AS role, model_key, CASE WHEN substr(month, 6, 2) = '06' AND model_key = 'challenger' THEN '2001-01' WHEN substr(month, 6, 2) = '09' THEN 'none' ELSE version END AS version, cutoff + INTERVAL 3 DAY AS as_of FROM made JOIN used USING (month)),
+src AS (SELECT month, max(greatest(published_at, retrieved_at)) AS last_source FROM pick JOIN (SELECT DISTINCT release_month, ord, content_sha256, published_at, retrieved_at FROM obs) USING (release_month, ord, content_sha256) WHERE ord = 2 GROUP BY 1),
+touched AS (SELECT DISTINCT month FROM lng WHERE substr(month, 6, 2) = '03' AND product_name LIKE '%#11' AND value IS NOT NULL),
+full_ AS (SELECT f.*, man.training_end, man.training_published, art.saved, art.now, last_source, f.month IN (FROM touched) AS changed FROM asked2 f LEFT JOIN man USING (version, model_key) LEFT JOIN art USING (version, model_key) LEFT JOIN src ON src.month = f.month)""", """
+SELECT month, role, version, 'no_model' AS violation FROM full_ WHERE saved IS NULL UNION ALL SELECT month, role, version, 'overlap' FROM full_ WHERE training_end >= month UNION ALL SELECT month, role, version, 'later_target' FROM full_ WHERE training_published > as_of
+UNION ALL SELECT month, role, version, 'features' FROM full_ WHERE changed UNION ALL SELECT month, role, version, 'artifact' FROM full_ WHERE saved <> now UNION ALL SELECT month, role, version, 'source' FROM full_ WHERE last_source > as_of""")
+ORACLES["reparsed_actuals"] = f"""
+WITH h AS ({ORACLES["headline_changes"]}),
+w AS (SELECT target_month, version, CASE WHEN CAST(substr(target_month, 6, 2) AS INTEGER) % 5 = 0 THEN -headline ELSE headline END AS was FROM h WHERE substr(target_month, 6, 2) <> '11'),
+n AS (SELECT target_month, version, headline AS now FROM h WHERE NOT (substr(target_month, 6, 2) = '02' AND version = 2))
+SELECT target_month, version, round(was, 6) + 0.0 AS was, round(now, 6) + 0.0 AS now, CASE WHEN was IS NULL THEN 'added' WHEN now IS NULL THEN 'removed' ELSE 'changed' END AS change FROM w FULL JOIN n USING (target_month, version) WHERE was IS DISTINCT FROM now"""
+DISCOVERY = "WITH RECURSIVE" + OBS + """,
+links AS (SELECT DISTINCT CAST(published_at AS DATE) AS day, source_url AS url FROM obs UNION ALL SELECT DATE '1999-09-09', coalesce(url, '') || '#' || CAST(page_id AS VARCHAR) FROM pages),
+days AS (SELECT day, count(DISTINCT url) AS n FROM links GROUP BY 1),
+tree AS (
+  SELECT min(day) AS s, max(day) AS e, CAST(sum(n) AS BIGINT) AS total FROM days
+  UNION ALL SELECT h.s, h.e, CAST((SELECT coalesce(sum(n), 0) FROM days WHERE day BETWEEN h.s AND h.e) AS BIGINT) FROM (
+    SELECT unnest([s, CAST(s + CAST((e - s) // 2 AS INTEGER) + 1 AS DATE)]) AS s, unnest([CAST(s + CAST((e - s) // 2 AS INTEGER) AS DATE), e]) AS e FROM tree WHERE total > 20 AND s < e) h),
+ranges AS (SELECT s, e, total, CAST(ceil(total / 5) AS BIGINT) AS n_pages FROM tree WHERE total > 0 AND (total <= 20 OR s = e))
+"""
+ORACLES["bisected_discovery"] = DISCOVERY + 'SELECT CAST(s AS VARCHAR) AS start, CAST(e AS VARCHAR) AS "end", total AS n_links, n_pages, n_pages > 4 AS alone FROM ranges'
+ORACLES["discovered_once"] = DISCOVERY + "SELECT CAST(1 AS BIGINT) AS ranges, (SELECT count(*) FROM (SELECT DISTINCT day, url FROM links)) AS n_links, (SELECT CAST(sum(n_pages) AS BIGINT) FROM ranges) AS n_pages"

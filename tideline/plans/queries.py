@@ -9,7 +9,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tideline.functions import releases as rel
-from tideline.operators import asof, catalog, evaluation, features, gram, ingest, models, products, registry, ridge, saved, specs, trees, validation
+from tideline.operators import asof, catalog, discovery, evaluation, features, gram, ingest, models, products, quality, registry, ridge, saved, specs, trees, validation
 from tideline.plans import lifecycle
 from tideline.sources import files, proxy, publish
 from tideline.streaming import arrivals, landing
@@ -647,12 +647,16 @@ def release_titles(spark, sf_dir):
     return rows.select("title", month.alias("month"), window.alias("window"))
 
 
-@query
-def headline_changes(spark, sf_dir):
-    a = proxy.actuals(spark, sf_dir)
+def headlines(spark, sf_dir) -> DataFrame:
+    """target_month, version and the text of each released rate."""
     way = F.when(F.col("actual_mom_pct") > 0, "rose").when(F.col("actual_mom_pct") < 0, "fell").otherwise("was unchanged")
     text = F.concat(F.lit("Producer prices month-on-month "), way, F.lit(" by "), F.format_string("%.2f", F.abs("actual_mom_pct")), F.lit("%, year-on-year up 9.9%"))
-    return a.select("target_month", "version", ingest.headline_change(text).alias("headline"))
+    return proxy.actuals(spark, sf_dir).select("target_month", "version", text.alias("text"))
+
+
+@query
+def headline_changes(spark, sf_dir):
+    return headlines(spark, sf_dir).select("target_month", "version", ingest.headline_change(F.col("text")).alias("headline"))
 
 
 @query
@@ -849,7 +853,7 @@ def trial_store(spark, sf_dir) -> dict[str, DataFrame]:
     table = files.stored(fitted.join(versions.withColumnRenamed("role", "model_key"), ["version", "model_key"], "left_semi"), "trial-models")
     of = lambda role: saved.newest_version(ready, versions.where(F.col("role") == role).select("version")).withColumn("model_key", F.lit(role))
     forecasts = files.stored(saved.matched_forecasts(features, table, of("champion"), of("challenger")), "trial-forecasts")
-    return {"features": features, "models": table, "forecasts": forecasts, "months": used, "matrix": months}
+    return {"features": features, "models": table, "forecasts": forecasts, "months": used, "origins": origins, "versions": versions}
 
 
 @query
@@ -1016,3 +1020,55 @@ def gram_sums(spark, sf_dir):
     last = months.groupBy("variant").agg((F.max("r") - 1).alias("r"))
     found = gram.pair_sums(gram.month_cells(values, months)).join(last, ["variant", "r"], "left_semi")
     return rounded(found.where(F.col("f") != F.col("g")), "xy", "x", "y", places=4).select("variant", "f", "g", "xy", "x", "y", F.col("n").cast("long").alias("n"))
+
+
+@query
+def quality_violations(spark, sf_dir):
+    """Every rule that a saved forecast breaks, in a store with models that were fitted too late, lost or changed, changed
+    features, and sources that were retrieved after the forecast was frozen."""
+    obs, store = proxy.observations(spark, sf_dir), trial_store(spark, sf_dir)
+    times, month = store["months"], F.substring("month", 6, 2)
+    sets = store["versions"].select(F.col("version").alias("month"), F.col("version"), F.col("role").alias("model_key")).join(store["origins"], "month")
+    public = times.select(F.col("month").alias("train_month"), "actual_published_at")
+    manifest = sets.join(public, "train_month").groupBy("version", "model_key").agg(F.max("train_month").alias("training_end"), F.max("actual_published_at").alias("training_published")).join(quality.artifact_hashes(store["models"]), ["version", "model_key"])
+    version = F.when((month == "06") & (F.col("role") == "challenger"), "2001-01").when(month == "09", "none").otherwise(F.col("version"))
+    forecasts = store["forecasts"].withColumn("version", version).join(times.select("month", (F.col("cutoff") + F.expr("INTERVAL '3' DAY")).alias("as_of")), "month")
+    table = store["models"].withColumn("weight", F.when(F.col("version").startswith("1999"), F.col("weight") + 0.001).otherwise(F.col("weight")))
+    used = features.snapshots_at(obs, evaluation.feature_cutoffs(obs)).where("ord = 2")
+    keys = ["release_month", "ord", "content_sha256"]
+    sources = used.join(obs.select(*keys, "published_at", "retrieved_at").distinct(), keys)
+    return quality.violations(forecasts, manifest, table, damaged(store)["features"], sources)
+
+
+@query
+def reparsed_actuals(spark, sf_dir):
+    """All stored headlines parsed again, against what was recorded: other signs every fifth month, months that were not
+    recorded, and values whose page is gone."""
+    text = headlines(spark, sf_dir).withColumn("value", ingest.headline_change(F.col("text")))
+    month = F.substring("target_month", 6, 2)
+    recorded = text.where(month != "11").withColumn("value", F.when(month.cast("int") % 5 == 0, -F.col("value")).otherwise(F.col("value")))
+    rebuilt = text.where(~((month == "02") & (F.col("version") == 2)))
+    return registry.changed_values(recorded, rebuilt, ["target_month", "version"], "value").select("target_month", "version", r6("was").alias("was"), r6("now").alias("now"), "change")
+
+
+def dated_links(spark, sf_dir) -> DataFrame:
+    """Stored index entries: each release page on its day, and all raw pages on one day, more than a search shows."""
+    released = proxy.observations(spark, sf_dir).select(F.to_date("published_at").alias("day"), F.col("source_url").alias("url")).distinct()
+    return released.unionByName(proxy.table(spark, sf_dir, "pages").select(F.lit("1999-09-09").cast("date").alias("day"), F.concat_ws("#", F.coalesce("url", F.lit("")), "page_id").alias("url")))
+
+
+@query
+def bisected_discovery(spark, sf_dir):
+    """The date ranges to be asked for, where a search shows four pages of five links."""
+    found = discovery.bisected_ranges(dated_links(spark, sf_dir), 5, 4)
+    return found.select(F.col("start").cast("string"), F.col("end").cast("string"), "n_links", "n_pages", "alone")
+
+
+@query
+def discovered_once(spark, sf_dir):
+    """Every link with how many of the ranges hold it, and the pages that are to be fetched by then: counts by answer."""
+    links = dated_links(spark, sf_dir).distinct()
+    ranges = discovery.bisected_ranges(links, 5, 4)
+    held = links.join(ranges, (F.col("day") >= F.col("start")) & (F.col("day") <= F.col("end")), "left").groupBy("day", "url").agg(F.count("start").alias("ranges"))
+    pages = discovery.fetch_plan(ranges).agg(F.count("*").alias("n_pages"))
+    return held.groupBy("ranges").agg(F.count("*").alias("n_links")).join(pages).select("ranges", "n_links", "n_pages")
