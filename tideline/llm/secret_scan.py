@@ -7,7 +7,7 @@ import re
 from collections import Counter, deque
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tideline.llm.common import Scratch, documents, text_rows
@@ -24,7 +24,8 @@ SAMPLE = 2000  # labelled credentials a kind from which its automaton is inferre
 ALPHA = 0.01  # significance of the merging test
 RARE = 1e-3  # probability of a symbol that a state has not seen though the kind has
 MARGIN = 1.0  # bits a symbol by which a format must beat ordinary strings, at least
-LONGEST = 256  # longer credentials are found by base patterns, but teach no format: that bounds what the driver holds
+LONGEST = 256  # longer credentials are taken into the sample last
+SAMPLE_SYMBOLS = SAMPLE * LONGEST  # of a kind's sample: that bounds what the driver holds
 BACK = 1e-3
 CASE_BITS = 2.0  # cost of a word's being written in capitals
 
@@ -205,7 +206,7 @@ class Formats:
         self.ordinary = Ordinary(pairs)
         self.automata = []
         for kind in sorted(labelled):
-            words = {w: n for w, n in labelled[kind].items() if len(w) <= LONGEST}
+            words = labelled[kind]
             cue = common_prefix(words) if len(words) > 1 else ""
             self._learn(kind, words)
             if len(cue) >= 3 and min(map(len, words)) >= len(cue) + 8:
@@ -228,8 +229,9 @@ class Formats:
 def label_credentials(docs: DataFrame, sample: int = SAMPLE) -> Formats:
     """Formats from the whole corpus: base credentials label themselves, all other candidates are ordinary.
 
-    Counting covers every text; from the distinct credentials of a kind of at most LONGEST symbols, the `sample` ones
-    of least hash are used. The table of counts is deleted once it has been read.
+    Counting covers every text; from the distinct credentials of a kind the `sample` ones of least hash are used, those
+    of at most LONGEST symbols first, as far as they have SAMPLE_SYMBOLS together. The table of counts is deleted once it
+    has been read, or if that fails.
     """
 
     def gather(batches):
@@ -251,11 +253,17 @@ def label_credentials(docs: DataFrame, sample: int = SAMPLE) -> Formats:
         return pa.RecordBatch.from_arrays([pa.array([k for k, _ in held], pa.string()), pa.array([w for _, w in held], pa.string()), pa.array(list(held.values()), pa.int64())], ["kind", "word", "n"])
 
     scratch = Scratch(docs.sparkSession, "secret-formats")  # holds credentials in clear until they have been read
-    counts = scratch.table(text_rows_only(docs).mapInArrow(gather, "kind string, word string, n long").groupBy("kind", "word").agg(F.sum("n").alias("n")), "counts")
-    usable = counts.where(F.length("word") <= LONGEST)
-    labelled = {kind: {r.word: r.n for r in usable.where(F.col("kind") == kind).orderBy(F.xxhash64("word"), "word").limit(sample).collect()} for kind in KINDS}
-    pairs = {r.word: r.n for r in counts.where("kind = 'pair'").collect()}  # at most (symbols + 2) squared rows
-    scratch.drop("counts")
+    order = [F.length("word") > LONGEST, F.xxhash64("word"), F.col("word")]
+    try:
+        counts = scratch.table(text_rows_only(docs).mapInArrow(gather, "kind string, word string, n long").groupBy("kind", "word").agg(F.sum("n").alias("n")), "counts")
+        labelled = {}
+        for kind in KINDS:
+            drawn = counts.where(F.col("kind") == kind).orderBy(*order).limit(sample)
+            drawn = drawn.withColumn("symbols", F.sum(F.length("word")).over(Window.orderBy(*order))).where(F.col("symbols") <= SAMPLE_SYMBOLS)  # `sample` rows
+            labelled[kind] = {r.word: r.n for r in drawn.collect()}
+        pairs = {r.word: r.n for r in counts.where("kind = 'pair'").collect()}  # at most (symbols + 2) squared rows
+    finally:
+        scratch.drop("counts")
     return Formats(labelled, pairs)
 
 
