@@ -75,9 +75,9 @@ def let(value: Column, body) -> Column:
     return F.transform(F.array(value), body)[0]
 
 
-def text_rows(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """Only (doc_id long, text string) of the input; a null text becomes the empty one, other columns cannot clash."""
-    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
+def text_rows(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", id_type: str = "long") -> DataFrame:
+    """Only (doc_id, text string) of the input; a null text becomes the empty one, other columns cannot clash."""
+    return docs.select(F.col(id_col).cast(id_type).alias("doc_id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
 
 
 def documents(spark: SparkSession, sf_dir: str) -> DataFrame:

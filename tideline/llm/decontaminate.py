@@ -50,7 +50,7 @@ def bit_filter(grams: DataFrame, size: int, bits: int) -> Column:
     return F.from_json(F.lit(json.dumps(held)), "array<bigint>")
 
 
-def gram_hits(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, broadcast_bytes: int = BROADCAST_BYTES) -> tuple[DataFrame, DataFrame]:
+def gram_hits(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, broadcast_bytes: int = BROADCAST_BYTES, id_type: str = "long") -> tuple[DataFrame, DataFrame]:
     """(rows: rid, doc_id, n_words) and (hits: rid, pos, size, items), one hit per occurrence of a benchmark window."""
     spark = docs.sparkSession
     scratch = Scratch(spark, "decontaminate")
@@ -68,7 +68,7 @@ def gram_hits(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, broad
     def candidates(words: Column) -> Column:
         return F.concat(*(of_size(words, size) for size in sizes)) if sizes else F.array().cast("array<struct<pos:int,size:int,gram:string>>")
 
-    seen = text_rows(docs).select(F.monotonically_increasing_id().alias("rid"), "doc_id", let(words_of(F.col("text")), lambda w: F.struct(F.size(w).alias("n"), candidates(w).alias("maybe"))).alias("x"))
+    seen = text_rows(docs, id_type=id_type).select(F.monotonically_increasing_id().alias("rid"), "doc_id", let(words_of(F.col("text")), lambda w: F.struct(F.size(w).alias("n"), candidates(w).alias("maybe"))).alias("x"))
     seen = scratch.table(seen.select("rid", "doc_id", F.col("x.n").cast("long").alias("n_words"), F.col("x.maybe").alias("maybe")), "scanned")
     # The bit filter only narrows; equality of the whole window decides.
     small = sum(r["bytes"] for r in of_sizes) <= broadcast_bytes
@@ -89,7 +89,7 @@ def spans(hits: DataFrame) -> DataFrame:
     return held.select("rid", merged.alias("spans")).join(items, "rid", "left")
 
 
-def decontaminate(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW) -> DataFrame:
+def decontaminate(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, id_type: str = "long") -> DataFrame:
     """One row per document: doc_id, n_words, n_hit, n_items, items, spans, contaminated.
 
     A word is hit if it lies inside any occurrence of a benchmark window (13 consecutive item words, or all words of
@@ -101,7 +101,7 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW) -
     windows; the few windows that pass leave as rows and meet the windows themselves in a hash join, broadcast up to a
     bound on their bytes.
     """
-    rows, hits = gram_hits(docs, benchmark, window)
+    rows, hits = gram_hits(docs, benchmark, window, id_type=id_type)
     n_hit = F.aggregate("spans", F.lit(0), lambda a, x: a + x.end - x.pos).cast("long")
     found = rows.join(spans(hits), "rid", "left")
     found = found.select("doc_id", "n_words", F.coalesce(n_hit, F.lit(0).cast("long")).alias("n_hit"), F.coalesce("items", F.array().cast("array<string>")).alias("items"), F.coalesce("spans", F.array().cast("array<struct<pos:int,end:int>>")).alias("spans"))
@@ -111,9 +111,10 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW) -
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW) -> DataFrame:
     """The input without contaminated documents; columns stay as they are. A row goes if its id and text were judged contaminated."""
     names = docs.columns
-    key = lambda d: d.withColumn("_tl_key", F.xxhash64(F.col("doc_id"), F.col("text"))).withColumn("_tl_id", F.coalesce(F.col("doc_id"), F.lit(-1)))
-    keyed = key(docs)
-    judged = decontaminate(keyed.select(F.col("_tl_key").alias("doc_id"), "text"), benchmark, window).where("contaminated").select(F.col("doc_id").alias("_tl_key")).distinct()
+    # 256 bits of id and text, so that no clean row shares them with a contaminated one.
+    own = F.sha2(F.concat_ws("|", F.coalesce(F.col("doc_id").cast("string"), F.lit("-")), F.coalesce("text", F.lit(""))), 256)
+    keyed = docs.withColumn("_tl_key", own)
+    judged = decontaminate(keyed.select(F.col("_tl_key").alias("doc_id"), "text"), benchmark, window, "string").where("contaminated").select(F.col("doc_id").alias("_tl_key")).distinct()
     return keyed.join(judged, "_tl_key", "left_anti").select(*names)
 
 
