@@ -1,6 +1,7 @@
 import hashlib
 import re
 
+import duckdb
 import pytest
 
 from tideline.llm import pii
@@ -141,3 +142,17 @@ def test_long_runs_take_linear_time(spark, text):
 def test_the_main_path_has_no_python(spark, small):
     plan = op12_pii(spark, small)._jdf.queryExecution().executedPlan().toString()
     assert not re.search("Python|Pandas|Arrow|Exchange", plan)
+
+
+def test_sql_matches_brute_force():
+    with duckdb.connect() as con:
+        con.execute("CREATE TABLE documents (doc_id BIGINT, text VARCHAR)")
+        con.executemany("INSERT INTO documents VALUES (?, ?)", [*enumerate(PLANTED), (1000, None)])
+        got = {r[0]: r[-1] for r in con.execute(pii.SQL).fetchall()}
+    assert got == {k: ",".join(f"{kind}:{s}:{e}" for _, s, e, kind, *_ in brute(text)[1]) for k, text in [*enumerate(PLANTED), (1000, "")]}
+
+
+def test_query_matches_sql(spark, small):
+    with duckdb.connect() as con:
+        con.execute(f"CREATE VIEW documents AS SELECT * FROM '{small}/documents.parquet'")
+        assert sorted(con.execute(pii.SQL).fetchall()) == sorted(map(tuple, op12_pii(spark, small).collect()))

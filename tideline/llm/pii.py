@@ -246,3 +246,49 @@ def op12_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     base = F.filter("spans", lambda x: x.base)
     count = lambda kind: F.size(F.filter("spans", lambda x: x.base & (x.kind == kind))).cast("long").alias(f"n_{kind}")
     return found.select("doc_id", *map(count, KINDS[:4]), F.sha2(listed(base), 256).alias("base_sha256"), listed(F.col("spans")).alias("spans"))
+
+
+def _sql() -> str:
+    """The DuckDB twin: every match as a row, and plain joins for what overlaps. Its engine needs no rewritten patterns."""
+    quoted = lambda text: "'" + text.replace("'", "''") + "'"
+    patterns = {"email": EMAIL, "ip": IP, "card": CARD, "phone": PHONE, "spelt": SPELT, "number": NUMBER, "local": LOCAL, "iban": IBAN, "ssn": SSN}
+    found = " UNION ALL ".join(f"SELECT doc_id, '{p}' AS p, regexp_extract_all(t, {quoted(r)}) AS ms, string_split_regex(t, {quoted(r)}) AS gs FROM d WHERE regexp_matches(t, {quoted(r)})" for p, r in patterns.items())
+    beside = lambda left, right: f"NOT regexp_matches(right(before, 1), '{left}') AND NOT regexp_matches(left(after, 1), '{right}')"
+    near = lambda kind, words, text: f"regexp_matches(translate({text}, '{UPPER}', '{LOWER}'), '(^|[^a-z])({words[kind]})([^a-z]|$)')"
+    raised = " ".join(f"WHEN kind = '{k}' AND {near(k, FOR, 'before || chr(32) || after')} THEN {RAISE}" for k in KINDS)
+    lowered = " ".join(f"WHEN kind = '{k}' AND {near(k, AGAINST, 'before')} THEN {LOWERED}" for k in KINDS)
+    lengths = "MAP {" + ", ".join(f"'{p[:2]}': {p[2:]}" for p in IBAN_LENGTHS.split()) + "}"
+    word, dashed = WORD_CHAR, "[A-Za-z0-9-]"
+    luhn_ok = "list_sum(list_transform(range(1, len(n) + 1), lambda i: CASE WHEN (len(n) - i) % 2 = 1 THEN (2 * CAST(n[i] AS INTEGER)) // 10 + (2 * CAST(n[i] AS INTEGER)) % 10 ELSE CAST(n[i] AS INTEGER) END)) % 10 = 0"
+    return rf"""
+WITH d AS (SELECT doc_id, coalesce(text, '') AS t FROM documents),
+f AS ({found}),
+e AS (SELECT doc_id, p, ms, gs, unnest(range(1, len(ms) + 1)) AS i FROM f),
+m AS (SELECT doc_id, p, ms[i] AS m, CAST(list_sum(list_transform(gs[1:i], lambda g: length(g))) + coalesce(list_sum(list_transform(ms[1:i - 1], lambda g: length(g))), 0) AS BIGINT) AS s, right(gs[i], {BEFORE}) AS before, left(gs[i + 1], {AFTER}) AS after,
+        regexp_replace(ms[i], '[^0-9]', '', 'g') AS n FROM e),
+g AS (SELECT *, s + length(m) AS e FROM m),
+iban AS (SELECT * REPLACE (s + size AS e) FROM (SELECT *, {lengths}[m[1:2]] AS want, want + CASE WHEN contains(m, ' ') THEN CAST(ceil(want / 4) AS INTEGER) - 1 ELSE 0 END AS size, replace(m[1:size], ' ', '') AS plain FROM g WHERE p = 'iban')
+  WHERE length(m) >= size AND length(plain) = want AND NOT regexp_matches(left(m[size + 1:] || after, 1), '{word}') AND NOT regexp_matches(right(before, 1), '{word}')
+    AND list_reduce(list_prepend(0, list_transform(string_split(array_to_string(list_transform(string_split(plain[5:] || plain[1:4], ''), lambda c: CAST(instr('0123456789{UPPER}', c) - 1 AS VARCHAR)), ''), ''), lambda c: CAST(c AS INTEGER))), lambda a, b: (a * 10 + b) % 97) = 1),
+k AS (
+  SELECT doc_id, 'email' AS kind, s, e, before, after, {BASE_SCORE["email"]} AS score, TRUE AS base FROM g WHERE p = 'email'
+  UNION ALL SELECT doc_id, 'ip', s, e, before, after, {BASE_SCORE["ip"]}, TRUE FROM g WHERE p = 'ip' AND len(list_filter(string_split(m, '.'), lambda x: length(ltrim(x, '0')) > 3 OR CAST('0' || right(x, 3) AS INTEGER) > 255)) = 0
+  UNION ALL SELECT doc_id, 'card', s, e, before, after, {BASE_SCORE["card"]}, TRUE FROM g WHERE p = 'card' AND len(n) BETWEEN 16 AND 19 AND {luhn_ok}
+  UNION ALL SELECT doc_id, 'phone', s, e, before, after, {BASE_SCORE["phone"]}, TRUE FROM g WHERE p = 'phone' AND len(n) BETWEEN 8 AND 15
+  UNION ALL SELECT doc_id, 'email', s, e, before, after, {SCORE["spelt"]}, FALSE FROM g WHERE p = 'spelt'
+  UNION ALL SELECT doc_id, 'phone', s, e, before, after, {SCORE["phone"]}, FALSE FROM g WHERE p = 'number' AND m LIKE '+%' AND len(n) BETWEEN 8 AND 15 AND {beside("[0-9+]", "[0-9]")}
+  UNION ALL SELECT doc_id, 'card', s, e, before, after, CASE WHEN len(n) > 15 THEN {SCORE["card"]} ELSE {SCORE["short card"]} END, FALSE FROM g WHERE p = 'number' AND m NOT LIKE '+%' AND len(n) BETWEEN 13 AND 19 AND {luhn_ok} AND {beside(word, word)}
+  UNION ALL SELECT doc_id, 'phone', s, e, before, after, {SCORE["local"]}, FALSE FROM g WHERE p = 'local' AND {beside("[A-Za-z0-9+.-]", dashed)}
+  UNION ALL SELECT doc_id, 'iban', s, e, before, after, {SCORE["iban"]}, FALSE FROM iban
+  UNION ALL SELECT doc_id, 'ssn', s, e, before, after, {SCORE["ssn"]}, FALSE FROM g WHERE p = 'ssn' AND {beside(dashed, dashed)} AND NOT regexp_matches(m, '^(000|666|9)') AND m[5:6] <> '00' AND m NOT LIKE '%0000'),
+scored AS (SELECT doc_id, kind, list_position({KINDS}, kind) AS o, s, e, base, least(100, greatest(0, score + CASE {raised} ELSE 0 END - CASE {lowered} ELSE 0 END)) AS score FROM k),
+added AS (SELECT *, coalesce(max(e) OVER (PARTITION BY doc_id ORDER BY s, -e, o ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS reached FROM scored WHERE NOT base AND score >= {LEAST_SCORE}),
+spans AS (
+  SELECT doc_id, kind, o, s, e, base FROM scored WHERE base
+  UNION ALL SELECT doc_id, kind, o, s, e, base FROM added a WHERE reached <= s AND NOT EXISTS (FROM scored b WHERE b.base AND b.doc_id = a.doc_id AND b.s < a.e AND a.s < b.e))
+SELECT d.doc_id, {", ".join(f"count(*) FILTER (base AND kind = '{k}') AS n_{k}" for k in KINDS[:4])},
+  sha256(coalesce(string_agg(kind || ':' || s || ':' || e, ',' ORDER BY o, s) FILTER (base), '')) AS base_sha256, coalesce(string_agg(kind || ':' || s || ':' || e, ',' ORDER BY o, s), '') AS spans
+FROM d LEFT JOIN spans USING (doc_id) GROUP BY d.doc_id"""
+
+
+SQL = _sql()

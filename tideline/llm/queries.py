@@ -25,5 +25,6 @@ ORACLES = {
     "op1_exact_dedup": exact_dedup.SQL,
     "op4_decontaminate": decontaminate.SQL,
     "op11_hard_negatives": hard_negatives.SQL,
+    "op12_pii": pii.SQL,
     "op13_merkle_manifest": merkle.SQL,
 }
