@@ -472,3 +472,28 @@ def test_hours_close_with_the_watermark(spark, tmp_path):
         make(*hours).write.mode("append").parquet(source)
         append_to(hourly_events(stream_table(spark, source, make().schema)), sink, marks).awaitTermination()
     assert sorted((r.hour.hour, r.n, r.value) for r in spark.read.parquet(sink).collect()) == [(1, 2, 3.0), (2, 1, 1.5), (3, 1, 1.5)]
+
+
+def test_strength_is_chosen_on_inner_blocks():
+    """Against plain normal equations with the bias as an unpenalised column."""
+    rng = np.random.default_rng(9)
+    x, y = rng.normal(size=(40, 3)), rng.normal(size=40)
+    x[rng.random(x.shape) < 0.2] = np.nan
+    times = np.arange(40)
+
+    def plain(train, target, now, penalty):
+        medians = np.nanmedian(train, axis=0)
+        gaps = np.isnan(train).any(axis=0)
+        full = lambda v: np.column_stack([np.where(np.isnan(v), medians, v), np.isnan(v)[:, gaps]])
+        a, b = full(train), full(now)
+        m, s = a.mean(axis=0), np.where(a.std(axis=0) > 0, a.std(axis=0), 1.0)
+        design = np.column_stack([np.ones(len(a)), (a - m) / s])
+        free = np.diag([0.0, *[penalty] * (design.shape[1] - 1)])
+        return np.column_stack([np.ones(len(b)), (b - m) / s]) @ np.linalg.solve(design.T @ design + free, design.T @ target)
+
+    for penalty in ridge.STRENGTHS:
+        assert ridge.fit_filled(x[:30], y[:30], penalty)(ridge.with_indicators(x[30:], x[:30])) == pytest.approx(plain(x[:30], y[:30], x[30:], penalty))
+    losses = {p: np.mean(np.concatenate([np.abs(plain(x[:k], y[:k], x[k : k + 10], p) - y[k : k + 10]) for k in (10, 20, 30)])) for p in ridge.STRENGTHS}
+    assert ridge.choose_strength(x, y, times, times + 0.5) == min(losses, key=losses.get)
+    with pytest.raises(ValueError):
+        ridge.choose_strength(x, y, times + 100, times)

@@ -31,7 +31,7 @@ def test_query_matches_sql(spark, small, duck, name):
     assert got == want
 
 
-FITTED = ["adaptive_window_predictions", "benchmark_ridge_predictions", "nested_cv_predictions", "sector_first_predictions", "stable_panel_predictions"]
+FITTED = ["adaptive_window_predictions", "benchmark_ridge_predictions", "nested_cv_predictions", "sector_first_predictions", "stable_panel_predictions", "strength_ridge_predictions"]
 
 
 @pytest.mark.parametrize("name", FITTED)

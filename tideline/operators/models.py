@@ -27,7 +27,8 @@ def fit_origins(rows: DataFrame, origins: DataFrame, model: str = "product_ridge
     rows: wide_rows(). origins: month, train_month (eligible_origins()). An origin's group holds one row a month, so it
     is bounded by the calendar, and groups run side by side. status: fitted, or why there is no model. Models:
     product_ridge (columns are products), sector_first (means of each sector's products), benchmark_ridge (medians,
-    indicators and leave-one-out choice; needs no inner folds).
+    indicators and leave-one-out choice; needs no inner folds), strength_ridge (medians, indicators, and a penalty chosen
+    on the inner folds).
     """
     itself = origins.select("month").distinct().withColumn("train_month", F.col("month"))
     joined = origins.select("month", "train_month").unionByName(itself).join(rows.withColumnRenamed("month", "train_month"), "train_month")
@@ -52,6 +53,10 @@ def fit_origins(rows: DataFrame, origins: DataFrame, model: str = "product_ridge
             found, penalty = ridge.fit_leave_one_out(x[train], y[train])
             return {"estimate_mom_pct": float(found(ridge.with_indicators(x[now], x[train]))[0]), "penalty": penalty, "bias": found.bias}
         public, cutoff = (frame[c].to_numpy("datetime64[ns]") for c in ("actual_published_at", "cutoff"))
+        if model == "strength_ridge":
+            penalty = ridge.choose_strength(x[train], y[train], public[train], cutoff[train])
+            found = ridge.fit_filled(x[train], y[train], penalty)
+            return {"estimate_mom_pct": float(found(ridge.with_indicators(x[now], x[train]))[0]), "penalty": penalty, "bias": found.bias}
         best = ridge.choose(x[train], y[train], public[train], cutoff[train], stable, windows)
         rows = train[-best.window :] if best.window else train
         found = ridge.fit(x[rows], y[rows], best.penalty, best.least, stable)

@@ -707,6 +707,11 @@ def benchmark_ridge_predictions(spark, sf_dir):
     return fits(spark, sf_dir, "benchmark_ridge").select(*PREDICTED)
 
 
+@query
+def strength_ridge_predictions(spark, sf_dir):
+    return fits(spark, sf_dir, "strength_ridge").select(*PREDICTED)
+
+
 @query
 def adaptive_window_predictions(spark, sf_dir):
     return fits(spark, sf_dir, windows=ridge.WINDOWS).select(*PREDICTED)
