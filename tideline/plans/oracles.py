@@ -415,9 +415,7 @@ sn AS (SELECT DISTINCT source_url || '#' || substr(content_sha256, 1, 8) AS sour
 sn AS (SELECT DISTINCT source_url || '#' || substr(content_sha256, 1, 8) AS url, release_month AS month, 'Market prices ' || release_month || ' (' || "window" || ')' AS title FROM obs)""", "SELECT url, title, 'ten_day' AS kind, month FROM sn WHERE month BETWEEN '1996-03' AND '1999-02'"),
     "release_titles": q(OBS, """SELECT DISTINCT 'Prices of goods, ' || substr(release_month, 1, 4) || '–' || CAST(CAST(substr(release_month, 6, 2) AS INTEGER) AS VARCHAR) || ' (' || replace("window", '-', '—') || ')' AS title, release_month AS month, "window" AS "window" FROM obs"""),
     "headline_changes": q(ACT, "SELECT target_month, version, CASE WHEN actual_mom_pct = 0 THEN 0.0 ELSE sign(actual_mom_pct) * CAST(printf('%.2f', abs(actual_mom_pct)) AS DOUBLE) END AS headline FROM act"),
-    "page_links": """WITH l AS (SELECT url, min(title) AS title FROM (SELECT regexp_extract(a, 'href="([^"]+)"', 1) AS url, trim(regexp_extract(a, '>([^<]*)$', 1)) AS title FROM (SELECT unnest(regexp_extract_all(html, '<a[^>]*href="[^"]+"[^>]*>[^<]*')) AS a FROM pages)) GROUP BY 1)
-SELECT 'other' AS kind, count(*) AS n FROM l HAVING count(*) > 0""",
-    "page_hosts": "SELECT page_id, regexp_extract(url, '^https?://([^/?#:]+)', 1) = 'blog.thths.example.com' AND regexp_matches(url, '^https?://[^/?#]+/') AS allowed, false AS challenge FROM pages WHERE url IS NOT NULL",
+    "page_hosts": "SELECT page_id, coalesce(regexp_extract(url, '^https?://([^/?#:]+)', 1) = 'blog.thths.example.com' AND regexp_matches(url, '^https?://[^/?#]+/'), false) AS allowed, false AS challenge FROM pages",
     "status_counts": q(OBS, ACT, FC, "SELECT 'observations' AS kind, count(*) AS n, max(release_month) AS last FROM obs UNION ALL SELECT 'actuals', count(*), max(target_month) FROM act UNION ALL SELECT 'forecasts', count(*), max(target_month) FROM fc"),
     "direct_tracker_predictions": q(*MATRICES, "SELECT month, round(100 * (exp(avg(value) / 100) - 1), 6) + 0.0 AS estimate_mom_pct, n_train, training_end FROM vals JOIN used USING (month) JOIN (SELECT month, count(*) AS n_train, max(train_month) AS training_end FROM origins GROUP BY 1 HAVING count(*) >= 24) USING (month) GROUP BY 1, 3, 4"),
     "hourly_events": "SELECT date_trunc('hour', ts) AS hour, event_type, count(*) AS n, round(sum(value), 6) + 0.0 AS value FROM events WHERE date_trunc('hour', ts) + INTERVAL 1 HOUR <= (SELECT max(ts) FROM events) - INTERVAL 2 HOURS GROUP BY 1, 2",
@@ -481,3 +479,17 @@ ranges AS (SELECT s, e, total, CAST(ceil(total / 5) AS BIGINT) AS n_pages FROM t
 """
 ORACLES["bisected_discovery"] = DISCOVERY + 'SELECT CAST(s AS VARCHAR) AS start, CAST(e AS VARCHAR) AS "end", total AS n_links, n_pages, n_pages > 4 AS alone FROM ranges'
 ORACLES["discovered_once"] = DISCOVERY + "SELECT CAST(1 AS BIGINT) AS ranges, (SELECT count(*) FROM (SELECT DISTINCT day, url FROM links)) AS n_links, (SELECT CAST(sum(n_pages) AS BIGINT) FROM ranges) AS n_pages"
+ORACLES["page_links"] = q(OBS, ACT, """
+l AS (SELECT url, min(title) AS title FROM (SELECT regexp_extract(a, 'href="([^"]+)"', 1) AS url, trim(regexp_extract(a, '>([^<]*)$', 1)) AS title FROM (SELECT unnest(regexp_extract_all(html, '<a[^>]*href="[^"]+"[^>]*>[^<]*')) AS a FROM pages)) GROUP BY 1),
+every_ AS (SELECT url, 'other' AS kind FROM l UNION SELECT source_url || '#' || substr(content_sha256, 1, 8), 'ten_day' FROM obs UNION SELECT target_month || '/' || CAST(version AS VARCHAR), 'ppi' FROM act)""",
+    "SELECT kind, count(*) AS n FROM every_ GROUP BY 1")
+ORACLES["scalar_texts"] = """
+WITH e AS (SELECT *, CAST(json_extract_string(props, '$.k') AS INTEGER) AS k FROM events)
+SELECT event_id, event_id % 5 = 0 AS is_month, strftime(ts, '%B %Y') AS month_name, strftime(ts + INTERVAL 8 HOUR, '%Y-%m') AS publisher_month,
+  CASE WHEN k % 7 <> 0 AND k % 11 <> 0 AND k % 13 <> 0 THEN value END AS number FROM e"""
+SAVED_ROWS = "SELECT target_month, vintage, model_key, CASE WHEN NOT (model_key = 'boosting' AND CAST(substr(target_month, 6, 2) AS INTEGER) % 2 = 0) THEN round(estimate_mom_pct, 6) + 0.0 END AS estimate_mom_pct FROM fc"
+ORACLES["csv_roundtrip"] = ORACLES["forecast_tree"] = q(ACT, FC, SAVED_ROWS)
+ORACLES["write_once_batches"] = q(ACT, FC, """
+n AS (SELECT count(*) FILTER (target_month < '1998-01') AS a, count(*) FILTER (target_month BETWEEN '1998-01' AND '1999-12') AS b, count(*) FILTER (target_month <= '1999-12') AS n_stored, round(sum(estimate_mom_pct) FILTER (target_month <= '1999-12'), 6) + 0.0 AS total FROM fc)""",
+    "SELECT unnest([0, 1, 2, 3]) AS batch, unnest([a, b, 0, 0]) AS n_new, n_stored, total FROM n")
+ORACLES["stored_vintages"] = q(*MATRICES, LNG, "SELECT month, count(*) AS n, CAST(sum(CAST(round(value * 1000000) AS BIGINT)) AS BIGINT) AS total, TRUE AS written, FALSE AS again FROM lng GROUP BY 1")

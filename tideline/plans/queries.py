@@ -661,14 +661,18 @@ def headline_changes(spark, sf_dir):
 
 @query
 def page_links(spark, sf_dir):
-    links = ingest.discovered_links(proxy.table(spark, sf_dir, "pages"))
+    """Links of all kinds: of the raw pages, of an index of the releases, and of the headlines' pages."""
+    link = lambda url, title: F.concat(F.lit('<a href="'), url, F.lit('">'), title, F.lit("</a>"))
+    released = release_pages(spark, sf_dir).select(link(F.col("source_url"), F.col("title")).alias("html"))
+    rates = headlines(spark, sf_dir).select(link(F.concat_ws("/", F.lit("https://stats.example.org/ppi"), "target_month", F.col("version").cast("string")), F.col("text")).alias("html"))
+    links = ingest.discovered_links(proxy.table(spark, sf_dir, "pages").select("html").unionByName(released).unionByName(rates))
     return links.groupBy("kind").agg(F.count("*").alias("n"))
 
 
 @query
 def page_hosts(spark, sf_dir):
     url = F.col("url")
-    pages = proxy.table(spark, sf_dir, "pages").where("url is not null")
+    pages = proxy.table(spark, sf_dir, "pages")
     return pages.select("page_id", rel.allowed_url(url, "blog.thths.example.com", "/").alias("allowed"), ingest.is_challenge(F.col("html")).alias("challenge"))
 
 
@@ -1077,3 +1081,60 @@ def discovered_once(spark, sf_dir):
     held = links.join(ranges, (F.col("day") >= F.col("start")) & (F.col("day") <= F.col("end")), "left").groupBy("day", "url").agg(F.count("start").alias("ranges"))
     pages = discovery.fetch_plan(ranges).agg(F.count("*").alias("n_pages"))
     return held.groupBy("ranges").agg(F.count("*").alias("n_links")).join(pages).select("ranges", "n_links", "n_pages")
+
+
+@query
+def scalar_texts(spark, sf_dir):
+    """Month literals that are valid or not, names of months, the publisher's month, and numbers that JSON can hold."""
+    number, turn = F.get_json_object("props", "$.k").cast("int"), F.col("event_id") % 5
+    text = F.when(turn == 0, F.date_format("ts", "yyyy-MM")).when(turn == 1, "2024-13").when(turn == 2, "24-1").when(turn == 3, " 2024-01")
+    value = F.when(number % 7 == 0, float("nan")).when(number % 11 == 0, float("inf")).when(number % 13 == 0, float("-inf")).otherwise(F.col("value"))
+    rows = proxy.table(spark, sf_dir, "events").select("event_id", "ts", text.alias("text"), value.alias("number"))
+    month = F.date_format("ts", "yyyy-MM")
+    return rows.select("event_id", F.coalesce(rel.is_month(F.col("text")), F.lit(False)).alias("is_month"), rel.month_name(month).alias("month_name"), rel.default_month(F.col("ts")).alias("publisher_month"), rel.json_safe(F.col("number")).alias("number"))
+
+
+def saved_rows(spark, sf_dir) -> DataFrame:
+    """Saved forecasts, one in five without an estimate."""
+    lost = (F.col("model_key") == "boosting") & (F.substring("target_month", 6, 2).cast("int") % 2 == 0)
+    return proxy.forecasts(spark, sf_dir).select("target_month", "vintage", "model_key", F.when(~lost, F.col("estimate_mom_pct")).alias("estimate_mom_pct"))
+
+
+@query
+def csv_roundtrip(spark, sf_dir):
+    """Written as text, read back as strings with the empty one missing, and typed."""
+    where = files.run_path(spark, "csv")
+    saved_rows(spark, sf_dir).write.option("header", True).csv(where)
+    return rounded(files.typed(files.read_strings(spark, where, ["target_month", "vintage", "model_key", "estimate_mom_pct"]), {"estimate_mom_pct": "double"}), "estimate_mom_pct")
+
+
+@query
+def forecast_tree(spark, sf_dir):
+    """Written as a tree of JSON files by month and model, and read back in one scan."""
+    where = files.run_path(spark, "tree")
+    held = saved_rows(spark, sf_dir).withColumns({"m": F.col("target_month"), "k": F.col("model_key")})
+    held.repartition(8, "m").write.partitionBy("m", "k").option("maxRecordsPerFile", 1).json(where)  # one forecast a file
+    found = files.read_forecast_tree(spark, where, "target_month string, vintage string, model_key string, estimate_mom_pct double", "*.json")
+    return rounded(found, "estimate_mom_pct")
+
+
+@query
+def write_once_batches(spark, sf_dir):
+    """How many rows each of four batches added to a table that takes each key once; the last two repeat others."""
+    where = files.run_path(spark, "once")
+    rows = proxy.forecasts(spark, sf_dir).select("target_month", "vintage", "model_key", "estimate_mom_pct")
+    month = F.col("target_month")
+    batches = [rows.where(month < "1998-01"), rows.where(month.between("1997-06", "1999-12")), rows.where(month.between("1997-06", "1999-12")), rows.where(month < "1999-01")]
+    added = [(k, files.write_once(b, where, ["target_month", "vintage", "model_key"], "estimate_mom_pct")) for k, b in enumerate(batches)]
+    return spark.createDataFrame(added, "batch long, n_new long").join(spark.read.schema(rows.schema).parquet(where).agg(F.count("*").alias("n_stored"), r6(F.sum("estimate_mom_pct")).alias("total")))
+
+
+@query
+def stored_vintages(spark, sf_dir):
+    """The features of each year stored as one vintage, all tables or none; storing them again changes nothing."""
+    root = files.run_path(spark, "vintages")
+    long = files.stored(long_matrix(spark, sf_dir).select("month", "product_name", F.round(F.col("value") * 1_000_000).cast("long").alias("millionths")), "vintage-values")
+    months = long.groupBy("month").agg(F.count("*").alias("n"))
+    first = [files.write_vintage(root, "all", {"values": long, "months": months}) for _ in range(2)]
+    held = spark.read.schema(long.schema).parquet(f"{root}/key=all/values").groupBy("month").agg(F.sum("millionths").alias("total"))
+    return held.join(spark.read.schema(months.schema).parquet(f"{root}/key=all/months"), "month").select("month", "n", "total", F.lit(first[0]).alias("written"), F.lit(first[1]).alias("again"))

@@ -40,9 +40,9 @@ def read_strings(spark: SparkSession, path: str, columns: list[str]) -> DataFram
     return found.select(*(F.nullif(F.col(f"`{c}`"), F.lit("")).alias(c) for c in columns))
 
 
-def read_forecast_tree(spark: SparkSession, root: str, schema) -> DataFrame:
+def read_forecast_tree(spark: SparkSession, root: str, schema, name: str = "forecast.json") -> DataFrame:
     """Saved forecasts of a <root>/<month>/<model>/forecast.json tree, read in parallel with a fixed schema."""
-    return spark.read.schema(schema).option("multiLine", True).json(f"{root}/*/*/forecast.json")
+    return spark.read.schema(schema).option("multiLine", True).json(f"{root}/*/*/{name}")
 
 
 def typed(df: DataFrame, kinds: dict[str, str]) -> DataFrame:
