@@ -52,6 +52,18 @@ def test_matches_brute_force(odd_vectors, rows, anchors):
     assert got(hard_negatives(odd_vectors, rows=rows, anchor_rows=anchors)) == brute(rows_of(odd_vectors))
 
 
+def test_both_sides_of_a_block_meet_in_one_of_many_partitions(spark, odd_vectors):
+    conf = {"spark.sql.shuffle.partitions": "7", "spark.sql.adaptive.coalescePartitions.enabled": "false"}
+    before = {k: spark.conf.get(k) for k in conf}
+    try:
+        for k, v in conf.items():
+            spark.conf.set(k, v)
+        assert got(hard_negatives(odd_vectors, rows=40, anchor_rows=3)) == brute(rows_of(odd_vectors))
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+
+
 def test_scores_beyond_doubles_are_exact(spark):
     rows = [(50 * k, [float(2**22 + k), float(2**21 - k)], k % 2) for k in range(8)] + [(k + 1000, [float(2**21 + 3 * k), float(2**21 + k)], k % 2) for k in range(9)]
     df = spark.createDataFrame([(*r, "x", "y") for r in rows], SCHEMA.replace("float", "double"))

@@ -185,7 +185,7 @@ def negatives_in(left: pa.Table, right: pa.Table) -> pa.Table:
         bounds = [min((b[3] for b in x), default=math.inf) for x in bands]
         for i, rows, scores in verified(bucket, anchors, norms, bounds):
             rows = np.arange(rows.stop) if isinstance(rows, slice) else rows
-            keep = (bucket.label[rows] != labels[i]) & (scores >= bounds[i]) & (scores <= max(b[4] for b in bands[i]))
+            keep = (bucket.label[rows] != labels[i]) & (scores >= bounds[i]) & (scores <= max((b[4] for b in bands[i]), default=0))
             rows, scores = rows[keep], scores[keep]
             order = best_first(bucket, rows, scores)
             rows, falling = rows[order], -scores[order]
@@ -203,7 +203,7 @@ def meet(anchors: DataFrame, bucketed: DataFrame, longest: DataFrame, bound: Col
     """
     reach = F.col("to.norm") * F.col("a_norm") * (1 + SLACK) >= F.coalesce(bound.cast("double"), F.lit(-math.inf))
     own = (F.col("to.k") == 0) if pilot else (F.col("to.k") > 0)
-    part = F.pmod(F.xxhash64("a_rid"), F.lit(parts)).alias("part")
+    part = F.pmod(F.xxhash64("a_rid"), F.lit(parts)).cast("int").alias("part")  # of the type it has on the other side, or equal keys are dealt to different tasks
     sent = anchors.withColumn("one", F.lit(1)).join(F.broadcast(longest), "one").withColumn("to", F.explode("buckets"))  # one row: two numbers a bucket
     sent = sent.where(own & reach).select("*", part, F.col("to.bucket").alias("bucket")).drop("one", "buckets", "to")
     rows = bucketed.withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(parts - 1))))
