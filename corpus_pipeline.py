@@ -10,7 +10,7 @@ from tideline.llm.decontaminate import drop_contaminated
 from tideline.llm.exact_dedup import drop_copies
 from tideline.llm.jaccard_join import one_of_each_class
 from tideline.llm.quality import keep_good
-from tideline.llm.sentence_pieces import decode, encode
+from tideline.llm.sentence_pieces import encode_and_decode
 
 
 def good_documents(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -35,7 +35,7 @@ def clean_documents(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 def piece_ids(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """doc_id, ids, n_pieces, and whether the ids spell the text."""
-    found = decode(encode(docs))
+    found = encode_and_decode(docs)
     return found.select("doc_id", "ids", F.size("ids").cast("long").alias("n_pieces"), (F.sha2("text", 256) == F.col("text_sha256")).alias("round_trip"))
 
 

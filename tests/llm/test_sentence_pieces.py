@@ -4,7 +4,8 @@ import sentencepiece
 from sentencepiece import sentencepiece_model_pb2
 
 from tideline.llm import sentence_pieces
-from tideline.llm.sentence_pieces import Encoder, decode, encode
+from tideline.llm.common import kept
+from tideline.llm.sentence_pieces import Encoder, decode, encode, encode_and_decode, encoder_of
 
 MODEL = public_tokenizers.path("piece_bpe_32k.model")
 
@@ -49,3 +50,21 @@ def test_texts_come_back(docs, odd, none):
         rows = sorted((str(r.doc_id), r.text or "") for r in df.select("doc_id", "text").collect())
         got = sorted((str(r.doc_id), r.text) for r in decode(encode(df)).collect())
         assert got == [(d, t.replace("▁", " ")) for d, t in rows]
+
+
+def test_both_ways_at_once_and_null_ids(spark, docs, odd, none):
+    rows = lambda df: sorted(map(str, df.collect()))
+    for df in (docs, odd, none):
+        found = encode_and_decode(df)
+        assert str(found._jdf.queryExecution().executedPlan()).count("MapInArrow") == 1
+        assert rows(found) == rows(decode(encode(df)))
+    some = spark.createDataFrame([(1, "x", None), (2, "y", [5, 6]), (3, "z", []), (4, "w", [7])], "doc_id long, text_sha256 string, ids array<int>").coalesce(1)
+    pieces = Encoder(MODEL).pieces
+    assert [r.text for r in decode(some).orderBy("doc_id").collect()] == ["", pieces.text([5, 6]), "", pieces.text([7])]
+
+
+def test_another_operator_drops_the_words():
+    encoder = encoder_of(MODEL)
+    assert encoder_of(MODEL) is encoder
+    kept("quality")
+    assert encoder_of(MODEL) is not encoder

@@ -22,6 +22,16 @@ def shared_dir(spark: SparkSession) -> str:
     return found.rstrip("/")
 
 
+_kept: dict[str, dict] = {}
+
+
+def kept(owner: str) -> dict:
+    """What a Python worker keeps between the tasks of one operator. Workers outlive it, so the next operator's tasks drop it."""
+    for name in [n for n in _kept if n != owner]:
+        del _kept[name]
+    return _kept.setdefault(owner, {})
+
+
 class Scratch:
     """Tables and files of one operator run, written to the shared folder so that no later read depends on an executor."""
 

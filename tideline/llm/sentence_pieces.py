@@ -4,13 +4,15 @@ from __future__ import annotations
 
 import re
 from collections import defaultdict
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tideline.llm.common import documents
+from tideline.llm.common import documents, kept
 
 SPACE = "▁"
 BASE = np.uint64(0x100000001B3)
@@ -189,13 +191,12 @@ class Encoder:
         return out
 
 
-_encoders: dict[str, Encoder] = {}
-
-
 def encoder_of(model_path: str) -> Encoder:
-    if model_path not in _encoders:
-        _encoders[model_path] = Encoder(model_path)
-    return _encoders[model_path]
+    """One encoder a Python worker, as long as it runs tasks of this operator."""
+    found = kept("sentence-pieces")
+    if model_path not in found:
+        found[model_path] = Encoder(model_path)
+    return found[model_path]
 
 
 def default_model() -> str:
@@ -204,14 +205,11 @@ def default_model() -> str:
     return public_tokenizers.path("piece_bpe_32k.model")
 
 
-def encode(docs: DataFrame, model_path: str | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, text_sha256, ids: of each whole text the pieces with the greatest sum of scores.
+ENCODED = "doc_id long, text_sha256 string, ids array<int>"
+DECODED = f"{ENCODED}, text string"
 
-    Unknown characters become byte pieces. A null text counts as empty and has no ids; repeated rows repeat; other
-    columns are not read. model_path must be readable where the tasks run.
-    """
-    path = model_path or default_model()
 
+def encoding(path: str) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     def run(batches):
         encoder = encoder_of(path)
         for batch in batches:
@@ -222,9 +220,35 @@ def encode(docs: DataFrame, model_path: str | None = None, id_col: str = "doc_id
                 ends = np.cumsum([0, *(len(x) // 4 for x in found)])
                 yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(ids, pa.int32()))], ["doc_id", "text_sha256", "ids"])
 
+    return run
+
+
+def decoding(path: str) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    def run(batches):
+        pieces = encoder_of(path).pieces
+        for batch in batches:
+            for k in range(0, batch.num_rows, 200):
+                part = batch.slice(k, 200)
+                ids = part.column(2).flatten().to_numpy(zero_copy_only=False).tolist()
+                ends = [0, *np.cumsum(pc.list_value_length(part.column(2)).fill_null(0).to_numpy(zero_copy_only=False)).tolist()]
+                texts = [pieces.text(ids[a:b]) for a, b in zip(ends, ends[1:])]
+                yield pa.RecordBatch.from_arrays([*(part.column(c) for c in range(3)), pa.array(texts, pa.string())], ["doc_id", "text_sha256", "ids", "text"])
+
+    return run
+
+
+def digested(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.sha2(text, 256).alias("text_sha256"), text.alias("text"))
-    return rows.mapInArrow(run, "doc_id long, text_sha256 string, ids array<int>")
+    return docs.select(F.col(id_col).cast("long").alias("doc_id"), F.sha2(text, 256).alias("text_sha256"), text.alias("text"))
+
+
+def encode(docs: DataFrame, model_path: str | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """doc_id, text_sha256, ids: of each whole text the pieces with the greatest sum of scores.
+
+    Unknown characters become byte pieces. A null text counts as empty and has no ids; repeated rows repeat; other
+    columns are not read. model_path must be readable where the tasks run.
+    """
+    return digested(docs, id_col, text_col).mapInArrow(encoding(model_path or default_model()), ENCODED)
 
 
 def decode(encoded: DataFrame, model_path: str | None = None) -> DataFrame:
@@ -232,19 +256,16 @@ def decode(encoded: DataFrame, model_path: str | None = None) -> DataFrame:
 
     The mark U+2581 stands for a space in this format, so a text that has the mark itself comes back with spaces.
     """
-    path = model_path or default_model()
+    return encoded.select("doc_id", "text_sha256", "ids").mapInArrow(decoding(model_path or default_model()), DECODED)
 
-    def run(batches):
-        pieces = encoder_of(path).pieces
-        for batch in batches:
-            for k in range(0, batch.num_rows, 200):
-                part = batch.slice(k, 200)
-                texts = [pieces.text(ids or []) for ids in part.column(2).to_pylist()]
-                yield pa.RecordBatch.from_arrays([*(part.column(c) for c in range(3)), pa.array(texts, pa.string())], ["doc_id", "text_sha256", "ids", "text"])
 
-    return encoded.select("doc_id", "text_sha256", "ids").mapInArrow(run, "doc_id long, text_sha256 string, ids array<int>, text string")
+def encode_and_decode(docs: DataFrame, model_path: str | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """decode(encode(docs)) in one Python worker a task, so that an executor holds half as many encoders."""
+    path = model_path or default_model()
+    ahead, back = encoding(path), decoding(path)
+    return digested(docs, id_col, text_col).mapInArrow(lambda batches: back(ahead(batches)), DECODED)
 
 
 def op3_sentence_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = decode(encode(documents(spark, sf_dir)))
+    found = encode_and_decode(documents(spark, sf_dir))
     return found.select("doc_id", F.size("ids").cast("long").alias("n_pieces"), F.xxhash64("ids").alias("ids_xxhash64"), F.sha2("text", 256).alias("decoded_sha256"), (F.sha2("text", 256) == F.col("text_sha256")).alias("round_trip"))
