@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tideline.llm.common import HEAVY, Scratch, documents, heavy_join, text_rows
+from tideline.llm.common import HEAVY, Scratch, documents, heavy_join, kept, text_rows
 from tideline.llm.components import connected_components
 
 WORDS = 5
@@ -102,6 +102,7 @@ def signatures(docs: DataFrame, bands: int, rows: int, words: int = WORDS) -> Da
     signer = Signer(bands, rows)
 
     def sign(batches: Iterator[pa.RecordBatch]):
+        kept("jaccard-join")
         for batch in batches:
             for k in range(0, batch.num_rows, 1000):
                 part = batch.slice(k, 1000)
@@ -240,6 +241,7 @@ def jaccard_join(docs: DataFrame, words: int = WORDS, similarity: float = SIMILA
             yield a, b, assigned(sig[a:b], size[a:b], block[a:b], int(band[a]), int(i[a]), int(j[a]), similarity)
 
     def needed(batches):
+        kept("jaccard-join")
         for table, starts in whole_groups(batches, at):
             keep = np.zeros(len(table), bool)
             for a, _, (left, right, pairs) in groups(table, starts):
@@ -256,6 +258,7 @@ def jaccard_join(docs: DataFrame, words: int = WORDS, similarity: float = SIMILA
     fetched = held.alias("held").join(compared.alias("compared"), same).select("compared.d1", "compared.d2", "compared.copies", "held.text")
 
     def compare(batches):
+        kept("jaccard-join")
         known: dict[tuple[int, int], np.ndarray] = {}  # gram sets of this batch's texts; a text can be in several buckets
         for table, starts in whole_groups(batches, at):
             d1, d2 = table.column("d1").to_numpy(), table.column("d2").to_numpy()

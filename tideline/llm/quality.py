@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tideline.llm.common import Scratch, documents, heavy_join
+from tideline.llm.common import Scratch, documents, heavy_join, kept
 
 SAMPLE = 20_000  # labelled documents, about so many of them by their hash, on which the document classifier is fitted
 RIDGE = 1.0
@@ -82,6 +82,7 @@ def featured(docs: DataFrame, host: Column, path: Column) -> DataFrame:
     """doc_id, key (of the text), host, path, x."""
 
     def take(batches):
+        kept("quality")
         for batch in batches:
             for k in range(0, batch.num_rows, 1000):
                 part = batch.slice(k, 1000)
