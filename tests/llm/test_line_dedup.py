@@ -90,3 +90,28 @@ def test_query_drops_every_equal_line(spark, small):
             assert not words or str(k) in dropped[r.doc_id] or words not in seen
             assert 0 == len(words) or len(words) >= 5 or (str(k) in dropped[r.doc_id]) == (words in seen)
             seen.add(words)
+
+
+def test_texts_are_hashed_together(monkeypatch):
+    """The calls that hash a batch do not grow with its texts and lines, and a text's lines do not depend on its neighbours."""
+    import pyarrow as pa
+
+    from tideline.llm import line_dedup as module
+
+    texts = ["", "\n\n a b c d e f\n", "ΟΔΟΣ", "\n", "no end", *(f"one line of {k} words here\nand another\n" + " ".join(f"w{k + j}" for j in range(20 + k % 3)) for k in range(200)), "", "é ▁ \x00 x\ty\n"]
+
+    def found(texts):
+        batch = pa.RecordBatch.from_arrays([*(pa.array(range(len(texts)), pa.int64()) for _ in range(3)), pa.array(texts, pa.string())], ["rid", "doc_id", "key", "text"])
+        return pa.Table.from_batches(module.hashed_lines([batch], 5, 16)).to_pylist()
+
+    calls = []
+    mixed = module.mixed
+    monkeypatch.setattr(module, "mixed", lambda x: calls.append(1) or mixed(x))
+    together = found(texts)
+    assert len(calls) < 30
+    alone = [found([t])[0] for t in texts]
+    assert [(r["n_lines"], r["items"]) for r in together] == [(r["n_lines"], r["items"]) for r in alone]
+    as_set = lambda rows: {(x["d1"], x["words"], x["start"], tuple(x["variants"])) for r in rows for x in r["near"]}
+    assert as_set(together) == as_set(alone)
+    monkeypatch.setattr(module, "BLOCK", 300)
+    assert [(r["n_lines"], r["items"]) for r in found(texts)] == [(r["n_lines"], r["items"]) for r in alone]

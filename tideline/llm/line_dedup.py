@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -13,6 +14,7 @@ from tideline.llm.jaccard_join import _powers, mixed
 
 WORDS = 5  # lines of fewer words are alike only if equal
 SHORT = 16  # lines of up to so many words emit all variants; longer ones only if they share a half with a line of near length
+BLOCK = 1 << 20  # bytes of text that are hashed together
 LENGTH = np.uint64(0xD6E8FEB86659FD93)
 _table: list[tuple[np.ndarray, np.ndarray]] = []
 
@@ -23,35 +25,52 @@ def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     return _table[0]
 
 
-def word_hashes(text: str) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(hash of each lower-cased word, line number of each word, how many lines)."""
-    data = np.frombuffer(text.lower().encode("utf-8", "surrogatepass"), np.uint8)
+def word_hashes(text: str) -> tuple[np.ndarray, np.ndarray]:
+    """(hash of each lower-cased word, line number of each word)."""
+    data = np.frombuffer(f"\n{text.lower()}\n".encode("utf-8", "surrogatepass"), np.uint8)  # begins and ends outside of words
     up, down = powers(len(data) + 1)
     solid = ~((data == 32) | ((data >= 9) & (data <= 13)))
-    edge = np.flatnonzero(np.diff(np.concatenate([[False], solid, [False]]).view(np.int8)))
+    edge = np.flatnonzero(solid[1:] != solid[:-1]) + 1
     starts, ends = edge[::2], edge[1::2]
-    sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum((data.astype(np.uint64) + np.uint64(1)) * up[: len(data)], dtype=np.uint64)])
-    lines = np.concatenate([[0], np.cumsum(data == 10)])
-    return mixed((sums[ends] - sums[starts]) * down[starts] + (ends - starts).astype(np.uint64)), lines[starts], int(lines[-1]) + 1 if len(data) else 0
+    sums = np.zeros(len(data) + 1, np.uint64)
+    np.cumsum((data.astype(np.uint64) + np.uint64(1)) * up[: len(data)], out=sums[1:])
+    return mixed((sums[ends] - sums[starts]) * down[starts] + (ends - starts).astype(np.uint64)), np.cumsum(data == 10, dtype=np.int32)[starts] - 1
+
+
+def counted(first: np.ndarray, n: np.ndarray) -> np.ndarray:
+    """first[0], first[0] + 1, .., n[0] of them, then those of first[1], and so on."""
+    return np.arange(n.sum()) + np.repeat(first - np.cumsum(n) + n, n)
+
+
+def offsets(n: np.ndarray) -> pa.Array:
+    return pa.array(np.concatenate([[0], np.cumsum(n)]), pa.int32())
 
 
 class Lines:
-    """The lines of a text, and hashes of any run of their words: equal runs of words have equal hashes."""
+    """The lines with words of some texts, hashed together, and hashes of any run of their words: equal runs have equal hashes."""
 
-    def __init__(self, text: str):
-        self.hashes, at, self.total = word_hashes(text)
+    def __init__(self, texts: list[str]):
+        self.hashes, at = word_hashes("\n".join(texts))  # \n bounds words and the letters that lower-casing looks at
+        self.total = np.array([t.count("\n") + 1 if t else 0 for t in texts], np.int64)
         up, self.down = powers(len(self.hashes) + 2)
-        self.sums = np.concatenate([np.zeros(1, np.uint64), np.cumsum(self.hashes * up[: len(self.hashes)], dtype=np.uint64)])
-        self.numbers, self.first, self.n = np.unique(at, return_index=True, return_counts=True)
+        self.sums = np.zeros(len(self.hashes) + 1, np.uint64)
+        np.cumsum(self.hashes * up[: len(self.hashes)], out=self.sums[1:])
+        self.first = np.flatnonzero(np.concatenate([[True] * (len(at) > 0), at[1:] != at[:-1]]))
+        self.n = np.diff(self.first, append=len(at))
+        taken = np.maximum(self.total, 1)  # an empty text is an empty line between its neighbours
+        begins = np.cumsum(taken) - taken
+        self.text = np.searchsorted(begins, at[self.first], "right") - 1
+        self.numbers = at[self.first] - begins[self.text]
+        self.size = np.bincount(self.text, minlength=len(texts))
+        self.d1 = self.run(self.first, self.n)
 
     def run(self, first: np.ndarray, n: np.ndarray, salt: np.ndarray | int = 0) -> np.ndarray:
         value = (self.sums[first + n] - self.sums[first]) * self.down[first]
         return mixed(value + n.astype(np.uint64) * LENGTH + np.asarray(salt, np.uint64))
 
-    def digests(self) -> tuple[np.ndarray, np.ndarray]:
-        """Two hashes of each line, of all its words."""
-        d1 = self.run(self.first, self.n)
-        return d1, mixed(d1 ^ mixed(self.run(self.first, self.n - 1) + self.hashes[self.first + self.n - 1])) if len(d1) else d1
+    def second(self) -> np.ndarray:
+        """Another hash of each line, of all its words."""
+        return mixed(self.d1 ^ mixed(self.run(self.first, self.n - 1) + self.hashes[self.first + self.n - 1]))
 
     def halves(self, some: np.ndarray) -> np.ndarray:
         """Four hashes for each of some lines.
@@ -65,83 +84,82 @@ class Lines:
             out += [self.run(first, p, salt + np.uint64(1)), self.run(first + n - p, p, salt + np.uint64(2))]
         return np.column_stack(out)
 
-    def words(self, k: int) -> bytes:
-        return self.hashes[self.first[k] : self.first[k] + self.n[k]].tobytes()
-
-    def places(self, k: int, prefix: bool, suffix: bool) -> tuple[int, int]:
-        """(from, to): where an edit of line k may lie beside a line that shares its first or its last half."""
-        n = int(self.n[k])
+    def places(self, some: np.ndarray, prefix: np.ndarray, suffix: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(from, to): where an edit of a line may lie beside a line that shares its first or its last half."""
+        n = self.n[some]
         half = (n - 2) // 2
-        return (0 if suffix else half), (n if prefix else n - half)
-
-    def variants(self, k: int, low: int = 0, high: int | None = None) -> np.ndarray:
-        """The hash of line k without its word low, low + 1, ..: what run() gives for the line that is left."""
-        first, n = int(self.first[k]), int(self.n[k])
-        at = np.arange(low, n if high is None else high)
-        before = (self.sums[first + at] - self.sums[first]) * self.down[first]
-        after = (self.sums[first + n] - self.sums[first + at + 1]) * self.down[first + 1]
-        return mixed(before + after + np.array([n - 1], np.uint64) * LENGTH)
+        return np.where(suffix, 0, half), np.where(prefix, n, n - half)
+
+    def near(self, some: np.ndarray, low: np.ndarray, high: np.ndarray) -> list[pa.Array]:
+        """The columns of NEAR for some lines. A variant is the line without its word low, low + 1, .. below high: its hash
+        is what run() gives for the line that is left."""
+        first, n, many = self.first[some], self.n[some], high - low
+        words = self.hashes[counted(first, n)]
+        out = counted(first + low, many)
+        first, n = np.repeat(first, many), np.repeat(n, many)
+        before = (self.sums[out] - self.sums[first]) * self.down[first]
+        after = (self.sums[first + n] - self.sums[out + 1]) * self.down[first + 1]
+        variants = pa.array(mixed(before + after + (n - 1).astype(np.uint64) * LENGTH).view(np.int64))
+        binary = pa.Array.from_buffers(pa.binary(), len(some), [None, offsets(8 * self.n[some]).buffers()[1], pa.py_buffer(words)])
+        return [pa.array(self.d1[some].view(np.int64)), binary, pa.array(low, pa.int32()), pa.ListArray.from_arrays(offsets(many), variants)]
 
 
 NEAR = "d1 long, words binary, start int, variants array<long>"
-NEAR_TYPE = pa.list_(pa.struct([("d1", pa.int64()), ("words", pa.binary()), ("start", pa.int32()), ("variants", pa.list_(pa.int64()))]))
+NEAR_NAMES = ["d1", "words", "start", "variants"]
+
+
+def blocks(batches, column: int):
+    """Slices of batches with up to BLOCK bytes of text, or with one longer text."""
+    for batch in batches:
+        ends, k = np.cumsum(pc.binary_length(batch.column(column)), dtype=np.int64), 0
+        while k < batch.num_rows:
+            past = max(k + 1, int(np.searchsorted(ends, BLOCK + (ends[k - 1] if k else 0), "right")))
+            yield batch.slice(k, past - k)
+            k = past
+
+
+def hashed_lines(batches, words: int, short: int):
+    """Batches of line_table: rid, doc_id, key and text become what is known of the text's lines."""
+    for part in blocks(batches, 3):
+        lines = Lines(part.column(3).to_pylist())
+        long = lines.n >= short  # the longest short lines have longer partners
+        half = pa.ListArray.from_arrays(offsets(np.where(long, 4, 0)), pa.array(lines.halves(long).ravel().view(np.int64)))
+        columns = [pa.array(lines.numbers, pa.int32()), pa.array(lines.d1.view(np.int64)), pa.array(lines.second().view(np.int64)), half]
+        items = pa.ListArray.from_arrays(offsets(lines.size), pa.StructArray.from_arrays(columns, ["line", "d1", "d2", "half"]))
+        some = np.flatnonzero((lines.n <= short) & (lines.n >= words))
+        some = np.sort(some[np.unique(lines.d1[some], return_index=True)[1]])  # one of a block's equal lines
+        structs = pa.StructArray.from_arrays(lines.near(some, np.zeros_like(some), lines.n[some]), NEAR_NAMES)
+        near = pa.ListArray.from_arrays(offsets(np.bincount(lines.text[some], minlength=part.num_rows)), structs)
+        yield pa.RecordBatch.from_arrays([*(part.column(c) for c in range(3)), pa.array(lines.total), items, near], ["rid", "doc_id", "key", "n_lines", "items", "near"])
 
 
 def line_table(docs: DataFrame, words: int, short: int) -> DataFrame:
-    """rid, doc_id, key (of the text), n_lines; items: number, digests and, of lines of `short` words or more, half hashes; near: digest, words and variants of lines of `words` to `short` words."""
+    """rid, doc_id, key (of the text), n_lines; items: number, digests and, of lines of `short` words or more, half hashes; near: digest, words and variants of lines of `words` to `short` words (of equal lines of neighbouring texts, one at least)."""
+    rows = text_rows(docs).select(F.monotonically_increasing_id().alias("rid"), "doc_id", F.xxhash64("text").alias("key"), "text")
+    return rows.mapInArrow(lambda batches: hashed_lines(batches, words, short), f"rid long, doc_id long, key long, n_lines long, items array<struct<line:int,d1:long,d2:long,half:array<long>>>, near array<struct<d1:long,words:binary,start:int,variants:array<long>>>")
 
-    def take(batches):
-        for batch in batches:
-            for k in range(0, batch.num_rows, 500):
-                part = batch.slice(k, 500)
-                total, size, number, d1, d2, half, halves, near = [], [], [], [], [], [], [], []
-                for text in part.column(3).to_pylist():
-                    lines = Lines(text)
-                    total.append(lines.total)
-                    size.append(len(lines.n))
-                    number.append(lines.numbers)
-                    own = lines.digests()
-                    d1.append(own[0])
-                    d2.append(own[1])
-                    long = lines.n >= short  # the longest short lines have longer partners
-                    half.append(lines.halves(long).ravel())
-                    halves.append(np.where(long, 4, 0))
-                    some = np.flatnonzero((lines.n <= short) & (lines.n >= words))
-                    some = some[np.unique(own[0][some], return_index=True)[1]]
-                    near.append([{"d1": int(own[0][i].view(np.int64)), "words": lines.words(i), "start": 0, "variants": lines.variants(i).view(np.int64)} for i in some.tolist()])
-                ends = pa.array(np.cumsum([0, *size]), pa.int32())
-                half_list = pa.ListArray.from_arrays(pa.array(np.cumsum([0, *np.concatenate(halves)]), pa.int32()), pa.array(np.concatenate(half).view(np.int64)))
-                parts = [pa.array(np.concatenate(number).astype(np.int32)), pa.array(np.concatenate(d1).view(np.int64)), pa.array(np.concatenate(d2).view(np.int64)), half_list]
-                items = pa.ListArray.from_arrays(ends, pa.StructArray.from_arrays(parts, ["line", "d1", "d2", "half"]))
-                yield pa.RecordBatch.from_arrays([*(part.column(c) for c in range(3)), pa.array(total, pa.int64()), items, pa.array(near, NEAR_TYPE)], ["rid", "doc_id", "key", "n_lines", "items", "near"])
 
-    rows = text_rows(docs).select(F.monotonically_increasing_id().alias("rid"), "doc_id", F.xxhash64("text").alias("key"), "text")
-    return rows.mapInArrow(take, f"rid long, doc_id long, key long, n_lines long, items array<struct<line:int,d1:long,d2:long,half:array<long>>>, near array<struct<d1:long,words:binary,start:int,variants:array<long>>>")
+def chosen_words(batches):
+    """Batches of NEAR from text and lines. Only the wanted lines are hashed."""
+    for part in blocks(batches, 0):
+        x = part.column(1).flatten()
+        at, kept = x.field("line").to_numpy(), []
+        ends = np.cumsum(pc.list_value_length(part.column(1)))
+        for text, numbers in zip(part.column(0).to_pylist(), np.split(at, ends[:-1])):
+            every = text.split("\n")
+            kept += [every[i] for i in numbers.tolist()]
+        lines = Lines(kept)  # each has words, so they are lines 0, 1, ..
+        some = np.arange(len(kept))
+        low, high = lines.places(some, *(x.field(c).to_numpy(zero_copy_only=False) for c in ("prefix", "suffix")))
+        yield pa.RecordBatch.from_arrays(lines.near(some, low, high), NEAR_NAMES)
 
 
 def line_words(docs: DataFrame, wanted: DataFrame) -> DataFrame:
     """d1, words (their hashes), and variants without one word from place `start` on, of the wanted lines: doc_id, key, and
     lines (line, prefix, suffix: which halves are shared)."""
-
-    def take(batches):
-        for batch in batches:
-            for k in range(0, batch.num_rows, 500):
-                part = batch.slice(k, 500)
-                d1, data, start, variants = [], [], [], []
-                for text, chosen in zip(part.column(0).to_pylist(), part.column(1).to_pylist()):
-                    lines = Lines(text)
-                    own = lines.digests()[0]
-                    for i, x in zip(np.searchsorted(lines.numbers, [x["line"] for x in chosen]).tolist(), chosen):
-                        low, high = lines.places(i, x["prefix"], x["suffix"])
-                        d1.append(int(own[i].view(np.int64)))
-                        data.append(lines.words(i))
-                        start.append(low)
-                        variants.append(lines.variants(i, low, high).view(np.int64))
-                yield pa.RecordBatch.from_arrays([pa.array(d1, pa.int64()), pa.array(data, pa.binary()), pa.array(start, pa.int32()), pa.array(variants, pa.list_(pa.int64()))], ["d1", "words", "start", "variants"])
-
     keyed, wanted = text_rows(docs).withColumn("key", F.xxhash64("text")).alias("k"), wanted.alias("w")
     same = F.col("k.doc_id").eqNullSafe(F.col("w.doc_id")) & (F.col("k.key") == F.col("w.key"))
-    return keyed.join(wanted, same).select("k.text", "w.lines").mapInArrow(take, NEAR)
+    return keyed.join(wanted, same).select("k.text", "w.lines").mapInArrow(chosen_words, NEAR)
 
 
 def one_edit(a: np.ndarray, b: np.ndarray) -> bool:
