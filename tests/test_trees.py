@@ -138,6 +138,22 @@ def test_features_that_are_absent_go_where_missing_ones_go(spark, small_model):
     assert absent == null
 
 
+@pytest.mark.parametrize("partitions", [1, 5])
+def test_leaves_are_added_in_their_order(spark, partitions):
+    """Sums are the same to the last digit, however the leaves are dealt: those of one plain loop over trees and leaves."""
+    rng = np.random.default_rng(5)
+    parts = [(tree, leaf, float(rng.normal() * 10.0 ** rng.integers(-3, 4))) for tree in range(30) for leaf in range(4)]
+    rows = [("2020-01", "boosting", trees.BASE, 0, 0.25, 1.0, [])] + [("2020-01", "boosting", tree, leaf, v, 1.0, [("f0", -math.inf, 0.5, False, 0.5)]) for tree, leaf, v in parts]
+    leaves = spark.createDataFrame([rows[k] for k in rng.permutation(len(rows))], trees.LEAVES).repartition(partitions)
+    values = spark.createDataFrame([("2020-01", "f0", 0.0)], "month string, product_name string, value double")
+    estimate = half = 0.0
+    for _, _, v in parts:
+        estimate, half = estimate + v, half + v * 0.5
+    got = trees.ensemble_predictions(leaves, values).first()
+    assert (got.estimate, got.baseline) == (0.25 + estimate, 0.25 + half)
+    assert [r.contribution for r in trees.tree_attributions(leaves, values).collect()] == [half]
+
+
 def test_a_target_without_spread_gives_its_level(spark):
     x, _ = panel()
     leaves = as_leaves(spark, x, np.full(len(x), 1.5), HOW)

@@ -149,11 +149,18 @@ def product_of(path: Column | str, field: str) -> Column:
     return F.aggregate(path, F.lit(1.0), lambda a, p: a * p[field])
 
 
+def leaf_sum(part: Column) -> Column:
+    """The sum of part over a group's leaves in the order of tree and leaf, so that its last digits do not depend on how rows
+    arrive. An ensemble has a bounded number of leaves, whatever the panel."""
+    parts = F.sort_array(F.collect_list(F.struct("tree", "leaf", part.alias("part"))))
+    return F.aggregate(parts, F.lit(0.0), lambda a, x: a + x.part)
+
+
 def ensemble_predictions(leaves: DataFrame, values: DataFrame) -> DataFrame:
     """(month, model_key, estimate, baseline): the level plus the leaves that the month's own values reach; the baseline is
     what the training shares give without any value."""
     level = leaves.where(F.col("tree") == BASE).select("month", "model_key", F.col("value").alias("level"))
-    reached = paths(leaves, values).groupBy("month", "model_key").agg(F.sum(F.col("leaf_value") * product_of("path", "along")).alias("sum"), F.sum(F.col("leaf_value") * product_of("path", "share")).alias("mean"))
+    reached = paths(leaves, values).groupBy("month", "model_key").agg(leaf_sum(F.col("leaf_value") * product_of("path", "along")).alias("sum"), leaf_sum(F.col("leaf_value") * product_of("path", "share")).alias("mean"))
     part = lambda c: F.col("level") + F.coalesce(c, F.lit(0.0))
     return level.join(reached, ["month", "model_key"], "left").select("month", "model_key", part("sum").alias("estimate"), part("mean").alias("baseline"))
 
@@ -172,6 +179,6 @@ def shapley_weight(path: Column, feature: Column) -> Column:
 def tree_attributions(leaves: DataFrame, values: DataFrame) -> DataFrame:
     """(month, model_key, product_name, contribution): how each product's value moves the estimate from the baseline, averaged
     over all orders in which the values could become known. Contributions and the baseline add up to the estimate."""
-    each = paths(leaves, values).select("month", "model_key", "leaf_value", "path", F.explode("path").alias("p"))
+    each = paths(leaves, values).select("month", "model_key", "tree", "leaf", "leaf_value", "path", F.explode("path").alias("p"))
     part = F.col("leaf_value") * (F.col("p.along") - F.col("p.share")) * shapley_weight(F.col("path"), F.col("p.feature"))
-    return each.groupBy("month", "model_key", F.col("p.feature").alias("product_name")).agg(F.sum(part).alias("contribution"))
+    return each.groupBy("month", "model_key", F.col("p.feature").alias("product_name")).agg(leaf_sum(part).alias("contribution"))
