@@ -5,6 +5,8 @@ import random
 
 import pytest
 
+from tideline.plans.queries import QUERIES
+from tideline.sources import files
 from tideline.streaming import landing, lifecycle
 
 EVENTS = "sequence long, key string, cycle_id string, kind string, as_of timestamp_ntz"
@@ -93,3 +95,42 @@ def test_a_batch_that_is_run_again_adds_nothing(spark, tmp_path):
         store(read(lot), number)
         assert stored(spark, root) == once
     assert [u for u, _ in once[0]] == ["u1", "u2", "u3"]
+
+
+def test_archives_land_beside_files(spark, tmp_path):
+    root, zone = str(tmp_path / "store"), tmp_path / "zone"
+
+    def run():
+        raw = landing.landed_files(spark, str(zone), "*.html", 2).select("content", "modificationTime")
+        landing.ingest_landing(raw.union(landing.landed_archives(spark, str(zone), "*.parquet", 2)), root).awaitTermination()
+
+    def archive(name, *pages):
+        spark.createDataFrame([(bytearray(p, "utf-8"),) for p in pages], "content binary").coalesce(1).write.parquet(str(zone / name))
+
+    land(zone / "a", {"1": page(1), "2": page(2)})
+    run()  # no archive yet
+    assert stored(spark, root)[0] == [("u1", "2026-02"), ("u2", "2026-03")]
+    archive("b", page(1), page(3), page(3), "", "<h1>line\r\nline</h1>", '<link rel="canonical" href="u7"><h1>About us</h1>')
+    land(zone / "c", {"3": page(3), "4": page(4)})
+    run()
+    snapshots, prices, errors = stored(spark, root)
+    assert [u for u, _ in snapshots] == ["u1", "u2", "u3", "u4"] and prices == [(u, 10.0) for u in ("u1", "u2", "u3", "u4")]
+    assert errors == [("u7", "no_release_in_title"), (None, "no_address"), (None, "no_address")]
+    archive("d", page(4), page(5))
+    run()
+    assert [u for u, _ in stored(spark, root)[0]] == ["u1", "u2", "u3", "u4", "u5"] and stored(spark, root)[2] == errors
+    held = landing.batches(spark, root, "snapshots", landing.SNAPSHOT)
+    assert held.where("source_url = 'u5'").first()["retrieved_at"].timestamp() == pytest.approx(next((zone / "d").glob("*.parquet")).stat().st_mtime, abs=1)
+
+
+def test_only_releases_land_in_files_of_their_own(spark, small, tmp_path, monkeypatch):
+    monkeypatch.setattr(files, "run_path", lambda spark, name: f"{tmp_path}/{name}")
+    got = QUERIES["landed_pages"](spark, small).collect()
+    zone, others = tmp_path / "landing" / "in", spark.read.parquet(f"{small}/pages.parquet").count()
+    assert sorted(p.name for p in zone.rglob("*") if p.is_dir()) == ["archives", "lot=0", "lot=1"]  # no folder a page
+    assert spark.read.parquet(str(zone / "archives")).count() == others and len(list(zone.rglob("*.parquet"))) < others / 4
+    pages = [p.read_bytes().decode() for p in zone.rglob("*.txt")]
+    releases = spark.read.parquet(str(tmp_path / "raw-pages"))
+    again = releases.where("substring(title, 15, 4) < '1998'")
+    assert sorted(pages) == sorted(r["raw"] + "\r" for r in releases.unionByName(again).select("raw").collect())  # a page a file
+    assert sum(r["outcome"] in ("stored", "challenge") for r in got) == releases.count()

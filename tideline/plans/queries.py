@@ -950,19 +950,23 @@ def lifecycle_stream(spark, sf_dir):
 
 @query
 def landed_pages(spark, sf_dir):
-    """Release pages as raw files that arrive in two lots, the second with copies under other names, new pages, pages
-    without an address and files that are no release; each stored address with the prices that were read, each fault once."""
+    """Release pages as raw files that arrive in two lots, the second with copies under other names, new pages, and archives
+    of pages without an address and pages that are no release; each stored address with the prices that were read, each
+    fault once."""
     where = files.run_path(spark, "landing")
     page = F.concat(F.lit('<link rel="canonical" href="'), "source_url", F.lit('">'), "html")
     pages = files.stored(release_pages(spark, sf_dir).select("source_url", "title", page.alias("raw")), "raw-pages")
     old = F.substring("title", 15, 4) < "1998"
     html = F.concat(F.lit("<h1>"), F.col("page_id").cast("string"), F.lit("</h1>"))
     others = proxy.table(spark, sf_dir, "pages").select(F.when(F.col("page_id") % 5 == 0, html).otherwise(F.concat(F.lit('<link rel="canonical" href="'), F.coalesce("url", F.lit("none")), F.lit('">'), html)).alias("raw"))
-    lots = [pages.where(old).select("raw"), pages.select("raw").unionByName(others)]
-    for k, lot in enumerate(lots):
-        named = lot.withColumn("name", F.sha2("raw", 256)).dropDuplicates(["name"])
-        named.repartition(8, "name").write.partitionBy("name").option("lineSep", "\r").mode("append").text(f"{where}/in/lot={k}")
-        landing.ingest_landing(landing.landed_files(spark, f"{where}/in", "*.txt", 400), where).awaitTermination()
+    for k, lot in enumerate((pages.where(old), pages)):
+        # a page a file; the releases are few whatever the input, the other pages grow with it
+        named = lot.select("raw", F.lit(k).alias("lot")).repartition(8)
+        named.write.partitionBy("lot").option("maxRecordsPerFile", 1).option("lineSep", "\r").mode("append").text(f"{where}/in")
+        if k:
+            others.select(F.encode("raw", "UTF-8").alias("content")).write.option("maxRecordsPerFile", 1000).parquet(f"{where}/in/archives")
+        arrived = landing.landed_files(spark, f"{where}/in", "*.txt", 400).select("content", "modificationTime").union(landing.landed_archives(spark, f"{where}/in", "*.parquet", 400))
+        landing.ingest_landing(arrived, where).awaitTermination()
     prices = landing.batches(spark, where, "prices", ingest.ROWS).groupBy("source_url").agg(F.count("price").alias("n_prices"))
     stored = landing.batches(spark, where, "snapshots", landing.SNAPSHOT).join(prices, "source_url", "left")
     done = stored.select("source_url", "release_month", "window", F.lit("stored").alias("outcome"), F.coalesce("n_prices", F.lit(0).cast("long")).alias("n_prices"))

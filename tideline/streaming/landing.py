@@ -1,4 +1,5 @@
-"""A landing zone of raw pages: files are read as they arrive, stored once by content, parsed, and faults are kept apart."""
+"""A landing zone of raw pages, one a file or many in an archive: read as they arrive, stored once by content, parsed, and
+faults are kept apart."""
 
 from __future__ import annotations
 
@@ -19,8 +20,15 @@ def landed_files(spark: SparkSession, path: str, pattern: str = "*", files_a_bat
     return reader.option("maxFilesPerTrigger", files_a_batch).load(path)
 
 
+def landed_archives(spark: SparkSession, path: str, pattern: str = "*.parquet", files_a_batch: int = 1000) -> DataFrame:
+    """A stream of the pages in the archives below a folder: Parquet files with a row a page, its bytes as content. What
+    arrives in bulk is landed so, as each file of its own costs the writer, the listing and the checkpoint alike."""
+    reader = spark.readStream.schema("content binary").option("pathGlobFilter", pattern).option("recursiveFileLookup", True)
+    return reader.option("maxFilesPerTrigger", files_a_batch).parquet(path).select("content", F.col("_metadata.file_modification_time").alias("modificationTime"))
+
+
 def as_pages(files: DataFrame) -> DataFrame:
-    """source_url, title, html, retrieved_at of raw files: the address is the canonical link, the title the first heading."""
+    """source_url, title, html, retrieved_at of raw files or archived pages: the address is the canonical link, the title the first heading."""
     html = files.select(F.decode("content", "UTF-8").alias("html"), F.col("modificationTime").alias("retrieved_at"))
     take = lambda pattern: F.nullif(F.trim(F.regexp_extract("html", pattern, 1)), F.lit(""))
     return html.select(take(r'<link rel="canonical" href="([^"]+)"').alias("source_url"), take(r"(?s)<h1[^>]*>(.*?)</h1>").alias("title"), "html", "retrieved_at")
